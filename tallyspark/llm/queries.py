@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, embdedup, hilbert, simhash, tokenfile
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,18 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_bpe_round_trip)}
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.assign(_docs(spark, sf_dir), shards=8)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.write_and_read(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_bpe_round_trip, op5_hilbert_shards, op6_token_files, op8_embedding_near_dedup)}
 
 ORACLES: dict[str, str] = {}
