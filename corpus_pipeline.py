@@ -2,23 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import simhash
+from tallyspark.llm import bpe, decontam, langid, secrets, simhash
 from tallyspark.llm.common import cut
 
-STAGES: list = []
+#: SQL cannot express the language model, the fingerprints, the tagger or the merges; tests use brute force.
 ORACLE_SQL = None
 
 
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay; those without letters or with no clear language go."""
+    known = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model")).where("lang_pred <> 'und' and score >= 0.5")
+    return _keep(docs, known)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id."""
-    kept = simhash.components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs.doc_id == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
+    return _keep(docs, simhash.components(docs).where("doc_id = component_id")).dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; the secrets in their texts are replaced by a mark."""
+    return secrets.redact(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document's ids and of the text they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
-STAGES = [("SimHash near-dedup", near_dedup)]
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontaminate),
+    ("secret scans", redact_secrets),
+    ("BPE encoding", tokenize),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

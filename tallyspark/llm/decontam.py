@@ -103,14 +103,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
 
 ORACLE = """
 with item as (
-  select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '') as w
+  select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w
   from benchmark where item_id is not null),
 item_shingle as (
   select distinct item_id, least(len(w), 5) as width, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') as s
   from item, unnest(range(1, len(w) - least(len(w), 5) + 2)) as t(i) where len(w) > 0),
 item_size as (select item_id, width, count(*) as n_item from item_shingle group by 1, 2),
 doc as (
-  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), w -> w <> '') as w
+  select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') as w
   from documents where doc_id is not null),
 doc_shingle as (
   select distinct doc_id, k as width, array_to_string(w[i : i + k - 1], ' ') as s

@@ -6,34 +6,69 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, embdedup, hilbert, simhash, tokenfile
+from . import bpe, decontam, embdedup, hilbert, langid, quality, secrets, simhash, tokenfile, warc
 
 
-def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(_table(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.components(_docs(spark, sf_dir))
+    return simhash.components(_table(spark, sf_dir))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.round_trip(_table(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert.assign(_docs(spark, sf_dir), shards=8)
+    return hilbert.assign(_table(spark, sf_dir), shards=8)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.write_and_read(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return tokenfile.write_and_read(_table(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(_table(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embdedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return embdedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, in two replicas; the second has lost a bit in about one record of a hundred."""
+    return warc.fixity(_table(spark, sf_dir, "pages"), F.col("page_id") % 101 == 7)
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_table(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash_near_dedup, op4_bpe_round_trip, op5_hilbert_shards, op6_token_files, op8_embedding_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_quality_resampling, op2_simhash_near_dedup, op3_language_id, op4_bpe_round_trip, op5_hilbert_shards,
+        op6_token_files, op7_benchmark_decontamination, op8_embedding_near_dedup, op9_warc_fixity, op10_secret_scan,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_benchmark_decontamination": decontam.ORACLE,
+    "op9_warc_fixity": """
+select page_id, sha256(coalesce(html, '')) as payload_sha256,
+  case when page_id % 101 = 7 then 'damaged' else 'intact' end as status
+from pages
+""",
+}
