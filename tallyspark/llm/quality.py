@@ -76,14 +76,15 @@ def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, bound: int = LABELLED) -> DataFrame:
-    """``(doc_id, good)`` of at most ``bound`` labelled documents, the first in a hashed order.
+    """``(doc_id, quality, good)`` of at most ``bound`` labelled documents, the first in a hashed order.
 
     Good means quality 1 and not toxic; of rows that repeat a doc_id the worst counts. Rows with a null
     doc_id or quality are left out, a null in toxic counts as not toxic.
     """
     rows = labels.where("doc_id is not null and quality is not null")
-    rows = rows.select("doc_id", ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("good"))
-    rows = rows.groupBy("doc_id").agg(F.min("good").alias("good"))
+    fine = (F.col("quality") == 1).cast("int")
+    rows = rows.select("doc_id", fine.alias("quality"), F.when(F.coalesce("toxic", F.lit(0)) == 0, fine).otherwise(0).alias("good"))
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("good").alias("good"))
     return rows.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(bound)
 
 
@@ -199,7 +200,7 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bou
     A document's log weight compares its hashed n-grams under a model of target text (the good ones of
     a bounded sample of ``labels``) and one of all texts. Gumbel noise is added and the rows with the largest
     keys are kept: a sample without replacement, in proportion to the weights, of ``share`` of all
-    rows, by default the share of good documents in the labelled sample.
+    rows, by default the share of documents of quality 1 in the labelled sample.
 
     Null, empty and wordless texts have log weight zero. Rows that are equal in doc_id and key are kept
     or left together, so that with repeated rows a few more than asked for may stay. Without labels,
@@ -207,9 +208,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bou
     columns are not read.
     """
     sample = cut(labelled_sample(labels, bound))
-    good, n = sample.agg(F.sum("good"), F.count("*")).first()
+    good, fine, n = sample.agg(F.sum("good"), F.sum("quality"), F.count("*")).first()
     ratio = log_ratio(ngram_counts(docs, sample)) if good else np.zeros(BUCKETS)
     scored = score(docs, ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "doc_id"))
     scored = cut(scored.drop("n_grams"))
-    share = (good / n if good else 1.0) if share is None else share
+    share = (fine / n if good else 1.0) if share is None else share
     return top_k(scored, math.ceil(share * scored.count()), "gumbel_key", "doc_id")
