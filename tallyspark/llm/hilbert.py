@@ -33,9 +33,9 @@ def curve_table(spark: SparkSession, dims: int, bits: int = BITS) -> DataFrame:
         head = F.when(is_set, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(both))
         return F.transform(x, lambda v, k: F.when(k == 0, head).when((k == s["i"]) & ~is_set, v.bitwiseXOR(both)).otherwise(v))
 
-    turned = F.aggregate(steps, axes, turn)
+    turned = F.aggregate(steps, axes, turn) if bits > 1 else axes
     gray = F.transform("x", lambda v, k: F.aggregate(F.slice("x", F.lit(1), k + 1), F.lit(0), lambda a, b: a.bitwiseXOR(b)))
-    tail = F.aggregate(F.array(*map(F.lit, high[:-1])), F.lit(0), lambda t, q: F.when(F.element_at("x", -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t))
+    tail = F.aggregate(F.array(*map(F.lit, high[:-1])), F.lit(0), lambda t, q: F.when(F.element_at("x", -1).bitwiseAND(q) != 0, t.bitwiseXOR(q - 1)).otherwise(t)) if bits > 1 else F.lit(0)
     index = F.aggregate(
         F.array(*[F.struct(F.lit(q).alias("q"), F.lit(i).alias("i")) for q in high for i in range(dims)]),
         F.lit(0).cast("long"),
