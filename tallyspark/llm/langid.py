@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 from collections import Counter
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -21,7 +22,7 @@ ROUNDS = 3
 #: Pseudo count of a piece in each language.
 PSEUDO = 0.05
 #: Distinct words whose log probabilities one Python worker remembers.
-CACHE = 200_000
+CACHE = 500_000
 #: Longest word that is scored in a batch; longer ones are scored one by one.
 LONG = 48
 #: Probabilities are scaled by this much a character, so that a batch needs no logarithms.
@@ -50,7 +51,7 @@ class Pieces:
             if model.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i)) and (piece.removeprefix(MARK) + "a").isalpha():
-                self.automaton.add_word(piece, (i, len(piece)))
+                self.automaton.add_word(piece, i << 8 | len(piece))
                 if len(piece) == 1:
                     self.chars.add(piece)
         self.automaton.make_automaton()
@@ -62,14 +63,19 @@ class Pieces:
         of its own is spelt in bytes; it gives one match whose piece is minus the code point.
         """
         joined = "".join([f"{MARK}{w}\n" for w in words])
-        found = [(p[0], e + 1 - p[1], e + 1) for e, p in self.automaton.iter(joined)]
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+        piece, last = found[:, 1] >> 8, found[:, 0] + 1
+        first = last - (found[:, 1] & 255)
+        spelt = []
         for c in set(joined) - self.chars:
             at = -1
             while (at := joined.find(c, at + 1)) >= 0:
-                found.append((-ord(c), at, at + 1))
-        found = np.array(found, np.int64).reshape(-1, 3)
+                spelt.append((-ord(c), at))
+        if spelt:
+            own = np.array(spelt, np.int64)
+            piece, first, last = np.concatenate([piece, own[:, 0]]), np.concatenate([first, own[:, 1]]), np.concatenate([last, own[:, 1] + 1])
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2) - 1
-        return found[:, 0], found[:, 1], found[:, 2], ends
+        return piece, first, last, ends
 
     def rows(self, piece: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Scaled probabilities of matches, one column a language."""
@@ -197,16 +203,16 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
     """(languages in order, piece probabilities with one column a language), fitted by EM.
 
     ``docs(doc_id, text, lang)``: about ``training`` documents of each language, those first in a hashed order,
-    are counted into words; each round of EM is a Spark job over the distinct words and gives one row
+    are counted into words (the driver learns only how many documents each language has); each round of EM is a Spark job over the distinct words and gives one row
     for each piece and language. Rows with a null lang teach nothing. Words over ``LONG`` letters are
     left out of training.
     """
     known = docs.where("lang is not null")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) * F.col("n") < F.lit(training * (1 << 30))
-    chosen = known.join(sizes, "lang").where(part).select("lang", "text")
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(sizes)
+    enough = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1 << 30, (training << 30) // sizes[x]))) for x in langs], F.lit(0))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < enough).select("lang", "text")
     words = cut(chosen.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
-    langs = sorted(r["lang"] for r in sizes.select("lang").collect())
     size = pieces(path).size
     p = np.full((size, len(langs)), 1.0 / size)
     column = {lang: k for k, lang in enumerate(langs)}
