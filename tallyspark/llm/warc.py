@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from urllib.parse import quote
 
@@ -18,11 +19,11 @@ FILE_BYTES = 32_000_000
 #: Children of an inner node, as a power of two.
 FAN_BITS = 4
 DATE = "1970-01-01T00:00:00Z"
-INDEX = "file string, seq long, offset long, length long, payload_at long, page_id long"
+INDEX = "file string, seq long, offset long, length long, page_id long"
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> tuple[bytes, int]:
-    """(one WARC/1.1 resource record, place of its payload in it); its id and digest follow from its content."""
+def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
+    """One WARC/1.1 resource record as a gzip member; its bytes follow from the page alone."""
     payload = (html or "").encode()
     digest = hashlib.sha256(payload).hexdigest()
     name = "" if page_id is None else str(page_id)
@@ -32,13 +33,18 @@ def record(page_id: int | None, url: str | None, html: str | None) -> tuple[byte
         f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
         f"Content-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n"
     ).encode()
-    return head + payload + b"\r\n\r\n", len(head)
+    return gzip.compress(head + payload + b"\r\n\r\n", 6, mtime=0)
+
+
+def payload(member: bytes) -> bytes:
+    """The payload of a record."""
+    return gzip.decompress(member).split(b"\r\n\r\n", 1)[1][:-4]
 
 
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write ``pages(page_id, url, html)`` as WARC files below ``folder``; returns the index of their records.
+    """Write ``pages(page_id, url, html)`` as ``.warc.gz`` files below ``folder``; returns the index of their records.
 
-    The index has ``(file, seq, offset, length, payload_at, page_id)`` for each record. A task writes the rows
+    The index has ``(file, seq, offset, length, page_id)`` for each record, a gzip member of its own. A task writes the rows
     of its partition in order, under a temporary name that is then changed, so a task that runs again
     replaces equal bytes by equal bytes. Nulls in url or html count as empty; a null page_id stays null
     in the index; repeated rows are records of their own; an empty table writes no files.
@@ -51,21 +57,21 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
 
         def close():
             nonlocal files, held, rows, size
-            name = f"part-{task.partitionId():06d}-{files:05d}.warc"
+            name = f"part-{task.partitionId():06d}-{files:05d}.warc.gz"
             draft = f"{base}/.{name}.{task.taskAttemptId()}"
             with store.open_output_stream(draft) as out:
                 for one in held:
                     out.write(one)
             store.move(draft, f"{base}/{name}")
             columns = [[name] * len(rows), *map(list, zip(*rows))]
-            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 5])], names=["file", "seq", "offset", "length", "payload_at", "page_id"])
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), *[pa.int64()] * 4])], names=["file", "seq", "offset", "length", "page_id"])
             files, held, rows, size = files + 1, [], [], 0
             return batch
 
         for batch in batches:
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                one, payload_at = record(page_id, url, html)
-                rows.append((len(rows), size, len(one), payload_at, page_id))
+                one = record(page_id, url, html)
+                rows.append((len(rows), size, len(one), page_id))
                 held.append(one)
                 size += len(one)
                 if size >= file_bytes:
@@ -76,12 +82,12 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
     return cut(pages.select("page_id", "url", "html").mapInArrow(run, INDEX))
 
 
-def leaves(folder: str, index: DataFrame) -> DataFrame:
+def leaves(folder: str, index: DataFrame, of=bytes) -> DataFrame:
     """``(file, seq, hash)``: the SHA-256 of each record's range of bytes as a replica has it.
 
     Ranges come from the index and not from the replica's own headers, which may be what is damaged.
     A range that the file no longer reaches hashes as the bytes that are left; a file that is missing
-    gives no leaves. The index reaches a file's task as one row of arrays, bounded by the size of a file.
+    gives no leaves. ``of`` says what of a range is hashed, by default all of it. The index reaches a file's task as one row of arrays, bounded by the size of a file.
     """
 
     def run(batches):
@@ -97,7 +103,7 @@ def leaves(folder: str, index: DataFrame) -> DataFrame:
                     for r in ranges:
                         n = max(0, min(r["length"], size - r["offset"]))
                         seq.append(r["seq"])
-                        out.append(hashlib.sha256(f.read_at(n, r["offset"]) if n else b"").hexdigest())
+                        out.append(hashlib.sha256(of(f.read_at(n, r["offset"]) if n else b"")).hexdigest())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(seq)), pa.array(seq, pa.int64()), pa.array(out)], names=["file", "seq", "hash"])
 
     by_file = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length"))).alias("ranges"))
@@ -183,10 +189,9 @@ def number_files(names: DataFrame) -> DataFrame:
 
 
 def replicate(folder: str, target: str, index: DataFrame, damage: Column) -> None:
-    """Copy each file to ``target``, one bit of the payload flipped in records for which the column ``damage`` holds.
+    """Copy each file to ``target``, one bit in the middle of a record flipped where the column ``damage`` holds.
 
-    It stands for a second store with bit rot, to try the audit on; records without payload bytes get
-    the flip in their closing line.
+    It stands for a second store with bit rot, to try the audit on.
     """
 
     def run(batches):
@@ -204,7 +209,7 @@ def replicate(folder: str, target: str, index: DataFrame, damage: Column) -> Non
                 store.move(draft, f"{out}/{name}")
                 yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
 
-    place = F.when(damage, F.col("offset") + F.col("payload_at") + F.floor((F.col("length") - F.col("payload_at") - 4) / 2).cast("long"))
+    place = F.when(damage, F.col("offset") + F.floor(F.col("length") / 2).cast("long"))
     by_file = index.groupBy("file").agg(F.collect_list(place).alias("places"))
     cut(by_file.repartition("file").mapInArrow(run, "file string"))
 
@@ -227,5 +232,5 @@ def fixity(pages: DataFrame, damage: Column) -> DataFrame:
 
 def payload_digests(folder: str, index: DataFrame) -> DataFrame:
     """``(file, seq, page_id, payload_sha256)`` read back from a replica's files."""
-    payload = index.select("file", "seq", (F.col("offset") + F.col("payload_at")).alias("offset"), (F.col("length") - F.col("payload_at") - 4).alias("length"))
-    return leaves(folder, payload).withColumnRenamed("hash", "payload_sha256").join(index.select("file", "seq", "page_id"), ["file", "seq"])
+    read = leaves(folder, index, of=payload).withColumnRenamed("hash", "payload_sha256")
+    return read.join(index.select("file", "seq", "page_id"), ["file", "seq"])
