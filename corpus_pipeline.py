@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontam, langid, secrets, simhash
 from tallyspark.llm.common import cut
@@ -15,17 +14,21 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; those without letters or with no clear language go."""
-    known = langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model")).where("lang_pred <> 'und' and score >= 0.5")
-    return _keep(docs, known)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return langid.keep_known(docs, langid.train(docs.where(~langid.held_out()), path), path)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    return _keep(docs, simhash.components(docs).where("doc_id = component_id")).dropDuplicates(["doc_id"])
+    """One document of each group of near copies stays: the one with the smallest doc_id.
+
+    Of rows that repeat that doc_id one stays. Rows without a doc_id stay only as part of a group, through its representative.
+    """
+    kept = simhash.components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows that share a doc_id go together."""
     leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
 
@@ -40,10 +43,6 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
-
-
 STAGES = [
     ("language ID", language),
     ("SimHash near-dedup", near_dedup),

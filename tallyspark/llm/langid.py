@@ -299,6 +299,26 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows that are ``und`` or whose score is below ``least``; all columns stay as they are.
+
+    Rows are judged and passed on in one scan, so texts are not shuffled and rows with a null or
+    repeated doc_id are judged like any other.
+    """
+    langs, p = model
+    sent = docs.sparkSession.sparkContext.broadcast(p)
+
+    def run(batches):
+        scorer = Scorer(path, sent.value) if langs else None
+        for batch in batches:
+            for part in slices(batch, budget=1_000_000):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                found = scorer.texts(texts) if scorer else [None] * len(texts)
+                yield part.filter(pa.array([x is not None and 1.0 / np.exp(x - x.max()).sum() >= least for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is held out of training: crc32 of its id as text, modulo 4, is 2."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
