@@ -71,19 +71,30 @@ def parse(policies: DataFrame) -> DataFrame:
 
 
 def rules(parsed: DataFrame) -> DataFrame:
-    """``(policy_id, group, line, allow, pattern, regex, specificity, size)`` of path rules; empty ones are none.
+    """``parsed`` with ``rule``: for effective path rules a struct of group, line, allow, pattern, regex, specificity and size.
 
     A run of wildcards is one, and one at the end is dropped with an end mark after it. Specificity is
     the number of octets, wildcards and the end mark included.
     """
-    kept = parsed.where(F.col("directive").isin("allow", "disallow") & (F.col("value") != "") & F.col("problem").isNull())
-    bare = F.regexp_replace("value", r"\$\z", "")
-    kept = kept.withColumn("atoms", octets(F.regexp_replace(bare, r"\*+", "*"), pattern=True)).withColumn("end", F.col("value").endswith("$"))
+    is_rule = F.col("directive").isin("allow", "disallow") & (F.col("value") != "") & F.col("problem").isNull()
+    bare = F.regexp_replace(F.regexp_replace("value", r"\$\z", ""), r"\*+", "*")
+    rows = parsed.withColumn("atoms", F.when(is_rule, octets(bare, pattern=True)))
     trailing = F.coalesce(F.try_element_at("atoms", F.lit(-1)) == "*", F.lit(False))
-    kept = kept.withColumn("end", F.col("end") & ~trailing).withColumn("atoms", F.when(trailing, F.slice("atoms", F.lit(1), F.size("atoms") - 1)).otherwise(F.col("atoms")))
+    rows = rows.withColumn("end", F.col("value").endswith("$") & ~trailing).withColumn("atoms", F.when(trailing, F.slice("atoms", F.lit(1), F.size("atoms") - 1)).otherwise(F.col("atoms")))
     quoted = F.array_join(F.transform("atoms", lambda a: F.when(a == "*", ".*").otherwise(F.concat(F.lit("\\Q"), a, F.lit("\\E")))), "")
     regex = F.concat(F.lit("(?s)\\A"), quoted, F.when(F.col("end"), "\\z").otherwise(""))
-    return kept.select("policy_id", "group", "line", (F.col("directive") == "allow").alias("allow"), F.col("value").alias("pattern"), regex.alias("regex"), (F.size("atoms") + F.col("end").cast("int")).alias("specificity"), F.size("atoms").alias("size"))
+    rule = F.struct("group", "line", (F.col("directive") == "allow").alias("allow"), F.col("value").alias("pattern"), regex.alias("regex"), (F.size("atoms") + F.col("end").cast("int")).alias("specificity"), F.size("atoms").alias("size"))
+    return rows.withColumn("rule", F.when(F.col("atoms").isNotNull(), rule)).drop("atoms", "end")
+
+
+def profiles(policies: DataFrame) -> DataFrame:
+    """``(policy_id, problem, agents, delays, rules)``: each policy as one row, bounded by the size of a policy."""
+    d, fine = F.col("directive"), F.col("problem").isNull()
+    agent = F.when((d == "user-agent") & fine, F.struct("group", F.lower("value").alias("agent")))
+    delay = F.when((d == "crawl-delay") & fine, F.struct("group", F.col("value").try_cast("double").alias("delay")))
+    return rules(parse(policies)).groupBy("policy_id").agg(
+        F.min(F.when(~fine, F.struct("line", "problem")))["problem"].alias("problem"), F.collect_list(agent).alias("agents"), F.collect_list(delay).alias("delays"), F.collect_list("rule").alias("rules"),
+    )
 
 
 def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
@@ -91,11 +102,9 @@ def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
 
     All groups that name the token apply, or else those for ``*``. The longest matching rule wins, of
     equal ones an Allow. ``/robots.txt`` itself is always allowed. Anything malformed, or more work than the
-    bound (octets of the target times those of the rules), needs review.
+    bound (octets of the target times those of the rules that apply), needs review. Requests meet their policy in one
+    join and are decided row by row, so their number and how many share a policy do not matter.
     """
-    parsed = parse(policies)
-    broken = parsed.where("problem is not null").groupBy("policy_id").agg(F.min_by("problem", "line").alias("problem"))
-    agents = parsed.where("directive = 'user-agent'").select("policy_id", "group", F.lower("value").alias("agent")).distinct()
     url = F.col("url")
     path = F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)
@@ -107,25 +116,26 @@ def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
         .when((host == "") | host.contains("@") | url.rlike("#."), "unsupported target")
         .when(shown.rlike("%(?![0-9A-Fa-f]{2})"), "malformed escape")
     )
-    asked = requests.withColumn("fault", fault).withColumn("target", octets(shown)).withColumn("own_file", (path == "/robots.txt") & (query == ""))
-    asked = asked.join(broken, "policy_id", "left").withColumn("reason", F.coalesce("fault", "problem"))
-    ask = asked.select("request_id", "policy_id", "target", "own_file", F.lower("token").alias("token"))
-    named = ask.join(agents, (ask.policy_id == agents.policy_id) & ((agents.agent == ask.token) | (agents.agent == "*"))).select(ask["*"], "group", (F.col("agent") != "*").alias("exact"))
-    exact = named.groupBy("request_id").agg(F.max("exact").alias("by_name"))
-    chosen = named.join(exact, "request_id").where("exact = by_name").select("request_id", "policy_id", "group", "target", "own_file", "by_name").distinct()
-    delays = parsed.where("directive = 'crawl-delay' and problem is null").groupBy("policy_id", "group").agg(F.max(F.col("value").try_cast("double")).alias("delay"))
-    waits = chosen.join(delays, ["policy_id", "group"], "left").groupBy("request_id").agg(F.first("by_name").alias("by_name"), F.coalesce(F.max("delay"), F.lit(0.0)).alias("delay"))
-    tried = chosen.join(rules(parsed), ["policy_id", "group"])
-    work = tried.groupBy("request_id").agg(F.sum(F.size("target") * F.col("size")).alias("steps")).where(F.col("steps") > MOST_STEPS).select("request_id", F.lit("too much work").alias("heavy"))
-    hits = tried.join(work, "request_id", "left_anti").where(~F.col("own_file") & F.expr("array_join(target, '') rlike regex"))
-    best = hits.groupBy("request_id").agg(F.max("specificity").alias("specificity"))
-    won = hits.join(best, ["request_id", "specificity"]).groupBy("request_id").agg(F.max("allow").alias("allowed"), F.sort_array(F.collect_list("line")).alias("winners"))
-    out = asked.join(waits, "request_id", "left").join(won, "request_id", "left").join(work, "request_id", "left")
-    held = F.coalesce("reason", "heavy")
-    status = F.when(held.isNotNull(), "review_required").when(F.coalesce("allowed", F.lit(True)), "allow").otherwise("disallow")
-    selection = F.when(F.col("by_name"), "exact_product_token").when(~F.col("by_name"), "wildcard_fallback").otherwise("no_applicable_group")
-    empty = F.array().cast("array<int>")
-    return out.select("request_id", status.alias("status"), F.when(held.isNull(), selection).alias("selection"), F.when(held.isNull(), F.coalesce("delay", F.lit(0.0))).alias("delay"), F.when(held.isNull(), F.coalesce("winners", empty)).alias("winners"), held.alias("reason"))
+    asked = requests.select("request_id", "policy_id", F.lower("token").alias("token"), fault.alias("fault"), octets(shown).alias("target"), ((path == "/robots.txt") & (query == "")).alias("own_file"))
+    met = asked.join(profiles(policies), "policy_id", "left")
+    met = met.withColumn("by_name", F.coalesce(F.exists("agents", lambda a: a["agent"] == F.col("token")), F.lit(False)))
+    wanted = F.when(F.col("by_name"), F.col("token")).otherwise("*")
+    met = met.withColumn("groups", F.array_distinct(F.transform(F.filter("agents", lambda a: a["agent"] == wanted), lambda a: a["group"])))
+    mine = lambda column: F.filter(column, lambda x: F.array_contains("groups", x["group"]))
+    met = met.withColumn("tried", mine("rules")).withColumn("delay", F.array_max(F.transform(mine("delays"), lambda x: x["delay"])))
+    work = F.size("target") * F.aggregate("tried", F.lit(0), lambda n, r: n + r["size"])
+    met = met.withColumn("held", F.coalesce("fault", "problem", F.when(work > MOST_STEPS, "too much work"))).withColumn("text", F.array_join("target", ""))
+    met = met.withColumn("hits", F.when(F.col("held").isNull() & ~F.col("own_file"), F.filter("tried", lambda r: F.rlike(F.col("text"), r["regex"]))))
+    best = F.array_max(F.transform("hits", lambda r: r["specificity"]))
+    met = met.withColumn("won", F.filter("hits", lambda r: r["specificity"] == best))
+    allowed = (F.coalesce(F.size("won"), F.lit(0)) < 1) | F.exists("won", lambda r: r["allow"])
+    selection = F.when(F.col("by_name"), "exact_product_token").when(F.size("groups") > 0, "wildcard_fallback").otherwise("no_applicable_group")
+    decided = F.col("held").isNull()
+    lines = F.coalesce(F.sort_array(F.transform("won", lambda r: r["line"])), F.array().cast("array<int>"))
+    return met.select(
+        "request_id", F.when(~decided, "review_required").when(allowed, "allow").otherwise("disallow").alias("status"), F.when(decided, selection).alias("selection"),
+        F.when(decided, F.coalesce("delay", F.lit(0.0))).alias("delay"), F.when(decided, lines).alias("winners"), F.col("held").alias("reason"),
+    )
 
 
 def waiting(decisions: DataFrame, least: float = 1.1, most: float = 10.0) -> DataFrame:
