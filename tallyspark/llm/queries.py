@@ -66,6 +66,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op7_benchmark_decontamination": decontam.ORACLE,
+    "op8_embedding_near_dedup": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) as e from embeddings
+  where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) as (select a, b from link union select r.a, l.b from reach r join link l on r.b = l.a),
+n as (select a, count(*) as n from link group by a),
+c as (select a, min(b) as b from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(b, vec_id)) as component_id, vec_id <= coalesce(b, vec_id) as kept
+from embeddings left join n on n.a = vec_id left join c on c.a = vec_id
+""",
     "op9_warc_fixity": """
 select page_id, sha256(coalesce(html, '')) as payload_sha256,
   case when page_id % 101 = 7 then 'damaged' else 'intact' end as status
