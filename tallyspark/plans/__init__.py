@@ -1,6 +1,6 @@
 """Queries over the test tables, each an application of the operators, with the SQL that says the same."""
 
-from . import linking, reconciling, searching, snapshots
+from . import covering, linking, reconciling, searching, snapshots
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "linking", "reconciling", "searching", "snapshots"]
+__all__ = ["QUERIES", "SQL", "covering", "linking", "reconciling", "searching", "snapshots"]

@@ -72,14 +72,14 @@ def manifest_rules(pattern: str) -> list[Rule]:
     ]
 
 
-def load_shards(spark: SparkSession, root: str, manifest: DataFrame, schema: StructType | str, pattern: str = r"\A[a-z]+-[0-9]{3}\.json\z", keys: Sequence[str] = ("schemaVersion", "records"), id: str = "id") -> DataFrame:
+def load_shards(spark: SparkSession, root: str, manifest: DataFrame, schema: StructType | str, pattern: str = r"\A[a-z]+-[0-9]{3}\.json\z", keys: Sequence[str] = ("schemaVersion", "records"), id: str = "id", glob: str = "*.json") -> DataFrame:
     """SRC3, SRC4, SRC6: rows of all shards of a manifest: all of them, or :class:`Refused`.
 
     Shards are read and hashed by Spark's own tasks. Each must hold as many records as it says, with
     exactly the declared keys, and identities must be unique over all; nothing is handed out before.
     """
     admit(manifest, manifest_rules(pattern), "path")
-    text = verified(files(spark, root, "*.json", DEFAULT_BYTES), manifest.select(F.col("path").alias("name"), "sha", "bytes"))
+    text = verified(files(spark, root, glob, DEFAULT_BYTES), manifest.select(F.col("path").alias("name"), "sha", "bytes"))
     shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     raw = text.join(manifest.select(F.col("path").alias("name"), "records"), "name")
     raw = raw.withColumn("items", F.from_json(F.get_json_object("text", "$.records"), "array<string>"))
