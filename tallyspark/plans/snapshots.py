@@ -142,7 +142,7 @@ from p
 """)
 def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RB1 to RB4 over the pages' URLs, half of them asked for by name."""
-    policy = spark.createDataFrame([("p", bytearray(POLICY.encode()))], "policy_id string, body binary")
+    policy = spark.createDataFrame([(f"p{i}", bytearray(POLICY.encode())) for i in range(2)], "policy_id string, body binary")
     pages = table(spark, sf_dir, "pages")
-    asked = pages.select(F.col("page_id").alias("request_id"), F.lit("p").alias("policy_id"), "url", F.when(F.col("page_id") % 2 == 0, "audit").otherwise("other").alias("token"))
+    asked = pages.select(F.col("page_id").alias("request_id"), F.concat(F.lit("p"), (F.col("page_id") % 2).cast("string")).alias("policy_id"), "url", F.when(F.col("page_id") % 2 == 0, "audit").otherwise("other").alias("token"))
     return robots.decide(policy, asked).select(F.col("request_id").alias("page_id"), "status", "selection")
