@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from decimal import Decimal, localcontext
 from functools import reduce
 
@@ -123,49 +124,56 @@ def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
     rows = rows.withColumn("problem", F.coalesce("problem", F.when((F.size("reasons") == 0) & unread, F.lit("inexact number"))))
     ready = F.col("problem").isNull() & (F.size("reasons") == 0)
     rows = rows.withColumn("inputs", F.when(ready, F.transform("t", lambda x: F.struct(x["side"].alias("side"), x["coefficient"].alias("coefficient"), x["f"]["value"].alias("value")))))
-    summed = _sums(rows.select("id", "inputs").where("inputs is not null"))
-    status = F.when(F.col("problem").isNotNull(), F.lit(None)).when(F.size("reasons") > 0, "insufficient_evidence").when(F.col("zero"), "explained").otherwise("flagged_unreviewed")
-    return rows.join(summed, "id", "left").select(
-        F.col("id").alias("rule_id"), status.alias("status"), F.when(F.col("problem").isNull(), F.col("reasons")).alias("reasons"), "left_value", "right_value", "residual",
+    rows = rows.withColumn("sums", _sums(F.col("inputs")))
+    status = F.when(F.col("problem").isNotNull(), F.lit(None)).when(F.size("reasons") > 0, "insufficient_evidence").when(F.col("sums.zero"), "explained").otherwise("flagged_unreviewed")
+    return rows.select(
+        F.col("id").alias("rule_id"), status.alias("status"), F.when(F.col("problem").isNull(), F.col("reasons")).alias("reasons"), "sums.left_value", "sums.right_value", "sums.residual",
         F.when(ready, basis["unit"]).alias("unit"), F.when(ready & money, F.element_at(values("currency"), 1)).alias("currency"), "problem",
     )
 
 
-SUMS = "id string, left_value string, right_value string, residual string, zero boolean"
+SUMS = "left_value string, right_value string, residual string, zero boolean"
 
 
-def _sums(rows: DataFrame) -> DataFrame:
-    """Both sides and the residual as text; decimals of the JVM where they suffice, else Python's of 200 digits."""
+def _sums(inputs: Column) -> Column:
+    """Struct of both sides and the residual as text; decimals of the JVM where they suffice, else Python's of 200 digits."""
     whole = lambda v: F.length(F.regexp_extract(v, r"\A-?([0-9]+)", 1))
     places = lambda v: F.length(F.regexp_extract(v, r"\.([0-9]+)\z", 1))
-    fits = ~F.exists("inputs", lambda x: (whole(x["value"]) > WHOLE) | (places(x["value"]) > PLACES))
+    fits = ~F.exists(inputs, lambda x: (whole(x["value"]) > WHOLE) | (places(x["value"]) > PLACES))
     kind = f"decimal(38,{PLACES})"
 
     def side(name):
-        signed = F.transform(F.filter("inputs", lambda x: x["side"] == name), lambda x: (x["value"].try_cast(f"decimal({WHOLE + PLACES},{PLACES})") * x["coefficient"].cast("decimal(1,0)")).cast(kind))
+        signed = F.transform(F.filter(inputs, lambda x: x["side"] == name), lambda x: (x["value"].try_cast(f"decimal({WHOLE + PLACES},{PLACES})") * x["coefficient"].cast("decimal(1,0)")).cast(kind))
         return F.aggregate(signed, F.lit(0).cast(kind), lambda a, v: (a + v).cast(kind))
 
-    scale = lambda name: F.array_max(F.transform(F.filter("inputs", lambda x: name is None or x["side"] == F.lit(name or "")), lambda x: places(x["value"])))
-    cut = lambda v, n: F.when(n == 0, F.substring_index(v, ".", 1)).otherwise(F.left(v, F.length(v) - PLACES + n))
-    fast = rows.where(fits).select("id", side("left").alias("l"), side("right").alias("r"), scale("left").alias("ls"), scale("right").alias("rs"))
-    fast = fast.withColumn("d", (F.col("l") - F.col("r")).cast(kind))
-    texts = [cut(F.col(v).cast("string"), n).alias(name) for v, n, name in (("l", F.col("ls"), "left_value"), ("r", F.col("rs"), "right_value"), ("d", F.greatest("ls", "rs"), "residual"))]
-    fast = fast.select("id", *texts, (F.col("d") == 0).alias("zero"))
-    return fast.unionByName(rows.where(~fits).mapInPandas(_long_sums, SUMS))
+    scale = lambda name: F.array_max(F.transform(F.filter(inputs, lambda x: x["side"] == name), lambda x: places(x["value"])))
+    cut = lambda v, n: F.when(n == 0, F.substring_index(v.cast("string"), ".", 1)).otherwise(F.left(v.cast("string"), F.length(v.cast("string")) - PLACES + n))
+    left, right = side("left"), side("right")
+    residual = (left - right).cast(kind)
+    fast = F.struct(cut(left, scale("left")).alias("left_value"), cut(right, scale("right")).alias("right_value"), cut(residual, F.greatest(scale("left"), scale("right"))).alias("residual"), (residual == 0).alias("zero"))
+    return F.when(fits, fast).when(~fits, _long_sums()(F.when(~fits, inputs)))
 
 
-def _long_sums(batches):
-    for batch in batches:
-        out = []
+@functools.cache
+def _long_sums():
+    """Pandas UDF for the few rules with longer numbers; others reach it as null."""
+
+    def one(inputs):
+        if inputs is None:
+            return (None, None, None, None)
         with localcontext() as ctx:
             ctx.prec = 200
-            for id, inputs in zip(batch["id"], batch["inputs"]):
-                total = {"left": Decimal(0), "right": Decimal(0)}
-                for x in inputs:
-                    total[x["side"]] += Decimal(x["value"]) * x["coefficient"]
-                d = total["left"] - total["right"]
-                out.append((id, format(total["left"], "f"), format(total["right"], "f"), format(d, "f"), d == 0))
-        yield pd.DataFrame(out, columns=["id", "left_value", "right_value", "residual", "zero"])
+            total = {"left": Decimal(0), "right": Decimal(0)}
+            for x in inputs:
+                total[x["side"]] += Decimal(x["value"]) * x["coefficient"]
+            d = total["left"] - total["right"]
+            return (format(total["left"], "f"), format(total["right"], "f"), format(d, "f"), d == 0)
+
+    @F.pandas_udf(SUMS)
+    def run(inputs: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in inputs], columns=["left_value", "right_value", "residual", "zero"])
+
+    return run
 
 
 def run(rules: DataFrame, facts: DataFrame) -> DataFrame:
