@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import bpe, decontam, langid, secrets, simhash
-from tallyspark.llm.common import cut
+from tallyspark.llm.common import cut, few
 
 #: SQL cannot express the language model, the fingerprints, the tagger or the merges; tests use brute force.
 ORACLE_SQL = None
@@ -21,16 +21,21 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest doc_id.
 
-    Of rows that repeat that doc_id one stays. Rows without a doc_id stay only as part of a group, through its representative.
+    Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be named as copies, so they stay.
     """
-    kept = simhash.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    found = cut(simhash.components(docs).select("doc_id", "component_id"))
+    kept = docs.join(few(cut(found.where("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
+    repeated = cut(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(few(repeated), "doc_id", "left_anti").select(docs.columns)
+    return once.union(kept.join(few(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; rows that share a doc_id go together."""
     leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(few(cut(leaks.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

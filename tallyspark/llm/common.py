@@ -33,6 +33,18 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table of ids is broadcast; a larger one is joined by shuffling both sides.
+BROADCAST_ROWS = 200_000
+
+
+def few(ids: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids, marked for broadcast if it has been counted to be within the bound.
+
+    Beyond it both sides are shuffled and the ids are hashed, so that the texts they meet are not sorted.
+    """
+    return F.broadcast(ids) if ids.count() <= bound else ids.hint("shuffle_hash")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, few
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -60,7 +60,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
     Items are partitioned by size, and the largest hash in a partition's sketches bounds what a
     document must offer it; documents too small for a partition do not probe it. What a document
     offers is filtered by that bound before it is exploded and joined on the hash. Pairs that meet are
-    verified on the shingles themselves, so neither the sketch nor a hash collision changes the result.
+    verified on the shingles themselves (where they are few, their ids are broadcast so that other texts
+    are not shuffled), so neither the sketch nor a hash collision changes the result.
     The few bounds (one for each size class and width) are all that reaches the driver.
 
     Null, empty and wordless texts contain nothing and are in nothing. Of rows that repeat a doc_id or
@@ -90,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
     whole = items.select("item", "width").distinct()
     met = met.join(whole, "item").groupBy("doc_id").agg(F.collect_set(F.struct("item", "width")).alias("items"))
     met = cut(met)
-    texts = source.join(met, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items")
+    texts = source.join(few(met.select("doc_id")), "doc_id", "left_semi").join(met, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "items")
     every = F.array_distinct(F.concat(*[shingles("w", k) for k in sorted({b.width for b in bounds})]))
     pairs = texts.select("doc_id", every.alias("have"), F.explode("items").alias("i")).select("doc_id", "have", F.col("i.item").alias("item"), F.split(F.col("i.item"), " ").alias("iw"))
     want = F.coalesce(*[F.when(F.least(F.size("iw"), F.lit(width)) == k, shingles("iw", k)) for k in range(1, width + 1)])

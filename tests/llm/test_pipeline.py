@@ -39,3 +39,12 @@ def test_stages(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     library.no_truncation()
     assert {r.doc_id: r.n_tokens for r in docs[5].collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in read[4].items()}
+
+
+def test_near_dedup_of_repeated_and_nameless_rows(spark):
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "t", 1), (3, "quite another thing altogether here", "en", "s", 1), (3, "and this is not the same", "en", "s", 1), (None, text, None, None, None)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, start.schema), SF)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    assert corpus_pipeline.near_dedup(spark, start.limit(0), SF).count() == 0
