@@ -19,10 +19,12 @@ from .common import cut, slices
 #: Training documents (bounded, expected number) of each language.
 TRAINING = 4_000
 ROUNDS = 3
+#: Parts of the table of training words, whose size is bounded by the training documents.
+PARTS = 64
 #: Pseudo count of a piece in each language.
 PSEUDO = 0.05
 #: Distinct words whose log probabilities one Python worker remembers.
-CACHE = 500_000
+CACHE = 300_000
 #: Longest word that is scored in a batch; longer ones are scored one by one.
 LONG = 48
 #: Probabilities are scaled by this much a character, so that a batch needs no logarithms.
@@ -212,7 +214,8 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
     langs = sorted(sizes)
     enough = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1 << 30, (training << 30) // sizes[x]))) for x in langs], F.lit(0))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < enough).select("lang", "text")
-    words = cut(chosen.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n")))
+    counts = chosen.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    words = cut(counts.repartition(PARTS, "word"))
     size = pieces(path).size
     p = np.full((size, len(langs)), 1.0 / size)
     column = {lang: k for k, lang in enumerate(langs)}
