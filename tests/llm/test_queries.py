@@ -15,7 +15,7 @@ def test_one_query_an_operator():
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     found = con.execute(queries.ORACLES[name])
