@@ -16,14 +16,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import map_batches, slices
 
 #: Encoded chunks that one Python worker remembers.
-CACHE = 500_000
+CACHE = 400_000
 #: Words, lower-cased and without punctuation, below them.
-WORDS = 400_000
+WORDS = 300_000
 #: Verdicts on token pairs that one Python worker remembers.
-PAIRS = 2_000_000
+PAIRS = 1_000_000
 #: Unicode's White_Space characters (fixed values); Python's own notion adds U+001C to U+001F.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = re.compile(f"[{WHITE_SPACE}]+")
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids = bpe.encode_batch([t or "" for t in part.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -262,7 +262,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts = [bpe.decode(i or b"") for i in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
@@ -283,4 +283,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
                 n, a, b = zip(*rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

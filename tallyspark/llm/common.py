@@ -45,6 +45,22 @@ def few(ids: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids.hint("shuffle_hash")
 
 
+#: Bytes of an Arrow batch. Texts are long, and by default ten thousand of them travel at once.
+BATCH_BYTES = 8_000_000
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with small batches, which bound what the JVM and a Python worker hold of texts at once.
+
+    The session's limit is set unless the application was started with one of its own.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, map_batches, slices
 
 #: Training documents (bounded, expected number) of each language.
 TRAINING = 4_000
@@ -214,7 +214,7 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
     langs = sorted(sizes)
     enough = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1 << 30, (training << 30) // sizes[x]))) for x in langs], F.lit(0))
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < enough).select("lang", "text")
-    counts = chosen.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
+    counts = map_batches(chosen, _word_counts, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     words = cut(counts.repartition(PARTS, "word"))
     size = pieces(path).size
     p = np.full((size, len(langs)), 1.0 / size)
@@ -299,7 +299,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) ->
                         score.append(float(1.0 / np.exp(x - x[k]).sum()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str, least: float = 0.5) -> DataFrame:
@@ -319,7 +319,7 @@ def keep_known(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str,
                 found = scorer.texts(texts) if scorer else [None] * len(texts)
                 yield part.filter(pa.array([x is not None and 1.0 / np.exp(x - x.max()).sum() >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

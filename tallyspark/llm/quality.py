@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, map_batches, slices
 
 #: Hash buckets of the n-gram models.
 BUCKETS = 1 << 16
@@ -109,7 +109,7 @@ def ngram_counts(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) ->
     good = F.broadcast(sample.where("good = 1").select(F.col("doc_id").alias("__id")).distinct())
     marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("__id"), "left")
     marked = marked.select("text", F.col("__id").isNotNull().alias("good"))
-    counts = marked.mapInArrow(run, "bucket long, raw long, target long")
+    counts = map_batches(marked, run, "bucket long, raw long, target long")
     return counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
@@ -139,7 +139,7 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
                 weight = total / np.sqrt(np.maximum(n, 1))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weight), pa.array(n)], names=["doc_id", "log_weight", "n_grams"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, log_weight double, n_grams long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, log_weight double, n_grams long")
 
 
 def gumbel(seed: int, *by: str) -> Column:

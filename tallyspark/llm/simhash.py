@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, map_batches, slices
 from .components import connected_components, local_labels
 
 SHINGLE = 4
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
                 bits = majority_bits(flat, counts).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bits)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 class Forest:

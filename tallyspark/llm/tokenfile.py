@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import WHITE_SPACE
-from .common import cut, shared_dir, slices
+from .common import cut, map_batches, shared_dir, slices
 
 MAGIC = b"TFV1"
 HEAD = struct.Struct("<4sIQQQ")
@@ -129,7 +129,7 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
                 ids = [i + end for i in bpe.encode_batch([t or "" for t in part.column("text").to_pylist()])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
 
 
 def frequencies(encoded: DataFrame, vocabulary: int, dtype: np.dtype) -> DataFrame:
@@ -143,7 +143,7 @@ def frequencies(encoded: DataFrame, vocabulary: int, dtype: np.dtype) -> DataFra
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    return encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return map_batches(encoded.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_files(docs: DataFrame, path: str, out: str, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, map_batches, shared_dir
 
 #: Bytes after which a file is closed.
 FILE_BYTES = 32_000_000
@@ -79,7 +79,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
         if held:
             yield close()
 
-    return cut(pages.select("page_id", "url", "html").mapInArrow(run, INDEX))
+    return cut(map_batches(pages.select("page_id", "url", "html"), run, INDEX))
 
 
 def leaves(folder: str, index: DataFrame, of=bytes) -> DataFrame:
