@@ -8,7 +8,6 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +23,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+|[^\sA-Za-z0-9+/_.-]")
-_DIGIT = re.compile("[0-9]")
-#: The rest of a token, with the padding that may close base64.
-_REST = re.compile(r"""[A-Za-z0-9+/_.-]*(?<!\.)(?:={1,2}(?![^\s"',;)\]}]))?""")
-_INSIDE_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.-")
-#: Shortest token that may be part of a secret.
-LEAST = 8
-#: Characters of a line on each side of a token in which its neighbours are looked up.
-AROUND = 200
-
-#: Hashed features of the model, and its tags.
-FEATURES = 1 << 14
+#: Pieces that cover a text without a gap: words with the padding that may close base64, runs of other letters, single signs, white space.
+_PIECE = re.compile(r"""[A-Za-z0-9+/_.-]+(?<!\.)(?:={1,2}(?![^\s"',;)\]}]))?|[^\W\x00-\x7f]+|\s+|.""", re.DOTALL)
+#: Neighbours on the left of a token, in its line, that are looked up.
+AROUND = 6
+#: Words whose scores a worker keeps, and characters of them.
+WORDS, WORD_CHARS = 100_000, 8_000_000
+
+#: Hashed features of the model (the last row is no feature), and its tags.
+FEATURES = 1 << 18
+#: Features met at fewer tokens in training have no weight, so that unknown words are not scored by chance.
+SEEN = 3
 O, B, I = 0, 1, 2
 
 
@@ -52,11 +50,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def capable(token: str) -> bool:
-    """Whether a token may be part of a secret: long enough, with a digit and a letter. Others are always outside."""
-    return len(token) >= LEAST and _DIGIT.search(token) is not None and any(c.isalpha() for c in token)
-
-
 def shape(token: str) -> str:
     """Character classes of a token, runs collapsed and at most eight kept."""
     out = ""
@@ -69,11 +62,6 @@ def shape(token: str) -> str:
     return out
 
 
-def entropy(token: str) -> float:
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
-
-
 def file_features(text: str) -> list[str]:
     """What the whole document says about its words: signs of code, of settings and of numbers."""
     n = max(1, len(text))
@@ -86,80 +74,223 @@ def file_features(text: str) -> list[str]:
     ]
 
 
-def token_features(token: str, left: list[str], right: list[str], of_file: list[str]) -> np.ndarray:
-    """Hashed features of a token from its shape, its neighbours (nearest first) and its document."""
-    digits = sum(c.isdigit() for c in token)
-    upper = sum(c.isupper() for c in token)
-    n = len(token)
-    words = [w.lower() for w in left if any(c.isalpha() for c in w)]
-    e = entropy(token)
-    names = [
-        "bias", f"shape:{shape(token)}", f"len:{min(12, n // 4)}", f"ent:{int(2 * e)}", f"ent/len:{min(12, n // 4)}:{int(2 * e)}",
-        f"digits:{8 * digits // n}", f"upper:{8 * upper // n}", f"mix:{int(upper > 0)}{int(digits > 0)}{int(upper + digits < n)}:{min(6, n // 6)}",
-        f"head:{token[:3]}", f"head4:{token[:4]}", f"dots:{min(3, token.count('.'))}", f"dashes:{min(4, token.count('-'))}", f"slashes:{min(3, token.count('/'))}",
-        f"switches:{min(12, sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:])))}",
-        *[f"l{k}:{w.lower()[:12]}" for k, w in enumerate(left[:3])], *[f"r{k}:{w.lower()[:12]}" for k, w in enumerate(right[:1])],
-        *[f"near:{w[:12]}" for w in words[:3]], f"lshape:{shape(left[0]) if left else '^'}", f"rshape:{shape(right[0]) if right else '$'}",
-        *of_file, *[f"{f}|mix:{int(upper > 0)}{int(digits > 0)}" for f in of_file[:2]],
-    ]
-    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in names), np.int64, len(names))
+def _at(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
 
 
-def runs(text: str) -> list[list[tuple[int, int, list[str], list[str]]]]:
-    """Maximal runs of neighbouring capable tokens: (start, end, words before, words after) of each.
+#: Roles in which a word has features: itself, neighbour 1 to 3 on the left, neighbour on the right, word nearby.
+ROLES = (slice(0, 11), slice(11, 13), slice(13, 14), slice(14, 15), slice(15, 17), slice(17, 18))
+N_OWN = 18
+SPACE, LINE = 1, 2
 
-    All other words are outside by rule, which cuts the chain, so decoding each run on its own gives
-    the same tags as decoding the whole text. Only places with a digit are looked at.
-    """
-    out: list[list] = []
-    m = _DIGIT.search(text)
-    while m:
-        start = m.start()
-        while start and text[start - 1] in _INSIDE_CHARS:
-            start -= 1
-        end = _REST.match(text, m.start()).end()
-        if capable(text[start:end]):
-            low = max(text.rfind("\n", 0, start) + 1, start - AROUND)
-            high = text.find("\n", end, end + AROUND)
-            before = _TOKEN.findall(text, low, start)[-1:-7:-1]
-            after = _TOKEN.findall(text, end, high if high >= 0 else end + AROUND)[:2]
-            if out and not text[out[-1][-1][1] : start].strip():
-                out[-1].append((start, end, before, after))
-            else:
-                out.append([(start, end, before, after)])
-        m = _DIGIT.search(text, end)
-    return out
+
+@functools.lru_cache(maxsize=1 << 12)
+def _class(c: str) -> str:
+    return "9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "l" if c.isalpha() else c if c in "+/_.=-:@" else "?"
 
 
-def _scores(weights: np.ndarray, features: list[np.ndarray]) -> np.ndarray:
-    return np.array([weights[f].sum(axis=0) for f in features])
+def word_features(w: str) -> tuple[list[int], int, int, bool, bool]:
+    """(hashed features by role, kind, kind of white space, has a letter, is a lead word) of a piece."""
+    if w.isspace():
+        return [FEATURES] * N_OWN, 0, LINE if "\n" in w else SPACE, False, False
+    n = len(w)
+    of = list(map(_class, w))
+    digits, upper, lower = of.count("9"), of.count("A"), of.count("a") + of.count("l")
+    other = n - digits - upper - lower
+    mix = f"{int(upper > 0)}{int(digits > 0)}{int(lower > 0)}{int(other > 0)}"
+    form = shape(w)
+    low = w.lower().rstrip("=")[:12]
+    alpha = upper + lower > 0
+    size, kinds = min(16, n // 2), min(20, len(set(w)))
+    own = [
+        "bias", f"shape:{form}", f"len:{size}", f"kinds/len:{size}:{kinds}", f"digits:{8 * digits // n}", f"upper:{8 * upper // n}:{mix}", f"mix:{mix}:{min(6, n // 4)}",
+        f"head4:{w[:4]}", f"dots:{min(3, w.count('.'))}:{min(4, w.count('-'))}:{min(3, w.count('/'))}", f"switches:{min(12, sum(a != b for a, b in zip(of, of[1:])))}:{size // 2}",
+        f"sign:{w}" if n == 1 and not alpha else f"long:{min(8, n // 8)}:{mix}", f"l0:{low}", f"lshape:{form}", f"l1:{low}", f"l2:{low}", f"r0:{low}", f"rshape:{form}", f"near:{low}",
+    ]
+    # The kind joins a word with what is around it: its classes and whether it is long, short or a single sign.
+    kind = 1 + int(mix, 2) * 4 + (0 if n == 1 else 1 if n < 6 else 2 if n < 10 else 3)
+    if form.startswith(("AaA", "aA")) and not digits:
+        kind += 64
+    return list(map(_at, own)), kind, 0, alpha, any(p in _LEAD for p in re.split("[_.-]", w.lower().rstrip("="))) or w.lower() in _LEAD
+
+
+KINDS_OF_WORDS = 129
+
+
+@functools.lru_cache(maxsize=1)
+def _joint() -> tuple[np.ndarray, np.ndarray]:
+    """Hashed features of (kind, lead nearby) and of (kind, touches left, touches right, lead nearby)."""
+    led = np.array([[_at(f"led:{j}|{k}") for j in range(2)] for k in range(KINDS_OF_WORDS)])
+    glue = np.array([[_at(f"glue:{j}|{k}") for j in range(8)] for k in range(KINDS_OF_WORDS)])
+    return led, glue
+
+
+@functools.lru_cache(maxsize=1 << 10)
+def _file_at(names: tuple[str, ...]) -> np.ndarray:
+    """Hashed features of a document alone, and of it with each kind of word."""
+    return np.array([[*[_at(f) for f in names], *[_at(f"{f}|{k}") for f in names[:2]]] for k in range(KINDS_OF_WORDS)])
+
+
+class Words:
+    """Pieces met so far: their features, or under a model their scores by role."""
+
+    def __init__(self, weights: np.ndarray | None = None):
+        self.weights = None
+        if weights is not None:
+            self.weights = np.vstack([weights, np.zeros((1, 3))])
+            a, b = _joint()
+            self.tables = {}
+            self.joint = self.weights[b] + self.weights[a[:, [0, 1] * 4]]
+        self.clear()
+
+    def clear(self) -> None:
+        self.of, self.chars, self.n = {}, 0, 0
+        width = (N_OWN,) if self.weights is None else (len(ROLES), 3)
+        self.rows = np.zeros((1 << 10, *width), np.int64 if self.weights is None else np.float64)
+        self.facts = np.zeros((1 << 10, 4), np.int16)
+        self.weighs = np.zeros((1 << 10, len(ROLES)), bool)
+        self.put([""], [([FEATURES] * 12 + [_at("lshape:^")] + [FEATURES] * 3 + [_at("rshape:$"), FEATURES], 0, 0, False, False)])
+
+    def table(self, of_file: tuple[str, ...]) -> np.ndarray:
+        if of_file not in self.tables:
+            self.tables[of_file] = (self.weights[_file_at(of_file)].sum(axis=1)[:, None] + self.joint).reshape(-1, 3)
+        return self.tables[of_file]
+
+    def put(self, words: list[str], found: list[tuple]) -> None:
+        end = self.n + len(words)
+        while end > len(self.rows):
+            self.rows, self.facts, self.weighs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.facts, self.weighs))
+        at = np.array([f[0] for f in found])
+        self.rows[self.n : end] = at if self.weights is None else np.stack([self.weights[at[:, r]].sum(axis=1) for r in ROLES], axis=1)
+        if self.weights is not None:
+            self.weighs[self.n : end] = self.rows[self.n : end].any(axis=2)
+        self.facts[self.n : end] = [f[1:] for f in found]
+        self.of.update(zip(words, range(self.n, end)))
+        self.chars += sum(map(len, words))
+        self.n = end
+
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        if self.n > WORDS or self.chars > WORD_CHARS:
+            self.clear()
+        new = [w for w in set(pieces) if w not in self.of]
+        for k in range(0, len(new), 4096):
+            self.put(new[k : k + 4096], [word_features(w) for w in new[k : k + 4096]])
+        return np.fromiter(map(self.of.__getitem__, pieces), np.int64, len(pieces))
+
+
+def layout(text: str, words: Words) -> tuple:
+    """(starts, ends, word and neighbours by role, kind, touching, lead nearby) of every token of a text; words[0] stands for none."""
+    pieces = _PIECE.findall(text)
+    every = words.ids(pieces)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(sizes)
+    space = words.facts[every, 1]
+    keep = space == 0
+    ids = every[keep]
+    n = len(ids)
+    end = ends[keep]
+    start = end - sizes[keep]
+    line = np.cumsum(space == LINE)[keep]
+    kind, _, alpha, lead = words.facts[ids].T
+    at = np.arange(n)
+
+    def left(by: int) -> np.ndarray:
+        out = np.zeros(n, np.int64)
+        if by < n:
+            out[by:] = np.where(line[by:] == line[:-by], ids[:-by], 0)
+        return out
+
+    right = np.zeros(n, np.int64)
+    right[:-1] = np.where(line[1:] == line[:-1], ids[1:], 0)
+    touch = np.zeros(n + 1, bool)
+    touch[1:n] = start[1:] == end[:-1]
+    last = np.maximum.accumulate(np.where(alpha, at, -1))
+    before = np.concatenate([[-1], last[:-1]])
+    near, j = [], before
+    for _ in range(3):
+        fine = (j >= 0) & (at - j <= AROUND) & (line[j] == line)
+        near.append(np.where(fine, ids[j], 0))
+        j = np.where(j >= 0, before[j], -1)
+    led = np.maximum.accumulate(np.where(lead, at, -1))
+    led = np.concatenate([[-1], led[:-1]])
+    led = (led >= 0) & (at - led <= AROUND) & (line[led] == line)
+    led |= led[np.maximum.accumulate(np.where(touch[:n], 0, at))]
+    return start, end, [ids, left(1), left(2), left(3), right, *near], kind.astype(np.int64), touch[:n] * 2 + touch[1:], led.astype(np.int64)
+
+
+def _scores(text: str, words: Words, of_file: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, scores by tag) of every token of a text."""
+    start, end, roles, kind, touch, led = layout(text, words)
+    # What a document says and what touches a word or leads to it depend on its kind alone.
+    emit = words.rows[roles[0], 0] + words.table(tuple(of_file))[kind * 8 + touch * 2 + led]
+    for r, x in enumerate(roles[1:], 1):
+        r = min(r, 5)
+        known = np.flatnonzero(words.weighs[x, r])
+        emit[known] += words.rows[x[known], r]
+    return start, end, emit
+
+
+def outside(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Tokens that are outside in every best tagging, as any other tag loses by being changed whatever its neighbours are.
+
+    A next tag that is inside would become a beginning; that change is paid for too.
+    """
+    sure = np.ones(len(emit), bool)
+    swap = np.zeros(len(emit))
+    swap[:-1] = emit[1:, B] - emit[1:, I]
+    for tag, prior in ((B, [O, B, I]), (I, [B, I])):
+        gain = emit[:, O] - emit[:, tag] + (move[prior, O] - move[prior, tag]).min()
+        then = min(move[O, O] - move[tag, O], move[O, B] - move[tag, B])
+        inside = swap + move[O, B] - move[tag, I] + (move[B] - move[I]).min()
+        sure &= gain + np.minimum(then, inside) > 1e-9
+    return sure
 
 
 def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
     """Best tags of a run that is preceded and followed by an outside word; inside never follows outside."""
-    best, back = move[O] + emit[0], []
-    for e in emit[1:]:
-        step = best[:, None] + move
-        back.append(step.argmax(axis=0))
-        best = step.max(axis=0) + e
-    tags = [int((best + move[:, O]).argmax())]
+    to, best, back = move.T.tolist(), (move[O] + emit[0]).tolist(), []
+    for e in emit[1:].tolist():
+        step = [[x + m for x, m in zip(best, t)] for t in to]
+        best = [max(x) + y for x, y in zip(step, e)]
+        back.append([x.index(max(x)) for x in step])
+    last = [x + m for x, m in zip(best, to[O])]
+    tags = [last.index(max(last))]
     for b in reversed(back):
-        tags.append(int(b[tags[-1]]))
+        tags.append(b[tags[-1]])
     return tags[::-1]
 
 
+_words: list[tuple[np.ndarray, Words]] = []
+
+
+def _known(weights: np.ndarray) -> Words:
+    """This process's words under a model; the last two models are kept."""
+    for w, words in _words:
+        if w is weights:
+            return words
+    _words.append((weights, Words(weights)))
+    del _words[:-2]
+    return _words[-1][1]
+
+
 def crf_spans(text: str, model: tuple[np.ndarray, np.ndarray], of_file: list[str] | None = None) -> list[tuple[int, int]]:
-    """(start, end) of the secrets that the model tags in a text."""
+    """(start, end) of the secrets that the model tags in a text.
+
+    Every token is scored. Those that no best tagging can have in a secret cut the chain, so decoding
+    what lies between them gives the tags of the whole text.
+    """
     weights, move = model
+    if not text or text.isspace():
+        return []
+    starts, ends, emit = _scores(text, _known(weights), of_file or file_features(text))
+    open_ = np.flatnonzero(~outside(emit, move))
     out = []
-    for run in runs(text):
-        of_file = of_file or file_features(text)
-        tags = viterbi(_scores(weights, [token_features(text[a:b], l, r, of_file) for a, b, l, r in run]), move)
-        for (a, b, _, _), tag in zip(run, tags):
+    for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
+        for i, tag in zip(run.tolist(), viterbi(emit[run], move)):
             if tag == B:
-                out.append((a, b))
+                out.append((int(starts[i]), int(ends[i])))
             elif tag == I:
-                out[-1] = (out[-1][0], b)
+                out[-1] = (out[-1][0], int(ends[i]))
     return out
 
 
@@ -184,6 +315,7 @@ def render(found: list[tuple[int, int, int]]) -> str:
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _LEADS = ["key", "secret", "token", "password", "credential", "credentials", "pwd", "pass", "auth", "bearer", "private", "access", "apikey", "client_secret", "signature", "passphrase", "login"]
+_LEAD = frozenset(_LEADS) | {"passwd", "secrets", "tokens", "keys", "pin", "api"}
 _PLAIN = ["order", "invoice", "version", "build", "release", "call", "phone", "room", "page", "chapter", "ticket", "file", "photo", "see", "model", "part", "number", "id", "item", "visit", "from", "at", "on", "the", "email", "mail", "iban", "card", "account", "commit", "date"]
 
 
@@ -192,29 +324,49 @@ def _pick(rng: random.Random, alphabet: str, low: int, high: int) -> str:
 
 
 def _word(rng: random.Random) -> str:
-    w = _pick(rng, _LOWER, 1, 9)
+    w = _pick(rng, _LOWER if rng.random() < 0.8 else _LOWER + "éèçüößñáóı日", 1, 9 if rng.random() < 0.93 else 28)
     return w.capitalize() if rng.random() < 0.15 else w
 
 
+def _signed(rng: random.Random) -> str:
+    """A password with signs that split it; it ends in a letter or a digit, as what follows a secret may be a sign."""
+    alnum = _LOWER + _UPPER + _DIGITS
+    return _pick(rng, alnum, 1, 5) + "".join(rng.choice("@!#$%&*^?") + _pick(rng, alnum, 1, 6) for _ in range(rng.randint(1, 3)))
+
+
 def _secret(rng: random.Random) -> str:
     alnum = _LOWER + _UPPER + _DIGITS
-    made = rng.choice([
+    return rng.choice([
         lambda: _pick(rng, alnum + "+/", 16, 64), lambda: _pick(rng, alnum, 12, 40), lambda: "ghp_" + _pick(rng, alnum, 36, 36), lambda: "sk-" + _pick(rng, alnum, 24, 48),
         lambda: "sk_live_" + _pick(rng, alnum, 24, 24), lambda: "xoxb-" + _pick(rng, _DIGITS, 10, 12) + "-" + _pick(rng, alnum, 24, 24), lambda: _pick(rng, "0123456789abcdef", 20, 64), lambda: "eyJ" + _pick(rng, alnum, 20, 60) + "." + _pick(rng, alnum + "_-", 20, 60),
+        lambda: "".join(_pick(rng, _LOWER, 3, 9).capitalize() for _ in range(rng.randint(2, 4))), lambda: _pick(rng, _LOWER + _UPPER, 10, 32), lambda: _pick(rng, _LOWER, 12, 32), lambda: _pick(rng, _DIGITS, 6, 20),
+        lambda: _pick(rng, _LOWER + _UPPER + _DIGITS, 5, 9) + rng.choice(_DIGITS), lambda: _signed(rng), lambda: _signed(rng),
         lambda: "AIza" + _pick(rng, alnum + "_-", 35, 35), lambda: "AKIA" + _pick(rng, _UPPER + _DIGITS, 16, 16), lambda: _pick(rng, alnum + "_-", 20, 44) + "==",
     ])()
-    return made if capable(made) else made + "7aQ9x2"
 
 
 def _harmless(rng: random.Random) -> str:
     w = lambda: _pick(rng, _LOWER, 3, 9)
     d = lambda n: _pick(rng, _DIGITS, n, n)
-    made = rng.choice([
+    return rng.choice([
         lambda: f"20{d(2)}-0{d(1)}-1{d(1)}T1{d(1)}:{d(2)}".replace(":", "."), lambda: f"v{d(1)}.{d(2)}.{d(1)}-{w()}", lambda: f"{w()}-{w()}-{d(4)}", lambda: f"{w()}_{d(3)}.{rng.choice(['jpg', 'png', 'csv', 'txt', 'html'])}",
         lambda: f"www.{w()}{d(2)}.com/{w()}/{d(3)}", lambda: f"{w()}.{w()}{d(2)}", lambda: f"{w()}{d(rng.randint(1, 4))}", lambda: f"ISO-{d(4)}-{w()[:2]}", lambda: f"{d(3)}-{d(4)}-ext{d(2)}", lambda: f"{w()}/{w()}/{d(4)}/{w()}",
+        lambda: f"{w()}@{w()}.{w()[:3]}", lambda: f"https://{w()}.com/{w()}?{w()}={d(2)}", lambda: f"{w()}({w()});", lambda: f"{w()}!", lambda: f"${d(2)}.{d(2)}", lambda: d(rng.randint(1, 16)), lambda: f"### {d(11)}", lambda: f"{w()}'{w()[:2]}", lambda: f"({w()} & {w()})",
+        lambda: f"+{d(2)} {d(3)} {d(4)}", lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"{d(3)}.{d(2)}.{d(1)}.{d(3)}", lambda: f"{d(2)}-{d(3)}-{d(4)}", lambda: w().upper(), lambda: f"{w().capitalize()} {w().capitalize()}",
         lambda: f"{w()}{d(1)}{w()}", lambda: f"{_pick(rng, _UPPER, 2, 2)}{d(16)}", lambda: f"{d(4)}-{_pick(rng, _UPPER, 3, 3)}-{d(4)}", lambda: f"{w().capitalize()}{d(1)}={d(2)}", lambda: f"{d(2)}px/{d(2)}em", lambda: f"--{w()}={d(2)}", lambda: f"{d(8)}-{d(2)}{_LOWER[rng.randrange(26)]}",
     ])()
-    return made if capable(made) else made + "-item2"
+
+
+def _prose(rng: random.Random, most: int) -> str:
+    """Words; some lines are shouted, spread with signs, or broken."""
+    words = [_word(rng) for _ in range(rng.randint(0, most))]
+    kind = rng.random()
+    if kind < 0.1:
+        words = [w.upper() for w in words]
+    if kind < 0.35:
+        signs = rng.choice([["!!"], ["!", "?", "."], ["###", "%%%", "&&&", "***", "$$$"], [s * rng.randint(1, 4) for s in "#%&*$@!?^~|"]])
+        words = [w + rng.choice(["", "", ".", ","]) + rng.choice(signs) if rng.random() < 0.7 else w for w in words]
+    return "".join(w + ("\n" if rng.random() < 0.04 else " ") for w in words).strip()
 
 
 def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
@@ -223,7 +375,7 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
     for _ in range(n):
         text, truth = "", []
         for _ in range(rng.randint(1, 3)):
-            text += " ".join(_word(rng) for _ in range(rng.randint(0, 8)))
+            text += _prose(rng, 8)
             kind = rng.random()
             if kind < 0.45:
                 lead = rng.choice(_LEADS)
@@ -239,69 +391,103 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
                 start = len(text)
                 text += "ghp_" + _pick(rng, _LOWER + _UPPER + _DIGITS, 36, 36) if rng.random() < 0.5 else "sk_live_9" + _pick(rng, _LOWER + _UPPER + _DIGITS, 24, 24)
                 truth.append((start, len(text)))
+            elif kind < 0.65:
+                lead = rng.choice(_LEADS)
+                text += " " + rng.choice([lead, lead.capitalize()]) + rng.choice([" ", " ", ": ", " is ", ", ", " for ", " = "]) + " ".join(_word(rng) for _ in range(rng.randint(1, 8)))
             else:
                 text += f" {rng.choice(_PLAIN + [_word(rng)] * 20)}" + rng.choice([" ", " ", ": ", " = ", "=", " #"]) + _harmless(rng)
                 if rng.random() < 0.2:
                     text += " " + _harmless(rng)
             text += rng.choice([" ", ". ", "\n", ", "])
-        text += " ".join(_word(rng) for _ in range(rng.randint(0, 60)))
+        text += _prose(rng, 60)
         out.append((text, truth))
     return out
 
 
 def _sequences(made):
-    """(features, tags) of the runs of each example."""
+    """(features, tags) of the tokens of each example."""
+    words, joint = Words(), _joint()
     for text, truth in made:
-        of_file = file_features(text)
-        for run in runs(text):
-            tags = []
-            for a, b, _, _ in run:
-                inside = next((t for t in truth if t[0] <= a and b <= t[1] or a <= t[0] < b), None)
-                tags.append(O if inside is None else B if a <= inside[0] else I)
-            yield [token_features(text[a:b], l, r, of_file) for a, b, l, r in run], tags
+        start, end, roles, kind, touch, led = layout(text, words)
+        rows = [words.rows[x][:, ROLES[min(r, 5)]] for r, x in enumerate(roles)]
+        yield np.column_stack([*rows, joint[0][kind, led], joint[1][kind, touch * 2 + led], _file_at(tuple(file_features(text)))[kind]]).astype(np.int32), _tags(start, end, truth)
+
+
+def _tags(start: np.ndarray, end: np.ndarray, truth: list[tuple[int, int]]) -> np.ndarray:
+    tags = np.zeros(len(start), np.int64)
+    for a, b in truth:
+        inside = np.flatnonzero((start < b) & (end > a))
+        tags[inside], tags[inside[:1]] = I, B
+    return tags
+
+
+def _slope(emit: np.ndarray, real: np.ndarray, tags: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """True less expected counts of tags (by place) and of moves, over lines padded to one length, by forward-backward."""
+    # A place beyond the end is outside for sure; the move into the first one closes the line, and later ones are the same for all taggings.
+    likely = np.where(real[:, :, None], np.exp(emit - emit.max(axis=2, keepdims=True)), np.array([1.0, 0.0, 0.0])).transpose(1, 0, 2)
+    go, k = np.exp(move), real.shape[1]
+    alpha, beta, size = np.empty_like(likely), np.ones_like(likely), np.empty((*likely.shape[:2], 1))
+    for i in range(k):
+        now = (np.einsum("np,pq->nq", alpha[i - 1], go) if i else go[O]) * likely[i]
+        size[i] = now.sum(axis=1, keepdims=True)
+        alpha[i] = now / size[i]
+    for i in range(k - 2, -1, -1):
+        beta[i] = np.einsum("nq,pq->np", likely[i + 1] * beta[i + 1] / size[i + 1], go)
+    node = (np.eye(3)[tags.T] - alpha * beta).transpose(1, 0, 2)
+    live = real.T[:-1]
+    moves = -go * np.einsum("np,nq->pq", alpha[:-1][live], (likely * beta / size)[1:][live])
+    np.add.at(moves, (tags.T[:-1][live], tags.T[1:][live]), 1)
+    moves[O] += node[:, 0].sum(axis=0)
+    return node, moves
 
 
 @functools.lru_cache(maxsize=2)
 def train(n: int = 4_000, epochs: int = 12, seed: int = 11, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights by feature and tag, transition scores), by gradient ascent on the conditional likelihood.
 
-    The gradient of a run is the difference of its true and its expected feature counts; the latter come
-    from the forward-backward algorithm. Step sizes shrink with the squared gradients seen (AdaGrad).
+    The gradient is the difference of true and expected feature counts of a few lines at a time; the latter
+    come from the forward-backward algorithm. Step sizes shrink with the squared gradients seen (AdaGrad).
     """
     data = list(_sequences(examples(n, seed)))
-    weights, move = np.zeros((FEATURES, 3)), np.zeros((3, 3))
+    at, cuts = np.concatenate([f for f, _ in data]), np.cumsum([0, *[len(t) for _, t in data]])
+    used = np.flatnonzero(np.bincount(at.ravel(), minlength=FEATURES + 1))
+    index = np.zeros(FEATURES + 1, np.int64)
+    index[used] = np.arange(len(used))
+    at = index[at]
+    counts = np.bincount(at.ravel(), minlength=len(used))
+    fixed = (counts < SEEN) | (used == FEATURES)
+    weights, move = np.zeros((len(used), 3)), np.zeros((3, 3))
     move[O, I] = -1e9
     seen_w, seen_m = np.full_like(weights, 1e-6), np.full_like(move, 1e-6)
     rng = np.random.default_rng(seed)
+    by_length = np.argsort(np.diff(cuts), kind="stable")
+    groups, place = [], np.zeros(len(used), np.int64)
+    for lines in np.array_split(by_length, max(1, n // 32)):
+        sizes = np.diff(cuts)[lines]
+        real = np.arange(sizes.max() + 1)[None, :] < sizes[:, None]
+        tags = np.zeros(real.shape, np.int64)
+        tags[real] = np.concatenate([data[i][1] for i in lines])
+        rows = np.concatenate([at[cuts[i] : cuts[i + 1]] for i in lines])
+        here = np.flatnonzero(np.bincount(rows.ravel(), minlength=len(used)))
+        place[here] = np.arange(len(here))
+        groups.append((real, tags, here, place[rows]))
     for _ in range(epochs):
-        for at in rng.permutation(len(data)).tolist():
-            features, tags = data[at]
-            emit = _scores(weights, features)
-            k = len(tags)
-            alpha, beta = np.empty((k, 3)), np.zeros((k, 3))
-            alpha[0] = move[O] + emit[0]
-            for i in range(1, k):
-                alpha[i] = np.logaddexp.reduce(alpha[i - 1][:, None] + move, axis=0) + emit[i]
-            beta[-1] = move[:, O]
-            for i in range(k - 2, -1, -1):
-                beta[i] = np.logaddexp.reduce(move + (emit[i + 1] + beta[i + 1])[None, :], axis=1)
-            total = np.logaddexp.reduce(alpha[-1] + beta[-1])
-            node = -np.exp(alpha + beta - total)
-            node[np.arange(k), tags] += 1
-            for f, g in zip(features, node):
-                g = g - l2 * weights[f]
-                np.add.at(seen_w, f, g * g)
-                np.add.at(weights, f, 0.2 * g / np.sqrt(seen_w[f]))
-            step = np.zeros((3, 3))
-            step[O] += np.eye(3)[tags[0]] - np.exp(move[O] + emit[0] + beta[0] - total)
-            step[:, O] += np.eye(3)[tags[-1]] - np.exp(alpha[-1] + move[:, O] - total)
-            for i in range(1, k):
-                step[tags[i - 1], tags[i]] += 1
-                step -= np.exp(alpha[i - 1][:, None] + move + (emit[i] + beta[i])[None, :] - total)
-            step[O, I] = 0
-            seen_m += step * step
-            move += 0.2 * step / np.sqrt(seen_m)
-    return weights, move
+        for g in rng.permutation(len(groups)).tolist():
+            real, tags, here, rows = groups[g]
+            emit = np.zeros((*real.shape, 3))
+            emit[real] = weights[here][rows].sum(axis=1)
+            node, moves = _slope(emit, real, tags, move)
+            node = node[real]
+            slope = np.column_stack([np.bincount(rows.ravel(), np.repeat(node[:, t], rows.shape[1]), len(here)) for t in range(3)]) - l2 * weights[here]
+            slope[fixed[here]] = 0
+            seen_w[here] += slope * slope
+            weights[here] += 0.2 * slope / np.sqrt(seen_w[here])
+            moves[O, I] = 0
+            seen_m += moves * moves
+            move += 0.2 * moves / np.sqrt(seen_m)
+    out = np.zeros((FEATURES, 3))
+    out[used[used < FEATURES]] = weights[used < FEATURES]
+    return out, move
 
 
 def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
