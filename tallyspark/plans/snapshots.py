@@ -114,7 +114,25 @@ select problem, count(*) as n from (
 """)
 def refresh_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.12: why a candidate is held."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey < 400")
+    return problems(table(spark, sf_dir, "lineitem").where("l_orderkey < 400"))
+
+
+@query("""
+with rows as (select case when l_orderkey % 50 = 0 then '2024-2026' else '2024-2025' end as year, l_returnflag as type, l_linestatus || l_linenumber as subcategory, cast(cast(l_extendedprice as decimal(18, 2)) as varchar) as amount from lineitem),
+known as (select distinct l_returnflag as type, l_linestatus || l_linenumber as subcategory from lineitem where l_linenumber < 7)
+select problem, count(*) as n from (
+  select 'reporting year' as problem from rows where year = '2024-2026'
+  union all select 'new label withheld' from rows where (type, subcategory) not in (select (type, subcategory) from known)
+  union all select 'duplicate key' from (select 1 from rows group by year, type, subcategory having count(*) > 1)
+  union all select 'population size' from (select 1 from rows having count(*) > 1000)) group by problem
+""")
+def refresh_problems_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.12 over all lines."""
+    return problems(table(spark, sf_dir, "lineitem"))
+
+
+def problems(li: DataFrame) -> DataFrame:
+    """Problems of lines as candidate rows, by kind; lines up to the sixth are the baseline."""
     rows = li.select(F.when(F.col("l_orderkey") % 50 == 0, "2024-2026").otherwise("2024-2025").alias("year"), F.col("l_returnflag").alias("type"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("subcategory"), F.col("l_extendedprice").cast("decimal(18,2)").cast("string").alias("amount"))
     known = li.where("l_linenumber < 7").select(F.col("l_returnflag").alias("type"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("subcategory"))
     return journal.row_problems(rows, known, 1_000).groupBy("problem").agg(F.count("*").alias("n"))
