@@ -121,8 +121,9 @@ def seed_facts(seed: DataFrame) -> DataFrame:
     """
     v = lambda i: F.element_at("values", i)
     part = lambda i: F.regexp_extract(v(1), r"\A([^|]*)\|([^|]*)\|([^|]*)\z", i)
+    row = F.col("row").cast("string")
     return seed.select(
-        F.concat(F.lit("guide-"), F.lpad(F.col("row").cast("string"), 3, "0")).alias("id"), part(1).alias("entity"), part(2).alias("stage"), part(3).alias("metric"),
+        F.concat(F.lit("guide-"), F.lpad(row, F.greatest(F.lit(3), F.length(row)), F.lit("0"))).alias("id"), part(1).alias("entity"), part(2).alias("stage"), part(3).alias("metric"),
         v(2).alias("title"), F.when(v(3).rlike(r"\A-?[0-9]+(\.[0-9]+)?\z"), v(3)).alias("raw_value"), v(4).alias("unit"),
         F.struct(v(5).alias("start"), v(6).alias("end"), v(7).alias("label")).alias("period"), v(8).alias("basis"), v(9).alias("perimeter"), v(10).alias("source_id"), v(11).alias("locator"), v(12).alias("evidence_id"),
     )

@@ -133,4 +133,4 @@ def filed(rows: DataFrame, query: str, search: Column, **equal) -> DataFrame:
 def number_rows(rows: DataFrame, prefix: str, *order: str) -> DataFrame:
     """Positional ids such as ``guide-007``, for small directories; numbers follow the order given."""
     n = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("id", F.concat(F.lit(prefix), F.lpad(n.cast("string"), 3, "0")))
+    return rows.withColumn("id", F.concat(F.lit(prefix), F.format_string("%03d", n)))

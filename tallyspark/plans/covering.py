@@ -192,9 +192,22 @@ select 'guide-' || lpad(cast(p_partkey as varchar), 3, '0') as id, p_brand as en
 """)
 def seed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positional values as named facts; values that are no number stay unknown."""
+    return seeded(table(spark, sf_dir, "part").where("p_partkey < 1000"))
+
+
+@query("""
+select 'guide-' || lpad(cast(p_partkey as varchar), cast(greatest(3, length(cast(p_partkey as varchar))) as int), '0') as id, p_brand as entity, 'audited_actual' as stage, p_type as metric, case when p_partkey % 5 <> 0 then cast(p_size as varchar) end as raw_value from part
+""")
+def seed_facts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 over all parts."""
+    return seeded(table(spark, sf_dir, "part"))
+
+
+def seeded(parts: DataFrame) -> DataFrame:
+    """Parts as facts of twelve positional values."""
     k = F.col("p_partkey")
     values = F.array(F.concat_ws("|", "p_brand", F.lit("audited_actual"), "p_type"), F.col("p_name"), F.when(k % 5 == 0, "n/a").otherwise(F.col("p_size").cast("string")), *[F.lit(f"v{i}") for i in range(9)])
-    return catalog.seed_facts(table(spark, sf_dir, "part").where("p_partkey < 1000").select(k.alias("row"), values.alias("values"))).select("id", "entity", "stage", "metric", "raw_value")
+    return catalog.seed_facts(parts.select(k.alias("row"), values.alias("values"))).select("id", "entity", "stage", "metric", "raw_value")
 
 
 @query("""
