@@ -163,7 +163,18 @@ def equal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderkey from orders join customer on c_custkey = o_custkey where c_custkey % 2 = 0 and o_orderkey % 3 <> 0")
 def pinned_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children whose parent, by digest and record, was admitted."""
-    parents = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha"), F.col("c_custkey").alias("record_id"))
+    return admitted_children(spark, sf_dir, "c_custkey % 2 = 0")
+
+
+@query("select o_orderkey from orders join customer on c_custkey = o_custkey where c_mktsegment <> 'MACHINERY' and o_orderkey % 3 <> 0")
+def pinned_children_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J15 with parents admitted by their segment."""
+    return admitted_children(spark, sf_dir, "c_mktsegment <> 'MACHINERY'")
+
+
+def admitted_children(spark: SparkSession, sf_dir: str, admitted: str) -> DataFrame:
+    """Orders of the customers that a condition admits; those without a digest have no parent."""
+    parents = table(spark, sf_dir, "customer").where(admitted).select(F.sha2(F.col("c_custkey").cast("string"), 256).alias("sha"), F.col("c_custkey").alias("record_id"))
     children = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("record"), F.when(F.col("o_orderkey") % 3 != 0, F.sha2(F.col("o_custkey").cast("string"), 256)).alias("parent_sha"))
     return joins.pinned(children, parents, record="record").select("o_orderkey")
 
@@ -317,7 +328,18 @@ def declared_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select o_orderkey as id, c_name as customer, n_name as nation from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey where o_orderkey % 50 = 0")
 def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fact with its evidence and its source."""
-    facts = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("evidence_id"))
+    return pages(spark, sf_dir, table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0"))
+
+
+@query("select o_orderkey as id, c_name as customer, n_name as nation from orders left join customer on c_custkey = o_custkey left join nation on n_nationkey = c_nationkey")
+def record_pages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M13 over all orders."""
+    return pages(spark, sf_dir, table(spark, sf_dir, "orders"))
+
+
+def pages(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """Orders as facts, with their customers as evidence and nations as sources."""
+    facts = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("evidence_id"))
     evidence = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", F.col("c_nationkey").alias("source_id"))
     sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), "n_name")
     return catalog.record_page(facts, evidence, sources).select("id", F.col("evidence.c_name").alias("customer"), F.col("source.n_name").alias("nation"))

@@ -17,7 +17,21 @@ left join (select * from supplier where s_suppkey % 2 = 0) on l_suppkey = s_supp
 """)
 def label_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half of the suppliers are labelled; other lines keep null."""
-    labels = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("label"))
+    return labelled(spark, sf_dir, "s_suppkey % 2 = 0")
+
+
+@query("""
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, s_name as label from lineitem
+left join (select * from supplier where s_acctbal >= 0) on l_suppkey = s_suppkey
+""")
+def label_enrichment_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J1 with suppliers labelled by their balance."""
+    return labelled(spark, sf_dir, "s_acctbal >= 0")
+
+
+def labelled(spark: SparkSession, sf_dir: str, known: str) -> DataFrame:
+    """All lines, with the names of the suppliers that a condition lets in."""
+    labels = table(spark, sf_dir, "supplier").where(known).select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("label"))
     return joins.label(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), labels, ["l_suppkey"], ["label"])
 
 
@@ -94,8 +108,24 @@ union all select 'sources', count(distinct c_nationkey) from used join customer
 """)
 def case_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK5: cases bring along the facts, evidence and sources that they rest on."""
+    return closed(spark, sf_dir, "o_orderstatus = 'P' and o_custkey % 10 = 1")
+
+
+@query("""
+with used as (select distinct o_orderkey as id, o_custkey from orders where o_orderstatus = 'P')
+select 'facts' as part, count(*) as n from used
+union all select 'evidence', count(distinct o_custkey) from used
+union all select 'sources', count(distinct c_nationkey) from used join customer on c_custkey = o_custkey
+""")
+def case_closure_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK5 over all pending orders."""
+    return closed(spark, sf_dir, "o_orderstatus = 'P'")
+
+
+def closed(spark: SparkSession, sf_dir: str, pending: str) -> DataFrame:
+    """Sizes of what the cases of chosen orders, one a customer, bring along."""
     orders, customers, nations = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    cases = orders.where("o_orderstatus = 'P' and o_custkey % 10 = 1").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list("o_orderkey").alias("fact_ids")).withColumn("evidence_ids", F.array("id"))
+    cases = orders.where(pending).groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list("o_orderkey").alias("fact_ids")).withColumn("evidence_ids", F.array("id"))
     facts = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("evidence_id"))
     evidence = customers.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("source_id"))
     parts = catalog.closure(cases, facts, evidence, nations.select(F.col("n_nationkey").cast("long").alias("id")))
