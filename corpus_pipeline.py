@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.llm import bpe, decontam, langid, secrets, simhash
 from tallyspark.llm.common import cut, few
@@ -33,9 +34,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go; rows that share a doc_id go together."""
-    leaks = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(few(cut(leaks.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold a benchmark item go; each row is judged by its own text, whatever its doc_id.
+
+    Rows get a key that is written with them, so that both sides of the join see the same one.
+    """
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    leaks = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(few(cut(leaks.select(F.col("doc_id").alias("__row")).distinct())), "__row", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
