@@ -51,6 +51,13 @@ def conflicts(artifacts: DataFrame) -> DataFrame:
     return versions.agg(F.sort_array(F.collect_list(F.struct("snapshot", "kind", "sha"))).alias("versions"))
 
 
+def versions(artifacts: DataFrame) -> DataFrame:
+    """A29 for groups of any size: the versions of :func:`conflicts` as rows, copies within a snapshot counted in ``n_copies``."""
+    each = artifacts.groupBy("path", "snapshot", "kind", "sha").agg(F.count("*").alias("n_copies"))
+    several = each.groupBy("path").agg(F.count_distinct(F.struct("kind", "sha")).alias("n_versions")).where("n_versions > 1")
+    return each.join(several, "path")
+
+
 def cadence_floor(clocks: DataFrame, column: str = "at", days: int = 7) -> DataFrame:
     """The latest known time plus a week, before which nothing may be tried; null if no time is known."""
     return clocks.agg((F.max(column) + F.expr(f"interval {days} days")).alias("floor"))

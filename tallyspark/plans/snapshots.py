@@ -64,8 +64,8 @@ from (select lang || '/' || n_chars as path, source, sha256(text) as sha from do
 """)
 def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths that snapshots hold in several versions, all of which are kept."""
-    c = diff.conflicts(artifacts(spark, sf_dir))
-    return c.select("path", "n_versions", F.size("versions").cast("long").alias("n_copies"), F.element_at("versions", 1)["snapshot"].alias("first_snapshot"))
+    c = diff.versions(artifacts(spark, sf_dir)).groupBy("path", "n_versions")
+    return c.agg(F.sum("n_copies").alias("n_copies"), F.min("snapshot").alias("first_snapshot"))
 
 
 @query("select source as snapshot, count(*) as n_files, cast(0 as bigint) as n_folders, cast(sum(octet_length(encode(text))) as bigint) as n_bytes from documents group by source")
