@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, slices
+from .common import cut, map_batches, slices
 
 #: Kinds in the order in which spans that start together are listed; ``crf`` are those the model adds.
 KINDS = ("assign", "access", "hex", "crf")
@@ -35,6 +35,10 @@ FEATURES = 1 << 18
 #: Features met at fewer tokens in training have no weight, so that unknown words are not scored by chance.
 SEEN = 3
 O, B, I = 0, 1, 2
+#: Documents (bounded, expected number) whose lines are looked at for training, and lines of either sort taken from them.
+LOOKED_AT, WEAK = 40_000, 1_500
+#: Characters on both sides of a match, and of a piece without one.
+ABOUT, PIECE = 120, 300
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -84,34 +88,58 @@ N_OWN = 18
 SPACE, LINE = 1, 2
 
 
-@functools.lru_cache(maxsize=1 << 12)
 def _class(c: str) -> str:
     return "9" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "l" if c.isalpha() else c if c in "+/_.=-:@" else "?"
 
 
-def word_features(w: str) -> tuple[list[int], int, int, bool, bool]:
-    """(hashed features by role, kind, kind of white space, has a letter, is a lead word) of a piece."""
-    if w.isspace():
-        return [FEATURES] * N_OWN, 0, LINE if "\n" in w else SPACE, False, False
-    n = len(w)
-    of = list(map(_class, w))
+_CLASSES = {i: _class(chr(i)) for i in range(128)}
+#: Features of a word's own letters: the CRC of a name goes on over them.
+_HEAD, _LEXICAL = zlib.crc32(b"head4:"), [zlib.crc32(f"{role}:".encode()) for role in ("l0", "l1", "l2", "r0", "near")]
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _form(of: str, form: str, varied: int) -> tuple[list[int], int, bool]:
+    """(hashed features by role that follow from a word's classes, kind, has a letter); places of its letters are open."""
+    n = len(of)
     digits, upper, lower = of.count("9"), of.count("A"), of.count("a") + of.count("l")
     other = n - digits - upper - lower
     mix = f"{int(upper > 0)}{int(digits > 0)}{int(lower > 0)}{int(other > 0)}"
-    form = shape(w)
-    low = w.lower().rstrip("=")[:12]
     alpha = upper + lower > 0
-    size, kinds = min(16, n // 2), min(20, len(set(w)))
+    size, kinds = min(16, n // 2), min(20, varied)
     own = [
         "bias", f"shape:{form}", f"len:{size}", f"kinds/len:{size}:{kinds}", f"digits:{8 * digits // n}", f"upper:{8 * upper // n}:{mix}", f"mix:{mix}:{min(6, n // 4)}",
-        f"head4:{w[:4]}", f"dots:{min(3, w.count('.'))}:{min(4, w.count('-'))}:{min(3, w.count('/'))}", f"switches:{min(12, sum(a != b for a, b in zip(of, of[1:])))}:{size // 2}",
-        f"sign:{w}" if n == 1 and not alpha else f"long:{min(8, n // 8)}:{mix}", f"l0:{low}", f"lshape:{form}", f"l1:{low}", f"l2:{low}", f"r0:{low}", f"rshape:{form}", f"near:{low}",
+        "", f"dots:{min(3, of.count('.'))}:{min(4, of.count('-'))}:{min(3, of.count('/'))}", f"switches:{min(12, sum(a != b for a, b in zip(of, of[1:])))}:{size // 2}",
+        f"long:{min(8, n // 8)}:{mix}", "", f"lshape:{form}", "", "", "", f"rshape:{form}", "",
     ]
     # The kind joins a word with what is around it: its classes and whether it is long, short or a single sign.
     kind = 1 + int(mix, 2) * 4 + (0 if n == 1 else 1 if n < 6 else 2 if n < 10 else 3)
     if form.startswith(("AaA", "aA")) and not digits:
         kind += 64
-    return list(map(_at, own)), kind, 0, alpha, any(p in _LEAD for p in re.split("[_.-]", w.lower().rstrip("="))) or w.lower() in _LEAD
+    return list(map(_at, own)), kind, alpha
+
+
+def word_features(w: str) -> tuple[list[int], int, int, bool, bool]:
+    """(hashed features by role, kind, kind of white space, has a letter, is a lead word) of a piece."""
+    if w.isspace():
+        return [FEATURES] * N_OWN, 0, LINE if "\n" in w else SPACE, False, False
+    of = w.translate(_CLASSES) if w.isascii() else "".join(map(_class, w))
+    form = _runs(of) if w.isascii() else shape(w)
+    own, kind, alpha = _form(of, form, min(20, len(set(w))))
+    own = own.copy()
+    lower = w.lower()
+    low = lower.rstrip("=")[:12].encode("utf-8", "surrogatepass")
+    own[7] = zlib.crc32(w[:4].encode("utf-8", "surrogatepass"), _HEAD) % FEATURES
+    own[11], own[13], own[14], own[15], own[17] = [zlib.crc32(low, c) % FEATURES for c in _LEXICAL]
+    if len(w) == 1 and not alpha:
+        own[10] = _at(f"sign:{w}")
+    lead = lower in _LEAD or (not w.isalpha() and any(p in _LEAD for p in re.split("[_.-]", lower.rstrip("="))))
+    return own, kind, 0, alpha, lead
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _runs(of: str) -> str:
+    """The shape of a word from its classes."""
+    return shape(of)
 
 
 KINDS_OF_WORDS = 129
@@ -132,34 +160,39 @@ def _file_at(names: tuple[str, ...]) -> np.ndarray:
 
 
 class Words:
-    """Pieces met so far: their features, or under a model their scores by role."""
+    """Pieces met so far: their features, or under a model their scores by role.
+
+    When it is full, the half that was met last stays; word 0, which stands for no neighbour, always does.
+    """
 
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = None
         if weights is not None:
             self.weights = np.vstack([weights, np.zeros((1, 3))])
             a, b = _joint()
-            self.tables = {}
+            self.tables: dict[tuple[str, ...], int] = {}
+            self.stacked = np.zeros((0, KINDS_OF_WORDS * 8, 3))
             self.joint = self.weights[b] + self.weights[a[:, [0, 1] * 4]]
-        self.clear()
-
-    def clear(self) -> None:
-        self.of, self.chars, self.n = {}, 0, 0
+        self.of, self.chars, self.n, self.turn = {}, 0, 0, 0
         width = (N_OWN,) if self.weights is None else (len(ROLES), 3)
         self.rows = np.zeros((1 << 10, *width), np.int64 if self.weights is None else np.float64)
         self.facts = np.zeros((1 << 10, 4), np.int16)
         self.weighs = np.zeros((1 << 10, len(ROLES)), bool)
+        self.met = np.zeros(1 << 10, np.int64)
         self.put([""], [([FEATURES] * 12 + [_at("lshape:^")] + [FEATURES] * 3 + [_at("rshape:$"), FEATURES], 0, 0, False, False)])
 
-    def table(self, of_file: tuple[str, ...]) -> np.ndarray:
+    def table(self, of_file: tuple[str, ...]) -> int:
+        """Place in ``stacked`` of what a document says about each kind of word."""
         if of_file not in self.tables:
-            self.tables[of_file] = (self.weights[_file_at(of_file)].sum(axis=1)[:, None] + self.joint).reshape(-1, 3)
+            self.tables[of_file] = len(self.stacked)
+            one = (self.weights[_file_at(of_file)].sum(axis=1)[:, None] + self.joint).reshape(1, -1, 3)
+            self.stacked = np.concatenate([self.stacked, one])
         return self.tables[of_file]
 
     def put(self, words: list[str], found: list[tuple]) -> None:
         end = self.n + len(words)
         while end > len(self.rows):
-            self.rows, self.facts, self.weighs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.facts, self.weighs))
+            self.rows, self.facts, self.weighs, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.facts, self.weighs, self.met))
         at = np.array([f[0] for f in found])
         self.rows[self.n : end] = at if self.weights is None else np.stack([self.weights[at[:, r]].sum(axis=1) for r in ROLES], axis=1)
         if self.weights is not None:
@@ -169,18 +202,34 @@ class Words:
         self.chars += sum(map(len, words))
         self.n = end
 
+    def forget(self) -> None:
+        """Keep the half of the words that was met last."""
+        kept = np.sort(np.argsort(self.met[1 : self.n], kind="stable")[self.n // 2 :] + 1)
+        kept = np.concatenate([[0], kept])
+        names = list(self.of)
+        self.of = {names[i]: k for k, i in enumerate(kept.tolist())}
+        for x in (self.rows, self.facts, self.weighs, self.met):
+            x[: len(kept)] = x[kept]
+        self.n, self.chars = len(kept), sum(map(len, self.of))
+
     def ids(self, pieces: list[str]) -> np.ndarray:
-        if self.n > WORDS or self.chars > WORD_CHARS:
-            self.clear()
-        new = [w for w in set(pieces) if w not in self.of]
+        while self.n > 2 and (self.n > WORDS or self.chars > WORD_CHARS):
+            self.forget()
+        self.turn += 1
+        new = list(set(pieces).difference(self.of))
         for k in range(0, len(new), 4096):
             self.put(new[k : k + 4096], [word_features(w) for w in new[k : k + 4096]])
-        return np.fromiter(map(self.of.__getitem__, pieces), np.int64, len(pieces))
+        out = np.fromiter(map(self.of.__getitem__, pieces), np.int64, len(pieces))
+        self.met[out] = self.turn
+        return out
+
 
+def layout(texts: list[str], words: Words) -> tuple:
+    """(starts, ends, document, word and neighbours by role, kind, touching, lead nearby) of every token of some texts.
 
-def layout(text: str, words: Words) -> tuple:
-    """(starts, ends, word and neighbours by role, kind, touching, lead nearby) of every token of a text; words[0] stands for none."""
-    pieces = _PIECE.findall(text)
+    The texts are taken as lines of one, so that they do not see each other; starts and ends count in it.
+    """
+    pieces = _PIECE.findall("\n".join(texts))
     every = words.ids(pieces)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
     ends = np.cumsum(sizes)
@@ -190,6 +239,8 @@ def layout(text: str, words: Words) -> tuple:
     n = len(ids)
     end = ends[keep]
     start = end - sizes[keep]
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    doc = np.searchsorted(first, start, side="right") - 1
     line = np.cumsum(space == LINE)[keep]
     kind, _, alpha, lead = words.facts[ids].T
     at = np.arange(n)
@@ -215,29 +266,30 @@ def layout(text: str, words: Words) -> tuple:
     led = np.concatenate([[-1], led[:-1]])
     led = (led >= 0) & (at - led <= AROUND) & (line[led] == line)
     led |= led[np.maximum.accumulate(np.where(touch[:n], 0, at))]
-    return start, end, [ids, left(1), left(2), left(3), right, *near], kind.astype(np.int64), touch[:n] * 2 + touch[1:], led.astype(np.int64)
+    return start, end, doc, [ids, left(1), left(2), left(3), right, *near], kind.astype(np.int64), touch[:n] * 2 + touch[1:], led.astype(np.int64)
 
 
-def _scores(text: str, words: Words, of_file: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, scores by tag) of every token of a text."""
-    start, end, roles, kind, touch, led = layout(text, words)
+def _scores(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, document, scores by tag) of every token of some texts."""
+    start, end, doc, roles, kind, touch, led = layout(texts, words)
     # What a document says and what touches a word or leads to it depend on its kind alone.
-    emit = words.rows[roles[0], 0] + words.table(tuple(of_file))[kind * 8 + touch * 2 + led]
+    of_file = np.array([words.table(tuple(file_features(t))) for t in texts])
+    emit = words.rows[roles[0], 0] + words.stacked[of_file[doc], kind * 8 + touch * 2 + led]
     for r, x in enumerate(roles[1:], 1):
         r = min(r, 5)
         known = np.flatnonzero(words.weighs[x, r])
         emit[known] += words.rows[x[known], r]
-    return start, end, emit
+    return start, end, doc, emit
 
 
-def outside(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+def outside(emit: np.ndarray, move: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Tokens that are outside in every best tagging, as any other tag loses by being changed whatever its neighbours are.
 
     A next tag that is inside would become a beginning; that change is paid for too.
     """
     sure = np.ones(len(emit), bool)
     swap = np.zeros(len(emit))
-    swap[:-1] = emit[1:, B] - emit[1:, I]
+    swap[:-1] = np.where(doc[1:] == doc[:-1], emit[1:, B] - emit[1:, I], 0)
     for tag, prior in ((B, [O, B, I]), (I, [B, I])):
         gain = emit[:, O] - emit[:, tag] + (move[prior, O] - move[prior, tag]).min()
         then = min(move[O, O] - move[tag, O], move[O, B] - move[tag, B])
@@ -260,6 +312,33 @@ def viterbi(emit: np.ndarray, move: np.ndarray) -> list[int]:
     return tags[::-1]
 
 
+def viterbi_runs(emit: np.ndarray, cuts: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Best tags of many runs at once: those of like length step together; ``cuts`` are their first places and the end."""
+    tags = np.zeros(len(emit), np.int64)
+    first, size = cuts[:-1], np.diff(cuts)
+    for low in 1 << np.arange(10):
+        runs = np.flatnonzero((size >= low) & (size < 2 * low))
+        if not len(runs):
+            continue
+        start, n = first[runs], size[runs]
+        best, back = move[O] + emit[start], []
+        for k in range(1, int(n.max())):
+            step = best[:, :, None] + move[None]
+            live = k < n
+            now = step.max(axis=1) + emit[np.where(live, start + k, start)]
+            back.append(step.argmax(axis=1))
+            best = np.where(live[:, None], now, best)
+        tag = (best + move[:, O]).argmax(axis=1)
+        for k in range(int(n.max()) - 1, -1, -1):
+            live = np.flatnonzero(k < n)
+            tags[start[live] + k] = tag[live]
+            if k:
+                tag[live] = back[k - 1][live, tag[live]]
+    for r in np.flatnonzero(size >= 1 << 10).tolist():
+        tags[cuts[r] : cuts[r + 1]] = viterbi(emit[cuts[r] : cuts[r + 1]], move)
+    return tags
+
+
 _words: list[tuple[np.ndarray, Words]] = []
 
 
@@ -273,45 +352,53 @@ def _known(weights: np.ndarray) -> Words:
     return _words[-1][1]
 
 
-def crf_spans(text: str, model: tuple[np.ndarray, np.ndarray], of_file: list[str] | None = None) -> list[tuple[int, int]]:
-    """(start, end) of the secrets that the model tags in a text.
+def crf_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[list[tuple[int, int]]]:
+    """For each text the (start, end) of the secrets that the model tags in it.
 
     Every token is scored. Those that no best tagging can have in a secret cut the chain, so decoding
     what lies between them gives the tags of the whole text.
     """
     weights, move = model
-    if not text or text.isspace():
-        return []
-    starts, ends, emit = _scores(text, _known(weights), of_file or file_features(text))
-    open_ = np.flatnonzero(~outside(emit, move))
-    out = []
-    for run in np.split(open_, np.flatnonzero(np.diff(open_) > 1) + 1) if len(open_) else []:
-        for i, tag in zip(run.tolist(), viterbi(emit[run], move)):
-            if tag == B:
-                out.append((int(starts[i]), int(ends[i])))
-            elif tag == I:
-                out[-1] = (out[-1][0], int(ends[i]))
+    out: list[list[tuple[int, int]]] = [[] for _ in texts]
+    if not "".join(texts).strip():
+        return out
+    starts, ends, doc, emit = _scores(texts, _known(weights))
+    open_ = np.flatnonzero(~outside(emit, move, doc))
+    if not len(open_):
+        return out
+    cuts = np.flatnonzero((np.diff(open_) > 1) | (np.diff(doc[open_]) > 0)) + 1
+    tags = viterbi_runs(emit[open_], np.concatenate([[0], cuts, [len(open_)]]), move)
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    inside = np.flatnonzero(tags != O)
+    at = open_[inside]
+    for tag, d, a, b in zip(tags[inside].tolist(), doc[at].tolist(), (starts[at] - first[doc[at]]).tolist(), (ends[at] - first[doc[at]]).tolist()):
+        if tag == B:
+            out[d].append((a, b))
+        else:
+            out[d][-1] = (out[d][-1][0], b)
     return out
 
 
-def spans(text: str, model: tuple[np.ndarray, np.ndarray]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(base spans, all spans) as (start, kind, end). The model adds only what no base span touches."""
-    base = base_spans(text)
-    added, k = [], 0
-    reach = np.maximum.accumulate([e for _, _, e in base]) if base else np.empty(0, np.int64)
-    starts = [s for s, _, _ in base]
-    for a, b in crf_spans(text, model):
-        k = int(np.searchsorted(starts, b, side="left"))
-        if not k or reach[k - 1] <= a:
-            added.append((a, 3, b))
-    return base, sorted(base + added) if added else base
+def spans(texts: list[str], model: tuple[np.ndarray, np.ndarray]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """For each text (base spans, all spans) as (start, kind, end). The model adds only what no base span touches."""
+    out = []
+    for text, tagged in zip(texts, crf_spans(texts, model)):
+        base, added = base_spans(text), []
+        reach = np.maximum.accumulate([e for _, _, e in base]) if base else np.empty(0, np.int64)
+        starts = [s for s, _, _ in base]
+        for a, b in tagged:
+            k = int(np.searchsorted(starts, b, side="left"))
+            if not k or reach[k - 1] <= a:
+                added.append((a, 3, b))
+        out.append((base, sorted(base + added) if added else base))
+    return out
 
 
 def render(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in found)
 
 
-# Training: sentences made by rule, since the tables name no secrets.
+# Training: sentences made by rule, since the tables name no secrets, and lines of documents with what the patterns find in them.
 
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _LEADS = ["key", "secret", "token", "password", "credential", "credentials", "pwd", "pass", "auth", "bearer", "private", "access", "apikey", "client_secret", "signature", "passphrase", "login"]
@@ -341,7 +428,7 @@ def _secret(rng: random.Random) -> str:
         lambda: "sk_live_" + _pick(rng, alnum, 24, 24), lambda: "xoxb-" + _pick(rng, _DIGITS, 10, 12) + "-" + _pick(rng, alnum, 24, 24), lambda: _pick(rng, "0123456789abcdef", 20, 64), lambda: "eyJ" + _pick(rng, alnum, 20, 60) + "." + _pick(rng, alnum + "_-", 20, 60),
         lambda: "".join(_pick(rng, _LOWER, 3, 9).capitalize() for _ in range(rng.randint(2, 4))), lambda: _pick(rng, _LOWER + _UPPER, 10, 32), lambda: _pick(rng, _LOWER, 12, 32), lambda: _pick(rng, _DIGITS, 6, 20),
         lambda: _pick(rng, _LOWER + _UPPER + _DIGITS, 5, 9) + rng.choice(_DIGITS), lambda: _signed(rng), lambda: _signed(rng),
-        lambda: "AIza" + _pick(rng, alnum + "_-", 35, 35), lambda: "AKIA" + _pick(rng, _UPPER + _DIGITS, 16, 16), lambda: _pick(rng, alnum + "_-", 20, 44) + "==",
+        lambda: "AIza" + _pick(rng, alnum + "_-", 35, 35), lambda: "AKIA" + _pick(rng, _UPPER + _DIGITS, 16, 16), lambda: rng.choice("-_").join(_pick(rng, _LOWER, 3, 9) for _ in range(rng.randint(3, 5))), lambda: _pick(rng, alnum + "_-", 20, 44) + "==",
     ])()
 
 
@@ -404,11 +491,42 @@ def examples(n: int, seed: int = 11) -> list[tuple[str, list[tuple[int, int]]]]:
     return out
 
 
+def weak_lines(docs: DataFrame, looked_at: int = LOOKED_AT, bound: int = WEAK) -> tuple:
+    """Lines of documents with the spans that the fixed patterns find in them: weak labels for :func:`train`.
+
+    About ``looked_at`` documents, those first in a hashed order, are searched; at most ``bound`` lines with a
+    match and as many pieces of documents without one are taken. Of an assignment only the value is the secret.
+    Documents with a null id or text teach nothing; no documents give no lines.
+    """
+    rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    share = min(1 << 30, (looked_at << 30) // max(1, rows.count()))
+    order = F.xxhash64("doc_id", F.lit(17))
+
+    def run(batches):
+        for batch in batches:
+            for o, text in zip(batch.column("o").to_pylist(), batch.column("text").to_pylist()):
+                found = [m.span(2) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
+                found += [(a, b) for a, k, b in base_spans(text) if k and not any(x < b and a < y for x, y in found)]
+                at = min(found, default=(o % max(1, len(text) - PIECE),))[0]
+                low, high = (max(0, at - ABOUT), at + 2 * ABOUT) if found else (at, at + PIECE)
+                high = max([high, *(b for a, b in found if a < high)])
+                inside = sorted((a - low, b - low) for a, b in found if low <= a < high)
+                yield pa.RecordBatch.from_pylist([{"o": o, "line": text[low:high], "spans": [x for s in inside for x in s]}], pa.schema([("o", pa.int64()), ("line", pa.string()), ("spans", pa.list_(pa.int64()))]))
+
+    seen = map_batches(rows.where(F.pmod(order, F.lit(1 << 30)) < share).select(order.alias("o"), "text"), run, "o long, line string, spans array<long>")
+    seen = cut(seen)
+    out = []
+    for part in (seen.where(F.size("spans") > 0), seen.where(F.size("spans") == 0)):
+        for r in part.orderBy("o", "line").limit(bound).collect():
+            out.append((r["line"], tuple(zip(r["spans"][::2], r["spans"][1::2]))))
+    return tuple(out)
+
+
 def _sequences(made):
     """(features, tags) of the tokens of each example."""
     words, joint = Words(), _joint()
     for text, truth in made:
-        start, end, roles, kind, touch, led = layout(text, words)
+        start, end, _, roles, kind, touch, led = layout([text], words)
         rows = [words.rows[x][:, ROLES[min(r, 5)]] for r, x in enumerate(roles)]
         yield np.column_stack([*rows, joint[0][kind, led], joint[1][kind, touch * 2 + led], _file_at(tuple(file_features(text)))[kind]]).astype(np.int32), _tags(start, end, truth)
 
@@ -442,13 +560,15 @@ def _slope(emit: np.ndarray, real: np.ndarray, tags: np.ndarray, move: np.ndarra
 
 
 @functools.lru_cache(maxsize=2)
-def train(n: int = 4_000, epochs: int = 12, seed: int = 11, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+def train(weak: tuple = (), n: int = 4_000, epochs: int = 10, seed: int = 11, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """(weights by feature and tag, transition scores), by gradient ascent on the conditional likelihood.
 
+    It learns from ``n`` made-up examples and from ``weak``, lines of documents as :func:`weak_lines` labels them.
+
     The gradient is the difference of true and expected feature counts of a few lines at a time; the latter
     come from the forward-backward algorithm. Step sizes shrink with the squared gradients seen (AdaGrad).
     """
-    data = list(_sequences(examples(n, seed)))
+    data = list(_sequences([e for e in [*examples(n, seed), *weak] if e[0].strip()]))
     at, cuts = np.concatenate([f for f, _ in data]), np.cumsum([0, *[len(t) for _, t in data]])
     used = np.flatnonzero(np.bincount(at.ravel(), minlength=FEATURES + 1))
     index = np.zeros(FEATURES + 1, np.int64)
@@ -462,7 +582,7 @@ def train(n: int = 4_000, epochs: int = 12, seed: int = 11, l2: float = 1e-4) ->
     rng = np.random.default_rng(seed)
     by_length = np.argsort(np.diff(cuts), kind="stable")
     groups, place = [], np.zeros(len(used), np.int64)
-    for lines in np.array_split(by_length, max(1, n // 32)):
+    for lines in np.array_split(by_length, max(1, len(data) // 32)):
         sizes = np.diff(cuts)[lines]
         real = np.arange(sizes.max() + 1)[None, :] < sizes[:, None]
         tags = np.zeros(real.shape, np.int64)
@@ -495,16 +615,16 @@ def scan(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None) ->
 
     ``spans`` lists kind:start:end (code points, end exclusive) by start and then by kind. A null text
     counts as empty and so has no spans; repeated rows each give a row; an empty table gives an empty
-    result; other columns are not read. A narrow map: a lost task is simply run again.
+    result; other columns are not read. Without a model one is trained on a bounded sample of ``docs``
+    themselves (:func:`weak_lines`). The scan is a narrow map: a lost task is simply run again.
     """
-    model = train() if model is None else model
+    model = train(weak_lines(docs)) if model is None else model
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=1_000_000):
                 rows = []
-                for text in part.column("text").to_pylist():
-                    base, every = spans(text or "", model)
+                for base, every in spans([t or "" for t in part.column("text").to_pylist()], model):
                     count = [sum(k == i for _, k, _ in every) for i in range(4)]
                     rows.append((*count[:3], hashlib.sha256(render(base).encode()).hexdigest(), render(every), count[3]))
                 columns = list(zip(*rows))
@@ -518,13 +638,11 @@ def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None,
     """``docs`` with each run of overlapping spans in ``text`` replaced by ``mark``; ``n_chars``, if there, follows.
 
     All rows and columns stay; null texts stay null. Columns other than these two pass through as they are.
+    Without a model one is trained as in :func:`scan`.
     """
-    model = train() if model is None else model
+    model = train(weak_lines(docs)) if model is None else model
 
-    def clean(text: str | None) -> str | None:
-        if not text:
-            return text
-        _, every = spans(text, model)
+    def clean(text: str | None, every: list[tuple[int, int, int]]) -> str | None:
         out, at = [], 0
         for a, _, b in every:
             if a >= at:
@@ -534,9 +652,11 @@ def redact(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None,
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, budget=1_000_000):
                 at = part.schema.get_field_index("text")
-                texts = pa.array([clean(t) for t in part.column("text").to_pylist()], part.schema.field(at).type)
+                texts = part.column("text").to_pylist()
+                found = spans([t or "" for t in texts], model)
+                texts = pa.array([clean(t, every) for t, (_, every) in zip(texts, found)], part.schema.field(at).type)
                 yield part.set_column(at, part.schema.field(at), texts)
 
     out = map_batches(docs, run, docs.schema)
