@@ -28,7 +28,7 @@ _PIECE = re.compile(r"""[A-Za-z0-9+/_.-]+(?<!\.)(?:={1,2}(?![^\s"',;)\]}]))?|[^\
 #: Neighbours on the left of a token, in its line, that are looked up.
 AROUND = 6
 #: Words whose scores a worker keeps, and characters of them.
-WORDS, WORD_CHARS = 100_000, 8_000_000
+WORDS, WORD_CHARS = 400_000, 16_000_000
 
 #: Hashed features of the model (the last row is no feature), and its tags.
 FEATURES = 1 << 18
@@ -118,22 +118,21 @@ def _form(of: str, form: str, varied: int) -> tuple[list[int], int, bool]:
     return list(map(_at, own)), kind, alpha
 
 
-def word_features(w: str) -> tuple[list[int], int, int, bool, bool]:
-    """(hashed features by role, kind, kind of white space, has a letter, is a lead word) of a piece."""
-    if w.isspace():
-        return [FEATURES] * N_OWN, 0, LINE if "\n" in w else SPACE, False, False
-    of = w.translate(_CLASSES) if w.isascii() else "".join(map(_class, w))
-    form = _runs(of) if w.isascii() else shape(w)
-    own, kind, alpha = _form(of, form, min(20, len(set(w))))
-    own = own.copy()
+#: Places in a word's list of features that follow from its letters: its head, itself or a single sign, and its roles as a neighbour.
+_OPEN = [7, 10, 11, 13, 14, 15, 17]
+
+
+def word_features(w: str) -> tuple[tuple[str, str, int], list[int], bool]:
+    """(classes, shape and number of letters: what :func:`_form` takes; hashed features at the places ``_OPEN``; is a lead word)."""
+    plain = w.isascii()
+    of = w.translate(_CLASSES) if plain else "".join(map(_class, w))
     lower = w.lower()
     low = lower.rstrip("=")[:12].encode("utf-8", "surrogatepass")
-    own[7] = zlib.crc32(w[:4].encode("utf-8", "surrogatepass"), _HEAD) % FEATURES
-    own[11], own[13], own[14], own[15], own[17] = [zlib.crc32(low, c) % FEATURES for c in _LEXICAL]
-    if len(w) == 1 and not alpha:
-        own[10] = _at(f"sign:{w}")
+    crc, (l0, l1, l2, r0, near) = zlib.crc32, _LEXICAL
+    sign = _at(f"sign:{w}") if len(w) == 1 and not w.isalpha() else FEATURES
+    head = crc(low[:4] if plain and w is lower else w[:4].encode("utf-8", "surrogatepass"), _HEAD) % FEATURES
     lead = lower in _LEAD or (not w.isalpha() and any(p in _LEAD for p in re.split("[_.-]", lower.rstrip("="))))
-    return own, kind, 0, alpha, lead
+    return (of, _runs(of) if plain else shape(w), min(20, len(set(w)))), [head, sign, crc(low, l0) % FEATURES, crc(low, l1) % FEATURES, crc(low, l2) % FEATURES, crc(low, r0) % FEATURES, crc(low, near) % FEATURES], lead
 
 
 @functools.lru_cache(maxsize=1 << 16)
@@ -143,6 +142,7 @@ def _runs(of: str) -> str:
 
 
 KINDS_OF_WORDS = 129
+_NO_FORM = [FEATURES] * N_OWN
 
 
 @functools.lru_cache(maxsize=1)
@@ -174,12 +174,13 @@ class Words:
             self.stacked = np.zeros((0, KINDS_OF_WORDS * 8, 3))
             self.joint = self.weights[b] + self.weights[a[:, [0, 1] * 4]]
         self.of, self.chars, self.n, self.turn = {}, 0, 0, 0
-        width = (N_OWN,) if self.weights is None else (len(ROLES), 3)
-        self.rows = np.zeros((1 << 10, *width), np.int64 if self.weights is None else np.float64)
-        self.facts = np.zeros((1 << 10, 4), np.int16)
-        self.weighs = np.zeros((1 << 10, len(ROLES)), bool)
-        self.met = np.zeros(1 << 10, np.int64)
-        self.put([""], [([FEATURES] * 12 + [_at("lshape:^")] + [FEATURES] * 3 + [_at("rshape:$"), FEATURES], 0, 0, False, False)])
+        # Features of each word, or its scores and whether it has any, for each role.
+        self.rows = [np.zeros((1 << 10, N_OWN), np.int64)] if weights is None else [np.zeros((1 << 10, 3), np.float32) for _ in ROLES]
+        self.weighs = [np.zeros(1 << 10, bool) for _ in ROLES]
+        self.facts, self.met, self.sizes = np.zeros((1 << 10, 4), np.int16), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+        edge = np.full((1, N_OWN), FEATURES)
+        edge[0, [12, 16]] = _at("lshape:^"), _at("rshape:$")
+        self.add([""], edge, np.zeros((1, 4), np.int16))
 
     def table(self, of_file: tuple[str, ...]) -> int:
         """Place in ``stacked`` of what a document says about each kind of word."""
@@ -189,17 +190,39 @@ class Words:
             self.stacked = np.concatenate([self.stacked, one])
         return self.tables[of_file]
 
-    def put(self, words: list[str], found: list[tuple]) -> None:
-        end = self.n + len(words)
-        while end > len(self.rows):
-            self.rows, self.facts, self.weighs, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.facts, self.weighs, self.met))
-        at = np.array([f[0] for f in found])
-        self.rows[self.n : end] = at if self.weights is None else np.stack([self.weights[at[:, r]].sum(axis=1) for r in ROLES], axis=1)
-        if self.weights is not None:
-            self.weighs[self.n : end] = self.rows[self.n : end].any(axis=2)
-        self.facts[self.n : end] = [f[1:] for f in found]
-        self.of.update(zip(words, range(self.n, end)))
-        self.chars += sum(map(len, words))
+    def grow(self, end: int) -> None:
+        while end > len(self.facts):
+            self.facts, self.met, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.facts, self.met, self.sizes))
+            self.rows = [np.concatenate([x, np.zeros_like(x)]) for x in self.rows]
+            self.weighs = [np.concatenate([x, np.zeros_like(x)]) for x in self.weighs]
+
+    def put(self, words: list[str]) -> None:
+        """Learn some pieces; white space has no features."""
+        at, forms, facts = np.full((len(words), len(_OPEN)), FEATURES), [_NO_FORM] * len(words), np.zeros((len(words), 4), np.int16)
+        for i, w in enumerate(words):
+            if w.isspace():
+                facts[i, 1] = LINE if "\n" in w else SPACE
+            elif w:
+                form, at[i], lead = word_features(w)
+                forms[i], kind, alpha = _form(*form)
+                facts[i] = kind, 0, alpha, lead
+        every = np.array(forms)
+        every[:, _OPEN] = np.where(at < FEATURES, at, every[:, _OPEN])
+        self.add(words, every, facts)
+
+    def add(self, words: list[str], every: np.ndarray, facts: np.ndarray) -> None:
+        start, end = self.n, self.n + len(words)
+        self.grow(end)
+        if self.weights is None:
+            self.rows[0][start:end] = every
+        else:
+            for r, role in enumerate(ROLES):
+                self.rows[r][start:end] = self.weights[every[:, role]].sum(axis=1)
+                self.weighs[r][start:end] = self.rows[r][start:end].any(axis=1)
+        self.facts[start:end] = facts
+        self.sizes[start:end] = list(map(len, words))
+        self.of.update(zip(words, range(start, end)))
+        self.chars += int(self.sizes[start:end].sum())
         self.n = end
 
     def forget(self) -> None:
@@ -208,9 +231,9 @@ class Words:
         kept = np.concatenate([[0], kept])
         names = list(self.of)
         self.of = {names[i]: k for k, i in enumerate(kept.tolist())}
-        for x in (self.rows, self.facts, self.weighs, self.met):
+        for x in (*self.rows, *self.weighs, self.facts, self.met, self.sizes):
             x[: len(kept)] = x[kept]
-        self.n, self.chars = len(kept), sum(map(len, self.of))
+        self.n, self.chars = len(kept), int(self.sizes[: len(kept)].sum())
 
     def ids(self, pieces: list[str]) -> np.ndarray:
         while self.n > 2 and (self.n > WORDS or self.chars > WORD_CHARS):
@@ -218,7 +241,7 @@ class Words:
         self.turn += 1
         new = list(set(pieces).difference(self.of))
         for k in range(0, len(new), 4096):
-            self.put(new[k : k + 4096], [word_features(w) for w in new[k : k + 4096]])
+            self.put(new[k : k + 4096])
         out = np.fromiter(map(self.of.__getitem__, pieces), np.int64, len(pieces))
         self.met[out] = self.turn
         return out
@@ -231,9 +254,10 @@ def layout(texts: list[str], words: Words) -> tuple:
     """
     pieces = _PIECE.findall("\n".join(texts))
     every = words.ids(pieces)
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    sizes = words.sizes.take(every)
     ends = np.cumsum(sizes)
-    space = words.facts[every, 1]
+    facts = words.facts.take(every, axis=0)
+    space = facts[:, 1]
     keep = space == 0
     ids = every[keep]
     n = len(ids)
@@ -242,7 +266,7 @@ def layout(texts: list[str], words: Words) -> tuple:
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])
     doc = np.searchsorted(first, start, side="right") - 1
     line = np.cumsum(space == LINE)[keep]
-    kind, _, alpha, lead = words.facts[ids].T
+    kind, _, alpha, lead = facts[keep].T
     at = np.arange(n)
 
     def left(by: int) -> np.ndarray:
@@ -274,11 +298,12 @@ def _scores(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray, np.
     start, end, doc, roles, kind, touch, led = layout(texts, words)
     # What a document says and what touches a word or leads to it depend on its kind alone.
     of_file = np.array([words.table(tuple(file_features(t))) for t in texts])
-    emit = words.rows[roles[0], 0] + words.stacked[of_file[doc], kind * 8 + touch * 2 + led]
+    emit = words.rows[0].take(roles[0], axis=0).astype(np.float64)
+    emit += words.stacked.reshape(-1, 3).take(of_file[doc] * (KINDS_OF_WORDS * 8) + kind * 8 + touch * 2 + led, axis=0)
     for r, x in enumerate(roles[1:], 1):
         r = min(r, 5)
-        known = np.flatnonzero(words.weighs[x, r])
-        emit[known] += words.rows[x[known], r]
+        known = np.flatnonzero(words.weighs[r].take(x))
+        emit[known] += words.rows[r].take(x[known], axis=0)
     return start, end, doc, emit
 
 
@@ -498,8 +523,8 @@ def weak_lines(docs: DataFrame, looked_at: int = LOOKED_AT, bound: int = WEAK) -
     match and as many pieces of documents without one are taken. Of an assignment only the value is the secret.
     Documents with a null id or text teach nothing; no documents give no lines.
     """
+    share = min(1 << 30, (looked_at << 30) // max(1, docs.count()))
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    share = min(1 << 30, (looked_at << 30) // max(1, rows.count()))
     order = F.xxhash64("doc_id", F.lit(17))
 
     def run(batches):
@@ -527,7 +552,7 @@ def _sequences(made):
     words, joint = Words(), _joint()
     for text, truth in made:
         start, end, _, roles, kind, touch, led = layout([text], words)
-        rows = [words.rows[x][:, ROLES[min(r, 5)]] for r, x in enumerate(roles)]
+        rows = [words.rows[0][x][:, ROLES[min(r, 5)]] for r, x in enumerate(roles)]
         yield np.column_stack([*rows, joint[0][kind, led], joint[1][kind, touch * 2 + led], _file_at(tuple(file_features(text)))[kind]]).astype(np.int32), _tags(start, end, truth)
 
 
