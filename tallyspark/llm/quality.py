@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_batches, slices
 
-#: Hash buckets of the n-gram models.
-BUCKETS = 1 << 16
+#: Hash buckets of the n-gram models: enough to tell texts apart, few enough to be counted well in a small target.
+BUCKETS = 1 << 13
 #: Labelled rows (bounded) from which the target model is fitted.
 LABELLED = 20_000
 #: Pseudo count of a bucket in either model.
 PSEUDO = 0.1
-#: Buckets that the resampling keys are counted in at each round of the top-k search.
-KEY_BUCKETS = 1 << 12
+#: Intervals that keys are counted in at each round of the top-k search.
+KEY_INTERVALS = 1 << 12
 _ODD = 0x9E3779B97F4A7C15
 _REPEAT = np.uint64(0x5DEECE66D1234567)
 _CLASS = np.array([0 if b in b"\t\n\v\f\r " else 1 if b >= 128 or chr(b).isalnum() else 2 for b in range(256)], np.uint8)
@@ -123,10 +123,9 @@ def log_ratio(counts: DataFrame, buckets: int = BUCKETS, pseudo: float = PSEUDO)
 
 
 def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """``(doc_id, log_weight, n_grams)``: the mean log ratio of a text's n-grams times their square root.
+    """``(doc_id, log_weight)``: the log of target over raw probability of a text, the sum over its n-grams.
 
-    The plain sum would rank by length alone, so the evidence is scaled as for a sum of independent
-    terms. Texts without n-grams have weight zero.
+    Texts without n-grams have weight zero.
     """
 
     def run(batches):
@@ -134,12 +133,10 @@ def score(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
             for part in slices(batch, budget=1_000_000):
                 data, starts = _texts(part)
                 at, owner = ngram_buckets(data, starts, len(ratio))
-                n = np.bincount(owner, minlength=len(starts))
-                total = np.bincount(owner, ratio[at], minlength=len(starts))
-                weight = total / np.sqrt(np.maximum(n, 1))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weight), pa.array(n)], names=["doc_id", "log_weight", "n_grams"])
+                weight = np.bincount(owner, ratio[at], minlength=len(starts)).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weight)], names=["doc_id", "log_weight"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, log_weight double, n_grams long")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, log_weight double")
 
 
 def gumbel(seed: int, *by: str) -> Column:
@@ -148,50 +145,50 @@ def gumbel(seed: int, *by: str) -> Column:
     return -F.log(-F.log(u))
 
 
-def top_k(rows: DataFrame, k: int, key: str, *ties: str) -> DataFrame:
-    """``rows`` with ``kept``: whether a row is among the ``k`` of largest key.
+def _cutoff(rows: DataFrame, key: str, need: int, intervals: int) -> tuple[float | int, int, int]:
+    """(value, rows needed of those that have it, rows that have it) of the ``need``-th largest ``key``, a double or a long.
 
-    The k-th largest key is closed in on by counting keys in equal intervals, again and again within
-    the interval that holds it, until that interval has one value or few rows; only its rows are ranked, after
-    ``ties`` if keys are equal. So no task sorts all rows, and what a round sends is one row an interval.
+    Rows are counted in equal intervals, again and again within the one that holds the place. What a
+    round sends to the driver is one row an interval, however many rows are equal.
     """
-    if k <= 0:
-        return rows.withColumn("kept", F.lit(False))
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    if n <= k:
-        return rows.withColumn("kept", F.lit(True))
-    need = k
+    whole = rows.schema[key].dataType.typeName() == "long"
+    low, high = rows.agg(F.min(key), F.max(key)).first()
     while True:
-        width = (high - low) / KEY_BUCKETS
-        if width <= 0 or low + width <= low or high - width >= high:
-            break
-        inside = rows.where((F.col(key) >= low) & (F.col(key) <= high))
-        at = F.least(F.floor((F.col(key) - low) / width), F.lit(KEY_BUCKETS - 1))
+        inside = rows.where((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high)))
+        if whole:
+            at = F.expr(f"({key} - {low}L) div {(high - low) // intervals + 1}L")
+        elif (width := (high - low) / intervals) > 0 and low + width > low and high - width < high:
+            at = F.least(F.floor((F.col(key) - low) / width), F.lit(intervals - 1))
+        else:  # a few neighbouring doubles
+            at = F.col(key)
         found = inside.groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).orderBy(F.desc("at")).collect()
         for one in found:
             if one["n"] >= need:
                 break
             need -= one["n"]
         low, high = one["low"], one["high"]
-        if one["n"] <= 100_000 or low == high:
-            break
-    at_edge = (F.col(key) >= low) & (F.col(key) <= high)
-    edge = rows.where(at_edge).select(key, *ties)
-    cutoff = edge.groupBy(key, *ties).agg(F.count("*").alias("n"))
-    order = [F.desc(key), *ties]
-    last = cutoff.orderBy(*order).limit(need).collect()
-    for one in last:
-        need -= one["n"]
-        if need <= 0:
+        if low == high:
+            return low, need, one["n"]
+
+
+def top_k(rows: DataFrame, k: int, *keys: str, intervals: int = KEY_INTERVALS) -> DataFrame:
+    """``rows`` with ``kept``: whether a row is among the ``k`` largest by the ``keys``, numbers without nulls.
+
+    The cutoff is found for the first key; only if more rows than wanted are equal to it, for the next key
+    among these. No task sorts all rows. Rows that are equal in all keys are kept or left together.
+    """
+    if k <= 0:
+        return rows.withColumn("kept", F.lit(False))
+    if rows.count() <= k:
+        return rows.withColumn("kept", F.lit(True))
+    kept, same, need = F.lit(False), F.lit(True), k
+    for key in keys:
+        value, need, n = _cutoff(rows.where(same), key, need, intervals)
+        kept = kept | (same & (F.col(key) > F.lit(value)))
+        same = same & (F.col(key) == F.lit(value))
+        if n == need:
             break
-    before = F.lit(False)
-    same = F.lit(True)
-    for c in (key, *ties):
-        v = F.lit(one[c])
-        ahead = F.col(c) > v if c == key else F.coalesce(F.col(c) < v, F.col(c).isNull() & v.isNotNull())
-        before = before | (same & ahead)
-        same = same & F.col(c).eqNullSafe(v)
-    return rows.withColumn("kept", before | same)
+    return rows.withColumn("kept", kept | same)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bound: int = LABELLED, seed: int = 7) -> DataFrame:
@@ -202,15 +199,15 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, bou
     keys are kept: a sample without replacement, in proportion to the weights, of ``share`` of all
     rows, by default the share of documents of quality 1 in the labelled sample.
 
-    Null, empty and wordless texts have log weight zero. Rows that are equal in doc_id and key are kept
-    or left together, so that with repeated rows a few more than asked for may stay. Without labels,
-    all weights are near zero and all rows are kept; an empty table gives an empty result. Other
-    columns are not read.
+    Null, empty and wordless texts have log weight zero. Rows with equal keys (those that repeat a doc_id and a
+    text, say) are chosen from by a hash of the doc_id and then by their place in the table, so that the number
+    of rows kept is exact. Without labels, all weights are near zero and all rows are kept; an empty table
+    gives an empty result. Other columns are not read.
     """
     sample = cut(labelled_sample(labels, bound))
     good, fine, n = sample.agg(F.sum("good"), F.sum("quality"), F.count("*")).first()
     ratio = log_ratio(ngram_counts(docs, sample)) if good else np.zeros(BUCKETS)
     scored = score(docs, ratio).withColumn("gumbel_key", F.col("log_weight") + gumbel(seed, "doc_id"))
-    scored = cut(scored.drop("n_grams"))
+    scored = cut(scored.withColumn("tie", F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).withColumn("place", F.monotonically_increasing_id()))
     share = (fine / n if good else 1.0) if share is None else share
-    return top_k(scored, math.ceil(share * scored.count()), "gumbel_key", "doc_id")
+    return top_k(scored, math.ceil(share * scored.count()), "gumbel_key", "tie", "place").drop("tie", "place")
