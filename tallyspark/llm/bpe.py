@@ -16,7 +16,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, slices
+from .common import Recent, map_batches, slices
 
 #: Encoded chunks that one Python worker remembers.
 CACHE = 400_000
@@ -37,6 +37,13 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in kept else chr(next(spare)) for b in range(256)]
 
 
+def _there(ordered: np.ndarray, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key is at its place in a sorted array."""
+    inside = at < len(ordered)
+    inside[inside] = ordered[at[inside]] == keys[inside]
+    return inside
+
+
 class WordBPE:
     """Encoder and decoder for a word-end BPE file (lower case, white space dropped).
 
@@ -64,10 +71,9 @@ class WordBPE:
         self.symbol = byte_symbols()
         self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.table = [self.names.get(i, "") for i in range(max(self.names) + 1)]
-        self.known = np.empty(0, np.int64)
-        self.fine = np.empty(0, bool)
-        self.cache: dict[str, bytes] = {}
-        self.word_ids: dict[str, bytes] = {}
+        self.known, self.fine = np.empty(0, np.int64), np.empty(0, bool)
+        self.old_known, self.old_fine = self.known, self.fine
+        self.cache, self.word_ids = Recent(CACHE), Recent(WORDS)
         self.automaton = ahocorasick.Automaton()
         for token, i in self.ids.items():
             body = token.removesuffix(self.end)
@@ -144,17 +150,18 @@ class WordBPE:
 
     def verified(self, keys: np.ndarray) -> np.ndarray:
         """Whether each pair key is compatible; unknown keys are settled once and remembered."""
+        if len(self.known) > PAIRS:
+            self.old_known, self.old_fine = self.known, self.fine
+            self.known, self.fine = np.empty(0, np.int64), np.empty(0, bool)
         at = np.searchsorted(self.known, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.known)
-        new[inside] = self.known[at[inside]] != keys[inside]
+        new = ~_there(self.known, at, keys)
         if new.any():
-            if len(self.known) > PAIRS:
-                self.known, self.fine = np.empty(0, np.int64), np.empty(0, bool)
-                fresh = np.unique(keys)
-            else:
-                fresh = np.unique(keys[new])
-            verdict = np.fromiter((self._compatible(k) for k in fresh.tolist()), bool, len(fresh))
+            fresh = np.unique(keys[new])
+            old_at = np.searchsorted(self.old_known, fresh)
+            old = _there(self.old_known, old_at, fresh)
+            verdict = np.empty(len(fresh), bool)
+            verdict[old] = self.old_fine[old_at[old]]
+            verdict[~old] = [self._compatible(k) for k in fresh[~old].tolist()]
             known = np.concatenate([self.known, fresh])
             order = np.argsort(known, kind="stable")
             self.known, self.fine = known[order], np.concatenate([self.fine, verdict])[order]
@@ -191,12 +198,8 @@ class WordBPE:
         for chunk in chunks:
             s = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
             found.append(self.words.findall(s.lower()))
-        new = {w for words in found for w in words}.difference(self.word_ids)
+        new = self.word_ids.missing({w for words in found for w in words})
         if new:
-            if len(self.word_ids) + len(new) > WORDS:
-                self.word_ids = {}
-                new = {w for words in found for w in words}
-            new = list(new)
             plain = [w if w.isascii() and w.isprintable() else "".join(self.symbol[b] for b in w.encode()) for w in new]
             for w, ids in zip(new, self.encode_words(plain)):
                 self.word_ids[w] = array.array("I", ids).tobytes()
@@ -208,14 +211,11 @@ class WordBPE:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = []
         for text in texts:
-            parts = self.cut.split(text) if self.cut and "<|" in text else [text]
+            parts = self.cut.split(text) if self.cut and any(m in text for m in self.special) else [text]
             split.append([(self.special[p], []) if k % 2 else (None, self._chunks(p)) for k, p in enumerate(parts)])
-        new = {c for parts in split for _, chunks in parts for c in chunks}.difference(self.cache)
+        new = self.cache.missing({c for parts in split for _, chunks in parts for c in chunks})
         if new:
-            if len(self.cache) + len(new) > CACHE:
-                self.cache = {}
-                new = {c for parts in split for _, chunks in parts for c in chunks}
-            self._learn(list(new))
+            self._learn(new)
         look = self.cache.__getitem__
         return [b"".join(b"".join(map(look, chunks)) if special is None else special.to_bytes(4, "little") for special, chunks in parts) for parts in split]
 

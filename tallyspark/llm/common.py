@@ -76,3 +76,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", budget: int = 4_000_000)
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+class Recent(dict):
+    """A bounded memory in two generations: a full one becomes the old one, from which what is met again comes back."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that are not remembered; all others can be looked up until the next call."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        lacking = keys.difference(self)
+        back = lacking.intersection(self.old)
+        for k in back:
+            self[k] = self.old[k]
+        return list(lacking.difference(back))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import WHITE_SPACE
-from .common import cut, map_batches, shared_dir, slices
+from .common import Recent, cut, map_batches, shared_dir, slices
 
 MAGIC = b"TFV1"
 HEAD = struct.Struct("<4sIQQQ")
@@ -43,18 +43,14 @@ class ByteBPE:
         self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent(CACHE)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed as ``dtype``. Texts with a special token's string go whole to the library."""
         whole = {i for i, t in enumerate(texts) if any(m in t for m in self.marks)}
         pieces = [[] if i in whole else _PIECES.findall(t) for i, t in enumerate(texts)]
-        new = {p for one in pieces for p in one}.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.cache = {}
-            new = {p for one in pieces for p in one}
+        new = self.cache.missing({p for one in pieces for p in one})
         if new:
-            new = list(new)
             for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 self.cache[p] = np.asarray(e.ids, self.dtype).tobytes()
         look = self.cache.__getitem__
