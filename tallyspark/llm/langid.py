@@ -25,7 +25,7 @@ PARTS = 64
 PSEUDO = 0.05
 #: Distinct words whose log probabilities one Python worker remembers.
 CACHE = 300_000
-#: Longest word that is scored in a batch; longer ones are scored one by one.
+#: Longest word that is taken in a batch; longer ones are taken one by one.
 LONG = 48
 #: Probabilities are scaled by this much a character, so that a batch needs no logarithms.
 SCALE = 1000.0
@@ -126,7 +126,7 @@ def log_probabilities(vocabulary: Pieces, words: list[str], p: np.ndarray) -> np
         found = vocabulary.lattice(chosen)
         alpha, _, _ = forward(vocabulary, found, p)
         total = alpha[found[3]]
-        lost = np.flatnonzero((total < 1e-250).any(axis=1))
+        lost = np.flatnonzero(_rare(total))
         with np.errstate(divide="ignore"):
             out[short] = np.log(total) - (np.fromiter(map(len, chosen), np.int64, len(chosen)) + 1)[:, None] * np.log(SCALE)
         alone += [short[i] for i in lost]
@@ -135,49 +135,84 @@ def log_probabilities(vocabulary: Pieces, words: list[str], p: np.ndarray) -> np
     return out
 
 
-def _long(vocabulary: Pieces, word: str, p: np.ndarray) -> np.ndarray:
-    """The forward algorithm over one word of any length; each step is brought back to a maximum of one."""
+def _in_logs(vocabulary: Pieces, word: str, p: np.ndarray):
+    """(piece, first and last node, log weight of each match, log forward sums) of one word of any length or rarity."""
     piece, first, last, ends = vocabulary.lattice([word])
     order = np.argsort(last, kind="stable")
     piece, first, last = piece[order], first[order], last[order]
-    heads = np.searchsorted(last, np.arange(int(ends[-1]) + 2))
     n = int(ends[-1])
-    alpha, scale = np.zeros((n + 1, p.shape[1])), np.zeros((n + 1, p.shape[1]))
-    alpha[0] = 1.0
+    heads = np.searchsorted(last, np.arange(n + 2))
+    with np.errstate(divide="ignore"):
+        weight = np.log(vocabulary.rows(piece, p))
+    alpha = np.full((n + 1, p.shape[1]), -np.inf)
+    alpha[0] = 0.0
     for e in range(1, n + 1):
         m = slice(heads[e], heads[e + 1])
-        if m.start == m.stop:
-            scale[e] = scale[e - 1]
-            continue
-        with np.errstate(divide="ignore"):
-            terms = np.log(alpha[first[m]]) + scale[first[m]] + np.log(vocabulary.rows(piece[m], p))
-        most = terms.max(axis=0)
-        most = np.where(np.isfinite(most), most, 0.0)
-        alpha[e], scale[e] = np.exp(terms - most).sum(axis=0), most
-    return np.log(alpha[n]) + scale[n]
+        if m.start < m.stop:
+            alpha[e] = np.logaddexp.reduce(alpha[first[m]] + weight[m], axis=0)
+    return piece, first, last, weight, alpha
+
+
+def _long(vocabulary: Pieces, word: str, p: np.ndarray) -> np.ndarray:
+    """The forward algorithm over one word of any length, in logarithms."""
+    return _in_logs(vocabulary, word, p)[4][-1]
+
+
+def _long_counts(vocabulary: Pieces, word: str, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(piece of each match, expected number of times that it is used in each language) of one word."""
+    piece, first, last, weight, alpha = _in_logs(vocabulary, word, p)
+    n = len(alpha) - 1
+    beta = np.full_like(alpha, -np.inf)
+    beta[n] = 0.0
+    order = np.argsort(first, kind="stable")
+    heads = np.searchsorted(first[order], np.arange(n + 2))
+    for s in range(n - 1, -1, -1):
+        m = order[heads[s] : heads[s + 1]]
+        if len(m):
+            beta[s] = np.logaddexp.reduce(beta[last[m]] + weight[m], axis=0)
+    return piece, np.exp(alpha[first] + weight + beta[last] - alpha[n])
+
+
+def _rare(total: np.ndarray) -> np.ndarray:
+    """Words whose scaled sums are too small for plain arithmetic."""
+    return (total < 1e-250).any(axis=1)
 
 
 def expected_counts(vocabulary: Pieces, words: list[str], times: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected piece counts (piece, language) of words that occur ``times`` in each language."""
-    found = vocabulary.lattice(words)
-    piece, first, last, ends = found
-    alpha, weight, starts = forward(vocabulary, found, p)
-    word = np.searchsorted(ends, first, side="left")
-    beta = np.zeros_like(alpha)
-    beta[ends] = 1.0
-    for group, heads in _levels(first, ends[word] - first):
-        terms = beta[last[group]] * weight[group]
-        beta[first[group[heads]]] += np.add.reduceat(terms, heads)
-    total = alpha[ends]
-    share = np.where(total > 0, times / np.maximum(total, 1e-300), 0.0)
-    counts = alpha[first] * weight * beta[last] * share[word]
-    known = piece >= 0
+    """Expected piece counts (piece, language) of words that occur ``times`` in each language.
+
+    Long words, and those too improbable for plain arithmetic, are taken one by one in logarithms.
+    """
     out = np.zeros_like(p)
-    for k in range(p.shape[1]):
-        out[:, k] = np.bincount(piece[known], counts[known, k], minlength=len(p))
-    for c in np.unique(piece[~known]).tolist():
-        for b in chr(-c).encode("utf-8", "surrogatepass"):
-            out[vocabulary.byte[b]] += counts[piece == c].sum(axis=0)
+
+    def add(piece: np.ndarray, counts: np.ndarray) -> None:
+        known = piece >= 0
+        for k in range(p.shape[1]):
+            out[:, k] += np.bincount(piece[known], counts[known, k], minlength=len(p))
+        for c in np.unique(piece[~known]).tolist():
+            for b in chr(-c).encode("utf-8", "surrogatepass"):
+                out[vocabulary.byte[b]] += counts[piece == c].sum(axis=0)
+
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    short, alone = np.flatnonzero(size <= LONG), np.flatnonzero(size > LONG).tolist()
+    if len(short):
+        found = vocabulary.lattice([words[i] for i in short])
+        piece, first, last, ends = found
+        alpha, weight, starts = forward(vocabulary, found, p)
+        word = np.searchsorted(ends, first, side="left")
+        beta = np.zeros_like(alpha)
+        beta[ends] = 1.0
+        for group, heads in _levels(first, ends[word] - first):
+            terms = beta[last[group]] * weight[group]
+            beta[first[group[heads]]] += np.add.reduceat(terms, heads)
+        total = alpha[ends]
+        rare = _rare(total)
+        share = np.where(rare[:, None], 0.0, times[short] / np.maximum(total, 1e-300))
+        add(piece, alpha[first] * weight * beta[last] * share[word])
+        alone += short[rare].tolist()
+    for i in alone:
+        piece, counts = _long_counts(vocabulary, words[i], p)
+        add(piece, counts * times[i])
     return out
 
 
@@ -186,7 +221,7 @@ def _word_counts(batches):
     held: dict[str, Counter] = {}
 
     def flush():
-        rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items() if len(w) <= LONG]
+        rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
         held.clear()
         if rows:
             a, b, c = zip(*rows)
@@ -206,8 +241,7 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
 
     ``docs(doc_id, text, lang)``: about ``training`` documents of each language, those first in a hashed order,
     are counted into words (the driver learns only how many documents each language has); each round of EM is a Spark job over the distinct words and gives one row
-    for each piece and language. Rows with a null lang teach nothing. Words over ``LONG`` letters are
-    left out of training.
+    for each piece and language. Rows with a null lang teach nothing. Words of any length teach.
     """
     known = docs.where("lang is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -220,9 +254,10 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
     p = np.full((size, len(langs)), 1.0 / size)
     column = {lang: k for k, lang in enumerate(langs)}
 
-    def step(p):
+    def step(sent):
         def run(batches):
-            vocabulary, total = pieces(path), np.zeros_like(p)
+            vocabulary, p = pieces(path), sent.value
+            total = np.zeros_like(p)
             for batch in batches:
                 for at in range(0, batch.num_rows, 8_000):
                     part = batch.slice(at, 8_000)
@@ -235,7 +270,8 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
         return run
 
     for _ in range(rounds if langs else 0):
-        rows = words.mapInArrow(step(p), "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
+        sent = docs.sparkSession.sparkContext.broadcast(p)  # pieces of the fixed vocabulary times languages
+        rows = words.mapInArrow(step(sent), "piece long, k long, n double").groupBy("piece", "k").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full_like(p, PSEUDO)
         counts[rows["piece"], rows["k"]] += rows["n"]
         p = counts / counts.sum(axis=0)
@@ -243,25 +279,30 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
 
 
 class Scorer:
-    """Log likelihoods of texts, with a bounded memory of words."""
+    """Log likelihoods of texts, with a bounded memory of words in two generations."""
 
     def __init__(self, path: str, p: np.ndarray):
         self.vocabulary, self.p = pieces(path), p
-        self.at: dict[str, int] = {}
-        self.known = np.zeros((0, p.shape[1]))
+        self.at, self.known = {}, np.zeros((0, p.shape[1]))
+        self.old_at, self.old_known = self.at, self.known
+
+    def learn(self, words: set[str]) -> None:
+        """Have the log probabilities of all these words at hand until the next call."""
+        if len(self.at) > CACHE:
+            self.old_at, self.old_known = self.at, self.known
+            self.at, self.known = {}, self.known[:0]
+        new = words.difference(self.at)
+        back = list(new.intersection(self.old_at))
+        new = list(new.difference(back))
+        rows = [self.old_known[np.fromiter(map(self.old_at.__getitem__, back), np.int64, len(back))]]
+        rows += [log_probabilities(self.vocabulary, new[i : i + 4_000], self.p) for i in range(0, len(new), 4_000)]
+        self.at.update(zip([*back, *new], range(len(self.known), len(self.known) + len(back) + len(new))))
+        self.known = np.concatenate([self.known, *rows])
 
     def texts(self, texts: list[str]) -> list[np.ndarray | None]:
         """Per text the log likelihood in each language, or None if it has no letters."""
         counts = [Counter(letters(t)) for t in texts]
-        new = {w for c in counts for w in c}.difference(self.at)
-        if new and len(self.at) + len(new) > CACHE:
-            self.at, self.known = {}, self.known[:0]
-            new = {w for c in counts for w in c}
-        if new:
-            new = list(new)
-            rows = [log_probabilities(self.vocabulary, new[i : i + 4_000], self.p) for i in range(0, len(new), 4_000)]
-            self.at.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.known = np.concatenate([self.known, *rows])
+        self.learn({w for c in counts for w in c})
         out = []
         for c in counts:
             if c:
