@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on a small table with hard cases."""
 
 import collections
+import decimal
 import hashlib
 import itertools
 import math
@@ -11,11 +12,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyspark.llm import bpe, components, decontam, embdedup, hilbert, langid, quality, secrets, simhash, tokenfile, warc
+from tallyspark.llm import bpe, common, components, decontam, embdedup, hilbert, langid, quality, secrets, simhash, tokenfile, warc
 
 SF = "/root/testdata/sf0.001"
 LONG = "lorem Ipsum, dolor-sit amet 12 " * 3000
@@ -83,11 +85,54 @@ def test_ngrams_match_a_slow_count():
 
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(1)
-    rows = [(i, float(x)) for i, x in enumerate(np.round(rng.normal(size=3000), 1))]
-    df = spark.createDataFrame(rows, "doc_id long, key double").repartition(3)
+    rows = [(-i, float(x), int(t)) for i, (x, t) in enumerate(zip(np.round(rng.normal(size=3000), 1), rng.integers(0, 9, 3000)))]
+    df = spark.createDataFrame(rows, "place long, key double, tie long").repartition(3)
     for k in (0, 1, 17, 1500, 2999, 3000, 9999):
-        want = {i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))[:k]}
-        assert {r.doc_id for r in quality.top_k(df, k, "key", "doc_id").where("kept").collect()} == want
+        want = {i for i, _, _ in sorted(rows, key=lambda r: (-r[1], -r[2], -r[0]))[:k]}
+        got = quality.top_k(df, k, "key", "tie", "place", intervals=16).where("kept").collect()
+        assert len(got) == min(k, 3000) and {r.place for r in got} == want
+
+
+def test_top_k_of_equal_and_close_keys(spark):
+    keys = [1.0, 1.0, np.nextafter(1.0, 2), 1.0, np.nextafter(1.0, 0), 1e300, -1e300, 1.0]
+    df = spark.createDataFrame([(float(x), i) for i, x in enumerate(keys)], "key double, place long")
+    for k in range(len(keys) + 1):
+        want = {i for x, i in sorted(((x, i) for i, x in enumerate(keys)), reverse=True)[:k]}
+        assert {r.place for r in quality.top_k(df, k, "key", "place", intervals=8).where("kept").collect()} == want
+
+
+def test_quality_matches_slow_models(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    sample = quality.labelled_sample(labels).collect()
+    good = {r.doc_id for r in sample if r.good}
+    raw, target = np.full(quality.BUCKETS, quality.PSEUDO), np.full(quality.BUCKETS, quality.PSEUDO)
+    counts = {i: slow_buckets(t or "", quality.BUCKETS) for i, t in texts(docs)}
+    for i, c in counts.items():
+        for b, n in c.items():
+            raw[b] += n
+            target[b] += n * (i in good)
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    got = quality.resample(docs, labels).collect()
+    assert len(got) == len(counts)
+    for r in got:
+        assert math.isclose(r.log_weight, sum(n * ratio[b] for b, n in counts[r.doc_id].items()), rel_tol=1e-9, abs_tol=1e-6)
+    k = math.ceil(sum(r.quality for r in sample) / len(sample) * len(got))
+    cut = sorted((r.gumbel_key for r in got), reverse=True)[k - 1]
+    assert [r.kept for r in got] == [r.gumbel_key >= cut for r in got]
+
+
+def test_gumbel_sampling_follows_the_weights(spark):
+    """Of two documents the heavier one is first as often as its share of the weights says."""
+    df = spark.range(20_000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
+    first = df.where(F.lit(1.0) + quality.gumbel(7, "a") > quality.gumbel(7, "b")).count()
+    assert abs(first / 20_000 - math.e / (1 + math.e)) < 0.015
+
+
+def test_rows_that_repeat_are_kept_to_the_exact_number(spark):
+    docs = spark.createDataFrame([(1, "same words here")] * 10 + [(None, None)] * 7, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for share in (0.1, 0.5, 0.9):
+        assert quality.resample(docs, labels, share=share).where("kept").count() == math.ceil(share * 17)
 
 
 def test_quality_on_held_out_labels(spark):
@@ -192,8 +237,93 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(got, [np.log(total("▁" + w)) for w in words])
     long = "thequick" * 20
     assert np.allclose(langid.log_probabilities(v, [long], p), [langid._long(v, long, p)]) and np.allclose(langid._long(v, "strasse", p), got[2])
-    counts = langid.expected_counts(v, ["the"], np.array([[2.0, 1.0]]), p)
-    assert counts.sum() > 0 and np.all(counts >= 0)
+
+
+def slow_sums(v, names, word, p):
+    """(log probability of a marked word, expected pieces) in one language, over all segmentations from the right."""
+    word = "▁" + word
+    best = {len(word): (decimal.Decimal(1), collections.Counter())}
+    for a in range(len(word) - 1, -1, -1):
+        z, counts = decimal.Decimal(0), collections.Counter()
+        steps = [(a + n, [names[word[a : a + n]]]) for n in range(1, len(word) - a + 1) if word[a : a + n] in names]
+        if word[a] not in names:
+            steps.append((a + 1, [int(v.byte[b]) for b in word[a].encode()]))
+        for to, used in steps:
+            w = math.prod(decimal.Decimal(float(p[i])) for i in used)
+            z += w * best[to][0]
+            for i, n in best[to][1].items():
+                counts[i] += w * n
+            for i in used:
+                counts[i] += w * best[to][0]
+        best[a] = (z, counts)
+    return float(best[0][0].ln()), {i: float(n / best[0][0]) for i, n in best[0][1].items()}
+
+
+@pytest.fixture(scope="module")
+def letter_pieces():
+    v = langid.pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = lambda i: not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))
+    return v, {x: i for i in range(v.size) if plain(i) and ((x := model.id_to_piece(i)).removeprefix("▁") + "a").isalpha()}
+
+
+def test_expected_counts_match_all_segmentations(letter_pieces):
+    v, names = letter_pieces
+    p = np.random.default_rng(3).dirichlet(np.full(v.size, 0.5), 2).T + 1e-9
+    words = ["the", "a", "strasse", "naïve", "ꙮa", "日本", "x", "thequickbrownfox" * 4, "ꙮꙭꙬ" * 9, "日本語" * 20]
+    times = np.arange(2.0 * len(words)).reshape(-1, 2)
+    want = np.zeros_like(p)
+    for w, t in zip(words, times):
+        for k in range(2):
+            for i, n in slow_sums(v, names, w, p[:, k])[1].items():
+                want[i, k] += n * t[k]
+    assert np.allclose(langid.expected_counts(v, words, times, p), want, rtol=1e-6, atol=1e-9)
+
+
+def test_training_and_prediction_match_slow_ones(spark, letter_pieces):
+    """EM and posteriors over all documents of two made-up languages, one of them without spaces."""
+    v, names = letter_pieces
+    rows = [(1, "the cat and the other cat", "xx"), (2, "an apple, a pear!", "xx"), (3, "東京は日本の首都であり世界最大の都市のひとつである" * 3, "yy"), (4, "猫がいる。猫", "yy"), (5, "the 猫", None), (6, "", "xx"), (7, None, "yy"), (8, "日本の猫", None), (9, "1 + 1", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    langs, got = langid.train(df, path, rounds=2)
+    assert langs == ["xx", "yy"]
+    p = np.full((v.size, 2), 1.0 / v.size)
+    for _ in range(2):
+        counts = np.full_like(p, langid.PSEUDO)
+        for _, text, lang in rows:
+            for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if lang else []:
+                k = langs.index(lang)
+                for i, n in slow_sums(v, names, w, p[:, k])[1].items():
+                    counts[i, k] += n
+        p = counts / counts.sum(axis=0)
+    assert np.allclose(got, p, rtol=1e-6)
+    found = {r.doc_id: r for r in langid.predict(df, (langs, got), path).collect()}
+    for i, text, _ in rows:
+        words = re.findall(r"[^\W\d_]+", (text or "").lower())
+        x = np.array([sum(slow_sums(v, names, w, p[:, k])[0] for w in words) for k in range(2)])
+        assert found[i].lang_pred == (langs[int(np.argmax(x))] if words else "und")
+        assert math.isclose(found[i].score, 1 / np.exp(x - x.max()).sum() if words else 0.0, rel_tol=1e-6)
+
+
+def test_forgotten_words_are_scored_alike(monkeypatch):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p = np.random.default_rng(3).dirichlet(np.full(langid.pieces(path).size, 0.5), 2).T + 1e-9
+    words = ["".join(x) for x in itertools.product("abcdeé", repeat=3)]
+    some = [" ".join(words[i : i + 20] + words[:3]) for i in range(0, 200, 10)]
+    want = langid.Scorer(path, p).texts(some)
+    monkeypatch.setattr(langid, "CACHE", 25)
+    few = langid.Scorer(path, p)
+    assert all(np.allclose(a, b) for t, a in zip(some, want) for b in few.texts([t]))
+
+
+def test_two_generations_of_memory():
+    r = common.Recent(3)
+    for keys in ("abc", "ad", "bde", "fgh", "a", "b"):
+        lacking = r.missing(set(keys))
+        assert not set(lacking) & set(r)
+        r.update((k, k.upper()) for k in lacking)
+        assert all(r[k] == k.upper() for k in keys) and len(r) <= 6 and len(r.old) <= 6
 
 
 def test_language_on_held_out_documents(spark):
