@@ -17,16 +17,19 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import WHITE_SPACE
-from .common import Recent, cut, map_batches, shared_dir, slices
+from .common import Recent, cut, few, map_batches, shared_dir, slices
 
-MAGIC = b"TFV1"
+MAGIC = b"TFV2"
 HEAD = struct.Struct("<4sIQQQ")
 #: Ids after which a block is closed, and bytes after which a file is.
 BLOCK_IDS = 1_000_000
 FILE_BYTES = 32_000_000
 #: Pieces of text whose ids one Python worker remembers.
 CACHE = 400_000
-NULL_ID = -(1 << 63)
+#: Bytes of its ids by which a row that repeats a doc_id is ordered.
+HEAD_BYTES = 64
+#: In a folder of token files: the table of ids by rank, and folders of the files and of the ids before each.
+RANKS, FILES, STARTS = "ranks.u32", "tokens", "starts"
 #: For each control byte the lengths of its four codes.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 #: A word with the one space before it, or white space; the tokenizer's own pieces never cross these.
@@ -90,27 +93,30 @@ def decode_codes(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def pack_block(doc_ids: list[int], ids: list[np.ndarray], rank_of: np.ndarray) -> bytes:
-    """One block: header, document ids, counts, control bytes, data bytes."""
+def pack_block(doc_ids: list[int | None], ids: list[np.ndarray], rank_of: np.ndarray) -> bytes:
+    """One block: header, which document ids are null (a bit each), document ids, counts, control bytes, data bytes."""
     flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
     control, data = encode_codes(rank_of[flat])
     head = HEAD.pack(MAGIC, len(doc_ids), len(flat), len(control), len(data))
+    null = np.packbits([i is None for i in doc_ids])
     counts = np.fromiter(map(len, ids), "<u4", len(ids))
-    return b"".join((head, np.asarray(doc_ids, "<i8").tobytes(), counts.tobytes(), control, data))
+    return b"".join((head, null.tobytes(), np.asarray([i or 0 for i in doc_ids], "<i8").tobytes(), counts.tobytes(), control, data))
 
 
 def unpack_blocks(content: bytes, id_of: np.ndarray):
-    """(document ids, counts, ids) of each block of a file."""
+    """(document ids, which of them are null, counts, ids) of each block of a file."""
     at = 0
     while at < len(content):
         magic, docs, n, c, d = HEAD.unpack_from(content, at)
         if magic != MAGIC:
             raise ValueError(f"no block at byte {at}")
         at += HEAD.size
+        null = np.unpackbits(np.frombuffer(content, np.uint8, -(-docs // 8), at), count=docs).astype(bool)
+        at += -(-docs // 8)
         doc_ids = np.frombuffer(content, "<i8", docs, at)
         counts = np.frombuffer(content, "<u4", docs, at + 8 * docs)
         at += 12 * docs
-        yield doc_ids, counts, id_of[decode_codes(content[at : at + c], content[at + c : at + c + d], n)]
+        yield doc_ids, null, counts, id_of[decode_codes(content[at : at + c], content[at + c : at + c + d], n)]
         at += c + d
 
 
@@ -142,25 +148,31 @@ def frequencies(encoded: DataFrame, vocabulary: int, dtype: np.dtype) -> DataFra
     return map_batches(encoded.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def write_files(docs: DataFrame, path: str, out: str, end_id: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """Encode ``docs`` and write token files below ``out`` in ascending doc_id order.
+def write_files(docs: DataFrame, path: str, out: str, end_id: int = 0) -> DataFrame:
+    """Encode ``docs`` and write token files below ``out`` in ascending doc_id order; returns ``(file, n_docs, n_ids)``.
 
-    Returns the manifest ``(file, n_docs, n_ids)`` and the table of ids by rank. Documents are encoded
-    once into a durable table; its ids are counted (a sum for each id of the vocabulary, the only thing
-    that reaches the driver), then it is dealt by ranges of doc_id and each task writes its files under
-    a temporary name and renames them, so a repeated task replaces equal bytes by equal bytes.
-    Null doc_ids come first; rows that repeat a doc_id are all written, ordered by their ids.
+    The folder says all that a reader needs: ``tokens/*.tfv``, the table of ids by rank in ``ranks.u32``
+    (little-endian, one for each id of the vocabulary), and in ``starts`` a small Parquet table
+    ``(file, before)`` of the ids before each file.
+
+    Documents are encoded once into a durable table; its ids are counted (a sum for each id of the
+    vocabulary, the only thing that reaches the driver), then it is dealt by ranges of doc_id and each
+    task writes its files under a temporary name and renames them, so a repeated task replaces equal
+    bytes by equal bytes. Null doc_ids come first; rows that repeat a doc_id are all written, in the
+    order of their first ids and then of their place, so that such rows too are dealt over tasks.
     """
     bpe = byte_bpe(path)
     size, dtype = bpe.tokenizer.get_vocab_size(), bpe.dtype
-    encoded = cut(encode(docs, path, end_id))
+    rows = encode(docs, path, end_id).select("*", F.substring("ids", 1, HEAD_BYTES).alias("head"), F.monotonically_increasing_id().alias("place"))
+    encoded = cut(rows)
     by_count = frequencies(encoded, size, dtype).orderBy(F.desc("n"), "id").toPandas()["id"].to_numpy(np.int64)
     id_of = np.concatenate([by_count, np.setdiff1d(np.arange(size), by_count)]).astype(np.uint32)
     rank_of = np.empty(size, np.uint32)
     rank_of[id_of] = np.arange(size, dtype=np.uint32)
+    _write(f"{out}/{RANKS}", id_of.astype("<u4").tobytes())
 
     def run(batches):
-        store, folder = fs.FileSystem.from_uri(out)
+        store, folder = fs.FileSystem.from_uri(f"{out}/{FILES}")
         store.create_dir(folder)
         task, files = TaskContext.get(), 0
         done, blocks, doc_ids, ids, held, n_docs, n_ids = [], [], [], [], 0, 0, 0
@@ -187,7 +199,7 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 0) -> tuple[
         for batch in batches:
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
                 one = np.frombuffer(raw.as_buffer(), dtype)
-                doc_ids.append(NULL_ID if doc_id is None else doc_id)
+                doc_ids.append(doc_id)
                 ids.append(one)
                 held, n_docs, n_ids = held + len(one), n_docs + 1, n_ids + len(one)
                 if held >= BLOCK_IDS:
@@ -199,60 +211,83 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 0) -> tuple[
             name, docs_, ids_ = zip(*done)
             yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(docs_, pa.int64()), pa.array(ids_, pa.int64())], names=["file", "n_docs", "n_ids"])
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return cut(ordered.mapInArrow(run, "file string, n_docs long, n_ids long")), id_of
+    order = ("doc_id", "head", "place")
+    ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
+    manifest = cut(ordered.mapInArrow(run, "file string, n_docs long, n_ids long"))
+    _starts(manifest).write.parquet(f"{out}/{STARTS}")
+    return manifest
+
+
+def _write(path: str, content: bytes) -> None:
+    store, name = fs.FileSystem.from_uri(path)
+    store.create_dir(name.rsplit("/", 1)[0])
+    with store.open_output_stream(name) as f:
+        f.write(content)
+
 
+def _starts(manifest: DataFrame) -> DataFrame:
+    """``(file, before)``: the ids in the files before each, in order of names: running sums within a hundred partitions, and over those."""
+    until = (Window.unboundedPreceding, -1)
+    files = manifest.withColumn("hundred", F.substring("file", 1, 9))
+    sums = files.groupBy("hundred").agg(F.sum("n_ids").alias("n"))
+    sums = sums.select("hundred", F.coalesce(F.sum("n").over(Window.orderBy("hundred").rowsBetween(*until)), F.lit(0)).alias("base"))
+    within = F.sum("n_ids").over(Window.partitionBy("hundred").orderBy("file").rowsBetween(*until))
+    return files.join(sums, "hundred").select("file", (F.col("base") + F.coalesce(within, F.lit(0))).alias("before"))
 
-def read_files(spark: SparkSession, folder: str, id_of: np.ndarray) -> DataFrame:
-    """``(file, position, doc_id, at, ids)`` of every document in the token files; ``at``: ids before it in its file."""
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``(file, position, doc_id, start, ids)`` of every document in a folder of token files; ``start``: ids of all documents before it.
+
+    Only the folder is needed: see :func:`write_files` for what lies in it.
+    """
 
     def run(batches):
+        store, base = fs.FileSystem.from_uri(folder)
+        with store.open_input_file(f"{base}/{RANKS}") as f:
+            id_of = np.frombuffer(f.read(), "<u4")
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 position = at = 0
-                for doc_ids, counts, ids in unpack_blocks(memoryview(content.as_buffer()), id_of):
+                for doc_ids, null, counts, ids in unpack_blocks(memoryview(content.as_buffer()), id_of):
                     ends = np.cumsum(counts, dtype=np.int64)
                     n = len(doc_ids)
                     packed = ids.astype("<u4").tobytes()
                     parts = [packed[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path.rsplit("/", 1)[-1]] * n), pa.array(np.arange(position, position + n)), pa.array(doc_ids, mask=doc_ids == NULL_ID), pa.array(at + ends - counts), pa.array(parts, pa.binary())],
+                        [pa.array([path.rsplit("/", 1)[-1]] * n), pa.array(np.arange(position, position + n)), pa.array(doc_ids, mask=null), pa.array(at + ends - counts), pa.array(parts, pa.binary())],
                         names=["file", "position", "doc_id", "at", "ids"],
                     )
                     position, at = position + n, at + int(counts.sum())
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tfv").load(folder).select("path", "content")
-    return files.mapInArrow(run, "file string, position long, doc_id long, at long, ids binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.tfv").load(f"{folder}/{FILES}").select("path", "content")
+    read = files.mapInArrow(run, "file string, position long, doc_id long, at long, ids binary")
+    starts = few(spark.read.schema("file string, before long").parquet(f"{folder}/{STARTS}"))  # a row for each 32 MB
+    return read.join(starts, "file").select("file", "position", "doc_id", (F.col("before") + F.col("at")).alias("start"), "ids")
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    """``(file, doc_id, at, n_tokens, ids_crc32)`` of what :func:`read_files` gives, ids left behind."""
+    """``(doc_id, start, n_tokens, ids_crc32)`` of what :func:`read_files` gives, ids left behind."""
 
     def run(batches):
         for batch in batches:
             raw = [i.as_buffer() for i in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file"), batch.column("doc_id"), batch.column("at"), pa.array([i.size // 4 for i in raw], pa.int64()), pa.array([zlib.crc32(i) for i in raw], pa.int64())],
-                names=["file", "doc_id", "at", "n_tokens", "ids_crc32"],
+                [batch.column("doc_id"), batch.column("start"), pa.array([i.size // 4 for i in raw], pa.int64()), pa.array([zlib.crc32(i) for i in raw], pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
             )
 
-    return documents.select("file", "doc_id", "at", "ids").mapInArrow(run, "file string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return documents.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """``(doc_id, start, n_tokens, ids_crc32)`` of every document, from the files it was written to.
 
-    ``start`` counts the ids of all documents before it in doc_id order: the ids before its file (a
-    running sum over the manifest, one small row a file) plus those before it in the file. A null text
-    counts as empty and so is the end id alone; repeated rows each have a place of their own; an empty
-    table writes no files. Other columns are not read.
+    ``start`` counts the ids of all documents before it in doc_id order. A null text counts as empty and so
+    is the end id alone; repeated rows each have a place of their own; an empty table writes no token
+    files. Other columns are not read.
     """
     spark = docs.sparkSession
     out = shared_dir(spark)
-    manifest, id_of = write_files(docs, path, out, end_id)
-    if manifest.isEmpty():
+    if write_files(docs, path, out, end_id).isEmpty():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("before"))
-    read = digests(read_files(spark, out, id_of))
-    return read.join(offsets, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return digests(read_files(spark, out))

@@ -410,6 +410,43 @@ def test_token_files(docs, hard, empty):
     assert tokenfile.write_and_read(empty, path, 0).count() == 0
 
 
+def test_token_files_are_read_from_their_folder_alone(spark, tmp_path):
+    """The bytes on disk, unpacked here by hand, say everything: ranks, codes, ids, nulls and starts."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(-(1 << 63), "lowest id"), (None, "no id"), (5, None), (5, "a second five"), (9, "word " * 400)] + [(7, "copies")] * 50
+    tokenfile.write_files(spark.createDataFrame(rows, "doc_id long, text string"), path, f"file://{tmp_path}")
+    id_of = np.frombuffer((tmp_path / "ranks.u32").read_bytes(), "<u4")
+    assert sorted(id_of.tolist()) == list(range(library.get_vocab_size()))
+    starts = {r.file: r.before for r in spark.read.parquet(f"{tmp_path}/starts").collect()}
+    found, at = [], 0
+    for f in sorted((tmp_path / "tokens").glob("*.tfv")):
+        assert starts[f.name] == at
+        raw, k = f.read_bytes(), 0
+        while k < len(raw):
+            magic, docs, n, c, d = tokenfile.HEAD.unpack_from(raw, k)
+            k += tokenfile.HEAD.size
+            nulls = [raw[k + i // 8] >> (7 - i % 8) & 1 for i in range(docs)]
+            k += -(-docs // 8)
+            ids, counts = np.frombuffer(raw, "<i8", docs, k), np.frombuffer(raw, "<u4", docs, k + 8 * docs)
+            k += 12 * docs
+            lengths = [(raw[k + i // 4] >> (2 * (i % 4)) & 3) + 1 for i in range(n)]
+            k += c
+            tokens = []
+            for length in lengths:
+                tokens.append(int(id_of[int.from_bytes(raw[k : k + length], "little")]))
+                k += length
+            for i, null, m in zip(ids.tolist(), nulls, counts.tolist()):
+                found.append((None if null else i, tokens[:m]))
+                tokens, at = tokens[m:], at + m
+    want = [(i, library.encode(t or "", add_special_tokens=False).ids + [0]) for i, t in rows]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    assert sorted(found, key=key) == sorted(want, key=key)
+    assert [i for i, _ in found] == [None, -(1 << 63), 5, 5, *[7] * 50, 9]
+    got = [(r.doc_id, r.start) for r in tokenfile.read_files(spark, f"file://{tmp_path}").collect()]
+    assert len(got) == len(rows) and dict(got)[9] == sum(len(t) for i, t in want if i != 9) and dict(got)[None] == 0
+
+
 def test_codes_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(ranks) + 1):
