@@ -46,63 +46,120 @@ def curve_table(spark: SparkSession, dims: int, bits: int = BITS) -> DataFrame:
     return table.select("cell", F.transform("x", lambda v: v.bitwiseXOR(F.col("t"))).alias("x")).select("cell", index.alias("curve"))
 
 
-def metadata_dims() -> list[Column]:
-    """Language, source and size of a document, each quantised to ``BITS`` bits."""
-    top = (1 << BITS) - 1
-    size = F.octet_length(F.coalesce("text", F.lit(""))) + 1
-    return [
-        F.crc32(F.coalesce("lang", F.lit(""))).bitwiseAND(top),
-        F.crc32(F.coalesce("source", F.lit(""))).bitwiseAND(top),
-        F.least(F.floor(F.log2(size.cast("double"))), F.lit(top)),
-    ]
-
-
-def assign(docs: DataFrame, shards: int = 8, dims: list[Column] | None = None) -> DataFrame:
+def metadata() -> list[Column]:
+    """Language, source and size in bytes of a document, the dimensions of its cell; nulls count as empty."""
+    return [F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")), _size()]
+
+
+def _size() -> Column:
+    return (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long")
+
+
+def _crc() -> Column:
+    return F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def bounds(rows: DataFrame, column: str, n: int, bits: int = BITS) -> list[tuple[int, object]]:
+    """(cell, its least value) for the cells of a dimension beyond zero; they cut its ``n`` rows, in order, into like parts.
+
+    A value lies in the cell that its first row falls in, so a common value leaves cells after it empty.
+
+    Distinct values are counted and put in order by range, and running counts are taken within the
+    ranges and over them, so no task sees all values; at most 2 ** bits - 1 of them reach the driver.
+    """
+    counts = rows.groupBy(F.col(column).alias("v")).agg(F.count("*").alias("n"))
+    counts = cut(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part")))
+    before = (Window.unboundedPreceding, -1)
+    parts = counts.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*before)), F.lit(0)).alias("base"))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(*before)), F.lit(0))
+    placed = counts.join(F.broadcast(parts), "part").select("v", (F.col("base") + within).alias("at"))  # a row for each range
+    cells = placed.groupBy(F.expr(f"({1 << bits}L * at) div {max(n, 1)}L").alias("cell")).agg(F.min("v").alias("v")).where("cell > 0")
+    return [(r["cell"], r["v"]) for r in cells.orderBy("cell").collect()]
+
+
+def quantise(value: Column, least: list[tuple[int, object]]) -> Column:
+    """The cell of a value: the last one whose least value it reaches. Order is kept, so a run of cells is a range of values."""
+    return F.greatest(F.lit(0), F.lit(0), *[F.when(value >= F.lit(v), c).otherwise(0) for c, v in least])
+
+
+class Layout:
+    """Where each row of a table lies on the curve, and which of its rows begin a shard; all of it small and on the driver."""
+
+    def __init__(self, docs: DataFrame, by: list[Column] | None = None):
+        self.by = metadata() if by is None else by
+        named = [c.alias(f"__d{i}") for i, c in enumerate(self.by)]
+        self.rows = cut(docs.select("doc_id", _size().alias("size"), _crc().alias("text_crc32"), *named))
+        self.n = self.rows.count()
+        self.least = [bounds(self.rows, f"__d{i}", self.n) for i in range(len(self.by))]
+        self.runs = max(LEAST_RUNS, math.ceil(self.n / RUN_ROWS))
+
+    def keyed(self, rows: DataFrame, dims: list[Column], size: Column, crc: Column) -> DataFrame:
+        """``rows`` with ``__key``: curve index, run, tie and what tells rows apart, in the order of the shards."""
+        cell = F.lit(0).cast("long")
+        for value, least in zip(dims, self.least):
+            cell = cell * (1 << BITS) + quantise(value, least)
+        table = F.broadcast(curve_table(rows.sparkSession, len(dims)))  # 2 ** (BITS * dims) rows, 4096 for three
+        rows = rows.withColumn("__cell", cell).join(table.withColumnsRenamed({"cell": "__cell", "curve": "__curve"}), "__cell")
+        tie = F.xxhash64("doc_id", crc, size)
+        key = F.struct(F.col("__curve").alias("curve"), F.pmod(tie, F.lit(self.runs)).alias("run"), tie.alias("tie"), F.col("doc_id").alias("doc_id"), crc.alias("crc"), size.alias("size"))
+        return rows.withColumn("__key", key).drop("__cell", "__curve")
+
+    def placed(self, shards: int) -> DataFrame:
+        """``(doc_id, size, text_crc32, shard, slot, __key)`` of every row."""
+        dims = [F.col(f"__d{i}") for i in range(len(self.by))]
+        rows = self.keyed(self.rows, dims, F.col("size"), F.col("text_crc32")).select("doc_id", "size", "text_crc32", "__key", F.col("__key.curve").alias("curve"), F.col("__key.run").alias("run"))
+        counts = rows.groupBy("curve", "run").agg(F.count("*").alias("n"))
+        before = (Window.unboundedPreceding, -1)
+        cells = counts.groupBy("curve").agg(F.sum("n").alias("n"))
+        cells = cells.select("curve", F.coalesce(F.sum("n").over(Window.orderBy("curve").rowsBetween(*before)), F.lit(0)).alias("cell_at"))
+        within = Window.partitionBy("curve").orderBy("run").rowsBetween(*before)
+        offsets = counts.select("curve", "run", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("run_at")).join(cells, "curve")
+        order = Window.partitionBy("curve", "run").orderBy("__key")
+        ranked = rows.join(offsets, ["curve", "run"]).withColumn("rank", F.col("cell_at") + F.col("run_at") + F.row_number().over(order) - 1)
+        placed = ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div {max(self.n, 1)} as int)"))
+        slot = F.col("rank") - F.expr(f"(cast(shard as long) * {self.n} + {shards - 1}) div {shards}")
+        return placed.select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"), "__key")
+
+
+def assign(docs: DataFrame, shards: int = 8, by: list[Column] | None = None) -> DataFrame:
     """``(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve)`` for every row of ``docs``.
 
     The law is ``rows``: the rows in curve order are cut into ``shards`` runs whose counts are at most
-    one apart, so a shard covers a compact region of the metadata grid and min/max statistics of its
-    files prune on every dimension. Ranks come from counts of (cell, run), where a run is a hash part
-    of a cell, so a cell with a third of all rows is ranked by many tasks; no task sorts the table.
+    one apart. Each dimension (language, source and size, or the columns ``by``) is quantised in its order at
+    counted quantiles, so that a shard covers a compact region and min/max statistics of its files prune
+    on every dimension. Ranks come from counts of (cell, run), where a run is a hash part of a cell, so a
+    cell with a third of all rows is ranked by many tasks; no task sorts the table.
 
     A null text has no bytes: size 1 and CRC zero. A null language or source counts as the empty one.
     Equal texts are not held together, as that would break the law. Rows that are equal in every
     column read here are interchangeable. ``grown_shard`` is null under this law. An empty table gives
     an empty result; other columns are not read.
     """
-    dims = metadata_dims() if dims is None else dims
-    cell = F.lit(0).cast("long")
-    for d in dims:
-        cell = cell * (1 << BITS) + d.cast("long")
-    text = F.coalesce("text", F.lit(""))
-    crc = F.crc32(text.cast("binary"))
-    rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), crc.alias("text_crc32"), cell.alias("cell"))
-    table = F.broadcast(curve_table(docs.sparkSession, len(dims)))  # 2 ** (BITS * dims) rows, 4096 for three
-    rows = cut(rows.join(table, "cell").select("doc_id", "size", "text_crc32", "curve", F.xxhash64("doc_id", "text_crc32", "size").alias("tie")))
-    n = rows.count()
-    runs = max(LEAST_RUNS, math.ceil(n / RUN_ROWS))
-    rows = rows.withColumn("run", F.pmod("tie", F.lit(runs)))
-    counts = rows.groupBy("curve", "run").agg(F.count("*").alias("n"))
-    before = (Window.unboundedPreceding, -1)
-    cells = counts.groupBy("curve").agg(F.sum("n").alias("n"))
-    cells = cells.select("curve", F.coalesce(F.sum("n").over(Window.orderBy("curve").rowsBetween(*before)), F.lit(0)).alias("cell_at"))
-    within = Window.partitionBy("curve").orderBy("run").rowsBetween(*before)
-    offsets = counts.select("curve", "run", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("run_at")).join(cells, "curve")
-    order = Window.partitionBy("curve", "run").orderBy("tie", "doc_id", "text_crc32", "size")
-    ranked = rows.join(offsets, ["curve", "run"]).withColumn("rank", F.col("cell_at") + F.col("run_at") + F.row_number().over(order) - 1)
-    placed = ranked.withColumn("shard", F.expr(f"cast(rank * {shards} div {max(n, 1)} as int)"))
-    slot = F.col("rank") - F.expr(f"(cast(shard as long) * {n} + {shards - 1}) div {shards}")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
+    placed = Layout(docs, by).placed(shards)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("__key.curve").alias("curve"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Write ``docs`` as one Parquet folder for each shard, its rows near each other on the curve.
+def write_shards(docs: DataFrame, path: str, shards: int = 8, by: list[Column] | None = None) -> str:
+    """Write ``docs`` as one Parquet folder for each shard, its rows in curve order; returns the name of the shard column.
 
-    Rows that repeat a doc_id are matched by size and CRC too and written once for each.
+    The first row of each shard (the only rows that reach the driver) tells by comparison where a row
+    goes, so texts are moved once, to where they are written. The column is named ``shard``, with
+    underscores added while ``docs`` has a column of that name. Of rows that are equal in doc_id, size
+    and CRC all go to one shard. An empty table writes an empty table.
     """
-    placed = assign(docs, shards).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
-    placed = placed.groupBy("__id", "__size", "__crc").agg(F.min(F.struct("__shard", "__slot")).alias("__at"))
-    text = F.coalesce("text", F.lit(""))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.octet_length(text) + 1 == F.col("__size")) & (F.crc32(text.cast("binary")) == F.col("__crc"))
-    out = docs.join(placed, same).withColumn("shard", F.col("__at.__shard"))
-    out.repartitionByRange("__at").sortWithinPartitions("__at").drop("__id", "__size", "__crc", "__at").write.partitionBy("shard").parquet(path)
+    layout = Layout(docs, by)
+    name = "shard"
+    while name in docs.columns:
+        name += "_"
+    firsts = layout.placed(shards).where("slot = 0 and shard > 0").select("shard", "__key").orderBy("shard").collect()
+    rows = layout.keyed(docs, layout.by, _size(), _crc())
+    types = rows.schema["__key"].dataType
+    at = F.lit(0)
+    for first in firsts:
+        k = first["__key"]
+        least = F.struct(*[F.lit(k[f.name]).cast(f.dataType).alias(f.name) for f in types.fields])
+        at = at + (F.col("__key") >= least).cast("int")
+    rows = rows.withColumn(name, at)
+    rows.repartitionByRange(name, "__key").sortWithinPartitions(name, "__key").drop("__key").write.partitionBy(name).parquet(path)
+    return name

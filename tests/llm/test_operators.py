@@ -11,6 +11,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 import xxhash
@@ -489,6 +490,46 @@ def test_written_shards(docs, spark, tmp_path):
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
 
 
+def test_quantisation_keeps_order_and_cuts_at_counted_quantiles(spark):
+    values = [None] * 3 + [f"s{i:02d}" for i in range(40) for _ in range(1 + 60 * (i == 20))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, source string").select(F.coalesce("source", F.lit("")).alias("v"))
+    least = hilbert.bounds(df, "v", len(values))
+    order = sorted(v or "" for v in values)
+    want, seen = {}, 0
+    for v, n in sorted(collections.Counter(order).items()):
+        want[v] = seen * 16 // len(values)
+        seen += n
+    assert least == sorted({(c, min(v for v in want if want[v] == c)) for c in want.values() if c})
+    got = {r.v: r.q for r in df.distinct().select("v", hilbert.quantise(F.col("v"), least).alias("q")).collect()}
+    assert got == want
+    assert hilbert.bounds(df.limit(0), "v", 0) == []
+
+
+def test_statistics_of_written_shards_prune_on_every_dimension(spark, tmp_path):
+    """A predicate on one dimension, by what Parquet's own footers say, leaves out shards; a scattered layout leaves out none."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "x" * int(rng.integers(1, 60_000) if i % 9 else 40), f"l{rng.integers(6)}", f"src{rng.integers(400):03d}", 0) for i in range(1_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int").withColumn("n_bytes", F.octet_length("text"))
+    name = hilbert.write_shards(docs, str(tmp_path / "s"), 8)
+    assert name == "shard_"
+    spans = collections.defaultdict(list)
+    for f in (tmp_path / "s").glob("shard_=*/*.parquet"):
+        table = pq.ParquetFile(f).metadata
+        for g in range(table.num_row_groups):
+            for c in range(table.num_columns):
+                one = table.row_group(g).column(c)
+                if one.path_in_schema in ("lang", "source", "n_bytes"):
+                    spans[one.path_in_schema].append((f.parent.name, one.statistics.min, one.statistics.max))
+    for column, wanted in {"lang": [f"l{i}" for i in range(6)], "source": [f"src{i:03d}" for i in range(0, 400, 25)], "n_bytes": range(1_000, 60_000, 5_000)}.items():
+        read = [len({s for s, low, high in spans[column] if low <= v <= high}) for v in wanted]
+        assert np.mean(read) < 6.5, (column, read)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert sorted(back.columns) == sorted([*docs.columns, "shard_"])
+    counts = [r["count"] for r in back.groupBy("shard_").count().collect()]
+    assert sum(counts) == 1_500 and len(counts) == 8 and max(counts) - min(counts) <= 1
+    assert back.join(hilbert.assign(docs, 8).withColumnRenamed("shard", "want"), "doc_id").where("want <> shard_").count() == 0
+
+
 # 7. Decontamination
 
 
