@@ -15,12 +15,16 @@ from .components import connected_components, local_labels
 
 SHINGLE = 4
 RADIUS = 4
-#: Fingerprints aimed at in a leaf; the depth of the trees follows from it and the row count.
-LEAF = 256
-#: Rows of one leaf that one task compares; larger leaves are dealt over several tasks.
-LEAF_ROWS = 200_000
-#: Fingerprints (bounded) from which vantage points and their medians are taken.
-SAMPLE = 2048
+#: Trees of the forest; each takes a part of the bits.
+BLOCKS = 3
+#: Fingerprints that are compared all with all at the end of a branch.
+LEAF = 512
+#: Comparisons that a split may leave, as a share of those without it.
+SPLIT = 0.8
+#: Fingerprints aimed at in a shard, shards of a tree (bounded), and those of the sample for each.
+SHARD_ROWS, MOST_LEAVES, LEAF_SAMPLE = 5_000, 1 << 14, 64
+#: Rows of one shard that one task compares; larger shards are cut into tiles.
+TILE_ROWS = 100_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -80,105 +84,147 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
+def _nearest_half(sample: np.ndarray, masks: list[tuple[np.uint64, int]], rng: np.random.Generator):
+    """(vantage point, median, mask, reach) that splits a sample best, or None if no split makes less work.
+
+    A good split is even and has few fingerprints within reach of its boundary, as these go to both sides;
+    comparing all with all in both must take well under the comparisons of the whole.
+    """
+    best = None
+    for v in rng.choice(sample, 6):
+        for mask, reach in masks:
+            d = np.bitwise_count((sample ^ v) & mask).astype(np.int64)
+            median = int(np.median(d))
+            if median >= d.max():
+                median = int(d.max()) - 1
+            work = float((d <= median).mean()) ** 2 + float((d + reach > median).mean()) ** 2
+            if median >= 0 and work < SPLIT and (best is None or work < best[0]):
+                best = (work, v, median, mask, reach)
+    return best and best[1:]
+
+
 class Forest:
-    """Vantage points of one tree for each block of bits.
+    """One vantage-point tree for each block of bits; each node has a vantage point of its own.
 
     Two fingerprints that differ in at most ``radius`` bits differ in at most ``radius // blocks``
-    bits of some block. Each block has a tree over the Hamming distance on its bits. Nodes of one
-    level share a vantage point, so a shard's address is the string of inside/outside answers.
-    By the triangle inequality a ball of radius r about a fingerprint reaches the other side of a
-    level only if its distance lies within r of the median; only then is that shard asked too.
+    bits of some block. Each block has a tree over the Hamming distance on its bits, whose leaves are
+    shards. By the triangle inequality a ball of radius r about a fingerprint reaches the other side of
+    a node only if its distance from the vantage point lies within r of the median; only then is that
+    branch asked too.
     """
 
-    def __init__(self, sample: np.ndarray, depth: int, radius: int = RADIUS, blocks: int = 3):
+    def __init__(self, sample: np.ndarray, leaves: int, radius: int = RADIUS, blocks: int = BLOCKS):
         self.reach = radius // blocks
         self.trees = []
-        width = [64 // blocks + (b < 64 % blocks) for b in range(blocks)]
-        rng = np.random.default_rng(7)
-        low = 0
+        rng, low = np.random.default_rng(7), 0
         for b in range(blocks):
-            mask = np.uint64(((1 << width[b]) - 1) << low)
-            low += width[b]
-            levels = []
-            for _ in range(depth):
-                best = None
-                for v in rng.choice(sample, 8) if len(sample) else []:
-                    d = np.bitwise_count((sample ^ v) & mask).astype(int)
-                    median = int(np.median(d))
-                    inside = float((d <= median).mean())
-                    near = float(((d > median - self.reach) & (d <= median + self.reach)).mean())
-                    rank = abs(inside - 0.5) + near
-                    if best is None or rank < best[0]:
-                        best = (rank, v, median)
-                levels.append(best[1:])
-            self.trees.append((mask, levels))
+            width = 64 // blocks + (b < 64 % blocks)
+            mask = np.uint64(((1 << width) - 1) << low)
+            low += width
+            self.trees.append((mask, self._tree(sample, max(16, len(sample) // leaves), mask, rng)))
+
+    def _tree(self, sample: np.ndarray, least: int, mask: np.uint64, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+        point, median, inner, outer = [np.uint64(0)], [0], [-1], [-1]
+        todo = [(0, sample)]
+        while todo:
+            node, here = todo.pop()
+            split = _nearest_half(here, [(mask, self.reach)], rng) if len(here) > least else None
+            if split is None:
+                continue
+            point[node], median[node], inner[node], outer[node] = split[0], split[1], len(point), len(point) + 1
+            inside = np.bitwise_count((here ^ split[0]) & mask).astype(np.int64) <= split[1]
+            todo += [(len(point), here[inside]), (len(point) + 1, here[~inside])]
+            for x, empty in ((point, np.uint64(0)), (median, 0), (inner, -1), (outer, -1)):
+                x += [empty, empty]
+        return np.array(point, np.uint64), np.array(median), np.array(inner), np.array(outer)
 
     def route(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(shard, index of the fingerprint, whether it lives there) for every shard to ask.
 
-        Of two fingerprints in different shards only the one inside at their first differing level asks.
+        Of two fingerprints in different shards only the one inside at their first differing node asks.
         """
         shards, rows, homes = [], [], []
-        for b, (mask, levels) in enumerate(self.trees):
-            row = np.arange(len(fps))
-            code = np.zeros(len(fps), np.int64)
-            home = np.ones(len(fps), bool)
-            for v, median in levels:
-                d = np.bitwise_count((fps[row] ^ v) & mask).astype(np.int64)
-                inside = d <= median
-                cross = np.where(inside, d + self.reach > median, (d - self.reach <= median) & ~home)
-                code = np.concatenate([2 * code + inside, 2 * code[cross] + ~inside[cross]])
+        for b, (mask, (point, median, inner, outer)) in enumerate(self.trees):
+            row, node, home = np.arange(len(fps)), np.zeros(len(fps), np.int64), np.ones(len(fps), bool)
+            while len(row):
+                leaf = inner[node] < 0
+                shards.append(node[leaf] + (b << 40))
+                rows.append(row[leaf])
+                homes.append(home[leaf])
+                row, node, home = row[~leaf], node[~leaf], home[~leaf]
+                d = np.bitwise_count((fps[row] ^ point[node]) & mask).astype(np.int64)
+                inside, cross = _sides(d, median[node], self.reach, home)
+                node = np.concatenate([np.where(inside, inner[node], outer[node]), np.where(inside, outer[node], inner[node])[cross]])
                 row, home = np.concatenate([row, row[cross]]), np.concatenate([home, np.zeros(int(cross.sum()), bool)])
-            shards.append(code + (b << 40))
-            rows.append(row)
-            homes.append(home)
         return np.concatenate(shards), np.concatenate(rows), np.concatenate(homes)
 
 
-def _leaf_links(fps: np.ndarray, home: np.ndarray, radius: int, block: int = 1 << 22):
-    """Links that span the local components of one leaf, without listing all pairs."""
-    members = np.flatnonzero(home)
-    order = np.arange(len(fps))
-    if not len(members) or len(fps) < 2:
-        return None
-    step = max(1, block // len(members))
-    label = order
-    for at in range(0, len(fps), step):
-        rows = order[at : at + step]
-        near = np.bitwise_count(fps[rows][:, None] ^ fps[members][None, :]) <= radius
-        i, j = np.nonzero(near)
-        i, j = rows[i], members[j]
-        keep = i != j
-        if keep.any():
-            star = np.flatnonzero(label != order)
-            label = local_labels(len(fps), np.concatenate([i[keep], star]), np.concatenate([j[keep], label[star]]))
-    linked = np.flatnonzero(label != order)
+def _sides(d: np.ndarray, median, reach: int, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inside, asks the other side too): those that live outside are asked by those inside and need not ask."""
+    inside = d <= median
+    return inside, np.where(inside, d + reach > median, (d - reach <= median) & ~home)
+
+
+def _leaf_links(fps: np.ndarray, home: np.ndarray, radius: int, masks: list[tuple[np.uint64, int]], leaf: int = LEAF, block: int = 1 << 22):
+    """Links that span the local components of one shard, without listing all pairs.
+
+    The tree goes on inside the shard, on the block's bits or on all of them, whichever splits better, until
+    a branch is small or its fingerprints are all near each other; then those that live there meet all in it.
+    """
+    label = np.arange(len(fps))
+    rng = np.random.default_rng(len(fps))
+    todo = [(np.arange(len(fps)), home)]
+    while todo:
+        at, lives = todo.pop()
+        if not lives.any() or len(at) < 2:
+            continue
+        here = fps[at]
+        split = _nearest_half(here if len(here) <= 512 else rng.choice(here, 512, replace=False), masks, rng) if len(at) > leaf else None
+        if split is not None:
+            v, median, mask, reach = split
+            inside, cross = _sides(np.bitwise_count((here ^ v) & mask).astype(np.int64), median, reach, lives)
+            sides = [(np.concatenate([at[s], at[cross & ~s]]), np.concatenate([lives[s], np.zeros(int((cross & ~s).sum()), bool)])) for s in (inside, ~inside)]
+            if sum(len(s) ** 2 for s, _ in sides) < SPLIT * len(at) ** 2:
+                todo += sides
+                continue
+        members = np.flatnonzero(lives)
+        step = max(1, block // len(members))
+        for low in range(0, len(at), step):
+            near = np.bitwise_count(here[low : low + step, None] ^ here[members][None, :]) <= radius
+            i, j = np.nonzero(near)
+            i, j = at[i + low], at[members[j]]
+            apart = label[i] != label[j]
+            if apart.any():
+                star = np.flatnonzero(label != np.arange(len(fps)))
+                label = local_labels(len(fps), np.concatenate([i[apart], star]), np.concatenate([j[apart], label[star]]))
+    linked = np.flatnonzero(label != np.arange(len(fps)))
     return (fps[linked], fps[label[linked]]) if len(linked) else None
 
 
-def _group_links(radius: int):
+def _group_links(radius: int, masks: list[np.uint64], reach: int):
     def run(batches):
         held: list[tuple] = []
 
         def close():
             fp = np.concatenate([x[0] for x in held]).view(np.uint64)
-            return _leaf_links(fp, np.concatenate([x[1] for x in held]), radius)
+            ways = [(masks[int(key[0]) >> 40], reach), (np.uint64((1 << 64) - 1), radius)]
+            return _leaf_links(fp, np.concatenate([x[1] for x in held]), radius, ways)
 
         key = None
         for batch in batches:
             shard = batch.column("shard").to_numpy(zero_copy_only=False)
-            salt = batch.column("salt").to_numpy(zero_copy_only=False)
+            tile = batch.column("tile").to_numpy(zero_copy_only=False)
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
             home = batch.column("home").to_numpy(zero_copy_only=False).astype(bool)
-            edge = np.flatnonzero((np.diff(shard) != 0) | (np.diff(salt) != 0)) + 1
+            edge = np.flatnonzero((np.diff(shard) != 0) | (np.diff(tile) != 0)) + 1
             links = []
             for a, b in zip([0, *edge.tolist()], [*edge.tolist(), len(shard)]):
                 if a == b:
                     continue
-                if key is not None and key != (shard[a], salt[a]):
+                if key is not None and key != (shard[a], tile[a]):
                     links.append(close())
                     held.clear()
-                key = (shard[a], salt[a])
+                key = (shard[a], tile[a])
                 held.append((fp[a:b], home[a:b]))
             yield from _as_batches(links)
         if held:
@@ -195,36 +241,39 @@ def _as_batches(links):
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, leaf: int = LEAF, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Links ``(a, b)`` that connect all distinct fingerprints ``fp`` within ``radius`` bits.
 
     Exact: every pair within the radius is compared in some shard; what is returned spans the same
-    components. Leaves with more than ``leaf_rows`` rows are dealt over several tasks, each with all
-    that live there and a part of those that ask.
+    components. The trees are built on the driver from a bounded sample, for shards of about ``shard_rows``,
+    and go on in the tasks. A shard over ``tile_rows``, as only fingerprints that lie close together can make,
+    is cut into parts, and each pair of parts is a task of its own; no task holds more than two parts.
     """
-    n = fps.count()
-    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    depth = min(30, max(0, math.ceil(math.log2(max(1, n) / leaf))))
-    forest = Forest(sample, depth, radius)
+    leaves = 1 << max(0, math.ceil(math.log2(max(1, fps.count()) / shard_rows)))
+    leaves = min(leaves, MOST_LEAVES)
+    sample = fps.orderBy(F.xxhash64("fp"), "fp").limit(LEAF_SAMPLE * leaves).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    forest = fps.sparkSession.sparkContext.broadcast(Forest(sample, leaves, radius))
 
     def run(batches):
         for batch in batches:
             every = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in range(0, len(every), 4096):
                 part = every[at : at + 4096]
-                shard, row, home = forest.route(part)
+                shard, row, home = forest.value.route(part)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(part[row].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
 
     routed = fps.mapInArrow(run, "shard long, fp long, home boolean")
-    heavy = cut(routed.groupBy("shard").count().where(F.col("count") > leaf_rows).select("shard", F.ceil(F.col("count") / leaf_rows).cast("int").alias("ways")))
+    heavy = cut(routed.groupBy("shard").count().where(F.col("count") > tile_rows).select("shard", F.ceil(F.col("count") / tile_rows).cast("int").alias("ways")))
     if heavy.isEmpty():
-        dealt = routed.withColumn("salt", F.lit(0))
+        dealt = routed.withColumn("tile", F.lit(0))
     else:
         ways = F.coalesce("ways", F.lit(1))
-        own = F.when(F.col("home"), F.sequence(F.lit(0), ways - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), ways).cast("int")))
-        dealt = routed.join(heavy, "shard", "left").select("shard", "fp", "home", F.explode(own).alias("salt"))
-    dealt = dealt.repartition("shard", "salt").sortWithinPartitions("shard", "salt")
-    return dealt.mapInArrow(_group_links(radius), "a long, b long")
+        own = F.pmod(F.xxhash64("fp"), ways).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), ways - 1), lambda k: F.least(own, k) * ways + F.greatest(own, k))
+        dealt = routed.join(F.broadcast(heavy), "shard", "left").select("shard", "fp", "home", F.explode(pairs).alias("tile"))  # a row for each shard
+    dealt = dealt.repartition("shard", "tile").sortWithinPartitions("shard", "tile")
+    masks, reach = [mask for mask, _ in forest.value.trees], forest.value.reach
+    return dealt.mapInArrow(_group_links(radius, masks, reach), "a long, b long")
 
 
 def components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

@@ -194,12 +194,34 @@ def test_trees_lose_no_near_pair(spark):
     near = np.concatenate([base, *[base ^ np.array([sum(1 << int(b) for b in rng.choice(63, d, replace=False)) for _ in base], np.uint64) for d in (1, 2, 3, 4, 5)]])
     fps = np.unique(near).tolist()
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long")
-    links = [(r.a, r.b) for r in simhash.near_links(df, leaf=4, leaf_rows=8).collect()]
+    links = [(r.a, r.b) for r in simhash.near_links(df, shard_rows=4, tile_rows=8).collect()]
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
     want = groups(signed, [(a, b) for a, b in itertools.combinations(signed, 2) if (np.uint64(a & (2**64 - 1)) ^ np.uint64(b & (2**64 - 1))).item().bit_count() <= 4])
     assert groups(signed, links) == want
 
 
+def test_branches_inside_a_shard_lose_no_pair():
+    """Dense and scattered fingerprints, some only asking: those that live there are linked with all they are near to."""
+    rng = np.random.default_rng(6)
+    flips = lambda n: np.array([sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(n)], np.uint64)
+    fps = np.unique(np.concatenate([rng.integers(0, 1 << 63, 300, dtype=np.uint64), np.uint64(12345) ^ flips(250), np.repeat(rng.integers(0, 1 << 63, 40, dtype=np.uint64), 5) ^ flips(200)]))
+    fps = rng.permutation(fps)
+    everything = [(np.uint64((1 << 64) - 1), 4)]
+    for home in (np.ones(len(fps), bool), rng.random(len(fps)) < 0.7):
+        a, b = simhash._leaf_links(fps, home, 4, everything, leaf=8)
+        pairs = [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (home[i] or home[j]) and (fps[i] ^ fps[j]).item().bit_count() <= 4]
+        want = groups(fps.tolist(), [(fps[i].item(), fps[j].item()) for i, j in pairs])
+        assert groups(fps.tolist(), zip(a.tolist(), b.tolist())) == want
+
+
+def test_nodes_have_vantage_points_of_their_own():
+    forest = simhash.Forest(np.random.default_rng(1).integers(0, 1 << 63, 4096, dtype=np.uint64), 64)
+    for _, (point, _, inner, outer) in forest.trees:
+        inner_nodes = np.flatnonzero(inner >= 0)
+        assert len(inner_nodes) > 30 and len(set(point[inner_nodes].tolist())) > len(inner_nodes) * 0.9
+        assert sorted([*inner[inner_nodes], *outer[inner_nodes]]) == list(range(1, len(inner)))
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 5000), (7000, 7001), (7001, 7000), (None, 3)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
