@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own_dir: list[str] = []
@@ -61,6 +61,20 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def running_sum(rows: DataFrame, order: str, group: Column, value: Column, name: str) -> DataFrame:
+    """``rows`` with ``name``: the sum of ``value`` in the rows before, in the order of a column of distinct values.
+
+    ``group`` is a function of ``order`` that does not fall as it rises; sums are taken within the groups and
+    over them, so that no task orders all rows.
+    """
+    until = (Window.unboundedPreceding, -1)
+    parts = rows.withColumn("__group", group).withColumn("__value", value)
+    sums = parts.groupBy("__group").agg(F.sum("__value").alias("n"))
+    sums = sums.select("__group", F.coalesce(F.sum("n").over(Window.orderBy("__group").rowsBetween(*until)), F.lit(0)).alias("__base"))
+    within = F.coalesce(F.sum("__value").over(Window.partitionBy("__group").orderBy(order).rowsBetween(*until)), F.lit(0))
+    return parts.join(sums, "__group").withColumn(name, F.col("__base") + within).drop("__group", "__value", "__base")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

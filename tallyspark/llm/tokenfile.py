@@ -12,12 +12,12 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bpe import WHITE_SPACE
-from .common import Recent, cut, few, map_batches, shared_dir, slices
+from .common import Recent, cut, few, map_batches, running_sum, shared_dir, slices
 
 MAGIC = b"TFV2"
 HEAD = struct.Struct("<4sIQQQ")
@@ -214,7 +214,8 @@ def write_files(docs: DataFrame, path: str, out: str, end_id: int = 0) -> DataFr
     order = ("doc_id", "head", "place")
     ordered = encoded.repartitionByRange(*order).sortWithinPartitions(*order)
     manifest = cut(ordered.mapInArrow(run, "file string, n_docs long, n_ids long"))
-    _starts(manifest).write.parquet(f"{out}/{STARTS}")
+    hundred = F.substring("file", 1, 9)  # of the partitions that the files are named after
+    running_sum(manifest, "file", hundred, F.col("n_ids"), "before").select("file", "before").write.parquet(f"{out}/{STARTS}")
     return manifest
 
 
@@ -225,16 +226,6 @@ def _write(path: str, content: bytes) -> None:
         f.write(content)
 
 
-def _starts(manifest: DataFrame) -> DataFrame:
-    """``(file, before)``: the ids in the files before each, in order of names: running sums within a hundred partitions, and over those."""
-    until = (Window.unboundedPreceding, -1)
-    files = manifest.withColumn("hundred", F.substring("file", 1, 9))
-    sums = files.groupBy("hundred").agg(F.sum("n_ids").alias("n"))
-    sums = sums.select("hundred", F.coalesce(F.sum("n").over(Window.orderBy("hundred").rowsBetween(*until)), F.lit(0)).alias("base"))
-    within = F.sum("n_ids").over(Window.partitionBy("hundred").orderBy("file").rowsBetween(*until))
-    return files.join(sums, "hundred").select("file", (F.col("base") + F.coalesce(within, F.lit(0))).alias("before"))
-
-
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """``(file, position, doc_id, start, ids)`` of every document in a folder of token files; ``start``: ids of all documents before it.
 

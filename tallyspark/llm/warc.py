@@ -4,33 +4,39 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import uuid
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, shared_dir
+from .common import cut, map_batches, running_sum, shared_dir
 
 #: Bytes after which a file is closed.
 FILE_BYTES = 32_000_000
 #: Children of an inner node, as a power of two.
 FAN_BITS = 4
+#: Tasks that files are dealt over at most.
+MOST_TASKS = 50_000
 DATE = "1970-01-01T00:00:00Z"
 INDEX = "file string, seq long, offset long, length long, page_id long"
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
-    """One WARC/1.1 resource record as a gzip member; its bytes follow from the page alone."""
+def record(page_id: int | None, url: str | None, html: str | None, place: str = "") -> bytes:
+    """One WARC/1.1 resource record as a gzip member; its bytes follow from the page and its place in the files.
+
+    The place makes the record's id its own even for pages that repeat; a page without a url is its own target.
+    """
     payload = (html or "").encode()
     digest = hashlib.sha256(payload).hexdigest()
     name = "" if page_id is None else str(page_id)
     head = (
         "WARC/1.1\r\nWARC-Type: resource\r\n"
-        f"WARC-Record-ID: <urn:page:{name}:{digest[:16]}>\r\nWARC-Date: {DATE}\r\n"
-        f"WARC-Target-URI: {quote(url or '', safe=':/?#[]@!$&()*+,;=%~')}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{place}:{name}:{digest}')}>\r\nWARC-Date: {DATE}\r\n"
+        f"WARC-Target-URI: {quote(url or f'urn:page:{name}', safe=':/?#[]@!$&()*+,;=%~')}\r\nWARC-Payload-Digest: sha256:{digest}\r\n"
         f"Content-Type: text/html\r\nContent-Length: {len(payload)}\r\n\r\n"
     ).encode()
     return gzip.compress(head + payload + b"\r\n\r\n", 6, mtime=0)
@@ -70,7 +76,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFr
 
         for batch in batches:
             for page_id, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                one = record(page_id, url, html)
+                one = record(page_id, url, html, f"{task.partitionId()}/{files}/{len(rows)}")
                 rows.append((len(rows), size, len(one), page_id))
                 held.append(one)
                 size += len(one)
@@ -107,7 +113,7 @@ def leaves(folder: str, index: DataFrame, of=bytes) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(seq)), pa.array(seq, pa.int64()), pa.array(out)], names=["file", "seq", "hash"])
 
     by_file = index.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("seq", "offset", "length"))).alias("ranges"))
-    return by_file.repartition("file").mapInArrow(run, "file string, seq long, hash string")
+    return _by_file(by_file, index).mapInArrow(run, "file string, seq long, hash string")
 
 
 def tree(replica: DataFrame, index: DataFrame) -> list[DataFrame]:
@@ -185,7 +191,13 @@ def audit(folder_a: str, folder_b: str, index: DataFrame) -> DataFrame:
 
 def number_files(names: DataFrame) -> DataFrame:
     """``(file, number)`` in order of names; there is one row for each 32 MB of records."""
-    return cut(names.select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("number")))
+    hundred = F.substring("file", 1, 9)  # of the partitions that the files are named after
+    return cut(running_sum(names.select("file"), "file", hundred, F.lit(1), "number").select("file", F.col("number").cast("long").alias("number")))
+
+
+def _by_file(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """Rows dealt by file into as many tasks as there are files (bounded): each stands for a whole file to read, however small it is."""
+    return rows.repartition(max(1, min(MOST_TASKS, index.select("file").distinct().count())), "file")
 
 
 def replicate(folder: str, target: str, index: DataFrame, damage: Column) -> None:
@@ -211,7 +223,7 @@ def replicate(folder: str, target: str, index: DataFrame, damage: Column) -> Non
 
     place = F.when(damage, F.col("offset") + F.floor(F.col("length") / 2).cast("long"))
     by_file = index.groupBy("file").agg(F.collect_list(place).alias("places"))
-    cut(by_file.repartition("file").mapInArrow(run, "file string"))
+    cut(_by_file(by_file, index).mapInArrow(run, "file string"))
 
 
 def fixity(pages: DataFrame, damage: Column) -> DataFrame:
