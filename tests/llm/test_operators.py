@@ -2,6 +2,7 @@
 
 import collections
 import decimal
+import gzip
 import hashlib
 import itertools
 import math
@@ -616,10 +617,34 @@ def test_embedding_hard_cases(spark):
 
 def test_quantisation_bounds_hold():
     x = np.random.default_rng(3).normal(size=(60, 33))
-    unit, codes, scale, norm, rest = embdedup.quantise(x)
-    got = (codes.astype(float) @ codes.T.astype(float)) * np.outer(scale, scale)
-    bound = np.outer(norm, rest) + np.outer(rest, norm) + np.outer(rest, rest)
-    assert np.all(np.abs(unit @ unit.T - got) <= bound + 1e-12)
+    codes, rest, facts = embdedup.quantise(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    scale = facts[:, :1]
+    for approx, norm, error in ((codes * scale, facts[:, 1], facts[:, 2]), (codes * scale + rest * (scale / 254), facts[:, 3], facts[:, 4])):
+        bound = np.outer(norm, error) + np.outer(error, norm) + np.outer(error, error)
+        assert np.all(np.abs(unit @ unit.T - approx @ approx.T) <= bound + 1e-12)
+    assert facts[:, 4].max() < facts[:, 2].min() / 50
+
+
+def test_pairs_at_the_threshold_are_settled_by_the_vectors(spark):
+    """Cosines a hair above and below: the codes leave them in doubt, double precision tells them apart."""
+    rows, rng = [], np.random.default_rng(8)
+    for k, off in enumerate([1e-3, 1e-5, 1e-6, 1e-9, -1e-9, -1e-6, -1e-5, -1e-3]):
+        u = rng.normal(size=40)
+        u /= np.linalg.norm(u)
+        w = rng.normal(size=40)
+        w -= (w @ u) * u
+        c = 0.95 + off
+        rows += [(2 * k, u.tolist()), (2 * k + 1, (7 * (c * u + math.sqrt(1 - c * c) * w / np.linalg.norm(w))).tolist())]
+    check_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), block=4)
+    pairs = [(i, j, s) for i, j, s in embdedup.tile_pairs(*[embdedup.quantise(np.array([v for _, v in rows]))] * 2, same=True)]
+    doubt = [(a, b) for i, j, s in pairs for a, b, sure in zip(i.tolist(), j.tolist(), s.tolist()) if not sure]
+    assert (6, 7) in doubt and (8, 9) in doubt and (0, 1) not in doubt
+
+
+def test_classes_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(embdedup, "HOT", 2)
+    check_links(spark.createDataFrame([(i, [1.0, 0.1]) for i in range(9)] + [(20, [1.0, 0.2]), (21, [0.0, 1.0])], "vec_id long, embedding array<float>"))
 
 
 # 9. WARC
@@ -663,6 +688,29 @@ def test_records_read_back(spark):
     assert warc.fixity(pages(spark).limit(0), F.lit(True)).count() == 0
 
 
+def test_long_and_repeated_pages(spark, tmp_path):
+    """Records have ids of their own even if pages repeat, and a very long page is one record."""
+    rows = [(1, "https://a.example/", "<p>x</p>")] * 3 + [(2, None, "long " * 400_000), (None, "", None)]
+    index = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), f"file://{tmp_path}", file_bytes=2_000)
+    assert index.count() == 5
+    ids, targets = [], []
+    for f in tmp_path.glob("*.warc.gz"):
+        text = gzip.decompress(f.read_bytes()).decode()
+        ids += re.findall("WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)", text)
+        targets += re.findall("WARC-Target-URI: (.*)\r", text)
+    assert len(set(ids)) == 5 and sorted(targets) == ["https://a.example/"] * 3 + ["urn:page:", "urn:page:2"]
+    got = warc.payload_digests(f"file://{tmp_path}", index).collect()
+    assert {r.payload_sha256 for r in got if r.page_id == 2} == {hashlib.sha256(b"long " * 400_000).hexdigest()}
+
+
+def test_files_are_read_by_a_task_each(spark, tmp_path):
+    index = warc.write(pages(spark), f"file://{tmp_path}", file_bytes=4_000)
+    files = index.select("file").distinct().count()
+    assert warc.leaves(f"file://{tmp_path}", index).rdd.getNumPartitions() == files > 3
+    numbers = warc.number_files(index.select("file").distinct()).orderBy("file").collect()
+    assert [r.number for r in numbers] == list(range(files))
+
+
 # 10. Secrets
 
 
