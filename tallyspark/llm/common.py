@@ -13,17 +13,31 @@ from pyspark.sql import functions as F
 _own_dir: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one named in ``spark.checkpoint.dir``.
+def base_dir(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests in local mode) a temporary folder is used.
+    In local mode, as in tests, a temporary folder is made if that setting is absent; on a cluster that is an error,
+    since executors would write to disks of their own.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _own_dir:
-            _own_dir.append("file://" + tempfile.mkdtemp(prefix="tally-"))
-        base = _own_dir[0]
-    return f"{base.rstrip('/')}/tally-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own_dir:
+        _own_dir.append("file://" + tempfile.mkdtemp(prefix="tally-"))
+    return _own_dir[0]
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder for this application below :func:`base_dir`."""
+    return f"{base_dir(spark)}/tally-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete all that :func:`shared_dir` has named in this application; results that were not written elsewhere go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base_dir(spark)}/tally-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
