@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import json
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,6 +56,47 @@ def has_keys(text: Column, *keys: str) -> Column:
     return holds(F.try_parse_json(text).isNotNull() & (F.sort_array(F.json_object_keys(text)) == wanted))
 
 
+@functools.lru_cache(maxsize=16)
+def _unapproved(fields: tuple[tuple[str, tuple[str, ...]], ...], root: str):
+    """Pandas UDF: what :func:`unapproved` lists."""
+    allowed = {path: set(names) for path, names in fields}
+
+    def walk(value, path: str, out: list) -> None:
+        if isinstance(value, dict):
+            if path not in allowed:
+                out.append(path)
+                return
+            out += [f"{path}.{name}" for name in value if name not in allowed[path]]
+            for name in allowed[path].intersection(value):
+                walk(value[name], f"{path}.{name}", out)
+        elif isinstance(value, list):
+            for item in value:
+                walk(item, f"{path}[]", out)
+
+    def one(text):
+        out: list = []
+        try:
+            walk(json.loads(text), root, out)
+        except (ValueError, RecursionError):
+            return [root]
+        return sorted(set(out))
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else one(v))
+
+    return run
+
+
+def unapproved(text: Column, fields: dict[str, Sequence[str]], root: str = "root") -> Column:
+    """Paths in JSON text that a public allowlist does not name: keys beyond it, and objects where it has none.
+
+    ``fields`` lists the keys of the object at each path, such as ``root.facts[].period``; objects may nest
+    to any depth, and a list's items share a path. Text that is no JSON breaks the root itself.
+    """
+    return _unapproved(tuple(sorted((path, tuple(names)) for path, names in fields.items())), root)(text)
+
+
 def extra_keys(text: Column, *allowed: str) -> Column:
     """SET4: keys of a JSON object beyond the allowed ones."""
     return F.sort_array(F.array_except(F.json_object_keys(text), F.array(*[F.lit(k) for k in allowed])))

@@ -21,6 +21,11 @@ def nfkc_lower():
     return run
 
 
+def compatible(text: Column) -> Column:
+    """Lower-cased compatibility form; only texts beyond ASCII go to Python, others are their own form."""
+    return F.coalesce(nfkc_lower()(F.when(text.rlike(r"[^\x00-\x7f]"), text)), F.lower(text))
+
+
 def folded(query: str) -> str:
     return unicodedata.normalize("NFKC", query).lower()
 
@@ -32,7 +37,7 @@ def joined(*fields: str) -> Column:
 
 def all_words(query: str, *fields: str, nfkc: bool = True) -> Column:
     """T1 (T6 without ``nfkc``): every word of the query occurs in the joined fields; no words: all rows."""
-    text = nfkc_lower()(joined(*fields)) if nfkc else F.lower(joined(*fields))
+    text = compatible(joined(*fields)) if nfkc else F.lower(joined(*fields))
     found = F.lit(True)
     for word in (folded(query) if nfkc else query.lower()).split():
         found = found & F.contains(text, F.lit(word))
@@ -60,7 +65,7 @@ def one_field(query: str, field: str) -> Column:
 
 def part_of(value: str, field: str) -> Column:
     """T2's second half: an optional substring of one field, in compatibility normal form."""
-    return F.contains(nfkc_lower()(F.coalesce(F.col(field), F.lit(""))), F.lit(folded(value))) if value else F.lit(True)
+    return F.contains(compatible(F.coalesce(F.col(field), F.lit(""))), F.lit(folded(value))) if value else F.lit(True)
 
 
 def pretty(code: Column, labels: dict[str, str] | None = None) -> Column:

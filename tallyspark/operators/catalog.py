@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.urls import without_fragment
 from .search import known_or_any
 
 #: The only stage of the chain from budget to outcome that a source record backs comes first (fixed values).
@@ -43,15 +45,43 @@ def topic_counts(entries: DataFrame, kind: str = "collection") -> DataFrame:
     return entries.where(F.col("kind") == kind).select(F.explode("topics").alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
+@functools.cache
+def _https_values(skip: str):
+    """Pandas UDF: what :func:`https_urls` gathers from JSON text; an empty array if it is none."""
+
+    def walk(value, found: set) -> None:
+        if isinstance(value, dict):
+            for name, item in value.items():
+                if name in ("url", "sourceURL") and isinstance(item, str) and item.startswith("https://"):
+                    found.add(item.split("#")[0])
+                elif name != skip:
+                    walk(item, found)
+        elif isinstance(value, list):
+            for item in value:
+                walk(item, found)
+
+    def one(text):
+        found: set = set()
+        try:
+            walk(json.loads(text), found)
+        except (ValueError, RecursionError):
+            return []
+        return sorted(found)
+
+    @F.pandas_udf("array<string>")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else one(v))
+
+    return run
+
+
 def https_urls(bundles: DataFrame, column: str = "body", skip: str = "sources") -> DataFrame:
-    """``(id, urls)``: the https values of ``url`` and ``sourceURL`` keys anywhere in JSON text, sorted.
+    """``(id, urls)``: the https values of ``url`` and ``sourceURL`` keys at any depth of JSON text, sorted.
 
     Whatever lies under a key named ``skip`` is left out; fragments are dropped and repeats counted once.
-    The text is cut at its keys by patterns, so any depth works without a schema.
+    Keys of any name and depth are followed, which no schema can say, so the text is parsed in Python.
     """
-    bare = F.regexp_replace(column, rf'"{skip}"\s*:\s*\[[^\]]*\]', '""')
-    found = F.regexp_extract_all(bare, F.lit(r'"(?:url|sourceURL)"\s*:\s*"(https://[^"\\]*)"'), 1)
-    return bundles.select("id", F.array_sort(F.array_distinct(F.transform(found, without_fragment))).alias("urls"))
+    return bundles.select("id", _https_values(skip)(F.col(column)).alias("urls"))
 
 
 def counted(body: Column, path: str, kind: str) -> Column:

@@ -8,6 +8,7 @@ take its DataFrame.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import fiscal_bounds, fiscal_year, is_date, period_holds, strict_date
 from ..functions.exact import MULTIPLIER, cents, holds, is_decimal, multiplier_of, rounded_percent_holds, scale_exact, source_token, sum_known, to_decimal
 from ..functions.urls import safe_url
-from .gates import Rule, agg, fk, group, key, named, row
+from .filters import STATUSES
+from .gates import Rule, agg, covers, fk, group, key, named, row
 from .identity import STAGE_PAIRS
 
 STAGES = ("original_estimate", "amended_estimate", "adjusted_estimate", "audited_actual", "capital_plan")
@@ -82,7 +84,7 @@ def municipal(measures: Sequence[str], n: int | None = None) -> list[Rule]:
 def municipal_capital(n_values: int = 9) -> list[Rule]:
     """Rows of capital figures: row_role, is_placeholder, values (array of struct measureType, availability, value, asOf)."""
     each = F.forall("values", lambda v: F.coalesce((v["availability"] == "reported") == v["value"].isNotNull(), F.lit(False)) & F.coalesce((v["measureType"] == "stock") == v["asOf"].isNotNull(), F.lit(False)))
-    return [*named(), row("role", c("row_role").isin("municipality", "aggregate")), row("no_placeholder", ~c("is_placeholder")), row("columns", F.size("values") == n_values), row("values", each)]
+    return [*named(), row("role", c("row_role").isin("municipality", "published_aggregate")), row("no_placeholder", ~c("is_placeholder")), row("columns", F.size("values") == n_values), row("values", each)]
 
 
 def budget(columns: DataFrame, n: int | None = None) -> list[Rule]:
@@ -146,12 +148,35 @@ def audits(n: int | None = None) -> list[Rule]:
     return [*named(), row("sum", c("completed") + c("not_completed") == c("total")), row("percent", rounded_percent_holds(c("percent"), c("completed"), c("total"))), *flags_off("current_status_verified"), *size(n)]
 
 
-def audit_recommendations(pages: Mapping[str, int] | None = None) -> list[Rule]:
-    """Recommendations numbered without gaps in each audit, on the printed page that follows from the number."""
-    rules = [*named(), key("number_unique", "audit_id", "number"), group("numbers_gapless", (F.max("number") == F.count("*")) & (F.min("number") == 1), "audit_id"), row("status", c("status").isin("Complete", "Not complete"))]
+def audit_cohorts(main_years: Sequence[int], additional_year: int) -> list[Rule]:
+    """Counts of the main years by cohort, over records joined to their cohort's printed totals.
+
+    Columns: audit_year, completed, not_completed, total, cohort_completed, cohort_total (null for the additional year, which is
+    never part of a cohort), main_completed, main_not_completed, main_total (the printed sums of the main years, in every row).
+    """
+    main = c("audit_year").isin(*main_years)
+    part = lambda x: F.sum(F.when(main, c(x)))
+    both = (F.sum("total") == F.first("cohort_total")) & (F.sum("completed") == F.first("cohort_completed"))
+    rules = [row("year", main | (c("audit_year") == additional_year)), row("cohort", main == c("cohort_total").isNotNull()), group("cohort_sum", ~F.first(main) | both, "audit_year")]
+    return rules + [agg(f"main_{x}", part(x) == F.first(f"main_{x}")) for x in ("completed", "not_completed", "total")]
+
+
+def audit_recommendations(pages: Mapping[str, Sequence[tuple[int, int]]] | None = None, completed: Mapping[str, Sequence[int]] | None = None, prefix: str = "") -> list[Rule]:
+    """Recommendations numbered without gaps in each audit, each on the printed page and with the status that its number says.
+
+    ``pages``: for each audit (last number, page) in order; ``completed``: for each audit the numbers that are completed. With a
+    ``prefix`` ids are composed of it, the audit and the number in two digits. The PDF's page is the one after the printed one.
+    """
+    rules = [*named(), key("number_unique", "audit_id", "number"), group("numbers_gapless", (F.max("number") == F.count("*")) & (F.min("number") == 1), "audit_id"), row("status", c("status").isin(*STATUSES))]
     if pages:
-        first = F.coalesce(*[F.when(c("audit_id") == a, F.lit(p)) for a, p in pages.items()])
-        rules.append(row("page", c("printed_page") >= first))
+        on = F.coalesce(*[F.when((c("audit_id") == a) & (c("number") <= last), F.lit(page)) for a, parts in pages.items() for last, page in parts])
+        rules += [row("page", c("printed_page") == on), row("pdf_page", c("pdf_page") == c("printed_page") + 1)]
+    if completed:
+        done = F.coalesce(*[F.when(c("audit_id") == a, c("number").isin(*numbers)) for a, numbers in completed.items()])
+        rules.append(row("status_set", c("status") == F.when(done, STATUSES[0]).otherwise(STATUSES[1])))
+        rules.append(row("known_audit", c("audit_id").isin(*completed)))
+    if prefix:
+        rules.append(row("id_composed", c("id") == F.concat(F.lit(prefix), c("audit_id"), F.lit("-"), F.lpad(c("number").cast("string"), 2, "0"))))
     return rules + flags_off("current_status_verified")
 
 
@@ -168,8 +193,8 @@ def facilities() -> list[Rule]:
 
 
 def winter(expected: DataFrame) -> list[Rule]:
-    """Every literal cell is the expected one; no rate over both kinds of report may be given."""
-    return [*named(), fk("cells", ["id", "group_id", "cell"], expected), row("no_combined_rate", c("combined_rate").isNull())]
+    """The literal cells are the expected ones, none more and none missing; no rate over both kinds of report may be given."""
+    return [*named(), fk("cells", ["id", "group_id", "cell"], expected), covers("cells_complete", ["id", "group_id", "cell"], expected), row("no_combined_rate", c("combined_rate").isNull())]
 
 
 def anonymous_case(aliases: Sequence[str]) -> list[Rule]:
@@ -220,6 +245,36 @@ def water() -> list[Rule]:
     return [*named(), row("under", (c("spent") > c("budget")) | (c("budget") - c("spent") == c("under"))), row("over_unknown", c("over").isNull() | (c("spent") - c("budget") == c("over"))), row("matters", F.size("matter_ids") > 0)]
 
 
+def water_services() -> list[Rule]:
+    """By service, spent and budget come to the calculated and the narrated sums, and their difference to the net one.
+
+    Over projects joined to their service's reconciliation: service_group, id, spent, budget, project_ids, calculated_spent, narrated_spent,
+    calculated_budget, calculated_net, narrated_net, and the flag that the net is additional money, which it is not.
+    """
+    spent, budget = sum_known(c("spent")), sum_known(c("budget"))
+    same = lambda value, *names: reduce(lambda a, b: a & b, [value == F.first(n) for n in names])
+    return [
+        row("service", c("service_group").isin("water", "wastewater")), group("projects", F.sort_array(F.collect_set("id")) == F.array_sort(F.first("project_ids")), "service_group"),
+        group("spent", same(spent, "calculated_spent", "narrated_spent"), "service_group"), group("budget", same(budget, "calculated_budget"), "service_group"),
+        group("net", same(budget - spent, "calculated_net", "narrated_net"), "service_group"), *flags_off("is_additional_money"),
+    ]
+
+
+def superseding(earlier: DataFrame) -> list[Rule]:
+    """Versions: a bundle (id, sha, supersedes_sha) that replaces another names it by digest, is not its own predecessor, and both are kept; ``earlier``: sha."""
+    return [*named(), key("one_successor", "supersedes_sha"), fk("predecessor", ["supersedes_sha"], earlier, ["sha"]), row("not_itself", c("sha") != c("supersedes_sha"))]
+
+
+def transit_total() -> list[Rule]:
+    """Parts against the overall row: the residual is disclosed, not hidden. Columns: is_overall, actual, planned, and in every row component_actual, component_planned, disclosed_residual."""
+    part = lambda x: F.sum(F.when(~c("is_overall"), c(x)))
+    whole = lambda x: F.sum(F.when(c("is_overall"), c(x)))
+    return [
+        agg("one_overall", F.count_if(c("is_overall")) == 1), agg("actual_parts", part("actual") == F.first("component_actual")), agg("planned_parts", part("planned") == F.first("component_planned")),
+        agg("residual", part("actual") - whole("actual") == F.first("disclosed_residual")), row("known", c("actual").isNotNull() & c("planned").isNotNull()),
+    ]
+
+
 def transit() -> list[Rule]:
     """Actual less planned; whole objects equal the reviewed ones by canonical form (``canonical``, ``reviewed``)."""
     return [*named(), row("difference", c("actual").isNull() | (c("actual") - c("planned") == c("difference"))), row("object", c("canonical") == c("reviewed"))]

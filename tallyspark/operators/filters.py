@@ -13,6 +13,10 @@ from . import search
 from .joins import label
 
 
+#: Statuses of a recommendation (fixed values).
+STATUSES = ("Completed", "Incomplete")
+
+
 def references(rows: DataFrame, query: str = "", group: str = "", stage: str = "") -> DataFrame:
     """title, publisher and url by words; stage is published, reference or capture, others mean any."""
     kept = text.all_words(query, "title", "publisher", "url") if query else F.lit(True)
@@ -37,9 +41,9 @@ def municipal(rows: DataFrame, query: str = "", type: str = "", year: str = "")
 
 
 def municipal_capital(rows: DataFrame, query: str = "", type: str = "", role: str = "municipality") -> DataFrame:
-    """municipalities or aggregates, never both; an unknown role means municipalities."""
-    role = role if role in ("municipality", "aggregate") else "municipality"
-    return search.filed(rows, query, text.one_field(query, "municipality"), municipality_type=type, row_role=role)
+    """municipalities or published aggregates by words in any order (T1), never both; an unknown role means municipalities."""
+    role = role if role == "published_aggregate" else "municipality"
+    return search.filed(rows, query, text.all_words(query, "municipality"), municipality_type=type, row_role=role)
 
 
 def physician(rows: DataFrame, query: str = "", year: str = "", type: str = "", sign: str = "") -> DataFrame:
@@ -88,7 +92,7 @@ def audits(rows: DataFrame, query: str = "", year: int | None = None, incomplete
 
 def audit_recommendations(rows: DataFrame, audits_: DataFrame, query: str = "", audit: str = "", status: str = "") -> DataFrame:
     """Recommendations by a phrase that may be in their audit's columns (T3); an unknown status is an error."""
-    search.check_choice(status, ("Complete", "Not complete"))
+    search.check_choice(status, STATUSES)
     joined = label(rows, audits_, ["audit_id"], ["title", "report_date"])
     return search.filed(joined, query, text.any_field(query, "audit_id", "title", "report_date", "number", "status"), audit_id=audit, status=status)
 

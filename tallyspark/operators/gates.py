@@ -21,7 +21,7 @@ class Rule:
     """One constraint.
 
     ``row``: ``expr`` holds in every row. ``agg``: ``expr``, over aggregates, holds for the table.
-    ``key``: ``columns`` tell rows apart. ``fk``: ``columns`` occur in ``parent``. ``group``: ``expr`` holds for each
+    ``key``: ``columns`` tell rows apart. ``fk``: ``columns`` occur in ``parent``; ``covers``: all of ``parent`` occurs. ``group``: ``expr`` holds for each
     group of ``columns``. An expression that is unknown counts as broken.
     """
 
@@ -53,13 +53,21 @@ def fk(id: str, columns: Sequence[str], parent: DataFrame, parent_columns: Seque
     return Rule(id, "fk", columns=tuple(columns), parent=parent, parent_columns=tuple(parent_columns or columns))
 
 
+def covers(id: str, columns: Sequence[str], parent: DataFrame, parent_columns: Sequence[str] | None = None) -> Rule:
+    return Rule(id, "covers", columns=tuple(columns), parent=parent, parent_columns=tuple(parent_columns or columns))
+
+
 def named(id: str = "id") -> list[Rule]:
     """M1: identities are there, not empty, and unique."""
     return [row(f"{id}_present", F.length(F.col(id)) > 0), key(f"{id}_unique", id)]
 
 
 def _text(columns: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+    """A key as text; with several columns ``|`` and ``\\`` in their values are escaped, so that keys that differ look different."""
+    known = [F.col(c).cast("string") for c in columns]
+    if len(known) > 1:
+        known = [F.regexp_replace(k, r"([\\|])", r"\\$1") for k in known]
+    return F.concat_ws("|", *[F.coalesce(k, F.lit("null")) for k in known])
 
 
 def violations(df: DataFrame, rules: Sequence[Rule], id: str = "id") -> DataFrame:
@@ -90,6 +98,10 @@ def violations(df: DataFrame, rules: Sequence[Rule], id: str = "id") -> DataFram
             same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(r.columns)])
             lost = df.join(parent, same, "left_anti")
             found.append(lost.select(F.lit(r.id).alias("rule_id"), _text(r.columns).alias("key"), F.lit("no parent").alias("detail")))
+        elif r.kind == "covers":
+            here = df.select(*[F.col(c).alias(p) for c, p in zip(r.columns, r.parent_columns)]).distinct()
+            lost = r.parent.join(here, list(r.parent_columns), "left_anti")
+            found.append(lost.select(F.lit(r.id).alias("rule_id"), _text(r.parent_columns).alias("key"), F.lit("missing").alias("detail")))
     return reduce(DataFrame.union, found) if found else df.sparkSession.createDataFrame([], VIOLATION)
 
 

@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import holds, is_decimal
 from ..functions.hashing import has_keys, is_digest
+from ..sources.frozen import freeze
 
 #: The statuses of a result, the modes of a rule and the declarations of native arithmetic (fixed values).
 STATUSES = ("flagged_unreviewed", "explained", "insufficient_evidence")
 MODES = ("source_native_arithmetic", "monetary_comparison")
 NATIVE = ("same_schedule_component_sum", "same_table_documented_asset_identity")
 MOST_TERMS = 100
+#: Names in the locator of a cell (fixed values).
+CELL_NAMES = ("column", "field", "kind", "page", "row", "rowId", "table")
 #: Whole and fraction digits up to which the JVM's decimals are exact here.
 WHOLE, PLACES = 18, 16
 
@@ -59,14 +62,16 @@ def _cell_problem(f: Column) -> Column:
     loc = f["nativeCellLocator"]
     pdf = has_keys(loc, "kind", "page", "table", "row", "column") & (F.get_json_object(loc, "$.kind") == "pdf_table_cell")
     cell = has_keys(loc, "kind", "rowId", "field") & (F.get_json_object(loc, "$.kind") == "dataset_cell")
-    plain = ~loc.rlike(r':\s*(null|true|false|""|\{|\[)')
+    plain = F.lit(True)
+    for name in CELL_NAMES:
+        type_ = F.schema_of_variant(F.try_variant_get(F.try_parse_json(loc), f"$.{name}", "variant"))
+        plain = plain & (type_.isNull() | (~type_.rlike(r"\A(OBJECT|ARRAY|BOOLEAN|VOID)") & (F.get_json_object(loc, f"$.{name}") != "")))
     return ~(holds(pdf | cell) & holds(plain))
 
 
 def cell_key(locator: Column) -> Column:
-    """A locator's values in the order of their names, whatever order they are written in."""
-    names = ("column", "field", "kind", "page", "row", "rowId", "table")
-    return F.concat_ws("|", *[F.coalesce(F.get_json_object(locator, f"$.{n}"), F.lit("")) for n in names])
+    """A locator's values in the order of their names, whatever order they are written in; values that hold separators stay apart."""
+    return F.array(*[F.coalesce(F.get_json_object(locator, f"$.{n}"), F.lit("")) for n in CELL_NAMES])
 
 
 def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
@@ -177,11 +182,11 @@ def _long_sums():
 
 
 def run(rules: DataFrame, facts: DataFrame) -> DataFrame:
-    """:func:`evaluate`, refused as a whole if an id repeats or any declaration is invalid."""
+    """:func:`evaluate`, refused as a whole if an id repeats or any declaration is invalid; evaluated once, what was judged is what is returned."""
     for table, name in ((rules, "rule"), (facts, "fact")):
         if not table.groupBy("id").count().where("count > 1").isEmpty():
             raise InvalidDeclaration(f"duplicate {name} id")
-    results = evaluate(rules, facts)
+    results = freeze(evaluate(rules, facts))
     bad = results.where("problem is not null").select("rule_id", "problem").limit(3).collect()
     if bad:
         raise InvalidDeclaration("; ".join(f"{b.rule_id}: {b.problem}" for b in bad))

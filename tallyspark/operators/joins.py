@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes up to which a side is broadcast.
-BROADCAST_BYTES = 64_000_000
+#: Bytes (estimated, files compressed) up to which a side is broadcast; beyond it the engine's own choice stands.
+BROADCAST_BYTES = 10_000_000
 
 
 def small(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
@@ -19,8 +19,13 @@ def small(df: DataFrame, bound: int = BROADCAST_BYTES) -> DataFrame:
 
 
 def label(rows: DataFrame, labels: DataFrame, on: Sequence[str], take: Sequence[str]) -> DataFrame:
-    """Labels joined onto rows by exact keys; rows without a label keep null. Labels are unique by key."""
-    return rows.join(small(labels.select(*on, *take)), list(on), "left")
+    """Labels joined onto rows by exact keys; rows without a label keep null.
+
+    A key with several labels would multiply rows, so such labels fail the query when it runs.
+    """
+    taken = labels.groupBy(*on).agg(*[F.first(c).alias(c) for c in take], F.count("*").alias("__n"))
+    refused = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit("more than one label for "), F.concat_ws("|", *on)))).otherwise(F.lit(True))
+    return rows.join(small(taken.where(refused).select(*on, *take)), list(on), "left")
 
 
 def label_faults(rows: DataFrame, labels: DataFrame, on: Sequence[str], same: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import in_order, instant
 from ..functions.exact import holds, in_bound
-from ..functions.hashing import is_digest
+from ..functions.hashing import is_digest, same_json
 from .diff import change_counts, changes, coverage
 
 #: Days between attempts, seconds of a request and of a pair of requests (fixed values).
@@ -24,7 +25,8 @@ TOP_FILES = ("baseline-retrieval.json", "hold.json", "active.lock", "attempts")
 
 def fold(events: DataFrame) -> DataFrame:
     """ST2: the latest status of each attempt; ``events``: dataset, attempt, seq, kind, status, at."""
-    return events.groupBy("dataset", "attempt").agg(F.max_by("status", "seq").alias("status"), F.max_by("kind", "seq").alias("kind"), F.max("at").alias("at"))
+    last = F.struct("seq", "kind", "status")  # equal numbers: the later kind and status by name, so that the result does not depend on the order of rows
+    return events.groupBy("dataset", "attempt").agg(F.max_by("status", last).alias("status"), F.max_by("kind", last).alias("kind"), F.max("at").alias("at"))
 
 
 def admission(events: DataFrame, now: Column) -> DataFrame:
@@ -47,10 +49,11 @@ def admission(events: DataFrame, now: Column) -> DataFrame:
     return facts.select("dataset", reason.isNull().alias("may_start"), reason.alias("reason"))
 
 
-def findings(artifacts: DataFrame) -> DataFrame:
+def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mapping[str, str] | None = None) -> DataFrame:
     """ST4: ``(snapshot, code, path)``: what in retained snapshots needs review; nothing is dropped or cleared.
 
-    ``artifacts``: snapshot, path, kind, bytes, sha, body (text of journal files, else null).
+    ``artifacts``: snapshot, path, kind, bytes, sha, body (text of journal files, else null). With ``baseline`` (JSON text) the accepted
+    baseline's history must be that, whatever the order of its keys; with ``endpoints`` (kind to URL) requests and responses must be theirs.
     """
     run = F.regexp_extract("path", r"\Aattempts/([^/]+)", 1)
     name = F.regexp_extract("path", r"\Aattempts/[^/]+/(.+)\z", 1)
@@ -62,6 +65,8 @@ def findings(artifacts: DataFrame) -> DataFrame:
     is_receipt, is_attempt = F.col("name").endswith(".receipt.json"), F.col("name").endswith(".attempt.json")
     good = parsed.isNotNull()
     unknown = ~F.col("path").isin(*TOP_FILES) & ~((F.col("run") != "") & ((F.col("name") == "") | F.col("name").isin(*ATTEMPT_FILES, *[f"{k}{s}" for k in KINDS for s in (".attempt.json", ".receipt.json", ".body")])))
+    endpoint = F.coalesce(*[F.when(F.col("name").startswith(f"{k}."), F.lit(u)) for k, u in (endpoints or {"": ""}).items()])
+    right_response = (get("responseURL") == endpoint) if endpoints else F.lit(True)
     single = F.array_compact(F.array(
         code((F.col("kind") == "file") & journal & ~good, "malformed_journal_record"),
         code(F.col("path") == "hold.json", "persistent_hold_preserved"),
@@ -72,14 +77,16 @@ def findings(artifacts: DataFrame) -> DataFrame:
         code((F.col("name") == "outcome.json") & good & get("completedAtEpoch").try_cast("double").isNull(), "unknown_completion_time"),
         code((F.col("name") == "outcome.json") & good & ~holds(get("status") == "candidate_prepared"), "failed_or_unknown_outcome_preserved"),
         code((is_attempt | is_receipt) & good & instant(get("attemptedAt")).isNull(), "unknown_request_time"),
-        code(is_receipt & good & ~holds((get("status") == "200") & (get("complete") == "true") & (get("headersComplete") == "true") & get("transportError").isNull() & (get("workerTermination") == "confirmed")), "failed_or_uncertain_response_preserved"),
+        code(is_receipt & good & ~holds((get("status") == "200") & (get("complete") == "true") & (get("headersComplete") == "true") & get("transportError").isNull() & (get("workerTermination") == "confirmed") & right_response), "failed_or_uncertain_response_preserved"),
         code(unknown, "unrecognized_artifact_preserved"),
+        *([code((F.col("path") == TOP_FILES[0]) & good & ~same_json(F.col("body"), F.lit(baseline)), "accepted_baseline_history_mismatch")] if baseline is not None else []),
+        *([code((is_attempt | is_receipt) & good & ~holds(get("url") == endpoint), "unexpected_endpoint_preserved")] if endpoints else []),
     ))
     alone = rows.select("snapshot", F.explode(single).alias("code"), "path")
     file_sha = rows.where("kind = 'file'").select("snapshot", F.col("path").alias("bound"), F.col("sha").alias("bound_sha"), F.col("bytes").alias("bound_bytes"))
     claims = rows.where(good & (is_receipt | ((F.col("name") == "outcome.json") & holds(get("status") == "candidate_prepared")))).select(
         "snapshot", "path", is_receipt.alias("receipt"), F.when(is_receipt, F.regexp_replace("path", r"\.receipt\.json\z", ".body")).otherwise(F.regexp_replace("path", r"outcome\.json\z", "candidate.private.json")).alias("bound"),
-        F.when(is_receipt, get("bodySha256")).otherwise(get("candidateSha256")).alias("says"), get("bodyBytes").try_cast("long").alias("says_bytes"),
+        F.when(is_receipt, get("bodySha256")).otherwise(F.when(get("publicationAllowed") == "false", get("candidateSha256"))).alias("says"), get("bodyBytes").try_cast("long").alias("says_bytes"),
     )
     bound = claims.join(file_sha, ["snapshot", "bound"], "left")
     broken = ~holds((F.col("says") == F.col("bound_sha")) & (~F.col("receipt") | (F.col("says_bytes") == F.col("bound_bytes"))))
@@ -91,6 +98,33 @@ def findings(artifacts: DataFrame) -> DataFrame:
     return alone.union(bindings).union(missing).distinct()
 
 
+def plan_status(found: DataFrame, conflicts: DataFrame, issues: DataFrame) -> DataFrame:
+    """ST5: one row ``(status, findings, conflicts, issues)``: a plan with anything open is input that requires review, and nothing it says authorises more."""
+    parts = {"findings": found, "conflicts": conflicts, "issues": issues}
+    every = reduce(DataFrame.union, [df.select(F.lit(name).alias("part")) for name, df in parts.items()])
+    counts = every.agg(*[F.count_if(F.col("part") == name).alias(name) for name in parts])
+    status = F.when(F.col("findings") + F.col("conflicts") + F.col("issues") > 0, "input_requires_review").otherwise("review_plan_only")
+    return counts.select(status.alias("status"), "findings", "conflicts", "issues")
+
+
+#: What the metadata of the refreshed dataset must say (fixed values).
+IDENTITY = {
+    "id": "xpt9-p9is", "provenance": "official", "licenseId": "OGL_NOVA_SCOTIA", "publicationStage": "published", "assetType": "dataset",
+    "owner.id": "9pyy-md4w", "owner.displayName": "Open Data Nova Scotia", "owner.screenName": "Open Data Nova Scotia",
+}
+TYPES = ("text", "text", "text", "number")
+
+
+def metadata_problems(metadata: DataFrame, names: Sequence[str], fields: Sequence[str], types: Sequence[str] = TYPES, identity: Mapping[str, str] = IDENTITY) -> DataFrame:
+    """§2.12: ``metadata(name, body)`` with ``problems``: identity, licence, stage, owner or columns that are not the reviewed ones, in their order."""
+    get = lambda p: F.get_json_object("body", f"$.{p}")
+    listed = F.from_json(get("columns"), "array<struct<name:string,fieldName:string,dataTypeName:string>>")
+    checks = {p: get(p) == v for p, v in identity.items()}
+    for label, key, wanted in (("column names", "name", names), ("column fields", "fieldName", fields), ("column types", "dataTypeName", types)):
+        checks[label] = F.transform(listed, lambda x, key=key: x[key]) == F.array(*map(F.lit, wanted))
+    return metadata.withColumn("problems", F.array_compact(F.array(*[F.when(~holds(ok), F.lit(name)) for name, ok in checks.items()])))
+
+
 def clocks(artifacts: DataFrame) -> DataFrame:
     """All known times in journal files, as ``(snapshot, at)``; what cannot be read is left out here and is a finding."""
     get = lambda p: F.get_json_object("body", f"$.{p}")
@@ -152,11 +186,20 @@ class Hold(ValueError):
     """A refresh that stops for review."""
 
 
-def candidate(rows: DataFrame, baseline: DataFrame, most_rows: int = 2_000) -> tuple[DataFrame, DataFrame]:
+def candidate(rows: DataFrame, baseline: DataFrame, most_rows: int = 2_000, captures: DataFrame | None = None, metadata: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """§2.12: (changes by key, coverage by year) of a candidate against the accepted baseline; never summed, never published.
 
-    Raises :class:`Hold` if any row has a problem.
+    Raises :class:`Hold` if any row has a problem, or if one of the ``captures`` (:func:`capture_problems`, with the columns first_start,
+    first_end, second_start, second_end of its pair) or of the ``metadata`` (:func:`metadata_problems`) has.
     """
+    for name, found in (("capture", captures), ("metadata", metadata)):
+        if found is not None:
+            if name == "capture":
+                pair = pair_problem(*map(F.col, ("first_start", "first_end", "second_start", "second_end")))
+                found = found.withColumn("problems", F.array_compact(F.concat("problems", F.array(pair))))
+            open_ = found.where(F.size("problems") > 0).limit(3).collect()
+            if open_:
+                raise Hold("; ".join(f"{name} {r['name']}: {', '.join(r['problems'])}" for r in open_))
     bad = row_problems(rows, baseline, most_rows).limit(3).collect()
     if bad:
         raise Hold("; ".join(f"{b.key}: {b.problem}" for b in bad))

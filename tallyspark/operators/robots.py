@@ -11,6 +11,8 @@ from ..functions.exact import holds
 MOST_POLICY, MOST_TARGET, MOST_DELAY, MOST_STEPS = 512_000, 8_192, 3_600, 2_000_000
 TOKEN = r"\A[A-Za-z_-]+\z"
 DIRECTIVES = ("user-agent", "allow", "disallow", "sitemap", "crawl-delay")
+#: Stands before each octet, so that a part of a pattern is only found where an octet begins.
+MARK = "\x01"
 _UNRESERVED = r"[A-Za-z0-9._~-]"
 
 
@@ -71,7 +73,7 @@ def parse(policies: DataFrame) -> DataFrame:
 
 
 def rules(parsed: DataFrame) -> DataFrame:
-    """``parsed`` with ``rule``: for effective path rules a struct of group, line, allow, pattern, regex, specificity and size.
+    """``parsed`` with ``rule``: for effective path rules a struct of group, line, allow, pattern, segments, end, specificity and size.
 
     A run of wildcards is one, and one at the end is dropped with an end mark after it. Specificity is
     the number of octets, wildcards and the end mark included.
@@ -81,12 +83,29 @@ def rules(parsed: DataFrame) -> DataFrame:
     rows = parsed.withColumn("atoms", F.when(is_rule, octets(bare, pattern=True)))
     trailing = F.coalesce(F.try_element_at("atoms", F.lit(-1)) == "*", F.lit(False))
     rows = rows.withColumn("end", F.col("value").endswith("$") & ~trailing).withColumn("atoms", F.when(trailing, F.slice("atoms", F.lit(1), F.size("atoms") - 1)).otherwise(F.col("atoms")))
-    quoted = F.array_join(F.transform("atoms", lambda a: F.when(a == "*", ".*").otherwise(F.concat(F.lit("\\Q"), a, F.lit("\\E")))), "")
-    regex = F.concat(F.lit("(?s)\\A"), quoted, F.when(F.col("end"), "\\z").otherwise(""))
-    rule = F.struct("group", "line", (F.col("directive") == "allow").alias("allow"), F.col("value").alias("pattern"), regex.alias("regex"), (F.size("atoms") + F.col("end").cast("int")).alias("specificity"), F.size("atoms").alias("size"))
+    segments = F.split(F.array_join(F.transform("atoms", lambda a: F.when(a == "*", a).otherwise(F.concat(F.lit(MARK), a))), ""), r"\*")
+    rule = F.struct("group", "line", (F.col("directive") == "allow").alias("allow"), F.col("value").alias("pattern"), segments.alias("segments"), F.col("end").alias("end"), (F.size("atoms") + F.col("end").cast("int")).alias("specificity"), F.size("atoms").alias("size"))
     return rows.withColumn("rule", F.when(F.col("atoms").isNotNull(), rule)).drop("atoms", "end")
 
 
+def matches(text: Column, segments: Column, end: Column) -> Column:
+    """Whether a target has the parts of a pattern between its wildcards in order: the first at its start, with ``end`` the last at its end.
+
+    Each part is looked for once, from where the one before it ended; the earliest place is as good as any
+    later one, so nothing is tried again and the work is at most the target's octets times the pattern's.
+    """
+    first, last = F.element_at(segments, 1), F.element_at(segments, -1)
+    middle = F.when(end, F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))).otherwise(F.slice(segments, F.lit(2), F.size(segments)))
+
+    def step(at: Column, part: Column) -> Column:
+        found = F.position(part, text, at)
+        return F.when(at == 0, at).when(found > 0, found + F.length(part)).otherwise(0)
+
+    reached = F.aggregate(middle, F.length(first) + 1, step)
+    closed = F.when(F.size(segments) == 1, text == first).otherwise(text.endswith(last) & (F.length(text) - F.length(last) + 1 >= reached))
+    return text.startswith(first) & (reached > 0) & (~end | closed)
+
+
 def profiles(policies: DataFrame) -> DataFrame:
     """``(policy_id, problem, agents, delays, rules)``: each policy as one row, bounded by the size of a policy."""
     d, fine = F.col("directive"), F.col("problem").isNull()
@@ -124,8 +143,9 @@ def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
     mine = lambda column: F.filter(column, lambda x: F.array_contains("groups", x["group"]))
     met = met.withColumn("tried", mine("rules")).withColumn("delay", F.array_max(F.transform(mine("delays"), lambda x: x["delay"])))
     work = F.size("target") * F.aggregate("tried", F.lit(0), lambda n, r: n + r["size"])
-    met = met.withColumn("held", F.coalesce("fault", "problem", F.when(work > MOST_STEPS, "too much work"))).withColumn("text", F.array_join("target", ""))
-    met = met.withColumn("hits", F.when(F.col("held").isNull() & ~F.col("own_file"), F.filter("tried", lambda r: F.rlike(F.col("text"), r["regex"]))))
+    met = met.withColumn("held", F.coalesce("fault", "problem", F.when(work > MOST_STEPS, "too much work")))
+    met = met.withColumn("text", F.array_join(F.transform("target", lambda o: F.concat(F.lit(MARK), o)), ""))
+    met = met.withColumn("hits", F.when(F.col("held").isNull() & ~F.col("own_file"), F.filter("tried", lambda r: matches(F.col("text"), r["segments"], r["end"]))))
     best = F.array_max(F.transform("hits", lambda r: r["specificity"]))
     met = met.withColumn("won", F.filter("hits", lambda r: r["specificity"] == best))
     allowed = (F.coalesce(F.size("won"), F.lit(0)) < 1) | F.exists("won", lambda r: r["allow"])

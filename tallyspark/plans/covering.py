@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +9,11 @@ from ..functions import dates, exact, text, urls
 from ..operators import catalog, collections, identity, joins, journal, reconcile
 from ..operators.gates import violations
 from ..sources import pinned, sinks, strict_csv
+from ..sources.frozen import scratch
 from .registry import query, table
 from .searching import awards
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only where no shared folder is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tally-")
-    return f"{base.rstrip('/')}/plans-{uuid.uuid4().hex}"
-
-
 def broken(df: DataFrame, rules, id: str = "id") -> DataFrame:
     return violations(df, rules, id).groupBy("rule_id").agg(F.count("*").alias("n"))
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.hashing import has_keys, is_digest
 from ..operators.gates import Refused, Rule, admit, agg, key, row
+from .frozen import freeze
 
 #: Bounds (fixed values): bytes of a file by default and at most, of an inventoried file and snapshot; shards and their rows.
 DEFAULT_BYTES, MOST_BYTES, FILE_BYTES, SNAPSHOT_BYTES = 500_000, 2_000_000, 8 << 20, 64 << 20
@@ -37,22 +38,35 @@ def check_path(path: str) -> str:
 
 
 def files(spark: SparkSession, root: str, glob: str = "*", most: int = MOST_BYTES, recursive: bool = True) -> DataFrame:
-    """SRC8: ``(path, bytes, sha, body)`` of the files below a folder; a body over the bound is null, its size and name stay."""
+    """SRC8: ``(path, bytes, sha, body)`` of the files below a folder; a body over the bound is null, its size and name stay.
+
+    The bound is a filter on the length that the source applies to its listing, so larger files are not read.
+    """
     read = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(root)
-    bound = F.col("length") <= most
-    return read.select("path", F.col("length").alias("bytes"), F.when(bound, F.sha2("content", 256)).alias("sha"), F.when(bound, F.col("content")).alias("body"))
+    within = read.where(F.col("length") <= most).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha"), F.col("content").alias("body"))
+    over = read.where(F.col("length") > most).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("binary").alias("body"))
+    return within.union(over)
+
+
+def relative(root: str) -> Column:
+    """The ``path`` of a file below a folder, relative to it."""
+    base = root.rstrip("/").split("://")[-1].lstrip("/")
+    return F.regexp_replace(F.expr("substring_index(path, ':', -1)"), r"\A/*" + "\\Q" + base + "\\E/?", "")
 
 
-def verified(found: DataFrame, pins: DataFrame, most: int = DEFAULT_BYTES) -> DataFrame:
+def verified(found: DataFrame, pins: DataFrame, most: int = DEFAULT_BYTES, version: str | None = None) -> DataFrame:
     """SRC1, SRC5, SRC9, SRC10: ``(name, text)`` of pinned files, or :class:`Refused` if any differs.
 
     ``pins``: name, sha, bytes (null: unknown). A file must be there, within the bound, of the pinned
-    length and digest, and valid UTF-8 without repeated keys.
+    length and digest, and valid UTF-8 without repeated keys; with ``version`` its schemaVersion must be that.
+    Files are read once, into a frozen copy that is both judged and handed out, so a file that changes
+    after its admission changes nothing.
     """
     if not 1 <= most <= MOST_BYTES:
         raise ValueError(f"bound {most}")
-    named = found.select(F.substring_index("path", "/", -1).alias("name"), F.col("bytes").alias("found_bytes"), F.col("sha").alias("found_sha"), "body")
-    joined = pins.join(named, "name", "left").withColumn("text", F.try_validate_utf8("body").cast("string"))
+    named = found.select(F.substring_index("path", "/", -1).alias("name"), F.col("bytes").alias("found_bytes"), F.col("body"))
+    joined = freeze(pins.join(named, "name", "left")).withColumn("found_sha", F.sha2("body", 256))
+    joined = joined.withColumn("text", F.try_validate_utf8("body").cast("string"))
     rules = [
         row("bound", F.col("found_bytes") <= most),
         row("length", F.col("bytes").isNull() | (F.col("bytes") == F.col("found_bytes"))),
@@ -61,6 +75,8 @@ def verified(found: DataFrame, pins: DataFrame, most: int = DEFAULT_BYTES) -> Da
         row("json", F.try_parse_json("text").isNotNull()),
         key("one_file", "name"),
     ]
+    if version is not None:
+        rules.append(row("version", F.get_json_object("text", "$.schemaVersion") == version))
     return admit(joined, rules, "name").select("name", "text")
 
 
@@ -72,14 +88,15 @@ def manifest_rules(pattern: str) -> list[Rule]:
     ]
 
 
-def load_shards(spark: SparkSession, root: str, manifest: DataFrame, schema: StructType | str, pattern: str = r"\A[a-z]+-[0-9]{3}\.json\z", keys: Sequence[str] = ("schemaVersion", "records"), id: str = "id", glob: str = "*.json") -> DataFrame:
+def load_shards(spark: SparkSession, root: str, manifest: DataFrame, schema: StructType | str, pattern: str = r"\A[a-z]+-[0-9]{3}\.json\z", keys: Sequence[str] = ("schemaVersion", "records"), id: str = "id", glob: str = "*.json", version: str | None = None) -> DataFrame:
     """SRC3, SRC4, SRC6: rows of all shards of a manifest: all of them, or :class:`Refused`.
 
     Shards are read and hashed by Spark's own tasks. Each must hold as many records as it says, with
-    exactly the declared keys, and identities must be unique over all; nothing is handed out before.
+    exactly the declared keys, and identities must be unique over all; nothing is handed out before. Rows come
+    from the frozen bytes that were hashed.
     """
     admit(manifest, manifest_rules(pattern), "path")
-    text = verified(files(spark, root, glob, DEFAULT_BYTES), manifest.select(F.col("path").alias("name"), "sha", "bytes"))
+    text = verified(files(spark, root, glob, DEFAULT_BYTES), manifest.select(F.col("path").alias("name"), "sha", "bytes"), version=version)
     shape = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     raw = text.join(manifest.select(F.col("path").alias("name"), "records"), "name")
     raw = raw.withColumn("items", F.from_json(F.get_json_object("text", "$.records"), "array<string>"))
@@ -125,9 +142,7 @@ def inventory(spark: SparkSession, root: str, snapshot: str) -> DataFrame:
     listing. Folders are those that files lie in; races and links on a local disk are out of scope here.
     """
     found = files(spark, root, most=FILE_BYTES)
-    base = root.rstrip("/").split("://")[-1].lstrip("/")
-    relative = F.regexp_replace(F.expr("substring_index(path, ':', -1)"), r"\A/*" + "\\Q" + base + "\\E/?", "")
-    rows = found.select(F.lit(snapshot).alias("snapshot"), relative.alias("path"), F.lit("file").alias("kind"), "bytes", "sha", F.try_validate_utf8("body").cast("string").alias("body"))
+    rows = found.select(F.lit(snapshot).alias("snapshot"), relative(root).alias("path"), F.lit("file").alias("kind"), "bytes", "sha", F.try_validate_utf8("body").cast("string").alias("body"))
     parts = F.split("path", "/")
     admit(rows, [row("file_bytes", F.col("bytes") <= FILE_BYTES), row("depth", F.size(parts) <= MOST_DEPTH), agg("files", F.count("*") <= MOST_FILES), agg("bytes", F.coalesce(F.sum("bytes"), F.lit(0)) <= SNAPSHOT_BYTES)], "path")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))

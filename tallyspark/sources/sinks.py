@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .pinned import files
+from ..operators.gates import Refused
+from .pinned import MOST_FILES, files, relative
 
 #: Folders that results must not be written to (fixed values).
 RESERVED = ("public", "dist", "data", "fixtures", "baseline")
@@ -19,7 +20,7 @@ def check_target(path: str, inputs: Sequence[str] = ()) -> str:
     if ".." in parts or any(p in RESERVED for p in parts):
         raise ValueError(f"reserved target {path!r}")
     for i in inputs:
-        if path.rstrip("/").startswith(i.rstrip("/")):
+        if f"{path.rstrip('/')}/".startswith(f"{i.rstrip('/')}/"):
             raise ValueError(f"target {path!r} lies in an input")
     return path
 
@@ -32,9 +33,9 @@ def write_new(df: DataFrame, path: str, inputs: Sequence[str] = (), format: str
 def release(spark: SparkSession, root: str, allowed: DataFrame) -> DataFrame:
     """SNK3: ``(path, bytes, sha)`` of the released files; a file that is not allowed, or an allowed one that is missing, is an error.
 
-    ``allowed``: path (file name). Only the manifest is built here; writing it is :func:`write_new`'s.
+    ``allowed``: path, relative to the root. Only the manifest is built here; writing it is :func:`write_new`'s.
     """
-    found = files(spark, root).select(F.substring_index("path", "/", -1).alias("path"), "bytes", "sha")
+    found = files(spark, root).select(relative(root).alias("path"), "bytes", "sha")
     odd = found.join(allowed, "path", "left_anti").union(allowed.join(found, "path", "left_anti").select("path", F.lit(None).cast("long"), F.lit(None).cast("string"))).limit(1).collect()
     if odd:
         raise ValueError(f"release differs at {odd[0].path}")
@@ -42,7 +43,9 @@ def release(spark: SparkSession, root: str, allowed: DataFrame) -> DataFrame:
 
 
 def identity(manifest: DataFrame) -> DataFrame:
-    """SNK6: one digest for a set of files, whatever order they are listed in."""
+    """SNK6: one digest for a set of files, whatever order they are listed in; a release has at most ``MOST_FILES``, more are :class:`Refused`."""
+    if manifest.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise Refused(f"more than {MOST_FILES} files")
     pairs = F.sort_array(F.collect_list(F.concat_ws(":", "path", "sha")))
     return manifest.agg(F.sha2(F.array_join(pairs, "\n"), 256).alias("sha"))
 

@@ -42,7 +42,7 @@ def municipal(spark):
 def capital(spark):
     ddl = "id string, row_role string, is_placeholder boolean, values array<struct<measureType:string,availability:string,value:string,asOf:string>>"
     v = [("flow", "reported", "1", None), ("stock", "missing", None, "2024-03-31")]
-    return ddl, [dict(id="c", row_role="aggregate", is_placeholder=False, values=v)], suites.municipal_capital(2), [dict(values=v[:1]), dict(values=[v[0], ("stock", "missing", "0", "2024-03-31")]), dict(values=[v[0], ("stock", "missing", None, None)]), dict(row_role="x"), dict(is_placeholder=True)]
+    return ddl, [dict(id="c", row_role="published_aggregate", is_placeholder=False, values=v)], suites.municipal_capital(2), [dict(values=v[:1]), dict(values=[v[0], ("stock", "missing", "0", "2024-03-31")]), dict(values=[v[0], ("stock", "missing", None, None)]), dict(row_role="x"), dict(is_placeholder=True)]
 
 
 def budget(spark):
@@ -90,9 +90,10 @@ def audits(spark):
 
 
 def recommendations(spark):
-    ddl = "id string, audit_id string, number int, status string, printed_page int, current_status_verified boolean"
-    rows = [dict(id="1", audit_id="A", number=1, status="Complete", printed_page=5, current_status_verified=False), dict(id="2", audit_id="A", number=2, status="Not complete", printed_page=5, current_status_verified=False)]
-    return ddl, rows, suites.audit_recommendations({"A": 4}), [dict(number=3), dict(number=2), dict(status="Done"), dict(printed_page=3)]
+    ddl = "id string, audit_id string, number int, status string, printed_page int, pdf_page int, current_status_verified boolean"
+    rows = [dict(id=f"x-A-0{n}", audit_id="A", number=n, status=s, printed_page=p, pdf_page=p + 1, current_status_verified=False) for n, s, p in ((1, "Completed", 4), (2, "Incomplete", 4), (3, "Incomplete", 5))]
+    rules = suites.audit_recommendations({"A": [(2, 4), (9, 5)]}, {"A": [1]}, "x-")
+    return ddl, rows, rules, [dict(number=4), dict(number=2), dict(status="Done"), dict(status="Incomplete"), dict(printed_page=3), dict(printed_page=5, pdf_page=6), dict(pdf_page=9), dict(id="x-A-09"), dict(audit_id="B")]
 
 
 def totals(spark):

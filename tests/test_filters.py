@@ -17,9 +17,9 @@ def test_references(spark):
 
 
 def test_municipal(spark):
-    df = spark.createDataFrame([(1, "Old Harbour", "town", "2024-25", "municipality"), (2, "All towns", "town", "2024-25", "aggregate")], "id int, municipality string, municipality_type string, fiscal_year string, row_role string")
+    df = spark.createDataFrame([(1, "Old Harbour", "town", "2024-25", "municipality"), (2, "All towns", "town", "2024-25", "published_aggregate")], "id int, municipality string, municipality_type string, fiscal_year string, row_role string")
     assert ids(filters.municipal(df, "harbour", year="2024-25")) == [1] and ids(filters.municipal(df, type="city")) == []
-    assert ids(filters.municipal_capital(df)) == [1] and ids(filters.municipal_capital(df, role="aggregate")) == [2] and ids(filters.municipal_capital(df, role="both")) == [1]
+    assert ids(filters.municipal_capital(df)) == [1] and ids(filters.municipal_capital(df, role="published_aggregate")) == [2] and ids(filters.municipal_capital(df, role="both")) == [1]
 
 
 def test_physician(spark):
@@ -42,9 +42,9 @@ def test_nested_and_joined(spark):
     orders = spark.createDataFrame([(1, "2024-25", [("Health", 1), ("Roads", 2)]), (2, "2024-25", [("Roads", 3)])], "id int, fiscal_year string, records array<struct<entity:string,n:int>>")
     got = filters.authorizations(orders, "HEAL").collect()
     assert [(r.id, [x.n for x in r.records]) for r in got] == [(1, [1])]
-    recs = spark.createDataFrame([(1, "A", 1, "Complete"), (2, "B", 1, "Not complete")], "id int, audit_id string, number int, status string")
+    recs = spark.createDataFrame([(1, "A", 1, "Completed"), (2, "B", 1, "Incomplete")], "id int, audit_id string, number int, status string")
     audits = spark.createDataFrame([("A", "Winter", "2024")], "audit_id string, title string, report_date string")
-    assert ids(filters.audit_recommendations(recs, audits, "winter")) == [1] and ids(filters.audit_recommendations(recs, audits, status="Not complete")) == [2]
+    assert ids(filters.audit_recommendations(recs, audits, "winter")) == [1] and ids(filters.audit_recommendations(recs, audits, status="Incomplete")) == [2]
     with pytest.raises(ValueError):
         filters.audit_recommendations(recs, audits, status="Maybe")
 

@@ -120,8 +120,9 @@ def test_conflicts_keep_every_version(spark):
 
 def test_urls_in_bundles(spark):
     body = '{"url":"https://a/x#y","n":[{"sourceURL":"https://b"},{"url":"http://c"}],"sources":[{"url":"https://skipped"}],"u":{"url":"https://a/x"}}'
-    df = spark.createDataFrame([("i", body), ("j", "{}"), ("k", None)], "id string, body string")
-    assert {r.id: r.urls for r in catalog.https_urls(df).collect()} == {"i": ["https://a/x", "https://b"], "j": [], "k": None}
+    nested = '{"sources":[{"tags":["x"],"url":"https://s1"}],"a":{"sources":{"url":"https://s2"},"url":"https:\\/\\/c\\/d"},"sourceURL":["https://no"],"b":[[{"url":"https://e"}]]}'
+    df = spark.createDataFrame([("i", body), ("j", "{}"), ("k", None), ("l", nested), ("m", "{"), ("n", '{"url":{"url":"https://deep"}}')], "id string, body string")
+    assert {r.id: r.urls for r in catalog.https_urls(df).collect()} == {"i": ["https://a/x", "https://b"], "j": [], "k": None, "l": ["https://c/d", "https://e"], "m": [], "n": ["https://deep"]}
 
 
 def test_public_cases(spark):
