@@ -23,6 +23,8 @@ LEAF = 512
 SPLIT = 0.8
 #: Fingerprints aimed at in a shard, shards of a tree (bounded), and those of the sample for each.
 SHARD_ROWS, MOST_LEAVES, LEAF_SAMPLE = 5_000, 1 << 14, 64
+#: Rows aimed at in a task, which takes several shards.
+TASK_ROWS = 50_000
 #: Rows of one shard that one task compares; larger shards are cut into tiles.
 TILE_ROWS = 100_000
 _LANES = np.uint64(0x0101010101010101)
@@ -263,7 +265,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(part[row].view(np.int64)), pa.array(home)], names=["shard", "fp", "home"])
 
     routed = fps.mapInArrow(run, "shard long, fp long, home boolean")
-    heavy = cut(routed.groupBy("shard").count().where(F.col("count") > tile_rows).select("shard", F.ceil(F.col("count") / tile_rows).cast("int").alias("ways")))
+    counts = cut(routed.groupBy("shard").count())
+    tasks = max(1, math.ceil((counts.agg(F.sum("count")).first()[0] or 0) / TASK_ROWS))
+    heavy = counts.where(F.col("count") > tile_rows).select("shard", F.ceil(F.col("count") / tile_rows).cast("int").alias("ways"))
     if heavy.isEmpty():
         dealt = routed.withColumn("tile", F.lit(0))
     else:
@@ -271,7 +275,7 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROW
         own = F.pmod(F.xxhash64("fp"), ways).cast("int")
         pairs = F.transform(F.sequence(F.lit(0), ways - 1), lambda k: F.least(own, k) * ways + F.greatest(own, k))
         dealt = routed.join(F.broadcast(heavy), "shard", "left").select("shard", "fp", "home", F.explode(pairs).alias("tile"))  # a row for each shard
-    dealt = dealt.repartition("shard", "tile").sortWithinPartitions("shard", "tile")
+    dealt = dealt.repartition(tasks, "shard", "tile").sortWithinPartitions("shard", "tile")
     masks, reach = [mask for mask, _ in forest.value.trees], forest.value.reach
     return dealt.mapInArrow(_group_links(radius, masks, reach), "a long, b long")
 
