@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from .common import Recent, map_batches, slices
 
 #: Encoded chunks that one Python worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 #: Words, lower-cased and without punctuation, below them.
-WORDS = 300_000
+WORDS = 200_000
 #: Verdicts on token pairs that one Python worker remembers.
-PAIRS = 1_000_000
+PAIRS = 500_000
 #: Unicode's White_Space characters (fixed values); Python's own notion adds U+001C to U+001F.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = re.compile(f"[{WHITE_SPACE}]+")

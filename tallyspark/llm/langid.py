@@ -24,7 +24,7 @@ PARTS = 64
 #: Pseudo count of a piece in each language.
 PSEUDO = 0.05
 #: Distinct words whose log probabilities one Python worker remembers.
-CACHE = 300_000
+CACHE = 200_000
 #: Longest word that is taken in a batch; longer ones are taken one by one.
 LONG = 48
 #: Probabilities are scaled by this much a character, so that a batch needs no logarithms.
@@ -250,7 +250,7 @@ def train(docs: DataFrame, path: str, training: int = TRAINING, rounds: int = RO
     chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < enough).select("lang", "text")
     counts = map_batches(chosen, _word_counts, "lang string, word string, n long").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     words = cut(counts.repartition(PARTS, "word"))
-    size = pieces(path).size
+    size = sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size()
     p = np.full((size, len(langs)), 1.0 / size)
     column = {lang: k for k, lang in enumerate(langs)}
 

@@ -28,7 +28,7 @@ _PIECE = re.compile(r"""[A-Za-z0-9+/_.-]+(?<!\.)(?:={1,2}(?![^\s"',;)\]}]))?|[^\
 #: Neighbours on the left of a token, in its line, that are looked up.
 AROUND = 6
 #: Words whose scores a worker keeps, and characters of them.
-WORDS, WORD_CHARS = 400_000, 16_000_000
+WORDS, WORD_CHARS = 250_000, 8_000_000
 
 #: Hashed features of the model (the last row is no feature), and its tags.
 FEATURES = 1 << 18
@@ -175,7 +175,7 @@ class Words:
             self.joint = self.weights[b] + self.weights[a[:, [0, 1] * 4]]
         self.of, self.chars, self.n, self.turn = {}, 0, 0, 0
         # Features of each word, or its scores and whether it has any, for each role.
-        self.rows = [np.zeros((1 << 10, N_OWN), np.int64)] if weights is None else [np.zeros((1 << 10, 3), np.float32) for _ in ROLES]
+        self.rows = [np.zeros((1 << 10, N_OWN), np.int32)] if weights is None else [np.zeros((1 << 10, 3), np.float32) for _ in ROLES]
         self.weighs = [np.zeros(1 << 10, bool) for _ in ROLES]
         self.facts, self.met, self.sizes = np.zeros((1 << 10, 4), np.int16), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
         edge = np.full((1, N_OWN), FEATURES)
@@ -594,25 +594,28 @@ def train(weak: tuple = (), n: int = 4_000, epochs: int = 10, seed: int = 11, l2
     come from the forward-backward algorithm. Step sizes shrink with the squared gradients seen (AdaGrad).
     """
     data = list(_sequences([e for e in [*examples(n, seed), *weak] if e[0].strip()]))
-    at, cuts = np.concatenate([f for f, _ in data]), np.cumsum([0, *[len(t) for _, t in data]])
-    used = np.flatnonzero(np.bincount(at.ravel(), minlength=FEATURES + 1))
-    index = np.zeros(FEATURES + 1, np.int64)
+    seen = np.zeros(FEATURES + 1, np.int64)
+    for at, _ in data:
+        seen += np.bincount(at.ravel(), minlength=FEATURES + 1)
+    used = np.flatnonzero(seen)
+    index = np.zeros(FEATURES + 1, np.int32)
     index[used] = np.arange(len(used))
-    at = index[at]
-    counts = np.bincount(at.ravel(), minlength=len(used))
+    counts = seen[used]
     fixed = (counts < SEEN) | (used == FEATURES)
     weights, move = np.zeros((len(used), 3)), np.zeros((3, 3))
     move[O, I] = -1e9
     seen_w, seen_m = np.full_like(weights, 1e-6), np.full_like(move, 1e-6)
     rng = np.random.default_rng(seed)
-    by_length = np.argsort(np.diff(cuts), kind="stable")
-    groups, place = [], np.zeros(len(used), np.int64)
-    for lines in np.array_split(by_length, max(1, len(data) // 32)):
-        sizes = np.diff(cuts)[lines]
+    lengths = np.array([len(t) for _, t in data])
+    groups, place = [], np.zeros(len(used), np.int32)
+    for lines in np.array_split(np.argsort(lengths, kind="stable"), max(1, len(data) // 32)):
+        sizes = lengths[lines]
         real = np.arange(sizes.max() + 1)[None, :] < sizes[:, None]
         tags = np.zeros(real.shape, np.int64)
         tags[real] = np.concatenate([data[i][1] for i in lines])
-        rows = np.concatenate([at[cuts[i] : cuts[i + 1]] for i in lines])
+        rows = index[np.concatenate([data[i][0] for i in lines])]
+        for i in lines.tolist():
+            data[i] = None  # the driver holds one copy of the features, in four bytes each
         here = np.flatnonzero(np.bincount(rows.ravel(), minlength=len(used)))
         place[here] = np.arange(len(here))
         groups.append((real, tags, here, place[rows]))

@@ -25,7 +25,7 @@ HEAD = struct.Struct("<4sIQQQ")
 BLOCK_IDS = 1_000_000
 FILE_BYTES = 32_000_000
 #: Pieces of text whose ids one Python worker remembers.
-CACHE = 400_000
+CACHE = 250_000
 #: Bytes of its ids by which a row that repeats a doc_id is ordered.
 HEAD_BYTES = 64
 #: In a folder of token files: the table of ids by rank, and folders of the files and of the ids before each.
