@@ -241,8 +241,8 @@ def register(n_by_section: Mapping[str, int] | None = None, month: str = "2026-0
 
 
 def water() -> list[Rule]:
-    """Spent less budget is over, or budget less spent under; the other is not established."""
-    return [*named(), row("under", (c("spent") > c("budget")) | (c("budget") - c("spent") == c("under"))), row("over_unknown", c("over").isNull() | (c("spent") - c("budget") == c("over"))), row("matters", F.size("matter_ids") > 0)]
+    """Spent less budget is the amount printed as under budget; the other column is blank, which is unknown and not zero."""
+    return [*named(), row("under", c("spent") - c("budget") == c("under")), row("over_unknown", c("over").isNull()), row("matters", F.size("matter_ids") > 0)]
 
 
 def water_services() -> list[Rule]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -121,7 +122,7 @@ def metadata_problems(metadata: DataFrame, names: Sequence[str], fields: Sequenc
     listed = F.from_json(get("columns"), "array<struct<name:string,fieldName:string,dataTypeName:string>>")
     checks = {p: get(p) == v for p, v in identity.items()}
     for label, key, wanted in (("column names", "name", names), ("column fields", "fieldName", fields), ("column types", "dataTypeName", types)):
-        checks[label] = F.transform(listed, lambda x, key=key: x[key]) == F.array(*map(F.lit, wanted))
+        checks[label] = F.transform(listed, operator.itemgetter(key)) == F.array(*map(F.lit, wanted))
     return metadata.withColumn("problems", F.array_compact(F.array(*[F.when(~holds(ok), F.lit(name)) for name, ok in checks.items()])))
 
 

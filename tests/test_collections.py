@@ -145,7 +145,7 @@ def register(spark):
 
 def water(spark):
     ddl = "id string, spent long, budget long, under long, over long, matter_ids array<string>"
-    return ddl, [dict(id="w", spent=3, budget=5, under=2, over=None, matter_ids=["m"])], suites.water(), [dict(under=1), dict(over=1), dict(spent=None), dict(matter_ids=[])]
+    return ddl, [dict(id="w", spent=3, budget=5, under=-2, over=None, matter_ids=["m"])], suites.water(), [dict(under=1), dict(over=1), dict(spent=None), dict(matter_ids=[])]
 
 
 def transit(spark):
