@@ -188,15 +188,15 @@ def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 select c_custkey, case when c_custkey % 7 = 0 then 'source_dash' when c_custkey % 11 = 0 then 'blank' when c_custkey % 13 = 0 then 'malformed' else 'present' end as presence,
-  case when c_custkey % 7 = 0 or c_custkey % 11 = 0 or c_custkey % 13 = 0 then null when c_custkey % 2 = 0 then '-' else '' end || cast(cast(c_acctbal as decimal(18, 2)) as varchar) as value
-from customer where c_acctbal > 0
+  case when c_custkey % 7 = 0 or c_custkey % 11 = 0 or c_custkey % 13 = 0 then null when c_acctbal < 0 then '-' else '' end || cast(abs(cast(c_acctbal as decimal(18, 2))) as varchar) as value
+from customer
 """)
 def token_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed tokens such as ``(1,234.50)``, dashes and blanks; none of them is zero."""
-    shown = F.format_number(money("c_acctbal"), 2)
+    shown = F.format_number(F.abs(money("c_acctbal")), 2)
     k = F.col("c_custkey")
-    token = F.when(k % 7 == 0, "-").when(k % 11 == 0, "").when(k % 13 == 0, "n/a").when(k % 2 == 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
-    return table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", exact.source_token(token).alias("t")).select("c_custkey", "t.presence", "t.value")
+    token = F.when(k % 7 == 0, "-").when(k % 11 == 0, "").when(k % 13 == 0, "n/a").when(F.col("c_acctbal") < 0, F.concat(F.lit("("), shown, F.lit(")"))).otherwise(shown)
+    return table(spark, sf_dir, "customer").select("c_custkey", exact.source_token(token).alias("t")).select("c_custkey", "t.presence", "t.value")
 
 
 @query("""
