@@ -51,12 +51,12 @@ def cut(df: DataFrame, compression: str = "zstd") -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def few(ids: DataFrame, bound: int = BROADCAST_ROWS) -> DataFrame:
+def few(ids: DataFrame, bound: int | None = None) -> DataFrame:
     """A written table of ids, marked for broadcast if it has been counted to be within the bound.
 
     Beyond it both sides are shuffled and the ids are hashed, so that the texts they meet are not sorted.
     """
-    return F.broadcast(ids) if ids.count() <= bound else ids.hint("shuffle_hash")
+    return F.broadcast(ids) if ids.count() <= (BROADCAST_ROWS if bound is None else bound) else ids.hint("shuffle_hash")
 
 
 #: Bytes of an Arrow batch. Texts are long, and by default ten thousand of them travel at once.

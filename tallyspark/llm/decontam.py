@@ -50,6 +50,14 @@ def sketch(benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOL
     )
 
 
+def _at_most(top: Column):
+    return lambda x: x <= top
+
+
+def _named(width: int):
+    return lambda x: F.struct(F.lit(width).alias("width"), x.alias("hash"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, item_id, n_shared, n_item, containment)`` for every item found in a document.
 
@@ -81,13 +89,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thre
         for b in mine:  # a document of n words has at most n - k + 1 shingles
             enough = F.size("h") - (k - 1) >= F.lit(b.q) * threshold - 1e-9
             top = F.when(enough, F.greatest(top, F.lit(b.top))).otherwise(top)
-        offered = hashed.select("doc_id", hashes("h", k).alias("all"), top.alias("top"))
-        offered = offered.select("doc_id", F.explode(F.array_distinct(F.filter("all", lambda x: x <= F.col("top")))).alias("hash"))
-        offers.append(offered.withColumn("width", F.lit(k)))
-    probe = offers[0]
-    for more in offers[1:]:
-        probe = probe.union(more)
-    met = probe.join(items.select("width", "hash", "item").distinct(), ["width", "hash"]).select("doc_id", "item").distinct()
+        offered = F.array_distinct(F.filter(hashes("h", k), _at_most(top)))
+        offers.append(F.transform(offered, _named(k)))
+    # One pass over the texts: words are cut and hashed once, whatever the number of widths.
+    probe = hashed.select("doc_id", F.explode(F.concat(*offers)).alias("o")).select("doc_id", "o.width", "o.hash")
+    sketches = few(items.select("width", "hash", "item").distinct())
+    met = probe.join(sketches, ["width", "hash"]).select("doc_id", "item").distinct()
     whole = items.select("item", "width").distinct()
     met = met.join(whole, "item").groupBy("doc_id").agg(F.collect_set(F.struct("item", "width")).alias("items"))
     met = cut(met)

@@ -573,11 +573,13 @@ def slow_containment(docs, items):
     return found
 
 
-def test_containment_matches_all_pairs(spark, docs, hard, empty):
+def test_containment_matches_all_pairs(spark, docs, hard, empty, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = [(r.item_id, r.text) for r in bench.collect()]
     got = {(r.doc_id, r.item_id): r.containment for r in decontam.contaminated(docs, bench).collect()}
     assert got == slow_containment(texts(docs), items) and got
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)  # a benchmark beyond what is broadcast
+    assert {(r.doc_id, r.item_id): r.containment for r in decontam.contaminated(docs, bench).collect()} == got
     small = spark.createDataFrame([(1, "three four five six"), (2, None), (3, ""), (None, "a b"), (4, "a"), (4, "two three"), (5, "ipsum dolor sit amet 12 lorem ipsum dolor sit missing")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.containment for r in decontam.contaminated(hard, small).collect()}
     assert got == slow_containment(texts(hard), [(r.item_id, r.text) for r in small.collect()])
