@@ -14,7 +14,12 @@ ORACLE_SQL = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language stay; those without letters or with no clear language go."""
+    """Documents in a learned language stay; those without letters or with no clear language go.
+
+    Null and empty texts have no letters and go. Each row is judged by its own text, so rows that repeat a doc_id or
+    have none are treated like any other, and equal texts alike. Without a document whose lang is known nothing can be
+    learned and all go. An empty table stays empty. All columns of the rows that stay are as they were.
+    """
     path = public_tokenizers.path("piece_bpe_32k.model")
     return langid.keep_known(docs, langid.train(docs.where(~langid.held_out()), path), path)
 
@@ -36,20 +41,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; each row is judged by its own text, whatever its doc_id.
 
-    Rows get a key that is written with them, so that both sides of the join see the same one.
+    Rows get a key that is written with them, so that both sides of the join see the same one. Null and empty texts
+    hold nothing and stay; equal texts stay or go together; an empty table or benchmark takes nothing away. A column
+    named ``__row`` would clash and is refused.
     """
+    if "__row" in docs.columns:
+        raise ValueError("a column is named __row")
     rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     leaks = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return rows.join(few(cut(leaks.select(F.col("doc_id").alias("__row")).distinct())), "__row", "left_anti").select(docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; the secrets in their texts are replaced by a mark."""
+    """All documents stay; the secrets in their texts are replaced by a mark.
+
+    Null texts stay null; repeated rows are treated alike; an empty table stays empty. The tagger is trained on a bounded
+    sample of the documents themselves.
+    """
     return secrets.redact(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of each document's ids and of the text they decode to."""
+    """Token counts and digests of each document's ids and of the text they decode to.
+
+    Every row gives a row, null texts count as empty, and an empty table gives an empty result.
+    """
     return bpe.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -63,7 +79,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written before the next reads it."""
+    """All stages over ``documents``, each written before the next reads it; an empty table gives an empty result, nulls are as each stage says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
