@@ -48,3 +48,16 @@ def test_near_dedup_of_repeated_and_nameless_rows(spark):
     kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, start.schema), SF)
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
     assert corpus_pipeline.near_dedup(spark, start.limit(0), SF).count() == 0
+
+
+def test_whole_pipeline_of_nothing_and_of_nulls(spark, tmp_path):
+    """Tables without rows, and rows with nulls in every column, run through all stages."""
+    start = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    text = "The quick brown fox jumps over the lazy dog and runs home again before night falls."
+    nulls = [(None, None, None, None, None), (1, None, "en", "s", None), (None, text, "en", None, 1), (2, text + " password=abcdef12", None, "s", 3), (3, "", "en", "s", 0)]
+    for name, docs, items, want in (("none", start.limit(0), bench.limit(0), 0), ("nulls", spark.createDataFrame(nulls, start.schema), spark.createDataFrame([(None, text), (1, None)], bench.schema), 2)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) == want and all(r.n_tokens > 5 for r in got)
