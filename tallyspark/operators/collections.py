@@ -224,6 +224,12 @@ def statements() -> list[Rule]:
     return [*named(), row("role", c("role").isin("component", "total")), group("column_total", complete & (F.sum(part) == F.sum(total)), "table", "source_column")]
 
 
+def differences() -> list[Rule]:
+    """Actual less budget of each line is the printed difference; a line with a missing amount has none."""
+    actual, planned, printed = (to_decimal(c(x), 2) for x in ("actual", "budget", "difference"))
+    return [*named(), row("difference", F.coalesce(actual - planned == printed, actual.isNull() | planned.isNull())), row("missing_has_none", actual.isNotNull() & planned.isNotNull() | c("difference").isNull())]
+
+
 def funding_bridge() -> list[Rule]:
     """A comparison is performed only if its result cell and all components are numbers."""
     all_known = F.forall("components", lambda v: v.isNotNull())

@@ -35,7 +35,7 @@ def shard_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def strict_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC7: nations written as CSV and read by the strict source."""
     folder = scratch(spark)
-    table(spark, sf_dir, "nation").coalesce(1).write.option("header", True).csv(folder)
+    table(spark, sf_dir, "nation").write.option("header", True).csv(folder)
     strict_csv.register(spark)
     return spark.read.format("strict_csv").options(path=folder, columns="n_nationkey,n_name,n_regionkey").load()
 
@@ -77,18 +77,19 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select page_id, case when page_id % 6 = 1 then 'body is not the receipt''s' when page_id % 6 = 2 then 'chronology' when page_id % 6 = 3 then 'unexpected response' when page_id % 6 = 4 then 'unexpected type' when page_id % 6 = 5 then 'content length' else '' end as problems from pages
+select page_id, case when page_id % 6 = 1 then 'body is not the receipt''s' when page_id % 6 = 2 then 'chronology' when page_id % 6 = 3 then 'unexpected response' when page_id % 6 = 4 then 'unexpected type' when page_id % 6 = 5 then 'content length' when page_id % 12 = 6 then 'access challenge' else '' end as problems from pages
 """)
 def capture_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.12: pages as captured bodies, most with something wrong in their receipt."""
     k = F.col("page_id")
-    n = F.octet_length("html")
+    body = F.when(k % 12 == 6, F.concat("html", F.lit(" Please solve this CAPTCHA"))).otherwise(F.col("html"))
+    n = F.octet_length(body)
     receipt = F.to_json(F.struct(
-        F.col("url").alias("url"), F.when(k % 6 == 3, 404).otherwise(200).alias("status"), F.lit(True).alias("complete"), n.alias("bodyBytes"), F.when(k % 6 == 1, F.sha2("url", 256)).otherwise(F.sha2("html", 256)).alias("bodySha256"),
+        F.col("url").alias("url"), F.when(k % 6 == 3, 404).otherwise(200).alias("status"), F.lit(True).alias("complete"), n.alias("bodyBytes"), F.when(k % 6 == 1, F.sha2("url", 256)).otherwise(F.sha2(body, 256)).alias("bodySha256"),
         F.struct(F.when(k % 6 == 4, "text/plain").otherwise("Text/HTML; charset=utf-8").alias("content-type"), F.when(k % 6 == 5, "12x").otherwise(F.concat(F.lit("00"), n.cast("string"))).alias("content-length")).alias("headers"),
         F.lit("2026-01-01T00:00:00Z").alias("attemptedAt"), F.lit("2026-01-01T00:00:01Z").alias("headersReceivedAt"), F.when(k % 6 == 2, "2026-01-01T00:00:59Z").otherwise("2026-01-01T00:00:02+00:00").alias("completedAt"),
     ))
-    captures = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("body"), F.col("url").alias("wanted_url"), F.lit("text/html").alias("wanted_type"), receipt.alias("receipt"))
+    captures = table(spark, sf_dir, "pages").select("page_id", body.cast("binary").alias("body"), F.col("url").alias("wanted_url"), F.lit("text/html").alias("wanted_type"), receipt.alias("receipt"))
     return journal.capture_problems(captures).select("page_id", F.array_join("problems", ",").alias("problems"))
 
 
@@ -131,6 +132,21 @@ select k, k % 3 <> 1 as comparable, case when k % 3 <> 1 then '250.500000' end a
 """)
 def comparable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairwise comparison of stages; unlike units are refused."""
+    return compared(spark, sf_dir, "original_estimate", True)
+
+
+@query("""
+with s as (select distinct c_nationkey as k from customer)
+select k, strict, not strict and k % 3 <> 1 as comparable, case when not strict and k % 3 <> 1 then '250.500000' end as difference from s, (values (true), (false)) t(strict)
+""")
+def comparable_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages that form no pair are compared only where the stage is not asked for."""
+    each = [compared(spark, sf_dir, "capital_plan", strict).withColumn("strict", F.lit(strict)) for strict in (True, False)]
+    return each[0].union(each[1])
+
+
+def compared(spark: SparkSession, sf_dir: str, first: str, strict: bool) -> DataFrame:
+    """Balances of nations as facts of two stages, compared."""
     s = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum(F.col("c_acctbal").cast("decimal(18,2)")).alias("v"))
     k = F.col("k")
 
@@ -140,8 +156,8 @@ def comparable_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(*[c.alias(n) for n, c in lit.items()], unit.alias("unit"), F.lit(1000).cast("long").alias("multiplier"), F.lit(stage).alias("stage"), value.cast("string").alias("rawValue"), period.alias("period"))
 
     unit = F.when(k % 3 == 1, "CAD_millions").otherwise("CAD_thousands")
-    pairs = s.select("k", fact("original_estimate", F.col("v"), F.lit("CAD_thousands")).alias("a"), fact("amended_estimate", F.col("v") + F.lit("250.50").cast("decimal(18,2)"), unit).alias("b"))
-    return identity.compare(pairs).select("k", "comparable", "difference")
+    pairs = s.select("k", fact(first, F.col("v"), F.lit("CAD_thousands")).alias("a"), fact("amended_estimate", F.col("v") + F.lit("250.50").cast("decimal(18,2)"), unit).alias("b"))
+    return identity.compare(pairs, strict).select("k", "comparable", "difference")
 
 
 @query("select n_nationkey as a, n_regionkey as b, coalesce((n_nationkey * 2) % 7 = (n_regionkey * 3) % 7 and n_nationkey % 5 <> 4, false) as equal from nation")

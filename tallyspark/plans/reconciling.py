@@ -186,6 +186,25 @@ def rule_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rule_id", "status", F.array_join("reasons", ",").alias("reasons"), "residual", "left_value")
 
 
+@query("""
+with v as (select c_nationkey as k, c_mktsegment as s, sum(cast(c_acctbal as decimal(18, 2))) as value from customer group by all),
+t as (select k, sum(value) as left_value, bool_or(s = 'BUILDING') as has_building from v group by k),
+r as (select k, left_value, case when k % 5 = 4 and has_building then ['missing fact'] else list_sort(list_filter([
+  case when k % 5 = 2 then 'missing observation' end, case when k % 5 = 3 then 'mismatched scope' end, case when k % 5 = 3 then 'unknown scope' end, case when k = 10 then 'mapping not established' end,
+  case when k % 7 = 3 then 'unknown currency' end, case when k % 7 = 4 then 'undeclared financial basis' end, case when k % 7 = 5 then 'unverified financial basis' end], lambda x: x is not null)) end as reasons from t)
+select cast(k as varchar) as rule_id, case when len(reasons) > 0 then 'insufficient_evidence' when k % 5 = 1 then 'flagged_unreviewed' else 'explained' end as status, array_to_string(reasons, ',') as reasons,
+  case when len(reasons) > 0 then null when k % 5 = 1 then '-1.00' else '0.00' end as residual from r
+""")
+def monetary_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """§2.6 in the monetary mode: a currency and a verified financial basis are needed too."""
+    rules, facts = nation_rules(spark, sf_dir)
+    k = F.split("id", "/")[0].cast("int")
+    facts = facts.withColumn("currency", F.when(k % 7 != 3, "CAD")).withColumn("financialBasisId", F.when(k % 7 == 4, "other").otherwise("cash")).withColumn("financialBasisVerified", k % 7 != 5)
+    rules = rules.withColumn("mode", F.lit("monetary_comparison")).withColumn("basis", F.col("basis").withField("financialBasisId", F.lit("cash")))
+    out = identity.run(rules, facts)
+    return out.select("rule_id", "status", F.array_join("reasons", ",").alias("reasons"), "residual")
+
+
 @query("""
 select c_custkey, case when c_custkey % 7 = 0 then 'source_dash' when c_custkey % 11 = 0 then 'blank' when c_custkey % 13 = 0 then 'malformed' else 'present' end as presence,
   case when c_custkey % 7 = 0 or c_custkey % 11 = 0 or c_custkey % 13 = 0 then null when c_acctbal < 0 then '-' else '' end || cast(abs(cast(c_acctbal as decimal(18, 2))) as varchar) as value

@@ -348,3 +348,11 @@ def superseding_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = planted(k, F.sha2("c_name", 256), m31=F.sha2(F.concat("c_name", F.lit("?")), 256))
     rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), old.alias("supersedes_sha"), planted(k, F.sha2(F.concat("c_name", F.lit("2")), 256), m37=old).alias("sha"))
     return broken(rows, suites.superseding(earlier))
+
+
+@query(counts("customer", "c_custkey", difference="c_custkey % 31 = 0 and c_custkey % 37 <> 0", missing_has_none=37))
+def difference_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actual less budget of each line, and no difference where an amount is missing."""
+    k, v = F.col("c_custkey"), F.col("c_acctbal").cast("decimal(18,2)")
+    rows = table(spark, sf_dir, "customer").select(k.cast("string").alias("id"), F.when(k % 37 != 0, v.cast("string")).alias("actual"), F.lit("100.00").alias("budget"), (v - 100 + F.when(k % 31 == 0, 1).otherwise(0)).cast("decimal(18,2)").cast("string").alias("difference"))
+    return broken(rows, suites.differences())
