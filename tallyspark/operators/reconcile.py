@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import sum_known
+from .identity import MOST_TERMS
 
 
 class NotAdditive(ValueError):
@@ -48,8 +49,12 @@ def equations(terms: DataFrame, values: DataFrame, by: Sequence[str] = ("equatio
     """Signed sums of ordered inputs; one row an equation.
 
     ``terms``: equation_id, position, input_id, coefficient. ``values``: id, value. The residual is null
-    if an input is missing; ``inputs`` lists the ids in order, at most a hundred to an equation.
+    if an input is missing; ``inputs`` lists the ids in order. An equation of over a hundred inputs is an
+    error, and is found by counting before any list is made.
     """
+    long = terms.groupBy(*by).count().where(F.col("count") > MOST_TERMS).limit(1).collect()
+    if long:
+        raise ValueError(f"over {MOST_TERMS} inputs in {long[0][by[0]]}")
     joined = terms.join(values.select(F.col("id").alias("input_id"), "value"), "input_id", "left")
     signed = F.col("coefficient") * F.col("value")
     return joined.groupBy(*by).agg(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.frozen import freeze
 
 #: Rows on a page (fixed values).
 PAGE_SIZES = {"finder": 12, "sources": 12, "tenders": 25, "transfers": 25, "physicians": 20, "register": 20, "budget": 20, "institution": 18, "municipal": 15}
@@ -131,6 +132,13 @@ def filed(rows: DataFrame, query: str, search: Column, **equal) -> DataFrame:
 
 
 def number_rows(rows: DataFrame, prefix: str, *order: str) -> DataFrame:
-    """Positional ids such as ``guide-007``, for small directories; numbers follow the order given."""
-    n = F.row_number().over(Window.orderBy(*order))
-    return rows.withColumn("id", F.concat(F.lit(prefix), F.format_string("%03d", n)))
+    """Positional ids such as ``guide-007``; numbers follow the order given.
+
+    Rows are dealt by ranges of the order into a frozen table and numbered within the ranges, to which the
+    sizes of the ranges before them are added, so that no task numbers all rows.
+    """
+    dealt = freeze(rows.repartitionByRange(*map(F.col, order)).withColumn("__part", F.spark_partition_id()))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("n")).select("__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))  # a row for each range
+    n = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) + F.col("__base")
+    return dealt.join(F.broadcast(sizes), "__part").withColumn("id", F.concat(F.lit(prefix), F.format_string("%03d", n))).drop("__part", "__base")

@@ -76,15 +76,16 @@ def same_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select n_nationkey, case when n_nationkey % 4 = 1 then 'left out' else 'admitted' end as outcome from nation
+select n_nationkey, case when n_nationkey % 4 <> 1 then 'admitted' when n_nationkey % 8 = 1 then 'failed' else 'left out' end as outcome from nation
 """)
 def receipt_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries whose review is accepted for their bytes; optional ones that fail are left out."""
+    """Entries whose review is accepted for their bytes; optional ones that fail are left out, required ones are named."""
     n = table(spark, sf_dir, "nation").withColumn("review_path", F.concat(F.lit("r/"), F.col("n_nationkey").cast("string"))).withColumn("data_sha", F.sha2("n_name", 256))
-    entries = n.select("n_nationkey", "review_path", F.col("n_name").alias("review_id"), F.lit("2026-01-01").alias("reviewed_on"), "data_sha", F.lit(False).alias("required"))
+    entries = n.select("n_nationkey", "review_path", F.col("n_name").alias("review_id"), F.lit("2026-01-01").alias("reviewed_on"), "data_sha", (F.col("n_nationkey") % 8 == 1).alias("required"))
     accepted = n.select(F.col("review_path").alias("path"), F.lit("accepted").alias("status"), F.col("n_name").alias("evidence_id"), F.lit("2026-01-01").alias("reviewed_on"), F.when(F.col("n_nationkey") % 4 != 1, F.col("data_sha")).alias("sha"))
-    kept, lost, _ = joins.receipts(entries, accepted)
-    return kept.select("n_nationkey", F.lit("admitted").alias("outcome")).union(lost.select("n_nationkey", F.lit("left out").alias("outcome")))
+    kept, lost, failed = joins.receipts(entries, accepted)
+    outcome = lambda df, name: df.select("n_nationkey", F.lit(name).alias("outcome"))
+    return outcome(kept, "admitted").union(outcome(lost, "left out")).union(outcome(failed, "failed"))
 
 
 @query("""
