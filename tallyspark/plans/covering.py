@@ -168,10 +168,10 @@ def equal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.equal_pairs(facts, n).select("a", (F.col("b") - 1000).alias("b"), "equal")
 
 
-@query("select o_orderkey from orders join customer on c_custkey = o_custkey where c_custkey % 2 = 0 and o_orderkey % 3 <> 0")
+@query("select o_orderkey from orders join customer on c_custkey = o_custkey where c_acctbal > 0 and o_orderkey % 3 <> 0")
 def pinned_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Children whose parent, by digest and record, was admitted."""
-    return admitted_children(spark, sf_dir, "c_custkey % 2 = 0")
+    return admitted_children(spark, sf_dir, "c_acctbal > 0")
 
 
 @query("select o_orderkey from orders join customer on c_custkey = o_custkey where c_mktsegment <> 'MACHINERY' and o_orderkey % 3 <> 0")
