@@ -291,7 +291,7 @@ def components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
     """
     fp = cut(fingerprints(docs, width))
     classes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    links = near_links(classes.select("fp"), radius)
+    links = cut(near_links(classes.select("fp"), radius))
     same_id = fp.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b and doc_id is not null")
     repeats = fp.join(same_id.select("doc_id", "a"), "doc_id").select("a", F.col("fp").alias("b"))
     roots = connected_components(links.union(repeats))
