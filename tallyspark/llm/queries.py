@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocation, decontam, embdedup, hilbert, langid, quality, secrets, simhash, tokenfile, warc
+from . import bpe, collocation, decontam, divergence, embdedup, hilbert, langid, quality, secrets, simhash, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -56,6 +56,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.mine(_table(spark, sf_dir))
 
@@ -65,7 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_resampling, op2_simhash_near_dedup, op3_language_id, op4_bpe_round_trip, op5_hilbert_shards,
         op6_token_files, op7_benchmark_decontamination, op8_embedding_near_dedup, op9_warc_fixity, op10_secret_scan,
-        op13_phrase_collocations,
+        op11_source_divergence, op13_phrase_collocations,
     )
 }
 
@@ -88,5 +92,6 @@ select page_id, sha256(coalesce(html, '')) as payload_sha256,
   case when page_id % 101 = 7 then 'damaged' else 'intact' end as status
 from pages
 """,
+    "op11_source_divergence": divergence.ORACLE,
     "op13_phrase_collocations": collocation.ORACLE,
 }
