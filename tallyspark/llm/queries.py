@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocation, decontam, divergence, embdedup, hilbert, langid, quality, secrets, simhash, tokenfile, warc
+from . import bpe, collocation, decontam, divergence, embdedup, hilbert, langid, neighbours, quality, secrets, simhash, tokenfile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -60,6 +60,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir))
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocation.mine(_table(spark, sf_dir))
 
@@ -69,7 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_resampling, op2_simhash_near_dedup, op3_language_id, op4_bpe_round_trip, op5_hilbert_shards,
         op6_token_files, op7_benchmark_decontamination, op8_embedding_near_dedup, op9_warc_fixity, op10_secret_scan,
-        op11_source_divergence, op13_phrase_collocations,
+        op11_source_divergence, op12_nearest_neighbours, op13_phrase_collocations,
     )
 }
 

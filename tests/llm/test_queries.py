@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_one_query_an_operator():
-    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLES))
