@@ -73,7 +73,7 @@ def parse(policies: DataFrame) -> DataFrame:
 
 
 def rules(parsed: DataFrame) -> DataFrame:
-    """``parsed`` with ``rule``: for effective path rules a struct of group, line, allow, pattern, segments, end, specificity and size.
+    """``parsed`` with ``rule``: for effective path rules a struct of group, line, allow, pattern, atoms, segments, end, specificity and size.
 
     A run of wildcards is one, and one at the end is dropped with an end mark after it. Specificity is
     the number of octets, wildcards and the end mark included.
@@ -84,7 +84,7 @@ def rules(parsed: DataFrame) -> DataFrame:
     trailing = F.coalesce(F.try_element_at("atoms", F.lit(-1)) == "*", F.lit(False))
     rows = rows.withColumn("end", F.col("value").endswith("$") & ~trailing).withColumn("atoms", F.when(trailing, F.slice("atoms", F.lit(1), F.size("atoms") - 1)).otherwise(F.col("atoms")))
     segments = F.split(F.array_join(F.transform("atoms", lambda a: F.when(a == "*", a).otherwise(F.concat(F.lit(MARK), a))), ""), r"\*")
-    rule = F.struct("group", "line", (F.col("directive") == "allow").alias("allow"), F.col("value").alias("pattern"), segments.alias("segments"), F.col("end").alias("end"), (F.size("atoms") + F.col("end").cast("int")).alias("specificity"), F.size("atoms").alias("size"))
+    rule = F.struct("group", "line", (F.col("directive") == "allow").alias("allow"), F.col("value").alias("pattern"), F.col("atoms").alias("atoms"), segments.alias("segments"), F.col("end").alias("end"), (F.size("atoms") + F.col("end").cast("int")).alias("specificity"), F.size("atoms").alias("size"))
     return rows.withColumn("rule", F.when(F.col("atoms").isNotNull(), rule)).drop("atoms", "end")
 
 
@@ -106,6 +106,36 @@ def matches(text: Column, segments: Column, end: Column) -> Column:
     return text.startswith(first) & (reached > 0) & (~end | closed)
 
 
+def most_steps(n: Column, rule: Column) -> Column:
+    """At most so many steps takes :func:`steps` over a target of ``n`` octets; a pattern without wildcards has one state at a time."""
+    size = rule["size"].cast("long")
+    return F.when(F.size(rule["segments"]) == 1, 2 * size + 2).otherwise((2 * n + 1) * (size + 1))
+
+
+def steps(target: Column, text: Column, rule: Column, spent: Column, most: int = MOST_STEPS) -> Column:
+    """``spent`` and the steps of matching a rule, counted as they are made, up to a little over ``most``.
+
+    A state is a number of atoms that are matched; a wildcard's state stays and opens the next one. Each state entered is a step, and each
+    asked for its next octet is one. Matching ends where no state is left, or where a pattern without an end mark is through. Octets that no state can
+    reach are left out beforehand: beyond a first part that the target does not begin with, or beyond the whole of a pattern without wildcards.
+    """
+    atom, size, first = lambda p: F.get(rule["atoms"], p), rule["size"], F.element_at(rule["segments"], 1)
+    none = F.array().cast("array<int>")
+    entered = lambda p: F.when(atom(p) == "*", F.array(p, p + 1)).otherwise(F.array(p))
+    going = lambda states: F.when(~rule["end"] & F.array_contains(states, size), none).otherwise(states)
+    state = lambda cost, states: F.struct(cost.alias("cost"), going(states).alias("states"))
+
+    def step(s: Column, octet: Column) -> Column:
+        moved = lambda p: F.when(atom(p) == "*", F.array(p, p + 1)).when(atom(p) == octet, entered(p + 1)).otherwise(none)
+        reached = F.array_distinct(F.flatten(F.transform(s["states"], moved)))
+        return F.when((F.size(s["states"]) == 0) | (s["cost"] > most), s).otherwise(state(s["cost"] + F.size(s["states"]) + F.size(reached), reached))
+
+    begun = entered(F.lit(0))
+    octets_first = F.regexp_count(first, F.lit(MARK)) + 1
+    reach = F.when(F.size(rule["segments"]) == 1, size + 1).when(text.startswith(first), F.size(target)).otherwise(octets_first)
+    return F.aggregate(F.slice(target, F.lit(1), reach), state(spent + F.size(begun), begun), step)["cost"]
+
+
 def profiles(policies: DataFrame) -> DataFrame:
     """``(policy_id, problem, agents, delays, rules)``: each policy as one row, bounded by the size of a policy."""
     d, fine = F.col("directive"), F.col("problem").isNull()
@@ -120,9 +150,9 @@ def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
     """RB4: ``(request_id, status, selection, delay, winners, reason)`` for ``requests(request_id, policy_id, url, token)``.
 
     All groups that name the token apply, or else those for ``*``. The longest matching rule wins, of
-    equal ones an Allow. ``/robots.txt`` itself is always allowed. Anything malformed, or more work than the
-    bound (octets of the target times those of the rules that apply), needs review. Requests meet their policy in one
-    join and are decided row by row, so their number and how many share a policy do not matter.
+    equal ones an Allow. ``/robots.txt`` itself is always allowed. Anything malformed needs review, and so does more work than the
+    bound on the steps of matching all rules that apply. Only where sizes alone do not show that it is less are the steps
+    counted. Requests meet their policy in one join and are decided row by row, so their number and how many share a policy do not matter.
     """
     url = F.col("url")
     path = F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
@@ -142,9 +172,11 @@ def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
     met = met.withColumn("groups", F.array_distinct(F.transform(F.filter("agents", lambda a: a["agent"] == wanted), lambda a: a["group"])))
     mine = lambda column: F.filter(column, lambda x: F.array_contains("groups", x["group"]))
     met = met.withColumn("tried", mine("rules")).withColumn("delay", F.array_max(F.transform(mine("delays"), lambda x: x["delay"])))
-    work = F.size("target") * F.aggregate("tried", F.lit(0), lambda n, r: n + r["size"])
-    met = met.withColumn("held", F.coalesce("fault", "problem", F.when(work > MOST_STEPS, "too much work")))
     met = met.withColumn("text", F.array_join(F.transform("target", lambda o: F.concat(F.lit(MARK), o)), ""))
+    none = F.lit(0).cast("long")
+    may = F.aggregate("tried", none, lambda n, r: n + most_steps(F.size("target").cast("long"), r))
+    made = F.aggregate("tried", none, lambda n, r: F.when(n > MOST_STEPS, n).otherwise(steps(F.col("target"), F.col("text"), r, n)))
+    met = met.withColumn("held", F.coalesce("fault", "problem", F.when((may > MOST_STEPS) & (made > MOST_STEPS), "too much work")))
     met = met.withColumn("hits", F.when(F.col("held").isNull() & ~F.col("own_file"), F.filter("tried", lambda r: matches(F.col("text"), r["segments"], r["end"]))))
     best = F.array_max(F.transform("hits", lambda r: r["specificity"]))
     met = met.withColumn("won", F.filter("hits", lambda r: r["specificity"] == best))

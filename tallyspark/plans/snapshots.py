@@ -164,3 +164,26 @@ def robots_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     asked = pages.select(F.col("page_id").alias("request_id"), F.concat(F.lit("p"), (F.col("page_id") % 2).cast("string")).alias("policy_id"), "url", F.when(F.col("page_id") % 2 == 0, "audit").otherwise("other").alias("token"))
     return robots.decide(policy, asked).select(F.col("request_id").alias("page_id"), "status", "selection")
+
+
+@query("""
+with p as (select page_id, url, regexp_extract(url, '^https?://([^/?#]*)', 1) as host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '[?]([^#]*)', 1) as query from pages),
+r as (select distinct host, case when query like 'page=2%' then path || '?page=2' when path like '/en/%' then path end as disallow, case when query not like 'page=2%' and path not like '/en/%' then path end as allow from p),
+hit as (select p.page_id,
+    max(length(disallow)) filter (starts_with(path || case when query <> '' then '?' || query else '' end, disallow)) as no,
+    max(length(allow)) filter (starts_with(path || case when query <> '' then '?' || query else '' end, allow)) as yes
+  from p join r on p.host = r.host group by p.page_id)
+select p.page_id, case when url like '%#_%' then 'review_required' when coalesce(no, 0) > coalesce(yes, 0) then 'disallow' else 'allow' end as status
+from p join hit using (page_id)
+""")
+def policies_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RB3, RB4: a policy for each host with a rule for each of its pages and two thousand of no page; English pages and second ones are not allowed."""
+    url = F.col("url")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract(url, "^https?://([^/?#]*)", 1).alias("host"), F.regexp_extract(url, "^https?://[^/?#]*([^?#]*)", 1).alias("path"), F.regexp_extract(url, "[?]([^#]*)", 1).alias("query"))
+    second = F.col("query").startswith("page=2")
+    rule = F.when(second, F.concat(F.lit("Disallow: "), "path", F.lit("?page=2"))).otherwise(F.concat(F.when(F.col("path").startswith("/en/"), "Disallow: ").otherwise("Allow: "), "path"))
+    others = F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("Disallow: /none/"), i.cast("string")))
+    body = F.concat(F.lit("User-agent: *\n"), F.array_join(F.concat(F.sort_array(F.collect_set(rule)), others), "\n"))
+    policies = pages.groupBy("host").agg(F.encode(body, "UTF-8").alias("body")).withColumnRenamed("host", "policy_id")
+    asked = pages.select(F.col("page_id").alias("request_id"), F.col("host").alias("policy_id"), "url", F.lit("audit").alias("token"))
+    return robots.decide(policies, asked).select(F.col("request_id").alias("page_id"), "status")

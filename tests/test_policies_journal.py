@@ -50,7 +50,7 @@ def test_matching(spark, policy, path, status):
         ("Disallow: /a\n", SITE + "/a", "audit"), ("User-agent: *\nNoindex: /a\n", SITE + "/a", "audit"), ("User-agent: *\nDisallow: a\n", SITE + "/a", "audit"), ("User-agent: *\nDisallow: /a$b\n", SITE + "/a", "audit"),
         ("User-agent: *\nDisallow: /%zz\n", SITE + "/a", "audit"), ("User-agent: *\nCrawl-delay: 4000\n", SITE + "/a", "audit"), ("<html></html>", SITE + "/a", "audit"), (b"\xff\xfe", SITE + "/a", "audit"), ("User-agent: a b\n", SITE + "/a", "audit"),
         ("User-agent: *\nnonsense\n", SITE + "/a", "audit"), ("User-agent: *\nDisallow: /a\n", "ftp://a.b/a", "audit"), ("User-agent: *\nDisallow: /a\n", SITE + "/a#x", "audit"), ("User-agent: *\nDisallow: /a\n", SITE + "/%z", "audit"),
-        ("User-agent: *\nDisallow: /a\n", SITE + "/a", "Audit/1.0"), ("User-agent: *\nDisallow: /a\n", None, "audit"), ("User-agent: *\n" + "".join(f"Disallow: /{'a' * 500}{i}\n" for i in range(100)), SITE + "/" + "a" * 4000, "audit"),
+        ("User-agent: *\nDisallow: /a\n", SITE + "/a", "Audit/1.0"), ("User-agent: *\nDisallow: /a\n", None, "audit"), ("User-agent: *\n" + "".join(f"Disallow: /{'*a' * 300}{i}\n" for i in range(5)), SITE + "/" + "a" * 4000, "audit"),
     ],
 )
 def test_anything_odd_needs_review(spark, policy, url, token):
