@@ -25,31 +25,38 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id.
+    """One document of each group of near copies stays: the one with the smallest doc_id; each row is judged by its own text.
 
-    Of rows that repeat a doc_id one stays. Rows without a doc_id cannot be named as copies, so they stay.
+    Rows get a key of their own, as in :func:`decontaminate`, so rows that repeat a doc_id or have none are compared like any others: unlike
+    texts of one id all stay, and of copies one does. Of copies whose ids are equal too any one stays, and one with an id rather than one without.
+    Null and wordless texts are copies of each other. An empty table stays empty.
     """
-    found = cut(simhash.components(docs).select("doc_id", "component_id"))
-    kept = docs.join(few(cut(found.where("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
-    repeated = cut(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(few(repeated), "doc_id", "left_anti").select(docs.columns)
-    return once.union(kept.join(few(repeated), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    rows, key = _with_keys(docs)
+    found = cut(simhash.components(rows.select(F.col(key).alias("doc_id"), "text")).select(F.col("doc_id").alias(key), "component_id"))
+    ids = rows.select(key, F.col("doc_id").alias("__id"))
+    first = F.min(F.struct(F.col("__id").isNull().alias("nameless"), "__id", key))[key].alias(key)
+    kept = cut(found.join(ids, key).groupBy("component_id").agg(first).select(key))
+    dropped = found.select(key).join(kept, key, "left_anti")
+    return rows.join(few(cut(dropped)), key, "left_anti").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; each row is judged by its own text, whatever its doc_id.
 
-    Rows get a key that is written with them, so that both sides of the join see the same one. Null and empty texts
-    hold nothing and stay; equal texts stay or go together; an empty table or benchmark takes nothing away. A column
-    named ``__row`` would clash and is refused.
+    Rows get a key that is written with them, so that both sides of the join see the same one; it has a name that no column of theirs has.
+    Null and empty texts hold nothing and stay; equal texts stay or go together; an empty table or benchmark takes nothing away.
     """
-    if "__row" in docs.columns:
-        raise ValueError("a column is named __row")
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
-    leaks = decontam.contaminated(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return rows.join(few(cut(leaks.select(F.col("doc_id").alias("__row")).distinct())), "__row", "left_anti").select(docs.columns)
+    rows, key = _with_keys(docs)
+    leaks = decontam.contaminated(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(few(cut(leaks.select(F.col("doc_id").alias(key)).distinct())), key, "left_anti").select(docs.columns)
+
+
+def _with_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, written with a key for each, and the key's name."""
+    key = "__row"
+    while key in docs.columns:
+        key += "_"
+    return cut(docs.withColumn(key, F.monotonically_increasing_id())), key
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
