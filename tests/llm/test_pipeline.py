@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from test_operators import SF, groups, slow_containment, slow_fingerprint, texts
@@ -41,13 +42,17 @@ def test_stages(spark):
     assert {r.doc_id: r.n_tokens for r in docs[5].collect()} == {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in read[4].items()}
 
 
-def test_near_dedup_of_repeated_and_nameless_rows(spark):
+def test_near_dedup_judges_rows(spark):
+    """Unlike texts of one id stay, copies go whatever their ids, and of copies the smallest id stays."""
     start = spark.read.parquet(f"{SF}/documents.parquet")
-    text = "one two three four five six seven eight nine ten"
-    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text, "en", "t", 1), (3, "quite another thing altogether here", "en", "s", 1), (3, "and this is not the same", "en", "s", 1), (None, text, None, None, None)]
-    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, start.schema), SF)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "None"]
+    a, b, c = "alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten", "quite another thing altogether here and now"
+    near = lambda rows: sorted(str((r.doc_id, r.text)) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], start.schema), SF).collect())
+    assert near([(1, a), (1, b), (2, a), (3, b)]) == sorted(map(str, [(1, a), (1, b)]))
+    assert near([(1, a), (1, a), (2, a), (3, c), (3, b), (None, a), (None, c)]) == sorted(map(str, [(1, a), (3, c), (3, b)]))
+    assert near([(None, a), (None, a), (None, b), (None, None), (7, ""), (8, " ")]) == sorted(map(str, [(None, a), (None, b), (7, "")]))
     assert corpus_pipeline.near_dedup(spark, start.limit(0), SF).count() == 0
+    extra = corpus_pipeline.near_dedup(spark, start.limit(5).withColumn("__row", F.lit(1)).withColumn("component_id", F.lit(2)).withColumn("__id", F.lit(3)), SF)
+    assert extra.columns == [*start.columns, "__row", "component_id", "__id"] and {r["__row"] for r in extra.collect()} == {1}
 
 
 def test_whole_pipeline_of_nothing_and_of_nulls(spark, tmp_path):
@@ -55,7 +60,7 @@ def test_whole_pipeline_of_nothing_and_of_nulls(spark, tmp_path):
     start = spark.read.parquet(f"{SF}/documents.parquet")
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     text = "The quick brown fox jumps over the lazy dog and runs home again before night falls."
-    nulls = [(None, None, None, None, None), (1, None, "en", "s", None), (None, text, "en", None, 1), (2, text + " password=abcdef12", None, "s", 3), (3, "", "en", "s", 0)]
+    nulls = [(None, None, None, None, None), (1, None, "en", "s", None), (None, text, "en", None, 1), (2, "Another sentence about rivers and mountains that was never written down before today. password=abcdef12", None, "s", 3), (3, "", "en", "s", 0)]
     for name, docs, items, want in (("none", start.limit(0), bench.limit(0), 0), ("nulls", spark.createDataFrame(nulls, start.schema), spark.createDataFrame([(None, text), (1, None)], bench.schema), 2)):
         docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
         items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
