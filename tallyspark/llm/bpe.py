@@ -8,13 +8,13 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from .common import Recent, map_batches, slices
 
@@ -28,6 +28,9 @@ PAIRS = 500_000
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACES = re.compile(f"[{WHITE_SPACE}]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Text of characters on whose case, class and normal form this Python and the library agree, whatever stands beside them: Latin, Cyrillic,
+#: kana, Han and Hangul letters of the first Unicode versions and common signs. Chunks with any other go through the library's own normaliser and splitter.
+PLAIN = re.compile("[\x00-\x7f\xa1-\u0233\u0400-\u045f\u2010-\u2027\u2030-\u205e\u20ac\u3001-\u3003\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 def byte_symbols() -> list[str]:
@@ -68,6 +71,7 @@ class WordBPE:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{WHITE_SPACE}"))
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        self.library = Tokenizer.from_file(path)
         self.symbol = byte_symbols()
         self.names = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.special.items()}
         self.table = [self.names.get(i, "") for i in range(max(self.names) + 1)]
@@ -194,10 +198,12 @@ class WordBPE:
         return out
 
     def _learn(self, chunks: list[str]) -> None:
-        found = []
-        for chunk in chunks:
-            s = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk).replace("Σ", "σ")
-            found.append(self.words.findall(s.lower()))
+        odd = [c for c in chunks if not c.isascii() and not PLAIN.fullmatch(c)]
+        if odd:
+            self._learn_odd(odd)
+            odd = set(odd)
+            chunks = [c for c in chunks if c not in odd]
+        found = [self.words.findall(c.lower()) for c in chunks]
         new = self.word_ids.missing({w for words in found for w in words})
         if new:
             plain = [w if w.isascii() and w.isprintable() else "".join(self.symbol[b] for b in w.encode()) for w in new]
@@ -207,6 +213,14 @@ class WordBPE:
         for chunk, words in zip(chunks, found):
             self.cache[chunk] = b"".join(map(look, words)) if len(words) != 1 else look(words[0])
 
+    def _learn_odd(self, chunks: list[str]) -> None:
+        split, normal = self.library.pre_tokenizer.pre_tokenize_str, self.library.normalizer.normalize_str
+        found = [[w for w, _ in split(normal(c))] for c in chunks]
+        new = list({w for words in found for w in words})
+        ids = dict(zip(new, self.encode_words(new)))
+        for chunk, words in zip(chunks, found):
+            self.cache[chunk] = array.array("I", [i for w in words for i in ids[w]]).tobytes()
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = []
