@@ -28,7 +28,7 @@ SCALE = 2_000_000
 BITS = 26
 _BLOCK = 15
 #: Words of text that a task counts at once, and distinct words that it remembers.
-CHUNK_WORDS, CHUNK_VOCABULARY = 1_500_000, 400_000
+CHUNK_WORDS, CHUNK_VOCABULARY = 700_000, 200_000
 _EMIT = 50_000
 _SLICE = 4_000_000
 
