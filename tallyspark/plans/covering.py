@@ -28,7 +28,28 @@ def shard_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pinned.files(spark, folder, "part-*").where("bytes > 0")
     manifest = found.select(F.substring_index("path", "/", -1).alias("path"), "sha", "bytes", F.json_array_length(F.get_json_object(F.col("body").cast("string"), "$.records")).alias("records"))
     manifest = manifest.crossJoin(F.broadcast(manifest.agg(F.sum("records").alias("record_count"))))
-    return pinned.load_shards(spark, folder, manifest, "id string, label string, nation int", pattern=r"\Apart-[A-Za-z0-9-]+\.txt\z", glob="part-*")
+    return pinned.load_shards(spark, folder, manifest, "id string, label string, nation int", pattern=r"\Apart-[A-Za-z0-9-]+\.txt\z", glob="part-*", most=100_000)
+
+
+@query("select cast(c_custkey as varchar) as id, c_name as label, c_nationkey as nation from customer")
+def receipt_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC3, SRC5: customers written as shards of 500, a manifest for each 40 of them, an index and its receipt; let in again from the receipt down."""
+    folder = scratch(spark)
+    numbered = F.floor((F.col("c_custkey") - 1) / 500)
+    rows = table(spark, sf_dir, "customer").select(numbered.alias("shard"), F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("label"), F.col("c_nationkey").alias("nation")).alias("r"))
+
+    def put(bodies: DataFrame) -> DataFrame:
+        """Files named by what they are, and ``(part, link)``: what the next level says of each."""
+        bodies.select("file", "value").repartition("file").write.mode("append").partitionBy("file").option("maxRecordsPerFile", 1).text(folder)
+        return bodies.select("part", F.struct(F.col("file").alias("path"), F.sha2(F.concat("value", F.lit("\n")), 256).alias("sha256"), (F.octet_length("value") + 1).cast("long").alias("bytes"), "records").alias("link"))
+
+    named = lambda kind, n: F.concat(F.lit(kind), F.col(n).cast("string"))
+    shards = put(rows.groupBy("shard").agg(F.to_json(F.struct(F.lit("v1").alias("schemaVersion"), F.sort_array(F.collect_list("r")).alias("records"))).alias("value"), F.count("*").alias("records")).select(named("shard-", "shard").alias("file"), "value", "records", F.floor(F.col("shard") / 40).alias("part")))
+    listed = shards.groupBy("part").agg(F.to_json(F.struct(F.sort_array(F.collect_list("link")).alias("shards"), F.sum("link.records").alias("recordCount"))).alias("value"))
+    manifests = put(listed.select(named("manifest-", "part").alias("file"), "value", F.lit(None).cast("long").alias("records"), F.lit(0).alias("part")))
+    index = put(manifests.groupBy("part").agg(F.to_json(F.struct(F.sort_array(F.collect_list("link")).alias("manifests"))).alias("value")).select(F.lit("index").alias("file"), "value", F.lit(None).cast("long").alias("records"), "part"))
+    put(index.select(F.lit("receipt").alias("file"), F.to_json(F.struct(F.lit("accepted").alias("status"), F.lit("r").alias("reviewer"), F.lit("e").alias("evidenceId"), F.col("link.sha256").alias("indexSha256"))).alias("value"), F.lit(None).cast("long").alias("records"), "part"))
+    return pinned.load_collection(spark, folder, "receipt", "id string, label string, nation int", index="index", glob="*.txt", name="regexp_extract(path, 'file=([^/]+)/', 1)")
 
 
 @query("select cast(n_nationkey as varchar) as n_nationkey, n_name, cast(n_regionkey as varchar) as n_regionkey from nation")

@@ -98,6 +98,8 @@ def test_inventory_and_release(spark, tmp_path):
     rows = {(r.path, r.kind) for r in pinned.inventory(spark, str(tmp_path / "snap"), "s").collect()}
     assert rows == {("hold.json", "file"), ("attempts/1/outcome.json", "file"), ("attempts", "directory"), ("attempts/1", "directory")}
     put(tmp_path / "snap/a/b/c/d", "deep.json", "{}")
+    assert pinned.inventory(spark, str(tmp_path / "snap"), "s").where("kind = 'directory'").count() == 6
+    put(tmp_path / "snap/a/b/c/d/e", "deeper.json", "{}")
     with pytest.raises(Refused):
         pinned.inventory(spark, str(tmp_path / "snap"), "s")
     put(tmp_path / "out", "a.json", "{}")
