@@ -55,18 +55,34 @@ def source_token(token: Column, dash: str = "-") -> Column:
     return F.struct(presence.alias("presence"), F.when(presence == "present", value).alias("value"))
 
 
+#: Characters of decimal text that is scaled (fixed value), and digits in a limb.
+MOST_SCALED, LIMB = 128, 9
+
+
 def scale_exact(raw: Column, multiplier: Column) -> Column:
-    """Text times an integer: a whole number in the safe range, else null.
+    """Text of at most 128 characters times a whole number of the safe range: a whole number in the safe range, else null.
 
-    Digits are multiplied as integers, so that no product is rounded to a decimal's scale.
+    The digits are multiplied in limbs of nine, from the last, with a carry, so nothing is rounded whatever their number. The product
+    is whole if its last digits, as many as the text has after the point, are zeros.
     """
+    limbs = MOST_SCALED // LIMB + 1
     fraction = F.regexp_extract(raw, r"\.([0-9]+)\z", 1)
-    digits = F.regexp_replace(raw, r"\.", "").try_cast("decimal(26,0)")
-    top = digits * multiplier.try_cast("decimal(11,0)")
-    below = F.rpad(F.lit("1"), F.length(fraction) + 1, "0").try_cast("decimal(21,0)")
-    fits = is_decimal(raw) & (F.length(fraction) <= 20) & (multiplier >= 1) & (top % below == 0)
-    value = (top / below).try_cast("decimal(38,0)")
-    return F.when(holds(fits) & (F.abs(value) <= SAFE), value.cast("long"))
+    digits = F.lpad(F.regexp_replace(raw, r"[-.]", ""), limbs * LIMB, "0")
+    factor = multiplier.try_cast("decimal(16,0)")
+    parts = F.transform(F.sequence(F.lit(limbs - 1), F.lit(0), F.lit(-1)), lambda i: F.substring(digits, i * LIMB + 1, LIMB).try_cast("decimal(9,0)"))
+    one = F.lit(10**LIMB).cast("decimal(10,0)")
+
+    def step(s: Column, limb: Column) -> Column:
+        total = (limb * factor + s["carry"]).cast("decimal(27,0)")
+        low = (total % one).cast("decimal(9,0)")
+        return F.struct(F.concat(F.lpad(low.cast("string"), LIMB, "0"), s["text"]).alias("text"), ((total - low) / one).cast("decimal(18,0)").alias("carry"))
+
+    made = F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(0).cast("decimal(18,0)").alias("carry")), step, lambda s: F.concat(s["carry"].cast("string"), s["text"]))
+    whole = F.substring(made, F.lit(1), F.length(made) - F.length(fraction))
+    rest = F.substring(made, F.length(made) - F.length(fraction) + 1, F.length(fraction))
+    value = F.regexp_replace(whole, r"\A0+(?=.)", "").try_cast("decimal(38,0)")
+    fits = is_decimal(raw, MOST_SCALED) & factor.between(1, SAFE) & ~rest.rlike("[1-9]") & (value <= SAFE)
+    return F.when(holds(fits), F.when(raw.startswith("-"), -value).otherwise(value).cast("long"))
 
 
 def multiplier_of(unit: Column) -> Column:

@@ -21,12 +21,20 @@ def is_digest(value: Column) -> Column:
 
 @functools.cache
 def canonical():
-    """Pandas UDF: JSON text with sorted keys and no white space; null if it is no JSON."""
+    """Pandas UDF: JSON text with sorted keys and no white space; null if it has no canonical form.
+
+    None has what is no JSON, a number that is not finite, a lone surrogate, which UTF-8 cannot say, and what is nested too deep to be read.
+    Of repeated keys the last counts.
+    """
+
+    def refuse(constant):
+        raise ValueError(constant)
 
     def one(text):
         try:
-            return None if text is None else json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
-        except ValueError:
+            made = None if text is None else json.dumps(json.loads(text, parse_constant=refuse), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+            return made if made is None or made.isascii() else made.encode().decode()
+        except (ValueError, RecursionError):
             return None
 
     @F.pandas_udf("string")
@@ -56,6 +64,11 @@ def has_keys(text: Column, *keys: str) -> Column:
     return holds(F.try_parse_json(text).isNotNull() & (F.sort_array(F.json_object_keys(text)) == wanted))
 
 
+def writable(text: str) -> str:
+    """Text with lone surrogates, which UTF-8 cannot say, written as escapes."""
+    return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
+
+
 @functools.lru_cache(maxsize=16)
 def _unapproved(fields: tuple[tuple[str, tuple[str, ...]], ...], root: str):
     """Pandas UDF: what :func:`unapproved` lists."""
@@ -79,7 +92,7 @@ def _unapproved(fields: tuple[tuple[str, tuple[str, ...]], ...], root: str):
             walk(json.loads(text), root, out)
         except (ValueError, RecursionError):
             return [root]
-        return sorted(set(out))
+        return sorted({writable(p) for p in out})
 
     @F.pandas_udf("array<string>")
     def run(values: pd.Series) -> pd.Series:
@@ -92,7 +105,8 @@ def unapproved(text: Column, fields: dict[str, Sequence[str]], root: str = "root
     """Paths in JSON text that a public allowlist does not name: keys beyond it, and objects where it has none.
 
     ``fields`` lists the keys of the object at each path, such as ``root.facts[].period``; objects may nest
-    to any depth, and a list's items share a path. Text that is no JSON breaks the root itself.
+    to any depth that can be read, and a list's items share a path. Text that is no JSON, or is nested too deep, breaks the root itself. A lone
+    surrogate in a key is shown as an escape.
     """
     return _unapproved(tuple(sorted((path, tuple(names)) for path, names in fields.items())), root)(text)
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .exact import holds
 
 #: Pages that stand alone, and pages that name one record (fixed values).
-PAGES = ("find", "money", "sources", "methods", "tenders", "municipal", "transfers", "audits", "budget-tables", "institution", "authorizations", "cash-bridge")
+PAGES = (
+    "transit", "hrm-winter", "hrm-facilities", "hrm-capital", "find", "money", "sources", "methods", "tenders", "municipal", "municipal-capital", "capital-explanation", "health-spending", "richmond-register",
+    "water-projects", "shelburne-grants", "audits", "budget-tables", "transfers", "institution", "authorizations", "cash-bridge",
+)
 RECORD_PAGES = ("record", "investigation", "governance", "authorization-trace", "reporting-question")
 
 

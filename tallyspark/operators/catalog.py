@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.hashing import writable
 from .search import known_or_any
 
 #: The only stage of the chain from budget to outcome that a source record backs comes first (fixed values).
@@ -66,7 +67,7 @@ def _https_values(skip: str):
             walk(json.loads(text), found)
         except (ValueError, RecursionError):
             return []
-        return sorted(found)
+        return sorted({writable(u) for u in found})
 
     @F.pandas_udf("array<string>")
     def run(values: pd.Series) -> pd.Series:

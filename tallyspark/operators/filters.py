@@ -1,10 +1,13 @@
-"""The filters of each collection (F3 to F18), told apart by their text search and by what a bad argument does.
+"""The filters of each collection (F3 to F18): what a search reads, and what a bad argument does, is declared for each in one place.
 
-Arguments are checked here, before anything is read. Columns are snake-case; empty arguments are no filter.
+Arguments are checked before rows are handed out. Columns are snake-case; empty arguments are no filter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,26 +16,64 @@ from . import search
 from .joins import label
 
 
-#: Statuses of a recommendation (fixed values).
+@dataclass(frozen=True)
+class Searched:
+    """What the search of a collection reads: ``fields`` by ``how`` (``words``, ``plain_words``, ``any``, ``across``), the last ``labels`` of them joined on ``on``.
+
+    ``known`` names the columns whose values a filter may ask for: another value is an error.
+    """
+
+    how: str
+    fields: tuple[str, ...]
+    on: str | None = None
+    labels: tuple[str, ...] = ()
+    known: tuple[str, ...] = ()
+
+    def matches(self, query: str):
+        ways = {"words": text.all_words, "plain_words": lambda q, *f: text.all_words(q, *f, nfkc=False), "any": text.any_field, "across": text.across_fields}
+        return ways[self.how](query, *self.fields) if query.strip() else F.lit(True)
+
+    def filed(self, rows: DataFrame, query: str, parents: DataFrame | None = None, **columns) -> DataFrame:
+        """The rows that the query finds and whose columns have the values; the joined labels come with them for the search alone."""
+        for name, value in columns.items():
+            if name in self.known and value not in ("", None) and (parents if name == self.on else rows).where(F.col(name) == F.lit(value)).isEmpty():
+                raise ValueError(f"unknown {name}: {value!r}")
+        if not self.labels:
+            return search.filed(rows, query, self.matches(query), **columns)
+        named = {f: f"__{f}" for f in self.labels}
+        own = parents.select(self.on, *[F.col(f).alias(n) for f, n in named.items()])
+        own_fields = Searched(self.how, tuple(named.get(f, f) for f in self.fields))
+        return search.filed(label(rows, own, [self.on], list(named.values())), query, own_fields.matches(query), **columns).select(rows.columns)
+
+
+REFERENCES = Searched("words", ("id", "title", "group", "jurisdiction", "url"))
+MONEY = Searched("words", ("title", "entity", "metric", "stage"))
+PHYSICIAN = Searched("any", ("id", "type", "subcategory"), known=("year", "type"))
+REGISTER = Searched("any", ("id", "vendor", "vendor_id", "cheque_number"))
+BUDGET = Searched("across", ("label", "section", "id"))
+RECOMMENDATIONS = Searched("any", ("id", "number", "title", "business_unit"), on="audit_id", labels=("title",), known=("audit_id",))
+TRANSIT = Searched("plain_words", ("id", "year", "measure", "label"), on="group_id", labels=("label",))
+WATER = Searched("words", ("project_name", "project_number", "matter_text"))
+#: Statuses of a recommendation, and sections of the register (fixed values).
 STATUSES = ("Completed", "Incomplete")
+SECTIONS = ("GENERAL", "ONLINE UTILITY", "WATER", "ONLINE PAYMENTS")
 
 
 def references(rows: DataFrame, query: str = "", group: str = "", stage: str = "") -> DataFrame:
-    """title, publisher and url by words; stage is published, reference or capture, others mean any."""
-    kept = text.all_words(query, "title", "publisher", "url") if query else F.lit(True)
-    kept = kept & search.equals("group", group)
+    """by words; stage is published, reference or capture, others mean any."""
+    kept = search.equals("group", group)
     if stage == "published":
         kept = kept & F.col("published")
     elif stage == "reference":
         kept = kept & ~F.col("published")
     elif stage == "capture":
         kept = kept & F.col("capture").isNotNull()
-    return rows.where(kept)
+    return REFERENCES.filed(rows, query).where(kept)
 
 
 def money(rows: DataFrame, query: str = "", stage: str = "") -> DataFrame:
-    """facts by words (T1) and stage."""
-    return search.filed(rows, query, text.all_words(query, "title", "entity", "metric"), stage=stage)
+    """facts by words, of which the stage is searched too, and by stage."""
+    return MONEY.filed(rows, query, stage=stage)
 
 
 def municipal(rows: DataFrame, query: str = "", type: str = "", year: str = "") -> DataFrame:
@@ -47,19 +88,20 @@ def municipal_capital(rows: DataFrame, query: str = "", type: str = "", role: st
 
 
 def physician(rows: DataFrame, query: str = "", year: str = "", type: str = "", sign: str = "") -> DataFrame:
-    """a phrase in a label (T3), year, type, and negative or zero amounts; another sign is an error."""
+    """a phrase in the id or a label, year, type, and negative or zero amounts; another sign is an error, and so is a year or type that no row has."""
     search.check_choice(sign, ("negative", "zero"))
     status = {"negative": "negative_reported_value", "zero": "explicit_zero"}.get(sign, "")
-    return search.filed(rows, query, text.any_field(query, "type", "subcategory"), year=year, type=type, amount_status=status)
+    return PHYSICIAN.filed(rows, query, year=year, type=type, amount_status=status)
 
 
-def register(rows: DataFrame, query: str = "", section: str = "", low: str = "", high: str = "", month: str = "2026-01") -> DataFrame:
-    """F8: cheques of the one month there is; a date outside it is an error, as is an unordered range."""
+def register(rows: DataFrame, query: str = "", section: str = "", low: str = "", high: str = "", month: str = "2026-01", sections: Sequence[str] = SECTIONS) -> DataFrame:
+    """F8: cheques of the one month there is; a date outside it is an error, as are an unordered range and a section that is none of ``sections``."""
+    search.check_choice(section, sections)
     search.check_range(low, high)
     for d in (low, high):
         if d and not d.startswith(month + "-"):
             raise ValueError(f"{d} is not in {month}")
-    return search.filed(rows, query, text.any_field(query, "vendor", "cheque_number"), section=section).where(search.within("cheque_date", low, high))
+    return REGISTER.filed(rows, query, section=section).where(search.within("cheque_date", low, high))
 
 
 def transfers(rows: DataFrame, program: str = "", year: str = "") -> DataFrame:
@@ -73,8 +115,8 @@ def institution(rows: DataFrame, query: str = "", stage: str = "", type: str = "
 
 
 def budget(rows: DataFrame, query: str = "", stage: str = "", table: str = "") -> DataFrame:
-    """a phrase over section and label together (T4)."""
-    return search.filed(rows, query, text.across_fields(query, "section", "label"), stage=stage, table=table)
+    """a phrase over label, section and id together (T4)."""
+    return BUDGET.filed(rows, query, stage=stage, table=table)
 
 
 def authorizations(orders: DataFrame, query: str = "", year: str = "") -> DataFrame:
@@ -91,23 +133,21 @@ def audits(rows: DataFrame, query: str = "", year: int | None = None, incomplete
 
 
 def audit_recommendations(rows: DataFrame, audits_: DataFrame, query: str = "", audit: str = "", status: str = "") -> DataFrame:
-    """Recommendations by a phrase that may be in their audit's columns (T3); an unknown status is an error."""
+    """Recommendations by a phrase in the id, the number, the title of their audit (``audits_``: audit_id, title) or the business unit; an unknown audit or status is an error."""
     search.check_choice(status, STATUSES)
-    joined = label(rows, audits_, ["audit_id"], ["title", "report_date"])
-    return search.filed(joined, query, text.any_field(query, "audit_id", "title", "report_date", "number", "status"), audit_id=audit, status=status)
+    return RECOMMENDATIONS.filed(rows, query, audits_, audit_id=audit, status=status)
 
 
-def groups(rows: DataFrame, query: str = "", group: str = "", *fields: str) -> DataFrame:
-    """facilities, winter and capital rows by a phrase in any of the fields (T3) and their group."""
-    return search.filed(rows, query, text.any_field(query, *fields), group_id=group)
+def groups(rows: DataFrame, groups_: DataFrame, query: str = "", group: str = "", *fields: str) -> DataFrame:
+    """facilities, winter and capital rows by a phrase in the id, any of the fields, or the label of their group (``groups_``: group_id, label), and by group."""
+    return Searched("any", ("id", *fields, "label"), on="group_id", labels=("label",)).filed(rows, query, groups_, group_id=group)
 
 
-def transit(rows: DataFrame, query: str = "", group: str = "", year: str = "") -> DataFrame:
-    """F16: words without the compatibility form (T6), group and year."""
-    return search.filed(rows, query, text.all_words(query, "measure", "unit", "year", nfkc=False), group_id=group, year=year)
+def transit(rows: DataFrame, groups_: DataFrame, query: str = "", group: str = "", year: str = "") -> DataFrame:
+    """F16: words without the compatibility form (T6) over id, year, measure and the label of the group; group and year."""
+    return TRANSIT.filed(rows, query, groups_, group_id=group, year=year)
 
 
 def water(rows: DataFrame, query: str = "", service: str = "") -> DataFrame:
-    """words (T1) over the project and its matters, and the service."""
-    shown = rows.withColumn("__matters", F.concat_ws(" ", "matter_ids"))
-    return search.filed(shown, query, text.all_words(query, "project_number", "service_group", "__matters"), service_group=service).drop("__matters")
+    """words (T1) over a project's name and number and the text of its matters, and the service."""
+    return WATER.filed(rows, query, service_group=service)

@@ -16,6 +16,8 @@ from .diff import change_counts, changes, coverage
 
 #: Days between attempts, seconds of a request and of a pair of requests (fixed values).
 DAYS, REQUEST_SECONDS, PAIR_SECONDS = 7, 40, 150
+#: Bytes of a captured body, and what a receipt says of one that may be read on (fixed values).
+MOST_BODY, DISPOSITION = 1 << 20, "received_for_semantic_review"
 #: Text by which a body gives itself away as an access challenge (fixed value).
 CHALLENGE = "(?i)captcha|access.denied|request rejected|challenge-platform|cf-chl"
 #: Files of an attempt and of the journal itself (fixed values).
@@ -136,9 +138,11 @@ def clocks(artifacts: DataFrame) -> DataFrame:
 def capture_problems(captures: DataFrame) -> DataFrame:
     """``captures`` with ``problems``: why a body and its receipt are not to be used; an empty array: none.
 
-    A capture: name, body (binary), wanted_url, wanted_type, receipt (JSON text). Nothing is tried again.
+    A capture: name, body (binary), wanted_url, wanted_type, receipt (JSON text). Nothing is tried again. Values of the receipt are
+    compared with their kind: a status of ``"200"`` as text is not 200, and a response address of null is not the wanted one.
     """
     get = lambda p: F.get_json_object("receipt", f"$.{p}")
+    literal = lambda p: F.to_json(F.try_variant_get(F.try_parse_json("receipt"), f"$.{p}", "variant"))
     text = F.try_validate_utf8("body").cast("string")
     mime = F.trim(F.lower(F.substring_index(get("headers.content-type"), ";", 1)))
     length = F.regexp_replace(get("headers.content-length"), r"\A[ \t]+|[ \t]+\z", "")
@@ -146,9 +150,13 @@ def capture_problems(captures: DataFrame) -> DataFrame:
     times = [instant(get(p)) for p in ("attemptedAt", "headersReceivedAt", "completedAt")]
     checks = {
         "empty body": F.octet_length("body") > 0,
+        "oversized body": F.octet_length("body") <= MOST_BODY,
         "not UTF-8": text.isNotNull(),
-        "unexpected response": (get("url") == F.col("wanted_url")) & (get("status") == "200") & (get("complete") == "true"),
-        "body is not the receipt's": (get("bodyBytes").try_cast("long") == F.octet_length("body")) & (get("bodySha256") == F.sha2("body", 256)),
+        "unexpected response": (get("url") == F.col("wanted_url")) & (literal("status") == "200") & (literal("complete") == "true"),
+        "disposition": get("disposition") == DISPOSITION,
+        "response address": literal("responseURL").isNull() | (get("responseURL") == F.col("wanted_url")),
+        "incomplete headers": F.coalesce(literal("headersComplete"), F.lit("")) != "false",
+        "body is not the receipt's": (literal("bodyBytes") == F.octet_length("body").cast("string")) & (get("bodySha256") == F.sha2("body", 256)),
         "unexpected type": mime == F.col("wanted_type"),
         "unexpected encoding": F.coalesce(get("headers.content-encoding"), F.lit("identity")) == "identity",
         "content length": get("headers.content-length").isNull() | same_length,

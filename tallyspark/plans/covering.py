@@ -98,7 +98,8 @@ def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select page_id, case when page_id % 6 = 1 then 'body is not the receipt''s' when page_id % 6 = 2 then 'chronology' when page_id % 6 = 3 then 'unexpected response' when page_id % 6 = 4 then 'unexpected type' when page_id % 6 = 5 then 'content length' when page_id % 12 = 6 then 'access challenge' else '' end as problems from pages
+select page_id, case when page_id % 6 = 1 then 'body is not the receipt''s' when page_id % 6 = 2 then 'chronology' when page_id % 6 = 3 then 'unexpected response' when page_id % 6 = 4 then 'unexpected type' when page_id % 6 = 5 then 'content length' when page_id % 12 = 6 then 'access challenge'
+  when page_id % 60 = 12 then 'response address' when page_id % 60 = 24 then 'incomplete headers' when page_id % 60 = 36 then 'disposition' when page_id % 60 = 48 then 'unexpected response' else '' end as problems from pages
 """)
 def capture_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """§2.12: pages as captured bodies, most with something wrong in their receipt."""
@@ -106,8 +107,9 @@ def capture_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(k % 12 == 6, F.concat("html", F.lit(" Please solve this CAPTCHA"))).otherwise(F.col("html"))
     n = F.octet_length(body)
     receipt = F.to_json(F.struct(
-        F.col("url").alias("url"), F.when(k % 6 == 3, 404).otherwise(200).alias("status"), F.lit(True).alias("complete"), n.alias("bodyBytes"), F.when(k % 6 == 1, F.sha2("url", 256)).otherwise(F.sha2(body, 256)).alias("bodySha256"),
+        F.col("url").alias("url"), F.when(k % 60 == 48, F.parse_json(F.lit('"200"'))).when(k % 6 == 3, F.parse_json(F.lit("404"))).otherwise(F.parse_json(F.lit("200"))).alias("status"), F.lit(True).alias("complete"), n.alias("bodyBytes"), F.when(k % 6 == 1, F.sha2("url", 256)).otherwise(F.sha2(body, 256)).alias("bodySha256"),
         F.struct(F.when(k % 6 == 4, "text/plain").otherwise("Text/HTML; charset=utf-8").alias("content-type"), F.when(k % 6 == 5, "12x").otherwise(F.concat(F.lit("00"), n.cast("string"))).alias("content-length")).alias("headers"),
+        F.when(k % 60 == 36, "held_no_retry").otherwise("received_for_semantic_review").alias("disposition"), F.when(k % 60 == 12, "https://other.example/").when(k % 2 == 0, F.col("url")).alias("responseURL"), F.when(k % 60 == 24, False).when(k % 5 == 0, True).alias("headersComplete"),
         F.lit("2026-01-01T00:00:00Z").alias("attemptedAt"), F.lit("2026-01-01T00:00:01Z").alias("headersReceivedAt"), F.when(k % 6 == 2, "2026-01-01T00:00:59Z").otherwise("2026-01-01T00:00:02+00:00").alias("completedAt"),
     ))
     captures = table(spark, sf_dir, "pages").select("page_id", body.cast("binary").alias("body"), F.col("url").alias("wanted_url"), F.lit("text/html").alias("wanted_type"), receipt.alias("receipt"))

@@ -18,59 +18,70 @@ def tagged(**parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, [df.select(F.lit(name).alias("filter"), F.col("id").cast("string").alias("id")) for name, df in parts.items()])
 
 
+def groups_of(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("a", "Ferries"), ("b", "Buses")], "group_id string, label string")
+
+
 def parts_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts with the columns that the filters of the collections read."""
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
         k.alias("id"), F.col("p_name").alias("title"), F.col("p_type").alias("publisher"), F.col("p_type").alias("metric"), F.col("p_brand").alias("url"), F.col("p_brand").alias("entity"), F.col("p_name").alias("municipality"), F.col("p_name").alias("label"), F.col("p_type").alias("section"),
         F.when(k % 2 == 0, "guide").otherwise("supporting").alias("group"), (k % 3 == 0).alias("published"), F.when(k % 4 == 0, "c").alias("capture"), F.when(k % 5 == 0, "capital_plan").otherwise("audited_actual").alias("stage"), F.when(k % 2 == 0, "town").otherwise("rural").alias("municipality_type"), F.when(k % 3 == 0, "2024-25").otherwise("2023-24").alias("fiscal_year"),
-        F.when(k % 4 == 0, "published_aggregate").otherwise("municipality").alias("row_role"), F.col("p_name").alias("measure"), F.col("p_type").alias("unit"), F.col("p_size").cast("string").alias("year"), F.when(k % 2 == 0, "a").otherwise("b").alias("group_id"), F.col("p_brand").alias("project_number"), F.col("p_type").alias("service_group"),
-        F.array(F.col("p_name"), F.concat(F.lit("M"), k.cast("string"))).alias("matter_ids"), F.col("p_type").alias("type"), F.col("p_name").alias("subcategory"), F.when(k % 7 == 0, "explicit_zero").otherwise("negative_reported_value").alias("amount_status"), F.col("p_name").alias("vendor"), F.col("p_brand").alias("cheque_number"),
+        F.when(k % 4 == 0, "published_aggregate").otherwise("municipality").alias("row_role"), F.col("p_name").alias("measure"), F.col("p_type").alias("unit"), F.col("p_size").cast("string").alias("year"), F.when(k % 2 == 0, "a").otherwise("b").alias("group_id"), F.col("p_name").alias("project_name"), F.col("p_brand").alias("project_number"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("jurisdiction"), F.col("p_brand").alias("vendor_id"), F.concat(F.lit("S"), F.col("p_size").cast("string")).alias("business_unit"), F.col("p_type").alias("service_group"),
+        F.concat(F.lit("M"), k.cast("string")).alias("matter_text"), F.col("p_type").alias("type"), F.col("p_name").alias("subcategory"), F.when(k % 7 == 0, "explicit_zero").otherwise("negative_reported_value").alias("amount_status"), F.col("p_name").alias("vendor"), F.col("p_brand").alias("cheque_number"),
         F.concat(F.lit("2026-01-"), F.lpad((k % 31 + 1).cast("string"), 2, "0")).alias("cheque_date"), F.col("p_type").alias("measure_type"), F.col("p_brand").alias("table"), F.col("p_brand").alias("organization"), (k % 6).alias("not_completed"), F.when(k % 3 == 0, "Completed").otherwise("Incomplete").alias("status"), (k % 10).alias("audit_id"), (k % 9).alias("number"),
     )
 
 
 @query("""
-with p as (select p_partkey as k, lower(concat_ws(' ', p_name, p_type, p_brand)) as t3, lower(concat_ws(' ', p_name, p_brand, p_type)) as t4, lower(p_name) as n, lower(concat_ws(' ', p_name, p_type, p_size)) as t6, p_type,
-  lower(concat_ws(' ', p_brand, p_type, p_name || ' M' || p_partkey)) as t7 from part)
+with p as (select p_partkey as k, case when p_partkey % 5 = 0 then 'capital_plan' else 'audited_actual' end as stage, lower(p_name) as n, p_type, p_size,
+  lower(concat_ws(' ', p_partkey, p_name, case when p_partkey % 2 = 0 then 'guide' else 'supporting' end, 'S' || p_size, p_brand)) as t3, lower(concat_ws(' ', p_name, p_brand, p_type, case when p_partkey % 5 = 0 then 'capital_plan' else 'audited_actual' end)) as t4,
+  lower(concat_ws(' ', p_partkey, p_size, p_name, case when p_partkey % 2 = 0 then 'Ferries' else 'Buses' end)) as t6, lower(concat_ws(' ', p_name, p_brand, 'M' || p_partkey)) as t7 from part)
 select 'references' as filter, cast(k as varchar) as id from p where contains(t3, '1') and contains(t3, 'brand') and k % 2 = 0 and k % 3 = 0
 union all select 'references_unpublished', cast(k as varchar) from p where k % 3 <> 0
 union all select 'references_captured', cast(k as varchar) from p where k % 4 = 0
+union all select 'references_grouped', cast(k as varchar) from p where contains(t3, 'supporting') and contains(t3, '7')
 union all select 'money', cast(k as varchar) from p where contains(t4, '#1') and k % 5 = 0
+union all select 'money_by_stage', cast(k as varchar) from p where contains(t4, 'capital_pl') and contains(t4, '2')
 union all select 'capital', cast(k as varchar) from p where contains(n, '1') and contains(n, 'part') and k % 2 = 0 and k % 4 <> 0
 union all select 'capital_aggregates', cast(k as varchar) from p where k % 4 = 0
-union all select 'transit', cast(k as varchar) from p where contains(t6, '2') and contains(t6, 'part') and k % 2 = 0
-union all select 'water', cast(k as varchar) from p where contains(t7, 'm1') and p_type = (select min(p_type) from part)
+union all select 'transit', cast(k as varchar) from p where contains(t6, '2') and contains(t6, 'ferr') and k % 2 = 0
+union all select 'transit_of_a_year', cast(k as varchar) from p where contains(t6, 'buses') and p_size = 7
+union all select 'water', cast(k as varchar) from p where contains(t7, 'm1') and contains(t7, '2') and p_type = (select min(p_type) from part)
 """)
 def word_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters by words in any order, and what else each of them takes."""
     rows = parts_as_rows(spark, sf_dir)
     first = rows.agg(F.min("service_group")).first()[0]
     return tagged(
-        references=filters.references(rows, "BRAND 1", "guide", "published"), references_unpublished=filters.references(rows, stage="reference"), references_captured=filters.references(rows, stage="capture"), money=filters.money(rows, "#1", "capital_plan"),
-        capital=filters.municipal_capital(rows, "1 PART", "town"), capital_aggregates=filters.municipal_capital(rows, role="published_aggregate"), transit=filters.transit(rows, "2 part", "a"), water=filters.water(rows, "M1", first),
+        references=filters.references(rows, "BRAND 1", "guide", "published"), references_unpublished=filters.references(rows, stage="reference"), references_captured=filters.references(rows, stage="capture"), references_grouped=filters.references(rows, "7 Supporting"), money=filters.money(rows, "#1", "capital_plan"), money_by_stage=filters.money(rows, "2 capital_PL"),
+        capital=filters.municipal_capital(rows, "1 PART", "town"), capital_aggregates=filters.municipal_capital(rows, role="published_aggregate"), transit=filters.transit(rows, groups_of(spark), "2 FERR", "a"), transit_of_a_year=filters.transit(rows, groups_of(spark), "buses", year="7"), water=filters.water(rows, "M1 2", first),
     )
 
 
 @query("""
-with p as (select p_partkey as k, lower(p_name) as n, lower(p_type) as t, lower(p_brand) as b, p_brand from part)
+with p as (select p_partkey as k, lower(p_name) as n, lower(p_type) as t, lower(p_brand) as b, 's' || p_size as c, p_brand, p_type, cast(p_partkey as varchar) as id from part)
 select 'municipal' as filter, cast(k as varchar) as id from p where contains(n, 'part 1') and k % 2 = 0 and k % 3 = 0
-union all select 'physician', cast(k as varchar) from p where (contains(t, 'e') or contains(n, 'e')) and k % 7 = 0
-union all select 'register', cast(k as varchar) from p where (contains(n, '1') or contains(b, '1')) and k % 31 + 1 between 5 and 20
+union all select 'physician', cast(k as varchar) from p where (contains(id, '1') or contains(t, '1') or contains(n, '1')) and k % 7 = 0 and p_type = (select min(p_type) from part)
+union all select 'register', cast(k as varchar) from p where (contains(id, '9') or contains(n, '9') or contains(b, '9')) and k % 31 + 1 between 5 and 20
 union all select 'institution', cast(k as varchar) from p where contains(n, '2') and k % 5 = 0
-union all select 'budget', cast(k as varchar) from p where contains(t || ' ' || n, 'p') and p_brand = (select min(p_brand) from part)
+union all select 'budget', cast(k as varchar) from p where p_brand = (select min(p_brand) from part) and contains(n || ' ' || t || ' ' || id, '1 ' || (select lower(min(p_type)) from part) || ' ')
 union all select 'audits', cast(k as varchar) from p where contains(b || ' ' || n, '1 p') and k % 6 > 0
-union all select 'groups', cast(k as varchar) from p where (contains(n, '7') or contains(b, '7')) and k % 2 = 1
+union all select 'groups', cast(k as varchar) from p where (contains(id, '7') or contains(n, '7') or contains(b, '7')) and k % 2 = 1
+union all select 'groups_by_label', cast(k as varchar) from p where k % 2 = 0
 union all select 'recommendations', cast(k as varchar) from p where k % 10 = 3 and k % 3 = 0
+union all select 'recommendations_of_an_audit', cast(k as varchar) from p where k % 10 = 4 and (contains(id, '4') or contains(cast(k % 9 as varchar), '4') or contains(c, '4'))
 """)
 def phrase_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters by a phrase in one field, in any field, or across fields."""
     rows = parts_as_rows(spark, sf_dir)
-    brand = rows.agg(F.min("table")).first()[0]
+    brand, kind = rows.agg(F.min("table"), F.min("type")).first()
     audits = rows.select("audit_id").distinct().select("audit_id", F.concat(F.lit("Audit of "), F.col("audit_id").cast("string")).alias("title"), F.lit("2024-01-01").alias("report_date"))
     return tagged(
-        municipal=filters.municipal(rows, "Part 1", "town", "2024-25"), physician=filters.physician(rows, "e", sign="zero"), register=filters.register(rows, "1", low="2026-01-05", high="2026-01-20"), institution=filters.institution(rows, "2", "capital_plan"), budget=filters.budget(rows, "p", table=brand),
-        audits=filters.audits(rows, "1 p", incomplete=True), groups=filters.groups(rows, "7", "b", "title", "url"), recommendations=filters.audit_recommendations(rows.drop("title"), audits, "audit of 3", status="Completed"),
+        municipal=filters.municipal(rows, "Part 1", "town", "2024-25"), physician=filters.physician(rows, "1", type=kind, sign="zero"), register=filters.register(rows, "9", low="2026-01-05", high="2026-01-20"), institution=filters.institution(rows, "2", "capital_plan"), budget=filters.budget(rows, f"1 {kind} ", table=brand),
+        audits=filters.audits(rows, "1 p", incomplete=True), groups=filters.groups(rows, groups_of(spark), "7", "b", "title", "url"), groups_by_label=filters.groups(rows, groups_of(spark), "ERRIE", "", "title"),
+        recommendations=filters.audit_recommendations(rows, audits, "audit of 3", status="Completed"), recommendations_of_an_audit=filters.audit_recommendations(rows, audits, "4", audit=4),
     )
 
 

@@ -1,7 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, exact, hashing, text, urls
+from tallyspark.operators import catalog
 
 
 def values(spark, ddl, data, *exprs):
@@ -30,6 +33,37 @@ def test_scaling_is_exact(spark):
     assert got == [9007199254740991, None, None, -15, None, None, None, None]
 
 
+def test_scaling_of_long_text(spark):
+    """As whole numbers of any length do it, with zeros in front and behind, and at the bounds."""
+    import random
+    from fractions import Fraction
+
+    rng = random.Random(2)
+    data = [("1." + "0" * 22, 3), ("0" * 100 + "7.50" + "0" * 20, 2), (str(5**52)[:-52] + "0." + str(5**52).rjust(52, "0"), 2**52), ("-0.00", 5), ("9007199254740991", 1), ("9007199254740992", 1), ("1" * 128, 1), ("0" * 127 + "1", 9007199254740991), ("0" * 128 + "1", 1), ("1", 9007199254740992), ("1", 0), ("1e3", 1), ("٣", 1), ("1.", 1)]
+    for _ in range(300):
+        whole, places = str(rng.randrange(10 ** rng.randrange(1, 17))), rng.randrange(12)
+        text = rng.choice(["", "-"]) + "0" * rng.randrange(30) + whole + ("." + "".join(rng.choice("05") for _ in range(places)) + "0" * rng.randrange(40) if places else "")
+        data.append((text, rng.choice([1, 1000, 10**6, 2**30, 10**12])))
+
+    def slow(text, m):
+        if not re.fullmatch(r"-?[0-9]+(\.[0-9]+)?", text) or len(text) > 128 or not 1 <= m <= 2**53 - 1:
+            return None
+        value = Fraction(text) * m
+        return int(value) if value.denominator == 1 and abs(value) <= 2**53 - 1 else None
+
+    got = [r[0] for r in values(spark, "x string, m long", data, exact.scale_exact(F.col("x"), F.col("m")))]
+    assert got == [slow(x, m) for x, m in data] and sum(g is not None for g in got) > 50
+
+
+def test_text_that_has_no_canonical_form(spark):
+    raw = ['{"b":1,"a":"é"}', '{"a":"\\ud800"}', "[" * 100_000 + "]" * 100_000, '{"a":NaN}', '{"a":1,"a":2}', '{"a":1e999}', "x", None, '{"\\ud800":{"url":"https://a.b/\\udc00"}}']
+    assert one(spark, raw, hashing.canonical()(F.col("x"))) == ['{"a":"é","b":1}', None, None, None, '{"a":2}', None, None, None, None]
+    got = one(spark, raw, hashing.unapproved(F.col("x"), {"root": ["a", "b"]}))
+    assert got[1] == [] and got[2] == ["root"] and got[8] == ["root.\\ud800"] and got[7] is None
+    found = catalog.https_urls(spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "id int, body string")).orderBy("id").collect()
+    assert found[8].urls == ["https://a.b/\\udc00"] and found[2].urls == []
+
+
 def test_differences_are_not_binary(spark):
     got = values(spark, "a string, b string", [("0.3", "0.2")], (exact.to_decimal(F.col("a")) - exact.to_decimal(F.col("b"))).cast("string"))
     assert got == [("0.100000",)]
@@ -94,9 +128,9 @@ def test_urls(spark):
 
 
 def test_routes(spark):
-    raw = ["#/", "#/find?q=1", "#/record/a%20b", "#/investigation/x?depth=detail", "#/investigation/x?depth=other", "#/nowhere", "#/find/extra"]
+    raw = ["#/", "#/find?q=1", "#/record/a%20b", "#/investigation/x?depth=detail", "#/investigation/x?depth=other", "#/nowhere", "#/find/extra", "#/transit", "#/water-projects"]
     got = one(spark, raw, urls.route(F.col("x")))
-    assert [tuple(r) for r in got] == [("home", None, None), ("find", None, None), ("record", "a b", None), ("investigation", "x", "detail"), ("investigation", "x", "simple"), ("not-found", None, None), ("not-found", None, None)]
+    assert [tuple(r) for r in got] == [("home", None, None), ("find", None, None), ("record", "a b", None), ("investigation", "x", "detail"), ("investigation", "x", "simple"), ("not-found", None, None), ("not-found", None, None), ("transit", None, None), ("water-projects", None, None)]
 
 
 def test_closed_keys(spark):

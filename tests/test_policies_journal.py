@@ -120,12 +120,16 @@ def test_captures(spark):
     body = b"Year,Amount\n1,2\n"
     good = {
         "url": "https://a.b/c", "status": 200, "complete": True, "bodyBytes": len(body), "bodySha256": hashlib.sha256(body).hexdigest(), "headers": {"content-type": "text/csv; charset=utf-8", "content-length": " 00" + str(len(body))},
-        "attemptedAt": "2024-01-01T00:00:00Z", "headersReceivedAt": "2024-01-01T00:00:01Z", "completedAt": "2024-01-01T00:00:02Z", "transportError": None,
+        "attemptedAt": "2024-01-01T00:00:00Z", "headersReceivedAt": "2024-01-01T00:00:01Z", "completedAt": "2024-01-01T00:00:02Z", "transportError": None, "disposition": "received_for_semantic_review",
     }
     changes = [{}, {"status": 404}, {"bodyBytes": 1}, {"completedAt": "2024-01-01T00:01:02Z"}, {"completedAt": "2024-01-01T00:00:02"}, {"headers": {"content-type": "text/html"}}, {"transportError": "x"}, {"headers": good["headers"] | {"content-length": "x"}}]
-    df = spark.createDataFrame([(str(i), bytearray(body), "https://a.b/c", "text/csv", json.dumps(good | c)) for i, c in enumerate(changes)], "name string, body binary, wanted_url string, wanted_type string, receipt string")
+    changes += [{"responseURL": "https://z.b/c"}, {"responseURL": None}, {"headersComplete": False}, {"disposition": "held"}, {"disposition": None}, {"status": "200"}, {"complete": "true"}, {"bodyBytes": str(len(body))}]
+    fine = [{"responseURL": good["url"]}, {"headersComplete": True}]
+    df = spark.createDataFrame([(str(i), bytearray(body), "https://a.b/c", "text/csv", json.dumps(good | c)) for i, c in enumerate(changes + fine)], "name string, body binary, wanted_url string, wanted_type string, receipt string")
     got = {r.name: r.problems for r in journal.capture_problems(df).collect()}
-    assert got["0"] == [] and all(got[str(i)] for i in range(1, len(changes)))
+    assert got["0"] == [] and all(got[str(i)] for i in range(1, len(changes))) and [got[str(len(changes) + i)] for i in range(2)] == [[], []]
+    big = df.limit(1).withColumn("body", F.encode(F.repeat(F.lit("x"), (1 << 20) + 1), "UTF-8"))
+    assert "oversized body" in journal.capture_problems(big).first().problems
     challenge = df.limit(1).withColumn("body", F.lit(b"please solve the CAPTCHA"))
     assert "access challenge" in journal.capture_problems(challenge).first().problems
 
