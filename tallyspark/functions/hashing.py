@@ -69,6 +69,44 @@ def writable(text: str) -> str:
     return text if text.isascii() else text.encode("utf-8", "backslashreplace").decode()
 
 
+@functools.cache
+def differing():
+    """Pandas UDF: the JSON pointers at which two JSON texts differ, sorted; the root is the empty pointer.
+
+    Numbers are equal by value (1 and 1.0), a boolean is no number, keys have no order and lists do. A key or item that only
+    one has is a difference at its place. Text that is no JSON, or nested too deep, differs at the root from everything; null gives null.
+    """
+
+    def walk(a, b, at: str, out: list) -> None:
+        if isinstance(a, dict) and isinstance(b, dict):
+            for name in a.keys() | b.keys():
+                place = at + "/" + name.replace("~", "~0").replace("/", "~1")
+                if name in a and name in b:
+                    walk(a[name], b[name], place, out)
+                else:
+                    out.append(place)
+        elif isinstance(a, list) and isinstance(b, list):
+            for i, (x, y) in enumerate(zip(a, b)):
+                walk(x, y, f"{at}/{i}", out)
+            out += [f"{at}/{i}" for i in range(min(len(a), len(b)), max(len(a), len(b)))]
+        elif a != b or isinstance(a, bool) != isinstance(b, bool):
+            out.append(at)
+
+    def one(a, b):
+        out: list = []
+        try:
+            walk(json.loads(a), json.loads(b), "", out)
+        except (ValueError, RecursionError):
+            return [""]
+        return sorted({writable(p) for p in out})
+
+    @F.pandas_udf("array<string>")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else one(x, y) for x, y in zip(a, b)], dtype=object)
+
+    return run
+
+
 @functools.lru_cache(maxsize=16)
 def _unapproved(fields: tuple[tuple[str, tuple[str, ...]], ...], root: str):
     """Pandas UDF: what :func:`unapproved` lists."""

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.hashing import writable
+from ..functions.hashing import differing, writable
 from .search import known_or_any
 
 #: The only stage of the chain from budget to outcome that a source record backs comes first (fixed values).
@@ -105,6 +105,29 @@ def coverage(bundles: DataFrame, receipts: DataFrame) -> DataFrame:
     return rows.withColumn("covered", F.coalesce(F.col("sha") == F.col("data_sha"), F.lit(False))).drop("sha")
 
 
+def directory_entry(bundles: DataFrame, receipts: DataFrame, count_path: str = "$.records", count_kind: str = "list") -> DataFrame:
+    """M5: ``(id, body)``: the directory entry that an admitted bundle and its review make, as JSON.
+
+    ``bundles``: id, body (JSON with title and sourceURL), count_unit, route, scope. ``receipts``: id, evidence_id, reviewed_on.
+    """
+    get = lambda p: F.get_json_object("body", f"$.{p}")
+    path = lambda file: F.concat(F.lit("data/"), F.col("id"), F.lit(f"/{file}.json"))
+    fields = {
+        "id": F.col("id"), "title": get("title"), "relatedSourceIds": F.array().cast("array<string>"), "dataPath": path("records"), "dataSha256": F.sha2("body", 256), "reviewPath": path("publication-review"), "reviewId": F.col("evidence_id"), "reviewedOn": F.col("reviewed_on"),
+        "count": counted(F.col("body"), count_path, count_kind), "countUnit": F.col("count_unit"), "route": F.col("route"), "scope": F.col("scope"), "completeSourceCoverage": F.lit(False), "scheduledRefreshConfigured": F.lit(False), "sourceURLs": F.array(get("sourceURL")),
+    }
+    entry = F.to_json(F.struct(*[c.alias(name) for name, c in fields.items()]), {"ignoreNullFields": "false"})
+    return bundles.join(receipts.select("id", "evidence_id", "reviewed_on"), "id").select("id", entry.alias("body"))
+
+
+def directory_differences(directory: DataFrame, entries: DataFrame) -> DataFrame:
+    """M5: ``(id, path)``: every field in which a directory row (``id, body``) is not what its bundle and review make; the empty path is a whole row that one side lacks."""
+    met = directory.select("id", F.col("body").alias("has")).join(entries.select("id", F.col("body").alias("wants")), "id", "full")
+    both = met.where("has is not null and wants is not null")
+    paths = both.select("id", F.explode(differing()(F.col("has"), F.col("wants"))).alias("path"))
+    return paths.union(met.where("has is null or wants is null").select("id", F.lit("").alias("path")))
+
+
 def available_questions(questions: DataFrame, entries: DataFrame) -> DataFrame:
     """Questions whose collection is in the directory."""
     there = entries.where("kind = 'collection'").select(F.substring_index("id", ":", -1).alias("collection_id"))

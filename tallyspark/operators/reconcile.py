@@ -63,6 +63,29 @@ def equations(terms: DataFrame, values: DataFrame, by: Sequence[str] = ("equatio
     )
 
 
+def graph_faults(equations: DataFrame, records: DataFrame, graph: DataFrame) -> DataFrame:
+    """``(equation_id, position, input_id, fault)``: where equations are not those that a declared graph says; the output is position 0.
+
+    ``equations``: equation_id, kind, fiscal_year, inputs (ids in order), output. ``records``: id, key (its label), fiscal_year.
+    ``graph``: kind, inputs (keys in order), output. Both are laid out by position and met there, so that an input that is missing, one too
+    many, unknown, given twice, of another year, of another label, or in another's place is named. An equation of an unknown kind is one fault.
+    Ids of equations and records are unique, as their gates say.
+    """
+    edges = graph.select("kind", F.col("inputs").alias("keys"), F.posexplode(F.concat(F.array("output"), "inputs")).alias("position", "wanted"))
+    wanted = equations.select("equation_id", "kind", F.col("fiscal_year").alias("year")).join(edges, "kind", "left")
+    twice = F.size(F.filter("inputs", lambda x: x == F.col("input_id"))) > 1
+    given = equations.select("equation_id", F.col("fiscal_year").alias("own_year"), "inputs", F.posexplode(F.concat(F.array("output"), "inputs")).alias("position", "input_id"))
+    given = given.withColumn("twice", twice).drop("inputs").join(records.select(F.col("id").alias("input_id"), "key", "fiscal_year"), "input_id", "left")
+    known = wanted.where("position is not null").select("equation_id", "position", "wanted", "keys")
+    met = given.join(known, ["equation_id", "position"], "full").join(wanted.where("position is null").select("equation_id", F.lit(True).alias("lost")), "equation_id", "left")
+    fault = (
+        F.when(F.col("lost"), F.when(F.col("position") == 0, "no graph")).when(F.col("own_year").isNull(), "missing input").when(F.col("wanted").isNull(), "extra input")
+        .when(F.col("key").isNull(), "unknown record").when(F.col("twice"), "repeated input").when(~F.coalesce(F.col("fiscal_year") == F.col("own_year"), F.lit(False)), "other year")
+        .when(F.col("key") != F.col("wanted"), F.when(F.array_contains("keys", F.col("key")), "swapped").otherwise("other label"))
+    )
+    return met.select("equation_id", "position", "input_id", fault.alias("fault")).where("fault is not null")
+
+
 def full_year(rows: DataFrame, keys: Sequence[str], date: str) -> DataFrame:
     """Whether a group's dates are 24 different ones, two rows in each of twelve months."""
     months = rows.groupBy(*keys, F.date_trunc("month", date).alias("month")).agg(F.count("*").alias("n"), F.count_distinct(date).alias("dates"))

@@ -244,3 +244,25 @@ def fiscal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def percent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A21."""
     return table(spark, sf_dir, "part").select("p_partkey", reconcile.percent_lines(money("p_retailprice"), F.lit("0.125")).cast("string").alias("share"))
+
+
+@query("""
+with rec as (select l_orderkey as k, l_linenumber as ln, cast(min(year(l_shipdate)) as int) as y from lineitem group by all),
+eq as (select o_orderkey as k, o_orderstatus as s, cast(year(o_orderdate) as int) as y, count(*) as n from orders join rec on rec.k = o_orderkey group by o_orderkey, s, year(o_orderdate)),
+pos as (select eq.k, eq.n, eq.y as own, rec.y, ln, row_number() over (partition by eq.k order by case when s = 'F' then ln else -ln end) as p from eq join rec using (k)),
+f as (select k, p, case when n > 6 then case when p = 0 then 'no graph' end when y <> own then 'other year' when ln <> p then case when ln <= n then 'swapped' else 'other label' end end as fault from pos
+  union all select k, 0, case when n > 6 then 'no graph' end from eq)
+select fault, count(*) as n, count(distinct k) as n_equations, cast(sum(p) as bigint) as positions from f where fault is not null group by fault
+""")
+def equation_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J8, cash-bridge: an order is an equation of its lines; a graph says which labels a sum of so many lines has, in order, all of the order's year."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.year("l_shipdate")).alias("fiscal_year"))
+    lines = li.select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("key"), "fiscal_year", "l_orderkey", "l_linenumber")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("fiscal_year"))
+    place = F.when(F.col("o_orderstatus") == "F", F.col("l_linenumber")).otherwise(-F.col("l_linenumber"))
+    listed = lines.drop("fiscal_year").join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy("o_orderkey", "fiscal_year").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "id"))).alias("l"))
+    equations = listed.select(F.col("o_orderkey").alias("equation_id"), F.concat(F.lit("sum of "), F.size("l").cast("string")).alias("kind"), "fiscal_year", F.transform("l", lambda x: x["id"]).alias("inputs"), F.concat(F.lit("total/"), F.col("o_orderkey").cast("string")).alias("output"))
+    records = lines.select("id", "key", "fiscal_year").union(orders.select(F.concat(F.lit("total/"), F.col("o_orderkey").cast("string")), F.lit("total"), "fiscal_year"))
+    graph = spark.range(1, 7).select(F.concat(F.lit("sum of "), F.col("id").cast("string")).alias("kind"), F.transform(F.sequence(F.lit(1), F.col("id").cast("int")), lambda i: F.concat(F.lit("line "), i.cast("string"))).alias("inputs"), F.lit("total").alias("output"))
+    faults = reconcile.graph_faults(equations, records, graph)
+    return faults.groupBy("fault").agg(F.count("*").alias("n"), F.count_distinct("equation_id").alias("n_equations"), F.sum("position").alias("positions"))

@@ -318,3 +318,30 @@ def inventoried(spark: SparkSession, sf_dir: str) -> DataFrame:
     released = sinks.release(spark, target, found.where("kind = 'file'").select("path"))
     sizes = [released.select(F.lit("file").alias("kind"), "bytes"), found.where("kind = 'directory'").select("kind", "bytes")]
     return reduce(DataFrame.union, sizes).groupBy("kind").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("""
+with c as (select c_nationkey as k, count(*) as n from customer group by 1), d as (select n_nationkey as k, n_regionkey as r, n_name, coalesce(n, 0) as n from nation left join c on c.k = n_nationkey)
+select cast(k as varchar) as id, '/title' as path from d where r = 1
+union all select cast(k as varchar), '/sourceURLs/1' from d where r = 2
+union all select cast(k as varchar), '/count' from d where r = 3
+union all select cast(k as varchar), unnest(['/reviewedOn', '/dataSha256']) from d where r = 0
+union all select cast(k as varchar), '' from d where k % 9 = 4 and r = 4
+""")
+def directory_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M5: each nation's directory row, field by field, against what its bundle and review make of it."""
+    counts = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "nation").join(counts, "n_nationkey", "left").fillna(0, ["n"])
+    r, url = F.col("n_regionkey"), F.concat(F.lit("https://data.example/"), F.col("n_nationkey").cast("string"))
+    body = F.to_json(F.struct(F.col("n_name").alias("title"), url.alias("sourceURL"), F.col("n").alias("recordCount")))
+    bundles = rows.select(F.col("n_nationkey").cast("string").alias("id"), body.alias("body"), F.lit("customers").alias("count_unit"), F.lit("#/find").alias("route"), F.col("n_name").alias("scope"), "n_regionkey", "n_nationkey", "n_name", "n")
+    receipts = bundles.select("id", F.concat(F.lit("review "), "id").alias("evidence_id"), F.lit("2026-01-02").alias("reviewed_on"))
+    entries = catalog.directory_entry(bundles, receipts, "$.recordCount", "number")
+    listed = F.when(r == 2, F.array(url, url)).otherwise(F.array(url))
+    common = [
+        F.col("id"), F.when(r == 1, F.lower("n_name")).otherwise(F.col("n_name")).alias("title"), F.array().cast("array<string>").alias("relatedSourceIds"), F.concat(F.lit("data/"), "id", F.lit("/records.json")).alias("dataPath"), F.when(r == 0, F.sha2("id", 256)).otherwise(F.sha2("body", 256)).alias("dataSha256"),
+        F.concat(F.lit("data/"), "id", F.lit("/publication-review.json")).alias("reviewPath"), F.concat(F.lit("review "), "id").alias("reviewId"), F.when(r != 0, "2026-01-02").alias("reviewedOn"), F.when(r == 3, F.to_variant_object(F.array("n"))).otherwise(F.parse_json(F.col("n").cast("string"))).alias("count"),
+        F.col("count_unit").alias("countUnit"), "route", "scope", F.lit(False).alias("completeSourceCoverage"), F.lit(False).alias("scheduledRefreshConfigured"), listed.alias("sourceURLs"),
+    ]
+    directory = bundles.where(~((F.col("n_nationkey") % 9 == 4) & (r == 4))).select("id", F.to_json(F.struct(*common)).alias("body"))
+    return catalog.directory_differences(directory, entries)
