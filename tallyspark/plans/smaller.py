@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact, hashing
-from ..operators import adapters, catalog, filters, gates, identity, joins, journal, robots, search
+from ..operators import adapters, catalog, filters, gates, identity, joins, journal, robots, search, seeds
 from ..sources import frozen, pinned, sinks
 from .registry import query, table
 
@@ -345,3 +345,63 @@ def directory_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     directory = bundles.where(~((F.col("n_nationkey") % 9 == 4) & (r == 4))).select("id", F.to_json(F.struct(*common)).alias("body"))
     return catalog.directory_differences(directory, entries)
+
+
+def seed_of(spark: SparkSession, sf_dir: str, broken: bool) -> tuple[DataFrame, DataFrame]:
+    """Parts as research observations, brands as their documents; ``broken`` leaves sizes, types and brands as they are where a seed may not have them."""
+    stage = F.element_at(F.array(*[F.lit(s) for s in ("original", "amended", "capital", "actual", "adjusted_estimate")]), (F.col("p_size") % 5 + 1).cast("int"))
+    said = F.when(F.col("p_size") == 50, "net-debt").otherwise(F.concat_ws("-", F.lower(F.replace("p_type", F.lit(" "), F.lit("-"))), "p_partkey"))
+    fiscal = F.when(F.col("p_size") < 25, "2025-26").otherwise("2026-27")
+    stage = F.when((F.col("p_size") == 7) & F.lit(broken), "revised").otherwise(stage)
+    unit = F.when((F.col("p_size") == 9) & F.lit(broken), "CAD").when(F.col("p_size") % 2 == 0, "CAD_millions").otherwise("CAD_thousands")
+    id = F.when((F.col("p_size") == 11) & F.lit(broken), F.col("p_name")).otherwise(F.concat_ws("-", stage, fiscal, said))
+    value = F.when((F.col("p_size") == 13) & F.lit(broken), "n/a").otherwise(F.concat(F.lit("-"), F.col("p_size").cast("string"), F.lit(".50")))
+    parts = table(spark, sf_dir, "part").where((F.col("p_size") != 50) | F.lit(broken))
+    rows = parts.select((F.col("p_partkey") + 1).alias("position"), id.alias("candidate_id"), F.col("p_brand").alias("source_id"), F.lit(seeds.REVIEWED).alias("status"), unit.alias("unit"), value.alias("verified_value"), F.col("p_name").alias("source_locator"))
+    brands = table(spark, sf_dir, "part").select("p_brand").distinct()
+    if broken:
+        brands = brands.where("p_brand <> 'Brand#11'")
+    return rows, brands.select(F.col("p_brand").alias("research_id"), F.concat(F.lit("doc "), "p_brand").alias("id"), F.col("p_brand").alias("title"), F.concat(F.lit("https://docs.example/"), F.substring("p_brand", 7, 9)).alias("url"))
+
+
+@query("""
+with p as (select *, p_partkey + 1 as n, case when p_size < 25 then 2025 else 2026 end as y, p_size % 5 as s, replace(lower(p_type), ' ', '_') || '_' || p_partkey as m from part where p_size <> 50)
+select 'finance-' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as id, 'doc ' || p_brand as source_id, m as metric, upper(replace(m[1], '_', ' ')) || replace(m[2:], '_', ' ') as title,
+  y || '-04-01' as start, (y + 1) || '-03-31' as end, case y when 2025 then '2025-26' else '2026-27' end as label, ['original_estimate', 'amended_estimate', 'capital_plan', 'audited_actual', 'adjusted_estimate'][s + 1] as stage,
+  case when y = 2025 then 'consolidated_statement_accrual' when s = 2 then 'capital_funding_plan' else 'budget_estimates_including_non_cash_expenses' end as basis,
+  case when y = 2025 then 'government_reporting_entity' when s = 2 then 'capital_plan_program' else 'general_revenue_fund_with_separate_consolidation_adjustment' end as perimeter,
+  '-' || p_size || '.50' as raw_value, cast(case when p_size % 2 = 0 then 1000000 else 1000 end as int) as multiplier
+from p
+""")
+def research_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with composite ids as facts, with all that follows from the ids."""
+    found = seeds.research_facts(*seed_of(spark, sf_dir, False))
+    return found.select("id", "source_id", "metric", "title", "period.start", "period.end", "period.label", "stage", "basis", "perimeter", "raw_value", "multiplier")
+
+
+@query("""
+with p as (select * from part)
+select 'stage' as rule_id, count(*) as n from p where p_size = 7 having n > 0
+union all select 'unit', count(*) from p where p_size = 9 having count(*) > 0
+union all select 'observation', count(*) from p where p_size = 11 having count(*) > 0
+union all select 'number', count(*) from p where p_size = 13 having count(*) > 0
+union all select 'source', count(*) from p where p_brand = 'Brand#11' having count(*) > 0
+union all select 'candidate_once', count(*) from (select p_size from p where p_size = 50 group by p_size having count(*) > 1) having count(*) > 0
+union all select 'candidate_once', count(*) from (select p_name from p where p_size = 11 group by p_name having count(*) > 1) having count(*) > 0
+""")
+def research_seed_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a seed is refused, by rule."""
+    rows, documents = seed_of(spark, sf_dir, True)
+    return gates.violations(rows, seeds.observation_rules(documents), "candidate_id").groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query("""
+select 'guide-' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as id, 'SI' || case when n < 1000 then lpad(cast(n as varchar), 3, '0') else cast(n as varchar) end as inventory_id, s_name as title, 'https://s.example/' || s_suppkey as url, cast(s_nationkey as varchar) as "group"
+from (select *, s_suppkey + 1 as n from supplier)
+""")
+def inventory_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an inventory sheet, twelve values each, as sources."""
+    k = F.col("s_suppkey")
+    values = F.array(F.col("s_nationkey").cast("string"), F.lit("here"), F.col("s_name"), F.concat(F.lit("https://s.example/"), k.cast("string")), *[F.lit(f"v{i}") for i in range(8)])
+    rows = table(spark, sf_dir, "supplier").select((k + 1).alias("position"), k.alias("row"), values.alias("values"))
+    return seeds.inventory_sources(rows).select("id", "inventory_id", "title", "url", "group")
