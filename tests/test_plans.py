@@ -10,7 +10,7 @@ from tallyspark.operators import gates, joins, search
 
 SF = "/root/testdata/sf0.001"
 #: Queries with a step that Spark has no function for, and the one that joins a one-row total onto its manifest.
-PYTHON = {"search_all_words", "awards_filtered", "awards_page", "directory_find", "canonical_digests", "rule_engine", "strict_csv_round_trip", "bundle_urls", "public_fields", "same_objects", "word_filters", "collection_coverage", "adapted_rules", "history_findings"}
+PYTHON = {"search_all_words", "awards_filtered", "awards_page", "directory_find", "canonical_digests", "rule_engine", "strict_csv_round_trip", "bundle_urls", "public_fields", "same_objects", "word_filters", "collection_coverage", "adapted_rules", "history_findings", "directory_differences"}
 ONE_ROW = {"shard_round_trip", "cadence_floor"}
 
 
