@@ -37,8 +37,8 @@ SEEN = 3
 O, B, I = 0, 1, 2
 #: Documents (bounded, expected number) whose lines are looked at for training, and lines of either sort taken from them.
 LOOKED_AT, WEAK = 40_000, 1_500
-#: Characters on both sides of a match, and of a piece without one.
-ABOUT, PIECE = 120, 300
+#: Characters on both sides of a match, of a piece without one, and the most of any line.
+ABOUT, PIECE, LONGEST = 120, 300, 1_000
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -521,6 +521,7 @@ def weak_lines(docs: DataFrame, looked_at: int = LOOKED_AT, bound: int = WEAK) -
 
     About ``looked_at`` documents, those first in a hashed order, are searched; at most ``bound`` lines with a
     match and as many pieces of documents without one are taken. Of an assignment only the value is the secret.
+    No line has over ``LONGEST`` characters: of a longer match the line holds the first ones, and the spans end with it.
     Documents with a null id or text teach nothing; no documents give no lines.
     """
     share = min(1 << 30, (looked_at << 30) // max(1, docs.count()))
@@ -534,8 +535,8 @@ def weak_lines(docs: DataFrame, looked_at: int = LOOKED_AT, bound: int = WEAK) -
                 found += [(a, b) for a, k, b in base_spans(text) if k and not any(x < b and a < y for x, y in found)]
                 at = min(found, default=(o % max(1, len(text) - PIECE),))[0]
                 low, high = (max(0, at - ABOUT), at + 2 * ABOUT) if found else (at, at + PIECE)
-                high = max([high, *(b for a, b in found if a < high)])
-                inside = sorted((a - low, b - low) for a, b in found if low <= a < high)
+                high = min(max([high, *(b for a, b in found if a < high)]), low + LONGEST)
+                inside = sorted((a - low, min(b, high) - low) for a, b in found if low <= a < high)
                 yield pa.RecordBatch.from_pylist([{"o": o, "line": text[low:high], "spans": [x for s in inside for x in s]}], pa.schema([("o", pa.int64()), ("line", pa.string()), ("spans", pa.list_(pa.int64()))]))
 
     seen = map_batches(rows.where(F.pmod(order, F.lit(1 << 30)) < share).select(order.alias("o"), "text"), run, "o long, line string, spans array<long>")

@@ -119,3 +119,13 @@ def test_weak_lines_of_hard_rows(spark):
 def test_empty_and_blank_texts():
     model = secrets.train()
     assert secrets.crf_spans(["", " \n\t", "x", "\x1c", "日本"], model) == [[]] * 5 and secrets.crf_spans([""], model) == [[]] and secrets.crf_spans([], model) == []
+
+
+def test_lines_of_very_long_matches_are_bounded(spark):
+    texts = ["password = " + "aB3" * 400_000, "words " * 50 + "abcdef0123456789" * 5_000 + " token: abc1234", "AKIA" + "Z" * 100_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = secrets.weak_lines(df)
+    assert len(lines) == 3 and all(len(line) <= secrets.LONGEST for line, _ in lines)
+    assert all(spans and all(0 <= a < b <= len(line) for a, b in spans) for line, spans in lines)
+    assert {spans[0] for line, spans in lines if line.startswith("password")} == {(11, secrets.LONGEST)}
+    assert len(secrets.scan(df).collect()) == 3
