@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, slices
+from .common import cut, few, map_batches, slices
 from .components import connected_components, local_labels
 
 SHINGLE = 4
@@ -27,6 +27,8 @@ SHARD_ROWS, MOST_LEAVES, LEAF_SAMPLE = 5_000, 1 << 14, 64
 TASK_ROWS = 50_000
 #: Rows of one shard that one task compares; larger shards are cut into tiles.
 TILE_ROWS = 100_000
+#: Rows of one fingerprint or of one doc_id beyond which what is known of it is broadcast to them instead of shuffled with them.
+HOT = 100_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -290,12 +292,19 @@ def components(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> D
     An empty table gives an empty result. Other columns are not read.
     """
     fp = cut(fingerprints(docs, width))
-    classes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    classes = cut(fp.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")))
     links = cut(near_links(classes.select("fp"), radius))
-    same_id = fp.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b and doc_id is not null")
-    repeats = fp.join(same_id.select("doc_id", "a"), "doc_id").select("a", F.col("fp").alias("b"))
+    same_id = cut(fp.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("m")).where("a <> b").select("doc_id", "a", "m"))
+    repeats = _join_hot(fp, same_id, "doc_id").select("a", F.col("fp").alias("b"))
     roots = connected_components(links.union(repeats))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "m")
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_class = placed.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fp.join(by_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    by_class = cut(placed.select("fp", "root", "m").join(least, "root").select("fp", "component_id", "m"))
+    return _join_hot(fp, by_class, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _join_hot(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``facts``, one for each key, where ``m`` is the number of rows of the key: keys of over ``HOT`` rows stay where they are."""
+    joined = rows.join(facts.where(F.col("m") <= HOT), key)
+    hot = few(facts.where(F.col("m") > HOT))  # at most one for each HOT rows
+    return joined if hot.isEmpty() else joined.union(rows.join(hot, key))
