@@ -57,6 +57,7 @@ def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mappi
 
     ``artifacts``: snapshot, path, kind, bytes, sha, body (text of journal files, else null). With ``baseline`` (JSON text) the accepted
     baseline's history must be that, whatever the order of its keys; with ``endpoints`` (kind to URL) requests and responses must be theirs.
+    Values of a receipt are compared with their kind: a status of ``"200"`` as text is not 200.
     """
     run = F.regexp_extract("path", r"\Aattempts/([^/]+)", 1)
     name = F.regexp_extract("path", r"\Aattempts/[^/]+/(.+)\z", 1)
@@ -64,6 +65,7 @@ def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mappi
     parsed = F.try_parse_json("body")
     journal = F.col("path").endswith(".json") | (F.col("path") == "active.lock") | F.col("path").rlike(r"\.(attempt|receipt)\.json\z")
     get = lambda p: F.get_json_object("body", f"$.{p}")
+    literal = lambda p: F.to_json(F.try_variant_get(parsed, f"$.{p}", "variant"))
     code = lambda cond, text: F.when(cond, F.lit(text))
     is_receipt, is_attempt = F.col("name").endswith(".receipt.json"), F.col("name").endswith(".attempt.json")
     good = parsed.isNotNull()
@@ -79,8 +81,8 @@ def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mappi
         code((F.col("path") == "active.lock") & good & instant(get("startedAt")).isNull(), "unknown_hold_or_lock_time"),
         code((F.col("name") == "outcome.json") & good & get("completedAtEpoch").try_cast("double").isNull(), "unknown_completion_time"),
         code((F.col("name") == "outcome.json") & good & ~holds(get("status") == "candidate_prepared"), "failed_or_unknown_outcome_preserved"),
-        code((is_attempt | is_receipt) & good & instant(get("attemptedAt")).isNull(), "unknown_request_time"),
-        code(is_receipt & good & ~holds((get("status") == "200") & (get("complete") == "true") & (get("headersComplete") == "true") & get("transportError").isNull() & (get("workerTermination") == "confirmed") & right_response), "failed_or_uncertain_response_preserved"),
+        code((is_attempt | is_receipt) & good & (instant(get("attemptedAt")).isNull() | (is_receipt & instant(get("completedAt")).isNull())), "unknown_request_time"),
+        code(is_receipt & good & ~holds((literal("status") == "200") & (literal("complete") == "true") & (literal("headersComplete") == "true") & get("transportError").isNull() & (get("workerTermination") == "confirmed") & right_response), "failed_or_uncertain_response_preserved"),
         code(unknown, "unrecognized_artifact_preserved"),
         *([code((F.col("path") == TOP_FILES[0]) & good & ~same_json(F.col("body"), F.lit(baseline)), "accepted_baseline_history_mismatch")] if baseline is not None else []),
         *([code((is_attempt | is_receipt) & good & ~holds(get("url") == endpoint), "unexpected_endpoint_preserved")] if endpoints else []),
