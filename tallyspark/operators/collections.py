@@ -17,7 +17,7 @@ from ..functions.dates import fiscal_bounds, fiscal_year, is_date, period_holds,
 from ..functions.exact import MULTIPLIER, cents, holds, is_decimal, multiplier_of, rounded_percent_holds, scale_exact, source_token, sum_known, to_decimal
 from ..functions.urls import safe_url
 from .filters import STATUSES
-from .gates import Rule, agg, covers, fk, group, key, named, row
+from .gates import Rule, agg, covers, fk, group, key, named, row, within
 from .identity import STAGE_PAIRS
 
 STAGES = ("original_estimate", "amended_estimate", "adjusted_estimate", "audited_actual", "capital_plan")
@@ -92,6 +92,16 @@ def budget(columns: DataFrame, n: int | None = None) -> list[Rule]:
     return [*named(), *token_rules("---"), fk("column", ["table", "column_index", "fiscal_year", "stage"], columns), row("unit", c("multiplier") == multiplier_of(c("unit"))), *flags_off("payment_evidence"), *size(n)]
 
 
+def budget_pages(pages: DataFrame, source_pdf_sha: str, slots: int | None = None, present: int | None = None, lines: int | None = None) -> list[Rule]:
+    """Where cells stand, beside :func:`budget`: table, section, label, presence, pdf_page, source_pdf_sha, latest_forecast_claim.
+
+    ``pages``: table, first_page, last_page, both ends included. A cell is on a page of its table and of the bundle's document, and claims no latest
+    forecast. The coverage counts cells (``slots``), those with a value (``present``) and different lines of tables.
+    """
+    counted = {"slots": (F.count("*"), slots), "present": (F.count_if(c("presence") == "present"), present), "lines": (F.count_distinct(F.struct("table", "section", "label")), lines)}
+    return [within("page", ["table"], "pdf_page", pages, "first_page", "last_page"), row("same_pdf", c("source_pdf_sha") == source_pdf_sha), *flags_off("latest_forecast_claim"), *[agg(name, found == n) for name, (found, n) in counted.items() if n is not None]]
+
+
 def transfers(n: int | None = None) -> list[Rule]:
     """Payments: jurisdiction, program_code, payment_date, fiscal_year, table_index, raw_token, raw_value, presence."""
     same_year = fiscal_year(strict_date(c("payment_date"))) == c("fiscal_year")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 VIOLATION = "rule_id string, key string, detail string"
@@ -22,7 +22,8 @@ class Rule:
 
     ``row``: ``expr`` holds in every row. ``agg``: ``expr``, over aggregates, holds for the table.
     ``key``: ``columns`` tell rows apart. ``fk``: ``columns`` occur in ``parent``; ``covers``: all of ``parent`` occurs. ``group``: ``expr`` holds for each
-    group of ``columns``. An expression that is unknown counts as broken.
+    group of ``columns``. ``range``: the last of ``columns`` lies between the last two of a row of ``parent`` whose other columns are the same.
+    An expression that is unknown counts as broken.
     """
 
     id: str
@@ -57,6 +58,25 @@ def covers(id: str, columns: Sequence[str], parent: DataFrame, parent_columns: S
     return Rule(id, "covers", columns=tuple(columns), parent=parent, parent_columns=tuple(parent_columns or columns))
 
 
+def within(id: str, columns: Sequence[str], value: str, ranges: DataFrame, low: str, high: str) -> Rule:
+    """``value`` lies in one of the ``ranges``, ends included, of the same ``columns``; no range, or a null, breaks the rule."""
+    return Rule(id, "range", columns=(*columns, value), parent=ranges, parent_columns=(*columns, low, high))
+
+
+def disjoint(ranges: DataFrame, columns: Sequence[str], low: str, high: str, id: str = "id") -> DataFrame:
+    """The ranges that are none (an end is null, or the low one is above the high one) or that start before an earlier one of the same ``columns`` ends.
+
+    Earlier is by low end, high end and ``id``; ends are part of a range; what is no range reaches nowhere. A running maximum in order of the low end, so no pair is made.
+    """
+    before = Window.partitionBy(*columns).orderBy(F.col(low), F.col(high), F.col(id)).rowsBetween(Window.unboundedPreceding, -1)
+    name = "__reached"
+    while name in ranges.columns:
+        name += "_"
+    proper = F.coalesce(F.col(low) <= F.col(high), F.lit(False))
+    reached = F.max(F.when(proper, F.col(high))).over(before)
+    return ranges.withColumn(name, reached).where(~proper | F.coalesce(F.col(name) >= F.col(low), F.lit(False))).drop(name)
+
+
 def named(id: str = "id") -> list[Rule]:
     """M1: identities are there, not empty, and unique."""
     return [row(f"{id}_present", F.length(F.col(id)) > 0), key(f"{id}_unique", id)]
@@ -98,6 +118,12 @@ def violations(df: DataFrame, rules: Sequence[Rule], id: str = "id") -> DataFram
             same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(r.columns)])
             lost = df.join(parent, same, "left_anti")
             found.append(lost.select(F.lit(r.id).alias("rule_id"), _text(r.columns).alias("key"), F.lit("no parent").alias("detail")))
+        elif r.kind == "range":
+            *same, value = r.columns
+            ranges = r.parent.select(*[F.col(c).alias(f"__p{i}") for i, c in enumerate(r.parent_columns)]).distinct()
+            low, high = F.col(f"__p{len(same)}"), F.col(f"__p{len(same) + 1}")
+            met = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"__p{i}") for i, c in enumerate(same)], F.col(value).between(low, high))
+            found.append(df.join(ranges, met, "left_anti").select(F.lit(r.id).alias("rule_id"), _text([id]).alias("key"), F.lit("out of range").alias("detail")))
         elif r.kind == "covers":
             here = df.select(*[F.col(c).alias(p) for c, p in zip(r.columns, r.parent_columns)]).distinct()
             lost = r.parent.join(here, list(r.parent_columns), "left_anti")

@@ -81,7 +81,7 @@ def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mappi
         code((F.col("path") == "active.lock") & good & instant(get("startedAt")).isNull(), "unknown_hold_or_lock_time"),
         code((F.col("name") == "outcome.json") & good & get("completedAtEpoch").try_cast("double").isNull(), "unknown_completion_time"),
         code((F.col("name") == "outcome.json") & good & ~holds(get("status") == "candidate_prepared"), "failed_or_unknown_outcome_preserved"),
-        code((is_attempt | is_receipt) & good & instant(get("attemptedAt")).isNull(), "unknown_request_time"),
+        code(good & (((is_attempt | is_receipt) & instant(get("attemptedAt")).isNull()) | (is_receipt & instant(get("completedAt")).isNull())), "unknown_request_time"),
         code(is_receipt & good & ~holds((literal("status") == "200") & (literal("complete") == "true") & (literal("headersComplete") == "true") & get("transportError").isNull() & (get("workerTermination") == "confirmed") & right_response), "failed_or_uncertain_response_preserved"),
         code(unknown, "unrecognized_artifact_preserved"),
         *([code((F.col("path") == TOP_FILES[0]) & good & ~same_json(F.col("body"), F.lit(baseline)), "accepted_baseline_history_mismatch")] if baseline is not None else []),
