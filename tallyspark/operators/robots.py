@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exact import holds
+from ..sources.frozen import freeze
 
 #: Limits (fixed values): bytes of a policy, characters of a target or line, seconds of delay, steps of matching.
 MOST_POLICY, MOST_TARGET, MOST_DELAY, MOST_STEPS = 512_000, 8_192, 3_600, 2_000_000
@@ -14,6 +15,8 @@ DIRECTIVES = ("user-agent", "allow", "disallow", "sitemap", "crawl-delay")
 #: Stands before each octet, so that a part of a pattern is only found where an octet begins.
 MARK = "\x01"
 _UNRESERVED = r"[A-Za-z0-9._~-]"
+#: Characters that are octets as they are.
+_PLAIN = r"-A-Za-z0-9._~/:?\[\]@!&'()+,;="
 
 
 def octets(text: Column, pattern: bool = False) -> Column:
@@ -32,21 +35,23 @@ def octets(text: Column, pattern: bool = False) -> Column:
         kept = F.when(F.length(u) == 3, escaped).when(plain, F.array(u)).otherwise(bytes_)
         return F.when((u == "*") & F.lit(pattern), F.array(F.lit("*"))).otherwise(kept)
 
-    return F.when(~text.rlike("%(?![0-9A-Fa-f]{2})"), F.flatten(F.transform(units, one)))
+    every = F.when(~text.rlike("%(?![0-9A-Fa-f]{2})"), F.flatten(F.transform(units, one)))
+    return F.when(text.rlike(rf"\A[{_PLAIN}{'*' if pattern else ''}]*\z"), F.regexp_extract_all(text, F.lit("."), 0)).otherwise(every)
 
 
-def parse(policies: DataFrame) -> DataFrame:
+def parse(policies: DataFrame, most: int | None = MOST_POLICY) -> DataFrame:
     """``(policy_id, group, line, directive, value, problem)`` of every effective line of ``policies(policy_id, body)``.
 
     A run of user-agent lines opens a group, which goes on to the next such run. ``problem`` says why
-    a line (or, on line 0, the whole body) needs review. Lines are numbered within a policy, whose size is bounded.
+    a line (or, on line 0, the whole body) needs review. Lines are numbered within a policy, whose size is bounded by ``most`` bytes.
     """
     text = F.regexp_replace(F.try_validate_utf8("body").cast("string"), "\\A\ufeff", "")
     whole = (
-        F.when(F.octet_length("body") > MOST_POLICY, "oversized").when(text.isNull(), "not UTF-8")
+        F.when((F.octet_length("body") > most) if most is not None else F.lit(False), "oversized").when(text.isNull(), "not UTF-8")
         .when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]") | F.lower(text).contains("<html") | F.lower(text).contains("<!doctype"), "not plain text")
     )
-    lines = policies.select("policy_id", whole.alias("whole"), F.posexplode_outer(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")).alias("at", "raw"))
+    judged = policies.select("policy_id", whole.alias("whole"), F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n").alias("raws"))  # once for a policy, not for each line
+    lines = judged.select("policy_id", "whole", F.posexplode_outer("raws").alias("at", "raw"))
     stripped = F.regexp_replace(F.substring_index("raw", "#", 1), r"\A[ \t]+|[ \t]+\z", "")
     lines = lines.withColumn("text", stripped).where((F.col("text") != "") | (F.col("at") == 0))
     name = F.lower(F.regexp_replace(F.substring_index("text", ":", 1), r"[ \t]+\z", ""))
@@ -136,24 +141,69 @@ def steps(target: Column, text: Column, rule: Column, spent: Column, most: int =
     return F.aggregate(F.slice(target, F.lit(1), reach), state(spent + F.size(begun), begun), step)["cost"]
 
 
-def profiles(policies: DataFrame) -> DataFrame:
+def profiles(policies: DataFrame, most: int | None = MOST_POLICY) -> DataFrame:
     """``(policy_id, problem, agents, delays, rules)``: each policy as one row, bounded by the size of a policy."""
     d, fine = F.col("directive"), F.col("problem").isNull()
     agent = F.when((d == "user-agent") & fine, F.struct("group", F.lower("value").alias("agent")))
     delay = F.when((d == "crawl-delay") & fine, F.struct("group", F.col("value").try_cast("double").alias("delay")))
-    return rules(parse(policies)).groupBy("policy_id").agg(
+    return rules(parse(policies, most)).groupBy("policy_id").agg(
         F.min(F.when(~fine, F.struct("line", "problem")))["problem"].alias("problem"), F.collect_list(agent).alias("agents"), F.collect_list(delay).alias("delays"), F.collect_list("rule").alias("rules"),
     )
 
 
-def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
+def _plain(rule: Column) -> Column:
+    """Whether a rule has no wildcard between octets, so that it holds where the target begins with it."""
+    return F.size(rule["segments"]) == 1
+
+
+def _summaries(ruled: DataFrame) -> DataFrame:
+    """``(policy_id, problem, agents, delays, wild, work, sizes)``: a policy without its plain rules, of which ``sizes`` has the numbers of octets.
+
+    ``work`` is what :func:`most_steps` of all rules of a group comes to: ``fixed``, and ``each`` for every ``2 n + 1`` of a target of n octets.
+    """
+    rule, none = F.col("rule"), F.lit(0).cast("long")
+    plain, size = F.coalesce(_plain(rule), F.lit(False)), rule["size"].cast("long")
+    fixed, each = F.sum(F.when(plain, 2 * size + 2).otherwise(none)), F.sum(F.when(rule.isNotNull() & ~plain, size + 1).otherwise(none))
+    wild, sizes = F.collect_list(F.when(~plain, rule)), F.collect_set(F.when(plain, rule["size"]))
+    d, fine = F.col("directive"), F.col("problem").isNull()
+    agents, delays = F.collect_set(F.when((d == "user-agent") & fine, F.lower("value"))), F.max(F.when((d == "crawl-delay") & fine, F.col("value").try_cast("double")))
+    problem = F.min(F.when(~fine, F.struct("line", "problem")))
+    groups = ruled.groupBy("policy_id", "group").agg(problem.alias("problem"), agents.alias("agents"), delays.alias("delay"), wild.alias("wild"), sizes.alias("sizes"), fixed.alias("fixed"), each.alias("each"))
+    flat = lambda c: F.flatten(F.collect_list(c))
+    return groups.groupBy("policy_id").agg(
+        F.min("problem")["problem"].alias("problem"), flat(F.transform("agents", lambda a: F.struct("group", a.alias("agent")))).alias("agents"), F.collect_list(F.when(F.col("delay").isNotNull(), F.struct("group", "delay"))).alias("delays"),
+        flat("wild").alias("wild"), F.collect_list(F.struct("group", "fixed", "each")).alias("work"), F.array_distinct(flat("sizes")).alias("sizes"),
+    )
+
+
+def _plain_hits(asked: DataFrame, summaries: DataFrame, ruled: DataFrame) -> DataFrame:
+    """``(policy_id, text, plain_hits)``: the plain rules that hold for each target that is asked of a policy.
+
+    A target is cut to each size that the policy's plain rules have, and what is left is looked up; so the work grows with the targets and not with targets times rules.
+    """
+    targets = asked.where("target is not null").select("policy_id", "text", "target").distinct()
+    cuts = targets.join(summaries.select("policy_id", "sizes"), "policy_id").withColumn("n", F.size("target"))
+    cuts = cuts.select("policy_id", "text", "target", "n", F.explode(F.filter("sizes", lambda k: k <= F.col("n"))).alias("k")).select("policy_id", "text", (F.col("k") == F.col("n")).alias("whole"), F.array_join(F.slice("target", F.lit(1), F.col("k")), "").alias("begins"))
+    hit = F.struct("rule.group", "rule.line", "rule.allow", "rule.specificity", "rule.end")
+    known = ruled.where(_plain(F.col("rule"))).groupBy("policy_id", F.array_join("rule.atoms", "").alias("begins")).agg(F.collect_list(hit).alias("at"))
+    met = cuts.join(known, ["policy_id", "begins"]).select("policy_id", "text", F.filter("at", lambda r: ~r["end"] | F.col("whole")).alias("at"))
+    return met.groupBy("policy_id", "text").agg(F.flatten(F.collect_list(F.transform("at", _brief))).alias("plain_hits"))
+
+
+def _brief(rule: Column) -> Column:
+    return F.struct(*[rule[n].alias(n) for n in ("group", "line", "allow", "specificity")])
+
+
+def decide(policies: DataFrame, requests: DataFrame, bounded: bool = True) -> DataFrame:
     """RB4: ``(request_id, status, selection, delay, winners, reason)`` for ``requests(request_id, policy_id, url, token)``.
 
     All groups that name the token apply, or else those for ``*``. The longest matching rule wins, of
     equal ones an Allow. ``/robots.txt`` itself is always allowed. Anything malformed needs review, and so does more work than the
     bound on the steps of matching all rules that apply. Only where sizes alone do not show that it is less are the steps
-    counted. Requests meet their policy in one join and are decided row by row, so their number and how many share a policy do not matter.
+    counted. Requests meet their policy in joins and are decided row by row, so their number and how many share a policy do not matter. Rules
+    without wildcards are looked up by the beginnings of a target, those with wildcards tried one by one. The bounds on a policy's bytes and on steps are lifted if not ``bounded``.
     """
+    most_policy, most_work = (MOST_POLICY, MOST_STEPS) if bounded else (None, None)
     url = F.col("url")
     path = F.regexp_extract(url, r"\A[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"\A[^?#]*\?([^#]*)", 1)
@@ -166,18 +216,30 @@ def decide(policies: DataFrame, requests: DataFrame) -> DataFrame:
         .when(shown.rlike("%(?![0-9A-Fa-f]{2})"), "malformed escape")
     )
     asked = requests.select("request_id", "policy_id", F.lower("token").alias("token"), fault.alias("fault"), octets(shown).alias("target"), ((path == "/robots.txt") & (query == "")).alias("own_file"))
-    met = asked.join(profiles(policies), "policy_id", "left")
+    asked = asked.withColumn("text", F.array_join(F.transform("target", lambda o: F.concat(F.lit(MARK), o)), ""))
+    ruled = freeze(rules(parse(policies, most_policy)))  # read by rule, by policy and by beginning
+    known = _summaries(ruled)
+    met = asked.join(known.drop("sizes"), "policy_id", "left")
     met = met.withColumn("by_name", F.coalesce(F.exists("agents", lambda a: a["agent"] == F.col("token")), F.lit(False)))
     wanted = F.when(F.col("by_name"), F.col("token")).otherwise("*")
     met = met.withColumn("groups", F.array_distinct(F.transform(F.filter("agents", lambda a: a["agent"] == wanted), lambda a: a["group"])))
     mine = lambda column: F.filter(column, lambda x: F.array_contains("groups", x["group"]))
-    met = met.withColumn("tried", mine("rules")).withColumn("delay", F.array_max(F.transform(mine("delays"), lambda x: x["delay"])))
-    met = met.withColumn("text", F.array_join(F.transform("target", lambda o: F.concat(F.lit(MARK), o)), ""))
-    none = F.lit(0).cast("long")
-    may = F.aggregate("tried", none, lambda n, r: n + most_steps(F.size("target").cast("long"), r))
-    made = F.aggregate("tried", none, lambda n, r: F.when(n > MOST_STEPS, n).otherwise(steps(F.col("target"), F.col("text"), r, n)))
-    met = met.withColumn("held", F.coalesce("fault", "problem", F.when((may > MOST_STEPS) & (made > MOST_STEPS), "too much work")))
-    met = met.withColumn("hits", F.when(F.col("held").isNull() & ~F.col("own_file"), F.filter("tried", lambda r: matches(F.col("text"), r["segments"], r["end"]))))
+    met = met.withColumn("tried", mine("wild")).withColumn("delay", F.array_max(F.transform(mine("delays"), lambda x: x["delay"])))
+    held = F.coalesce("fault", "problem")
+    if most_work is not None:
+        none = F.lit(0).cast("long")
+        may = F.aggregate(mine("work"), none, lambda n, w: n + w["fixed"] + (2 * F.size("target").cast("long") + 1) * w["each"])
+        # without a wildcard the steps are bounded by the rules alone
+        bound = F.aggregate("rules", none, lambda n, r: n + 2 * r["size"].cast("long") + 2)
+        every = profiles(policies, most_policy).where(F.exists("rules", lambda r: ~_plain(r)) | (bound > most_work)).select(F.col("policy_id").alias("of"), F.col("rules").alias("every"))
+        met = met.withColumn("much", F.coalesce(held.isNull() & (may > most_work), F.lit(False))).join(every, F.col("much") & (F.col("policy_id") == F.col("of")), "left")
+        made = F.aggregate(mine("every"), none, lambda n, r: F.when(n > most_work, n).otherwise(steps(F.col("target"), F.col("text"), r, n, most_work)))
+        met = met.withColumn("held", F.coalesce(held, F.when(F.col("much") & (made > most_work), "too much work"))).drop("of", "every", "much")
+    else:
+        met = met.withColumn("held", held)
+    met = met.join(_plain_hits(asked, known, ruled), ["policy_id", "text"], "left")
+    hits = F.concat(F.transform(F.filter("tried", lambda r: matches(F.col("text"), r["segments"], r["end"])), _brief), F.coalesce(mine("plain_hits"), F.array()))
+    met = met.withColumn("hits", F.when(F.col("held").isNull() & ~F.col("own_file"), hits))
     best = F.array_max(F.transform("hits", lambda r: r["specificity"]))
     met = met.withColumn("won", F.filter("hits", lambda r: r["specificity"] == best))
     allowed = (F.coalesce(F.size("won"), F.lit(0)) < 1) | F.exists("won", lambda r: r["allow"])

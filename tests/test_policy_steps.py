@@ -81,3 +81,15 @@ def test_the_limit_is_exact(spark, monkeypatch):
     assert decide(spark, body, target).status == "disallow"
     monkeypatch.setattr(robots, "MOST_STEPS", total - 1)
     assert decide(spark, body, target).status == "review_required"
+
+
+def test_policies_without_bounds_are_looked_up(spark):
+    """A policy beyond the fixed bounds, of plain rules by the ten thousand: held, and decided where the bounds are lifted."""
+    rules = [f"{'Disallow' if i % 2 else 'Allow'}: /page/{i}{'$' if i % 3 == 0 else ''}" for i in range(30_000)] + ["Disallow: /", "Allow: /page/7*/x", "Disallow: /page/12", "Allow: /page/12"]
+    policies = spark.createDataFrame([("p", bytearray(("User-agent: *\n" + "\n".join(rules)).encode()))], "policy_id string, body binary")
+    asked = [("a", "/page/29999"), ("b", "/page/29998"), ("c", "/page/29997"), ("d", "/page/12"), ("e", "/none"), ("f", "/page/71/x"), ("g", "/page/3000x")]
+    requests = spark.createDataFrame([(i, "p", f"https://h.example{path}", "t") for i, path in asked], "request_id string, policy_id string, url string, token string")
+    assert {r.reason for r in robots.decide(policies, requests).collect()} == {"oversized"}
+    got = {r.request_id: (r.status, r.winners) for r in robots.decide(policies, requests, bounded=False).collect()}
+    # lines count from one, after the line of the agent
+    assert got == {"a": ("disallow", [30001]), "b": ("allow", [30000]), "c": ("disallow", [29999]), "d": ("allow", [14]), "e": ("disallow", [30002]), "f": ("allow", [30003]), "g": ("disallow", [30002])}
