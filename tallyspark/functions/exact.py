@@ -57,19 +57,39 @@ def source_token(token: Column, dash: str = "-") -> Column:
 
 #: Characters of decimal text that is scaled (fixed value), and digits in a limb.
 MOST_SCALED, LIMB = 128, 9
+#: Characters of text whose product with a factor of the safe range has at most 38 digits.
+SHORT = 22
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def scale_exact(raw: Column, multiplier: Column) -> Column:
     """Text of at most 128 characters times a whole number of the safe range: a whole number in the safe range, else null.
 
-    The digits are multiplied in limbs of nine, from the last, with a carry, so nothing is rounded whatever their number. The product
-    is whole if its last digits, as many as the text has after the point, are zeros.
+    The digits of text of up to 22 characters are one decimal; those of longer text are multiplied in limbs of nine, from the last, with a carry. So nothing
+    is rounded whatever their number. The product is whole if its last digits, as many as the text has after the point, are zeros.
     """
-    limbs = MOST_SCALED // LIMB + 1
-    fraction = F.regexp_extract(raw, r"\.([0-9]+)\z", 1)
-    digits = F.lpad(F.regexp_replace(raw, r"[-.]", ""), limbs * LIMB, "0")
     factor = multiplier.try_cast("decimal(16,0)")
-    parts = F.transform(F.sequence(F.lit(limbs - 1), F.lit(0), F.lit(-1)), lambda i: F.substring(digits, i * LIMB + 1, LIMB).try_cast("decimal(9,0)"))
+    digits, places = F.regexp_replace(raw, r"[-.]", ""), F.length(F.regexp_extract(raw, r"\.([0-9]+)\z", 1))
+    product = F.when(F.length(raw) <= SHORT, (digits.try_cast(f"decimal({SHORT},0)") * factor).cast("string")).otherwise(_long_product(digits, factor))
+
+    def whole(made: Column) -> Column:
+        kept = F.length(made) - places
+        value = F.when(kept > 0, F.regexp_replace(F.substring(made, F.lit(1), kept), r"\A0+(?=.)", "").try_cast("decimal(38,0)")).otherwise(0)
+        return F.when(~F.substring(made, F.greatest(kept, F.lit(0)) + 1, places).rlike("[1-9]"), value)
+
+    fits = is_decimal(raw, MOST_SCALED) & factor.between(1, SAFE)
+    value = _once(F.when(holds(fits), product), lambda made: _once(whole(made), lambda v: F.when(v <= SAFE, v).cast("long")))
+    return F.when(raw.startswith("-"), -value).otherwise(value)
+
+
+def _long_product(digits: Column, factor: Column) -> Column:
+    """Text of digits times a factor of at most 16 digits, in limbs."""
+    limbs = MOST_SCALED // LIMB + 1
+    parts = F.transform(F.reverse(F.regexp_extract_all(F.lpad(digits, limbs * LIMB, "0"), F.lit(f"[0-9]{{{LIMB}}}"), 0)), lambda limb: limb.try_cast("decimal(9,0)"))
     one = F.lit(10**LIMB).cast("decimal(10,0)")
 
     def step(s: Column, limb: Column) -> Column:
@@ -77,12 +97,7 @@ def scale_exact(raw: Column, multiplier: Column) -> Column:
         low = (total % one).cast("decimal(9,0)")
         return F.struct(F.concat(F.lpad(low.cast("string"), LIMB, "0"), s["text"]).alias("text"), ((total - low) / one).cast("decimal(18,0)").alias("carry"))
 
-    made = F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(0).cast("decimal(18,0)").alias("carry")), step, lambda s: F.concat(s["carry"].cast("string"), s["text"]))
-    whole = F.substring(made, F.lit(1), F.length(made) - F.length(fraction))
-    rest = F.substring(made, F.length(made) - F.length(fraction) + 1, F.length(fraction))
-    value = F.regexp_replace(whole, r"\A0+(?=.)", "").try_cast("decimal(38,0)")
-    fits = is_decimal(raw, MOST_SCALED) & factor.between(1, SAFE) & ~rest.rlike("[1-9]") & (value <= SAFE)
-    return F.when(holds(fits), F.when(raw.startswith("-"), -value).otherwise(value).cast("long"))
+    return F.aggregate(parts, F.struct(F.lit("").alias("text"), F.lit(0).cast("decimal(18,0)").alias("carry")), step, lambda s: F.concat(s["carry"].cast("string"), s["text"]))
 
 
 def multiplier_of(unit: Column) -> Column:

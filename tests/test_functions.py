@@ -55,6 +55,12 @@ def test_scaling_of_long_text(spark):
     assert got == [slow(x, m) for x, m in data] and sum(g is not None for g in got) > 50
 
 
+def test_scaling_multiplies_once(spark):
+    """The product is one expression of the plan, however often it is looked at; short text is one decimal."""
+    df = spark.createDataFrame([("1.5", 10)], "x string, m long").select(exact.scale_exact(F.col("x"), F.col("m")).alias("v"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_text_that_has_no_canonical_form(spark):
     raw = ['{"b":1,"a":"é"}', '{"a":"\\ud800"}', "[" * 100_000 + "]" * 100_000, '{"a":NaN}', '{"a":1,"a":2}', '{"a":1e999}', "x", None, '{"\\ud800":{"url":"https://a.b/\\udc00"}}']
     assert one(spark, raw, hashing.canonical()(F.col("x"))) == ['{"a":"é","b":1}', None, None, None, '{"a":2}', None, None, None, None]
