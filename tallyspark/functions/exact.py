@@ -82,8 +82,8 @@ def scale_exact(raw: Column, multiplier: Column) -> Column:
         return F.when(~F.substring(made, F.greatest(kept, F.lit(0)) + 1, places).rlike("[1-9]"), value)
 
     fits = is_decimal(raw, MOST_SCALED) & factor.between(1, SAFE)
-    value = _once(F.when(holds(fits), product), lambda made: _once(whole(made), lambda v: F.when(v <= SAFE, v).cast("long")))
-    return F.when(raw.startswith("-"), -value).otherwise(value)
+    signed = lambda v: F.when(v <= SAFE, F.when(raw.startswith("-"), -v).otherwise(v)).cast("long")
+    return _once(F.when(holds(fits), product), lambda made: _once(whole(made), signed))
 
 
 def _long_product(digits: Column, factor: Column) -> Column:
