@@ -25,3 +25,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Rows in a part of a table that is spread.
+PART_ROWS = 500_000
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` dealt out by ``columns`` to parts of some 500,000 rows, one a core at least, so that what a task holds does not grow with the table."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
+    return df.repartition(parts, *columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import collections as suites
 from ..operators.gates import violations
-from .registry import query, table
+from .registry import query, spread, table
 
 
 def broken(df: DataFrame, rules, id: str = "id") -> DataFrame:
@@ -110,7 +110,7 @@ def transfers_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transfer_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments of a program's year come to the printed sum and number."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("program_code"), F.lit("2024").alias("fiscal_year"), F.col("l_quantity").cast("int").alias("q"))
-    k = F.col("program_code")
+    lines, k = spread(lines, "program_code"), F.col("program_code")  # all that follows keeps a program's lines together
     printed = lines.groupBy("program_code").agg((F.sum("q") + F.when(k % 31 == 0, 1).otherwise(0)).cast("string").alias("reported_sum"), (F.count("*") + F.when(k % 37 == 0, 1).otherwise(0)).alias("date_count"))
     rows = lines.join(printed, "program_code").withColumn("raw_value", text("q")).withColumn("id", k.cast("string"))
     return broken(rows, suites.transfer_summaries())
