@@ -45,3 +45,15 @@ def test_row_rules_share_one_scan(spark):
     rules = [gates.row(f"r{i}", F.col("l_quantity") > i) for i in range(20)] + [gates.agg("n", F.count("*") > 0), gates.agg("m", F.max("l_tax") < 1)]
     text = plan(gates.violations(spark.read.parquet(f"{SF}/lineitem.parquet").withColumn("id", F.col("l_orderkey")), rules))
     assert len(re.findall("FileScan|Scan parquet", text)) == 2
+
+
+def test_spread_parts_grow_in_number(spark, monkeypatch):
+    """A table with more rows has more parts, and rows of a key stay together."""
+    from pyspark.sql import functions as F
+
+    from tallyspark.plans import registry
+
+    monkeypatch.setattr(registry, "PART_ROWS", 10)
+    parts = registry.spread(spark.range(200).select((F.col("id") % 50).alias("k")), "k")
+    assert parts.rdd.getNumPartitions() == 20
+    assert parts.select("k", F.spark_partition_id().alias("p")).distinct().count() == 50
