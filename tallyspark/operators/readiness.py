@@ -49,25 +49,31 @@ def manifest_pins(files: DataFrame, pins: DataFrame, manifests: DataFrame) -> Da
     """``(path, sha)``: the pins, and those that pinned manifests list as ``{"files": {name: sha}}``.
 
     ``files``: path, kind, bytes, sha, body (text, read for manifests only). ``pins``: path, sha. ``manifests``: path, base, the folder that names are relative to.
-    A manifest whose bytes are not the pinned ones is not followed; that it changed is an issue of its own.
+    A manifest whose bytes are not the pinned ones is not followed; that it changed is an issue of its own. What is pinned twice is there twice.
     """
-    right = files.join(pins, ["path", "sha"], "left_semi").where((F.col("kind") == "file") & (F.col("bytes") <= MOST_BYTES))
-    followed = right.join(manifests, "path").select("base", F.explode(F.from_json(F.get_json_object("body", "$.files"), "map<string,string>")).alias("name", "sha"))
-    return pins.select("path", "sha").union(followed.select(F.concat_ws("/", "base", "name"), "sha")).distinct()
+    right = files.where(F.col("body").isNotNull() & (F.col("kind") == "file") & (F.col("bytes") <= MOST_BYTES)).select("path", F.col("sha").alias("found"), "body")
+    pinned = right.join(pins.select("path", "sha"), "path").where(holds(F.col("found") == F.col("sha"))).drop("found", "sha")  # with the digest as a key, bodies would be dealt out once more for the next join
+    followed = pinned.join(manifests, "path").select("base", F.explode(F.from_json(F.get_json_object("body", "$.files"), "map<string,string>")).alias("name", "sha"))
+    return pins.select("path", "sha").union(followed.select(F.concat_ws("/", "base", "name"), "sha"))
 
 
-def pin_issues(files: DataFrame, pins: DataFrame) -> DataFrame:
+def pin_issues(files: DataFrame, pins: DataFrame, parts: int | None = None) -> DataFrame:
     """``(path, reason)`` of pins that do not hold; ``files``: path, kind, bytes, sha, a row for each thing found; ``pins``: path, sha.
 
     A pin of a path that leaves the checkout, of something missing, oversized or no regular file (a link is none), or of other bytes
     is an issue, and so is one without a digest or of a path with two things. A path pinned to two digests is one for at least one of them.
+    Each side is dealt out once, by path, to ``parts`` (by default as many as the session says), with digests as bytes.
     """
-    found = files.groupBy("path").agg(F.count("*").alias("things"), F.max("kind").alias("kind"), F.max("bytes").alias("bytes"), F.max("sha").alias("found"))
-    joined = pins.select("path", "sha").distinct().join(found, "path", "left")
+    deal = lambda df: df.repartition(parts, "path") if parts else df.repartition("path")
+    digest, good = F.unhex("sha"), is_digest(F.col("sha"))
+    regular = holds((F.col("kind") == "file") & (F.col("bytes") <= MOST_BYTES))
+    found = deal(files.select("path", regular.alias("regular"), F.when(good, digest).alias("found"))).groupBy("path").agg(F.count("*").alias("things"), F.bool_and("regular").alias("regular"), F.max("found").alias("found"))
+    wanted = deal(pins.select("path", F.when(good, digest).alias("digest"), F.when(~good, F.col("sha")).alias("other"))).distinct()
+    joined = wanted.join(found, "path", "left")
     reason = (
         F.when(~holds(F.col("path").rlike(rf"\A{_PART}(?:/{_PART})*\z")), "invalid path")
-        .when(~holds((F.col("things") == 1) & (F.col("kind") == "file") & (F.col("bytes") <= MOST_BYTES)), "missing, not a regular file or too large")
-        .when(~holds((F.col("sha") == F.col("found")) & is_digest(F.col("sha"))), "pinned bytes changed")
+        .when(~holds((F.col("things") == 1) & F.col("regular")), "missing, not a regular file or too large")
+        .when(~holds(F.col("digest") == F.col("found")), "pinned bytes changed")
     )
     return joined.select("path", reason.alias("reason")).where("reason is not null")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import collections as suites
 from ..operators import journal, readiness
 from ..operators.gates import disjoint, violations
-from .registry import query, table
+from .registry import parts, query, table
 
 
 def sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -40,19 +40,23 @@ union all select 'orders/' || o_orderkey || '.json', 'pinned bytes changed' from
 """)
 def readiness_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST6, J19: orders as pinned manifests of their lines; lines as files, some gone, some with other bytes, some there twice."""
-    lines = table(spark, sf_dir, "lineitem")
-    path = F.concat(F.lit("orders/"), F.col("l_orderkey").cast("string"))
+    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    n = parts(lines)
+    path = lambda key, end: F.concat(F.lit("orders/"), F.col(key).cast("string"), end)
     file = lambda body: [F.lit("file").alias("kind"), F.octet_length(body).cast("long").alias("bytes"), F.sha2(body, 256).alias("sha")]
     text = F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).otherwise(F.col("l_partkey")).cast("string")
-    there = lines.where("not (l_returnflag = 'A' and l_linestatus = 'O')").select(F.concat(path, F.lit("/"), F.col("l_linenumber").cast("string")).alias("path"), *file(text), F.lit(None).cast("string").alias("body"))
-    listed = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").cast("string").alias("text"))
+    there = lines.where("not (l_returnflag = 'A' and l_linestatus = 'O')").select(path("l_orderkey", F.concat(F.lit("/"), F.col("l_linenumber").cast("string"))).alias("path"), *file(text), F.lit(None).cast("string").alias("body"))
+    manifest = F.lit(".json")
+    dealt = lines.select(path("l_orderkey", manifest).alias("path"), "l_linenumber", "l_partkey").repartition(n, "path")  # by what manifests are joined on below
+    listed = dealt.groupBy("path", "l_linenumber").agg(F.max("l_partkey").cast("string").alias("text"))
     entries = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").cast("string").alias("name"), F.sha2("text", 256).alias("sha"))))
-    bodies = listed.groupBy("l_orderkey").agg(F.to_json(F.struct(F.map_from_entries(entries).alias("files"))).alias("body"))
-    manifests = bodies.select(F.concat(path, F.lit(".json")).alias("path"), path.alias("base"), *file(F.col("body")), "body", F.col("l_orderkey").alias("o_orderkey"))
-    reviewed = manifests.join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    bodies = listed.groupBy("path").agg(F.to_json(F.struct(F.map_from_entries(entries).alias("files"))).alias("body"))
+    manifests = bodies.select("path", *file(F.col("body")), "body")
+    reviewed = manifests.join(orders.select(path("o_orderkey", manifest).alias("path"), "o_orderstatus"), "path")
     pins = reviewed.select("path", F.when(F.col("o_orderstatus") == "P", F.sha2("path", 256)).otherwise(F.col("sha")).alias("sha"))
     files = there.union(manifests.select(there.columns))
-    return readiness.pin_issues(files, readiness.manifest_pins(files, pins, manifests.select("path", "base")))
+    bases = orders.select(path("o_orderkey", manifest).alias("path"), path("o_orderkey", F.lit("")).alias("base"))
+    return readiness.pin_issues(files, readiness.manifest_pins(files, pins, bases), n)
 
 
 def flags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

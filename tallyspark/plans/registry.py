@@ -31,7 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PART_ROWS = 500_000
 
 
+def parts(df: DataFrame) -> int:
+    """The number of parts of some 500,000 rows in ``df``, one a core at least."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
+
+
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """``df`` dealt out by ``columns`` to parts of some 500,000 rows, one a core at least, so that what a task holds does not grow with the table."""
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // PART_ROWS))
-    return df.repartition(parts, *columns)
+    """``df`` dealt out by ``columns`` to as many :func:`parts`, so that what a task holds does not grow with the table."""
+    return df.repartition(parts(df), *columns)

@@ -57,3 +57,15 @@ def test_spread_parts_grow_in_number(spark, monkeypatch):
     parts = registry.spread(spark.range(200).select((F.col("id") % 50).alias("k")), "k")
     assert parts.rdd.getNumPartitions() == 20
     assert parts.select("k", F.spark_partition_id().alias("p")).distinct().count() == 50
+
+
+def test_pins_are_dealt_out_by_path_alone(spark):
+    """Bodies of manifests are not shuffled, and files and pins once each."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(plans.QUERIES["readiness_pins"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    keys = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", text)
+    assert keys and all(re.fullmatch(r"path#\d+", k) for k in keys)
+    assert len(keys) == 9  # four times the lines, three times the orders, files, pins
