@@ -52,13 +52,17 @@ def admission(events: DataFrame, now: Column) -> DataFrame:
     return facts.select("dataset", reason.isNull().alias("may_start"), reason.alias("reason"))
 
 
-def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mapping[str, str] | None = None) -> DataFrame:
+def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mapping[str, str] | None = None, parts: int | None = None) -> DataFrame:
     """ST4: ``(snapshot, code, path)``: what in retained snapshots needs review; nothing is dropped or cleared.
 
     ``artifacts``: snapshot, path, kind, bytes, sha, body (text of journal files, else null). With ``baseline`` (JSON text) the accepted
     baseline's history must be that, whatever the order of its keys; with ``endpoints`` (kind to URL) requests and responses must be theirs.
     Values of a receipt are compared with their kind: a status of ``"200"`` as text is not 200.
+
+    Nothing is joined: what a file is bound to and which files a run has are sums of one row a file and one a run, in ``parts`` of snapshots
+    (by default as many as the session says).
     """
+    deal = lambda df, *keys: df.repartition(parts, *keys) if parts else df.repartition(*keys)
     run = F.regexp_extract("path", r"\Aattempts/([^/]+)", 1)
     name = F.regexp_extract("path", r"\Aattempts/[^/]+/(.+)\z", 1)
     rows = artifacts.withColumn("run", run).withColumn("name", name)
@@ -87,20 +91,34 @@ def findings(artifacts: DataFrame, baseline: str | None = None, endpoints: Mappi
         *([code((F.col("path") == TOP_FILES[0]) & good & ~same_json(F.col("body"), F.lit(baseline)), "accepted_baseline_history_mismatch")] if baseline is not None else []),
         *([code((is_attempt | is_receipt) & good & ~holds(get("url") == endpoint), "unexpected_endpoint_preserved")] if endpoints else []),
     ))
-    alone = rows.select("snapshot", F.explode(single).alias("code"), "path")
-    file_sha = rows.where("kind = 'file'").select("snapshot", F.col("path").alias("bound"), F.col("sha").alias("bound_sha"), F.col("bytes").alias("bound_bytes"))
-    claims = rows.where(good & (is_receipt | ((F.col("name") == "outcome.json") & holds(get("status") == "candidate_prepared")))).select(
-        "snapshot", "path", is_receipt.alias("receipt"), F.when(is_receipt, F.regexp_replace("path", r"\.receipt\.json\z", ".body")).otherwise(F.regexp_replace("path", r"outcome\.json\z", "candidate.private.json")).alias("bound"),
-        F.when(is_receipt, get("bodySha256")).otherwise(F.when(get("publicationAllowed") == "false", get("candidateSha256"))).alias("says"), get("bodyBytes").try_cast("long").alias("says_bytes"),
+    alone = deal(rows.select("snapshot", F.explode(single).alias("code"), "path"), "snapshot", "path").distinct()
+
+    claiming = good & (is_receipt | ((F.col("name") == "outcome.json") & holds(get("status") == "candidate_prepared")))
+    body, none = F.when(is_receipt, F.regexp_replace("path", r"\.receipt\.json\z", ".body")).otherwise(F.regexp_replace("path", r"outcome\.json\z", "candidate.private.json")), F.lit(None)
+    side = lambda path, claim, receipt, sha, size: F.struct(path.alias("bound"), claim.cast("string").alias("claim"), receipt.alias("receipt"), sha.alias("sha"), size.cast("long").alias("size"))
+    claim = F.when(holds(claiming), side(body, F.col("path"), is_receipt, F.when(is_receipt, get("bodySha256")).otherwise(F.when(get("publicationAllowed") == "false", get("candidateSha256"))), get("bodyBytes").try_cast("long")))
+    known = F.when(holds(F.col("kind") == "file") & F.col("snapshot").isNotNull() & (F.col("path").endswith(".body") | F.col("path").endswith("candidate.private.json")), side(F.col("path"), none, F.lit(False), F.col("sha"), F.col("bytes")))
+    sides = deal(rows.select("snapshot", F.inline(F.array_compact(F.array(claim, known)))), "snapshot", "bound").withColumn("claims", F.col("claim").isNotNull())
+    # a claim holds if all that is said of a path is one thing and all that is there is that; claims on one path are those of one file
+    of = lambda said, c: F.when(F.col("claims") == said, F.col(c))
+    sums = {f"{end}_{c}_{who}": use(of(said, c)) for who, said in (("said", True), ("there", False)) for c in ("sha", "size") for end, use in (("first", F.min), ("last", F.max), ("n", F.count))}
+    met = sides.groupBy("snapshot", "bound").agg(F.max("claim").alias("path"), F.bool_or("receipt").alias("receipt"), F.count_if("claims").alias("said"), F.count_if(~F.col("claims")).alias("there"), *[v.alias(k) for k, v in sums.items()])
+    one = lambda c: (
+        (F.col(f"n_{c}_said") == F.col("said")) & (F.col(f"n_{c}_there") == F.col("there")) & (F.col(f"first_{c}_said") == F.col(f"last_{c}_said"))
+        & (F.col(f"first_{c}_there") == F.col(f"last_{c}_there")) & (F.col(f"first_{c}_said") == F.col(f"first_{c}_there"))
     )
-    bound = claims.join(file_sha, ["snapshot", "bound"], "left")
-    broken = ~holds((F.col("says") == F.col("bound_sha")) & (~F.col("receipt") | (F.col("says_bytes") == F.col("bound_bytes"))))
-    bindings = bound.where(broken).select("snapshot", F.when(F.col("receipt"), "response_body_binding_unverified").otherwise("candidate_outcome_binding_unverified").alias("code"), "path")
-    runs = rows.where("run <> ''").select("snapshot", "run").distinct()
-    wanted = runs.select("snapshot", F.explode(F.array(*[F.concat(F.lit("attempts/"), F.col("run"), F.lit(f"/{f}")) for f in ("outcome.json", "admission.json", "robots-decisions.json", *[f"{k}{s}" for k in KINDS for s in (".attempt.json", ".receipt.json")])])).alias("path"))
-    wanted = wanted.union(rows.select("snapshot").distinct().withColumn("path", F.lit("baseline-retrieval.json")))
-    missing = wanted.join(rows.select("snapshot", "path"), ["snapshot", "path"], "left_anti").select("snapshot", F.lit("missing_journal_record").alias("code"), "path")
-    return alone.union(bindings).union(missing).distinct()
+    broken = (F.col("said") > 0) & ~holds((F.col("there") > 0) & one("sha") & (~F.col("receipt") | one("size")))
+    bindings = met.where(broken).select("snapshot", F.when(F.col("receipt"), "response_body_binding_unverified").otherwise("candidate_outcome_binding_unverified").alias("code"), "path")
+
+    records = ("outcome.json", "admission.json", "robots-decisions.json", *[f"{k}{s}" for k in KINDS for s in (".attempt.json", ".receipt.json")])
+    present = F.col("snapshot").isNotNull()
+    seen = deal(rows.where("run <> ''").select("snapshot", "run", F.when(present, F.col("name")).alias("name")), "snapshot", "run")
+    runs = seen.groupBy("snapshot", "run").agg(*[F.bool_or(holds(F.col("name") == f)).alias(f) for f in records])
+    lacks = F.array_compact(F.array(*[F.when(~F.col(f"`{f}`"), F.concat(F.lit("attempts/"), F.col("run"), F.lit(f"/{f}"))) for f in records]))
+    first = deal(rows.select("snapshot", holds(present & (F.col("path") == TOP_FILES[0])).alias("there")), "snapshot").groupBy("snapshot").agg(F.bool_or("there").alias("there"))
+    wanted = runs.select("snapshot", F.explode(lacks).alias("path")).union(first.where(~F.col("there")).select("snapshot", F.lit(TOP_FILES[0])))
+    missing = wanted.select("snapshot", F.lit("missing_journal_record").alias("code"), "path")
+    return alone.union(bindings).union(missing)
 
 
 def plan_status(found: DataFrame, conflicts: DataFrame, issues: DataFrame) -> DataFrame:

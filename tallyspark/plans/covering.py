@@ -10,7 +10,7 @@ from ..operators import catalog, collections, identity, joins, journal, reconcil
 from ..operators.gates import violations
 from ..sources import pinned, sinks, strict_csv
 from ..sources.frozen import scratch
-from .registry import query, table
+from .registry import parts, query, table
 from .searching import awards
 
 
@@ -133,7 +133,8 @@ union all select 'missing_journal_record', 8 * count(*) + (select count(distinct
 """)
 def journal_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4: findings of retained snapshots, nothing dropped."""
-    return journal.findings(attempts(table(spark, sf_dir, "events"))).groupBy("code").agg(F.count("*").alias("n"))
+    files = attempts(table(spark, sf_dir, "events"))
+    return journal.findings(files, parts=parts(files)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -146,7 +147,8 @@ union all select 'missing_journal_record', 8 * count(*) + (select count(distinct
 """)
 def journal_findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4 over all events."""
-    return journal.findings(attempts(table(spark, sf_dir, "events"))).groupBy("code").agg(F.count("*").alias("n"))
+    files = attempts(table(spark, sf_dir, "events"))
+    return journal.findings(files, parts=parts(files)).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -134,7 +134,7 @@ def request_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")
     receipt = F.to_json(F.struct(F.lit("2026-01-01T00:00:00Z").alias("attemptedAt"), F.when(F.col("o_orderstatus") == "F", F.concat(done, F.lit("Z"))).when(F.col("o_orderstatus") == "O", done).alias("completedAt")))
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("snapshot"), F.lit("attempts/1/robots.receipt.json").alias("path"), F.lit("file").alias("kind"), F.lit(1).cast("long").alias("bytes"), F.lit("x").alias("sha"), receipt.alias("body"))
-    return journal.findings(rows).where("code = 'unknown_request_time'").groupBy("code").agg(F.count("*").alias("n"))
+    return journal.findings(rows, parts=parts(rows)).where("code = 'unknown_request_time'").groupBy("code").agg(F.count("*").alias("n"))
 
 
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +180,37 @@ def test_receipts_of_retained_snapshots_have_typed_values(spark):
     of = lambda code: sorted(r.snapshot for r in found if r.code == code)
     assert of("failed_or_uncertain_response_preserved") == ["s1", "s2", "s3"]
     assert of("unknown_request_time") == ["s4"]
+
+
+def test_findings_of_repeated_files_are_those_of_every_pair(spark):
+    """Bindings and missing files against brute force, with files and claims that repeat and snapshots that are unknown; nothing is joined."""
+    pick = random.Random(5).choice
+    names = ["outcome.json", "candidate.private.json", "robots.receipt.json", "robots.body", "x/y.receipt.json", "x/y.body", "admission.json"]
+    rows = []
+    for _ in range(600):
+        path = pick(["baseline-retrieval.json", *[f"attempts/{pick('12')}/{pick(names)}" for _ in range(6)]])
+        body = {"status": "candidate_prepared", "publicationAllowed": pick([False, False, True]), "candidateSha256": pick("ab"), "bodySha256": pick("ab"), "bodyBytes": pick([1, 1, "z"])}
+        rows.append((pick([None, *map(str, range(60))]), path, pick(["file", "file", "link"]), pick([1, 1, None]), pick(["a", "b", None]), pick([json.dumps(body)] * 3 + ["{"]) if path.endswith(".json") else None))
+    wanted = set()
+    for snapshot, path, _, _, _, body in rows:
+        mine = [r for r in rows if r[0] == snapshot and snapshot is not None]
+        there, run = {r[1] for r in mine}, path.split("/")[1] if "/" in path else None
+        files = ["baseline-retrieval.json"]
+        if run:
+            files += [f"attempts/{run}/{f}" for f in ("outcome.json", "admission.json", "robots-decisions.json", *[f"{k}{s}" for k in journal.KINDS for s in (".attempt.json", ".receipt.json")])]
+        wanted |= {(snapshot, "missing_journal_record", f) for f in files if f not in there}
+        receipt = path.endswith(".receipt.json")
+        if body in (None, "{") or not (receipt or path.endswith("/outcome.json")):
+            continue
+        said = json.loads(body)
+        bound = path.replace(".receipt.json", ".body").replace("outcome.json", "candidate.private.json")
+        says = said["bodySha256"] if receipt else None if said["publicationAllowed"] else said["candidateSha256"]
+        found = [r for r in mine if r[1] == bound and r[2] == "file"]
+        if not found or any(says is None or r[4] != says or (receipt and r[3] != said["bodyBytes"]) for r in found):
+            wanted.add((snapshot, "response_body_binding_unverified" if receipt else "candidate_outcome_binding_unverified", path))
+    made = journal.findings(spark.createDataFrame(rows, "snapshot string, path string, kind string, bytes long, sha string, body string"), parts=7)
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(set(got))
+    assert {r for r in got if "binding" in r[1] or "missing" in r[1]} == wanted
+    text = made._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and set(re.findall(r"Exchange hashpartitioning\(.*, (\d+)\)", text)) == {"7"}
