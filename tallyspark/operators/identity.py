@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exact import holds, is_decimal
-from ..functions.hashing import has_keys, is_digest
+from ..functions.hashing import is_digest
 from ..sources.frozen import freeze
 
 #: The statuses of a result, the modes of a rule and the declarations of native arithmetic (fixed values).
@@ -21,6 +21,9 @@ NATIVE = ("same_schedule_component_sum", "same_table_documented_asset_identity")
 MOST_TERMS = 100
 #: Names in the locator of a cell (fixed values).
 CELL_NAMES = ("column", "field", "kind", "page", "row", "rowId", "table")
+#: What may be wrong with a fact's provenance, what counts first before what counts later; the fields of facts that rules compare.
+FLAWS = ("missing provenance", "malformed digest", "noncanonical cell locator")
+NEEDED = ("value", "availability", "unit", "currency", "scopeKey", "role", "sourceSnapshotSha256", "financialBasisId", "financialBasisVerified")
 #: Whole and fraction digits up to which the JVM's decimals are exact here.
 WHOLE, PLACES = 18, 16
 
@@ -57,21 +60,24 @@ def _declared(rules: DataFrame) -> DataFrame:
     return rows.withColumn("problem", problem)
 
 
-def _cell_problem(f: Column) -> Column:
-    """A locator is a JSON object whose kind fixes its keys and whose values are plain and known."""
-    loc = f["nativeCellLocator"]
-    pdf = has_keys(loc, "kind", "page", "table", "row", "column") & (F.get_json_object(loc, "$.kind") == "pdf_table_cell")
-    cell = has_keys(loc, "kind", "rowId", "field") & (F.get_json_object(loc, "$.kind") == "dataset_cell")
-    plain = F.lit(True)
-    for name in CELL_NAMES:
-        type_ = F.schema_of_variant(F.try_variant_get(F.try_parse_json(loc), f"$.{name}", "variant"))
-        plain = plain & (type_.isNull() | (~type_.rlike(r"\A(OBJECT|ARRAY|BOOLEAN|VOID)") & (F.get_json_object(loc, f"$.{name}") != "")))
-    return ~(holds(pdf | cell) & holds(plain))
+def _judged(facts: DataFrame) -> DataFrame:
+    """``(fact_id, f, flaw, exact, cell)``: what rules need of each fact, with its locator read once.
 
-
-def cell_key(locator: Column) -> Column:
-    """A locator's values in the order of their names, whatever order they are written in; values that hold separators stay apart."""
-    return F.array(*[F.coalesce(F.get_json_object(locator, f"$.{n}"), F.lit("")) for n in CELL_NAMES])
+    ``flaw``: what is wrong with its provenance, as a place in :data:`FLAWS`. A locator is a JSON object whose kind fixes its keys and whose values are plain and known.
+    """
+    names = [f"cell_{n}" for n in CELL_NAMES]
+    loc = F.col("nativeCellLocator")
+    read = facts.select("*", F.json_tuple(loc, *CELL_NAMES).alias(*names))
+    read = read.withColumn("cell_keys", F.sort_array(F.json_object_keys(loc))).withColumn("cell_types", F.schema_of_variant(F.try_parse_json(loc)))
+    keys = lambda *of: F.col("cell_keys") == F.array(*[F.lit(k) for k in sorted(of)])
+    shaped = (keys("kind", "page", "table", "row", "column") & (F.col("cell_kind") == "pdf_table_cell")) | (keys("kind", "rowId", "field") & (F.col("cell_kind") == "dataset_cell"))
+    plain = ~F.col("cell_types").rlike(": (OBJECT|ARRAY|BOOLEAN|VOID)") & reduce(lambda x, y: x & y, [F.coalesce(F.col(n) != "", F.lit(True)) for n in names])
+    lacks = reduce(lambda x, y: x | y, [F.col(c).isNull() | (F.col(c) == "") for c in ("artifactSha256", "sourceSnapshotSha256", "sourceLocator", "sourceFactId", "nativeCellLocator")])
+    wrong = (lacks, ~is_digest(F.col("artifactSha256")) | ~is_digest(F.col("sourceSnapshotSha256")), ~holds(shaped & plain))
+    flaw = F.coalesce(*[F.when(w, F.lit(i)) for i, w in enumerate(wrong)])
+    # a locator's values in the order of their names, whatever order they are written in; values that hold separators stay apart
+    cell = F.struct(F.col("sourceSnapshotSha256").alias("s"), F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names]).alias("c"))
+    return read.select(F.col("id").alias("fact_id"), F.struct(*NEEDED).alias("f"), flaw.alias("flaw"), is_decimal(F.col("value")).alias("exact"), cell.alias("cell"))
 
 
 def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
@@ -84,9 +90,8 @@ def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """
     declared = _declared(rules)
     terms = declared.select("id", F.posexplode(F.slice("terms", 1, MOST_TERMS)).alias("at", "t"))
-    found = terms.select("id", "at", "t.*").join(facts.select(F.col("id").alias("fact_id"), F.struct(*facts.columns).alias("f")), "fact_id", "left")
-    found = found.withColumn("bad_cell", F.when(F.col("f").isNotNull(), _cell_problem(F.col("f")))).withColumn("cell", F.struct(F.col("f.sourceSnapshotSha256").alias("s"), cell_key(F.col("f.nativeCellLocator")).alias("c")))
-    packed = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "side", "coefficient", "f", "bad_cell", "cell"))).alias("t"))
+    found = terms.select("id", "at", "t.*").join(_judged(facts), "fact_id", "left")
+    packed = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "side", "coefficient", "f", "flaw", "exact", "cell"))).alias("t"))
     rows = declared.drop("terms").join(packed, "id", "left").withColumn("t", F.coalesce("t", F.array().cast(packed.schema["t"].dataType)))
 
     any_ = lambda p: F.exists("t", lambda x: F.coalesce(p(x["f"]), F.lit(True)))
@@ -96,10 +101,9 @@ def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
     missing = F.exists("t", lambda x: x["f"].isNull())
     basis, native = F.col("basis"), F.col("mode") == "source_native_arithmetic"
 
+    first = F.array_min(F.transform("t", lambda x: x["flaw"]))
     provenance = _first(
-        (any_(lambda f: reduce(lambda a, b: a | b, [empty(f[c]) for c in ("artifactSha256", "sourceSnapshotSha256", "sourceLocator", "sourceFactId", "nativeCellLocator")])), "missing provenance"),
-        (any_(lambda f: ~is_digest(f["artifactSha256"]) | ~is_digest(f["sourceSnapshotSha256"])), "malformed digest"),
-        (F.exists("t", lambda x: F.coalesce(x["bad_cell"], F.lit(True))), "noncanonical cell locator"),
+        *((holds(first == i), text) for i, text in enumerate(FLAWS)),
         (F.size(F.array_distinct(F.transform("t", lambda x: x["cell"]))) < F.size("t"), "same cell twice"),
     )
     money = ~native
@@ -125,11 +129,11 @@ def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("missing", missing).withColumn("problem", F.coalesce("problem", F.when(~missing, F.coalesce(provenance, roles))))
     rows = rows.withColumn("reasons", F.when(F.col("problem").isNull(), F.when(missing, F.array(F.lit("missing fact"))).otherwise(F.array_sort(F.array_distinct(reasons)))))
-    unread = F.exists("t", lambda x: ~is_decimal(x["f"]["value"]))
+    unread = F.exists("t", lambda x: ~holds(x["exact"]))
     rows = rows.withColumn("problem", F.coalesce("problem", F.when((F.size("reasons") == 0) & unread, F.lit("inexact number"))))
     ready = F.col("problem").isNull() & (F.size("reasons") == 0)
     rows = rows.withColumn("inputs", F.when(ready, F.transform("t", lambda x: F.struct(x["side"].alias("side"), x["coefficient"].alias("coefficient"), x["f"]["value"].alias("value")))))
-    rows = rows.withColumn("sums", _sums(F.col("inputs")))
+    rows = _sums(rows)
     status = F.when(F.col("problem").isNotNull(), F.lit(None)).when(F.size("reasons") > 0, "insufficient_evidence").when(F.col("sums.zero"), "explained").otherwise("flagged_unreviewed")
     return rows.select(
         F.col("id").alias("rule_id"), status.alias("status"), F.when(F.col("problem").isNull(), F.col("reasons")).alias("reasons"), "sums.left_value", "sums.right_value", "sums.residual",
@@ -140,23 +144,30 @@ def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
 SUMS = "left_value string, right_value string, residual string, zero boolean"
 
 
-def _sums(inputs: Column) -> Column:
-    """Struct of both sides and the residual as text; decimals of the JVM where they suffice, else Python's of 200 digits."""
+def _sums(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``sums``, a struct of both sides and the residual of ``inputs`` as text; decimals of the JVM where they suffice, else Python's of 200 digits.
+
+    Each step is a column of its own, so that it is worked out once.
+    """
+    kind = f"decimal(38,{PLACES})"
     whole = lambda v: F.length(F.regexp_extract(v, r"\A-?([0-9]+)", 1))
     places = lambda v: F.length(F.regexp_extract(v, r"\.([0-9]+)\z", 1))
-    fits = ~F.exists(inputs, lambda x: (whole(x["value"]) > WHOLE) | (places(x["value"]) > PLACES))
-    kind = f"decimal(38,{PLACES})"
-
-    def side(name):
-        signed = F.transform(F.filter(inputs, lambda x: x["side"] == name), lambda x: (x["value"].try_cast(f"decimal({WHOLE + PLACES},{PLACES})") * x["coefficient"].cast("decimal(1,0)")).cast(kind))
-        return F.aggregate(signed, F.lit(0).cast(kind), lambda a, v: (a + v).cast(kind))
-
-    scale = lambda name: F.array_max(F.transform(F.filter(inputs, lambda x: x["side"] == name), lambda x: places(x["value"])))
+    signed = lambda x: (x["value"].try_cast(f"decimal({WHOLE + PLACES},{PLACES})") * x["coefficient"].cast("decimal(1,0)")).cast(kind)
+    read = F.transform("inputs", lambda x: F.struct(x["side"].alias("side"), whole(x["value"]).alias("whole"), places(x["value"]).alias("places"), signed(x).alias("value")))
+    rows = rows.withColumn("read", read).withColumn("fits", ~F.exists("read", lambda x: (x["whole"] > WHOLE) | (x["places"] > PLACES)))
+    of = lambda name: F.filter("read", lambda x: x["side"] == name)
+    side = lambda name: F.struct(
+        F.aggregate(of(name), F.lit(0).cast(kind), lambda a, x: (a + x["value"]).cast(kind)).alias("sum"), F.array_max(F.transform(of(name), lambda x: x["places"])).alias("scale"),
+    )
+    rows = rows.withColumns({"left_side": side("left"), "right_side": side("right")})
+    left, right = F.col("left_side"), F.col("right_side")
+    rows = rows.withColumn("rest", (left["sum"] - right["sum"]).cast(kind))
     cut = lambda v, n: F.when(n == 0, F.substring_index(v.cast("string"), ".", 1)).otherwise(F.left(v.cast("string"), F.length(v.cast("string")) - PLACES + n))
-    left, right = side("left"), side("right")
-    residual = (left - right).cast(kind)
-    fast = F.struct(cut(left, scale("left")).alias("left_value"), cut(right, scale("right")).alias("right_value"), cut(residual, F.greatest(scale("left"), scale("right"))).alias("residual"), (residual == 0).alias("zero"))
-    return F.when(fits, fast).when(~fits, _long_sums()(F.when(~fits, inputs)))
+    fast = F.struct(
+        cut(left["sum"], left["scale"]).alias("left_value"), cut(right["sum"], right["scale"]).alias("right_value"),
+        cut(F.col("rest"), F.greatest(left["scale"], right["scale"])).alias("residual"), (F.col("rest") == 0).alias("zero"),
+    )
+    return rows.withColumn("sums", F.when(F.col("fits"), fast).when(~F.col("fits"), _long_sums()(F.when(~F.col("fits"), F.col("inputs")))))
 
 
 @functools.cache

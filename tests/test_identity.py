@@ -119,3 +119,9 @@ def test_comparison(spark):
     got = [(r.comparable, r.difference) for r in identity.compare(df).collect()]
     assert got == [(True, "53592.000000"), (False, None), (False, None), (True, None), (False, None)]
     assert [r.comparable for r in identity.compare(df, strict_stage=False).collect()] == [True, True, False, True, False]
+
+
+def test_a_locator_is_read_once(spark):
+    """One reading for its values, one for its keys, one for their kinds, where the fact is; nothing of it travels to the rules."""
+    text = identity.evaluate(spark.createDataFrame([], identity.RULES), spark.createDataFrame([], identity.FACTS))._jdf.queryExecution().analyzed().toString()
+    assert [text.count(f"{f}(") for f in ("get_json_object", "json_tuple", "json_object_keys", "try_parse_json")] == [0, 1, 1, 1]
