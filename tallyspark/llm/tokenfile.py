@@ -10,13 +10,13 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .bpe import WHITE_SPACE
 from .common import Recent, cut, few, map_batches, running_sum, shared_dir, slices
 
 MAGIC = b"TFV2"
@@ -24,16 +24,47 @@ HEAD = struct.Struct("<4sIQQQ")
 #: Ids after which a block is closed, and bytes after which a file is.
 BLOCK_IDS = 1_000_000
 FILE_BYTES = 32_000_000
-#: Pieces of text whose ids one Python worker remembers.
+#: Pieces of text whose ids one Python worker remembers, bytes of the longest of them, and bytes of text that it cuts at a time.
 CACHE = 250_000
+KEPT = 256
+SLICE_BYTES = 8_000_000
 #: Bytes of its ids by which a row that repeats a doc_id is ordered.
 HEAD_BYTES = 64
 #: In a folder of token files: the table of ids by rank, and folders of the files and of the ids before each.
 RANKS, FILES, STARTS = "ranks.u32", "tokens", "starts"
 #: For each control byte the lengths of its four codes.
 LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
-#: A word with the one space before it, or white space; the tokenizer's own pieces never cross these.
-_PIECES = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
+#: Kinds of bytes: ASCII letters, digits, marks, the apostrophe, ASCII white space, bytes of longer characters, those that may begin longer white space, other control characters.
+LETTER, DIGIT, MARK, QUOTE, SPACE, LONG, LEAD, CONTROL = range(8)
+KIND = np.full(256, LONG, np.uint8)
+KIND[:128] = [LETTER if c.isalpha() else DIGIT if c.isdigit() else QUOTE if c == "'" else SPACE if c in "\t\n\v\f\r " else MARK if c.isprintable() else CONTROL for c in map(chr, range(128))]
+KIND[[0xC2, 0xE1, 0xE2, 0xE3]] = LEAD
+#: Pieces that keep their ids when line breaks stand around them, and how many of these are one text for the library.
+_LINE = re.compile(r" ?\S(?:[^\n]*\S)?")
+LINES = 128
+
+
+def piece_starts(raw: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Whether a piece begins at each byte of UTF-8 texts that begin at the places ``texts``.
+
+    Pieces begin only where the tokenizer's own do, and each has the ids alone that it has in its text: white space after
+    an ASCII letter, digit or mark; a space before what is surely none; what follows a line break that is the only white
+    space there; a change between letters, digits and marks, except after an apostrophe (contractions). Elsewhere a piece
+    may hold several of the tokenizer's own.
+    """
+    kind = KIND[raw]
+    solid, seen = kind <= QUOTE, (kind != SPACE) & (kind != LEAD)
+    seen[texts] = False  # not from the text before
+    starts = np.zeros(len(raw), bool)
+    starts[1:] = solid[:-1] & (kind[1:] == SPACE)
+    starts[:-1] |= (raw[:-1] == 0x20) & seen[1:]
+    starts[2:] |= solid[:-2] & (raw[1:-1] == 0x0A) & seen[2:]
+    group = np.minimum(kind, MARK)
+    starts[1:] |= (kind[:-1] <= MARK) & solid[1:] & (group[:-1] != group[1:])
+    latin = (raw[:-2] == 0xC3) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)  # letters from U+00C0 to U+00FF
+    starts[2:] |= latin & (kind[2:] >= DIGIT) & (kind[2:] <= QUOTE)
+    starts[texts] = True
+    return starts
 
 
 class ByteBPE:
@@ -47,20 +78,56 @@ class ByteBPE:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache = Recent(CACHE)
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, packed as ``dtype``. Texts with a special token's string go whole to the library."""
-        whole = {i for i, t in enumerate(texts) if any(m in t for m in self.marks)}
-        pieces = [[] if i in whole else _PIECES.findall(t) for i, t in enumerate(texts)]
-        new = self.cache.missing({p for one in pieces for p in one})
-        if new:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[p] = np.asarray(e.ids, self.dtype).tobytes()
-        look = self.cache.__getitem__
-        out = [b"".join(map(look, one)) for one in pieces]
-        for i in whole:
-            out[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, self.dtype).tobytes()
-        return out
+        self.line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Ids of new pieces: many are encoded as the lines of one text, as the library spends more on a text than on a word."""
+        lines, others = [], []
+        for p in pieces:
+            text = p.decode()
+            (lines if _LINE.fullmatch(text) and not any(m in text for m in self.marks) else others).append(text)
+        if len(self.line_break) != 1 or any("\n" in m for m in self.marks):
+            lines, others = [], lines + others
+        groups = ["\n".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
+        encoded = [np.asarray(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)]
+        if encoded:
+            flat = np.concatenate(encoded)
+            raw, width = flat.tobytes(), self.dtype.itemsize
+            ends = np.flatnonzero(flat == self.line_break[0])
+            start = 0
+            for text, end in zip(lines, (ends * width).tolist(), strict=True):
+                self.cache[text.encode()] = raw[start:end]
+                start = end + width
+        for text, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.cache[text.encode()] = np.asarray(e.ids, self.dtype).tobytes()
+
+    def encode_column(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """Ids of each text, packed as ``dtype``, with ``end`` after them. Null counts as empty; texts with a special token's string go whole to the library.
+
+        Texts are cut where they lie, equal pieces are found by Arrow, and Python meets each distinct one once.
+        """
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        at = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, 4 * texts.offset)
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        starts = piece_starts(raw, at[at < len(raw)])
+        for mark in self.marks:
+            for i in np.flatnonzero(pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)):
+                starts[at[i] + 1 : at[i + 1]] = False
+        first = np.flatnonzero(starts).astype(np.int32)
+        bounds = np.append(first, np.int32(len(raw)))
+        coded = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        ids = list(map(self.cache.get, pieces))
+        lacking = [k for k, i in enumerate(ids) if i is None]
+        self._learn(self.cache.missing({pieces[k] for k in lacking}))
+        for k in lacking:
+            ids[k] = self.cache[pieces[k]] if len(pieces[k]) <= KEPT else self.cache.pop(pieces[k])
+        before = np.searchsorted(first, at)  # pieces before each text
+        order = np.insert(coded.indices.to_numpy(), before[1:], len(pieces))
+        packed = pa.array([*ids, end], pa.binary()).take(pa.array(order))
+        offsets = np.frombuffer(packed.buffers()[1], np.int32, len(packed) + 1, 4 * packed.offset)[before + np.arange(len(before))]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), packed.buffers()[2]])
 
 
 @functools.lru_cache(maxsize=2)
@@ -127,9 +194,8 @@ def encode(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
         bpe = byte_bpe(path)
         end = np.asarray([end_id], bpe.dtype).tobytes()
         for batch in batches:
-            for part in slices(batch, budget=1_000_000):
-                ids = [i + end for i in bpe.encode_batch([t or "" for t in part.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            for part in slices(batch, budget=SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), bpe.encode_column(part.column("text"), end)], names=["doc_id", "ids"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids binary")
 

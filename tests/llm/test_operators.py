@@ -471,6 +471,33 @@ def test_token_files_are_read_from_their_folder_alone(spark, tmp_path):
     assert len(got) == len(rows) and dict(got)[9] == sum(len(t) for i, t in want if i != 9) and dict(got)[None] == 0
 
 
+def test_token_files_give_the_library_few_texts():
+    """Pieces are cut as the library cuts them; each distinct one reaches it once, many as one text."""
+
+    class Counting:
+        def __init__(self, library):
+            self.library, self.texts = library, []
+
+        def encode_batch_fast(self, batch, **how):
+            self.texts += batch
+            return self.library.encode_batch_fast(batch, **how)
+
+    bpe = tokenfile.ByteBPE(public_tokenizers.path("byte_bpe_50k.json"))
+    library = bpe.tokenizer
+    bpe.tokenizer = Counting(library)
+    words = ["".join(c) for c in itertools.product("thean", repeat=5)]
+    spaced = [" ".join(w + m for w in words) for m in ("", ",", ".", "!", "***")]
+    atoms = [" ", "  ", "\n", "\n\n", " \n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "a", "don", "'", "'s", "'ll", ".", ",", "_", "42", "\u0663", "é", "×", "º", "«", "…", "\u0301", "中", "。", "😀", "<|endoftext|>", "<|", "\x00"]
+    mixed = ["".join(c) for c in itertools.product(atoms, repeat=3)]
+    for texts, most in ((spaced, len(words) // 50), (mixed, None), ([None, "", "a  ", "b", " ", "\n", "\nc"], None), (["the<|endoftext|> thing" * 50, "a" * 999, "\u4e2d" * 99], None)):
+        bpe.tokenizer.texts.clear()
+        got = bpe.encode_column(pa.array(["-", *texts], pa.string()).slice(1), b"\0\0").to_pylist()
+        want = library.encode_batch([t or "" for t in texts], add_special_tokens=False)
+        assert got == [np.array([*e.ids, 0], "<u2").tobytes() for e in want]
+        assert most is None or len(bpe.tokenizer.texts) <= most
+    assert max(map(len, bpe.cache)) <= tokenfile.KEPT
+
+
 def test_codes_round_trip():
     ranks = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(ranks) + 1):
