@@ -48,7 +48,7 @@ def schedules(records: DataFrame, totals: DataFrame, unit: str) -> tuple[DataFra
     b = totals.select(*fact(total_id, F.col("amount"), F.struct(F.lit("/printedTotal").alias("jsonPointer"), F.col("page").alias("pdfPage")), cell(F.lit("printed_total")), F.col("artifact"), F.col("source"), scope, unit, role=F.lit("printed_total")))
     parts = records.groupBy("schedule").agg(F.sort_array(F.collect_list(F.struct("position", "id"))).alias("ids"))
     left = F.transform("ids", lambda x: F.struct(x["id"].alias("factId"), F.lit(1).alias("coefficient")))
-    rules = totals.join(parts, "schedule").select(*rule(F.concat(scope, F.lit("-total-v1")), left, _terms((total_id, 1)), scope, unit, SCHEDULE, F.lit(True)))
+    rules = totals.join(parts.hint("merge"), "schedule").select(*rule(F.concat(scope, F.lit("-total-v1")), left, _terms((total_id, 1)), scope, unit, SCHEDULE, F.lit(True)))
     return a.union(b), rules
 
 

@@ -76,7 +76,7 @@ def _judged(facts: DataFrame) -> DataFrame:
     wrong = (lacks, ~is_digest(F.col("artifactSha256")) | ~is_digest(F.col("sourceSnapshotSha256")), ~holds(shaped & plain))
     flaw = F.coalesce(*[F.when(w, F.lit(i)) for i, w in enumerate(wrong)])
     # a locator's values in the order of their names, whatever order they are written in; values that hold separators stay apart
-    cell = F.struct(F.col("sourceSnapshotSha256").alias("s"), F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names]).alias("c"))
+    cell = F.array(*[F.coalesce(F.col(n), F.lit("")) for n in names])
     return read.select(F.col("id").alias("fact_id"), F.struct(*NEEDED).alias("f"), flaw.alias("flaw"), is_decimal(F.col("value")).alias("exact"), cell.alias("cell"))
 
 
@@ -86,13 +86,14 @@ def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
     ``problem`` is null unless the declaration is invalid; then status is null too, and :func:`run`
     refuses the whole set. A missing fact is insufficient evidence at once; else all reasons are
     listed, sorted; without any, the residual of left less right is exact and keeps the most decimal places of its inputs.
-    Facts are joined on their id; a rule's at most hundred terms are then one row.
+    Facts are joined on their id; a rule's at most hundred terms are then one row. Both joins are sorted ones: texts made on the
+    way are far longer than the optimizer's estimate from the files, by which facts of any number would be broadcast through the driver.
     """
     declared = _declared(rules)
     terms = declared.select("id", F.posexplode(F.slice("terms", 1, MOST_TERMS)).alias("at", "t"))
-    found = terms.select("id", "at", "t.*").join(_judged(facts), "fact_id", "left")
+    found = terms.select("id", "at", "t.*").join(_judged(facts).hint("merge"), "fact_id", "left")
     packed = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "side", "coefficient", "f", "flaw", "exact", "cell"))).alias("t"))
-    rows = declared.drop("terms").join(packed, "id", "left").withColumn("t", F.coalesce("t", F.array().cast(packed.schema["t"].dataType)))
+    rows = declared.drop("terms").join(packed.hint("merge"), "id", "left").withColumn("t", F.coalesce("t", F.array().cast(packed.schema["t"].dataType)))
 
     any_ = lambda p: F.exists("t", lambda x: F.coalesce(p(x["f"]), F.lit(True)))
     values = lambda name: F.array_distinct(F.transform("t", lambda x: x["f"][name]))
@@ -104,7 +105,7 @@ def evaluate(rules: DataFrame, facts: DataFrame) -> DataFrame:
     first = F.array_min(F.transform("t", lambda x: x["flaw"]))
     provenance = _first(
         *((holds(first == i), text) for i, text in enumerate(FLAWS)),
-        (F.size(F.array_distinct(F.transform("t", lambda x: x["cell"]))) < F.size("t"), "same cell twice"),
+        (F.size(F.array_distinct(F.transform("t", lambda x: F.struct(x["f"]["sourceSnapshotSha256"], x["cell"])))) < F.size("t"), "same cell twice"),
     )
     money = ~native
     component_sum = basis["nativeArithmeticDeclaration"] == "same_schedule_component_sum"
@@ -194,8 +195,9 @@ def _long_sums():
 
 def run(rules: DataFrame, facts: DataFrame) -> DataFrame:
     """:func:`evaluate`, refused as a whole if an id repeats or any declaration is invalid; evaluated once, what was judged is what is returned."""
+    rules = freeze(rules)  # read for their ids, for their terms and for the rest
     for table, name in ((rules, "rule"), (facts, "fact")):
-        if not table.groupBy("id").count().where("count > 1").isEmpty():
+        if table.groupBy("id").count().where("count > 1").limit(1).count():
             raise InvalidDeclaration(f"duplicate {name} id")
     results = freeze(evaluate(rules, facts))
     bad = results.where("problem is not null").select("rule_id", "problem").limit(3).collect()

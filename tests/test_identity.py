@@ -2,7 +2,8 @@ import json
 
 import pytest
 
-from tallyspark.operators import identity
+from tallyspark.operators import adapters, identity
+from tallyspark.sources.frozen import freeze
 
 SHA = "a" * 64
 
@@ -125,3 +126,15 @@ def test_a_locator_is_read_once(spark):
     """One reading for its values, one for its keys, one for their kinds, where the fact is; nothing of it travels to the rules."""
     text = identity.evaluate(spark.createDataFrame([], identity.RULES), spark.createDataFrame([], identity.FACTS))._jdf.queryExecution().analyzed().toString()
     assert [text.count(f"{f}(") for f in ("get_json_object", "json_tuple", "json_object_keys", "try_parse_json")] == [0, 1, 1, 1]
+
+
+def test_no_facts_go_through_the_driver(spark):
+    """Estimates from files say little of texts made on the way, so neither facts nor what is packed of them nor a schedule's rows are broadcast, however small they look."""
+    records = freeze(spark.createDataFrame([("s", 1, "a", "1.5", "7", 1, SHA, SHA)], "schedule string, position int, id string, amount string, page string, row int, artifact string, source string"))
+    totals = freeze(spark.createDataFrame([("s", "1.5", "8", SHA, SHA)], "schedule string, amount string, page string, artifact string, source string"))
+    facts, rules = adapters.schedules(records, totals, "dollars")
+    judged = identity.evaluate(rules, facts)
+    for df, joins in ((identity.evaluate(*map(freeze, frames(spark, [rule("r", ["a", "b"], ["t"])], FACTS))), 2), (rules, 1), (judged, 4)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert (plan.count("SortMergeJoin"), plan.count("Broadcast")) == (joins, 0)
+    assert [(r.rule_id, r.status, r.left_value) for r in judged.collect()] == [("s-total-v1", "explained", "1.5")]
